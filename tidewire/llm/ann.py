@@ -1 +1,190 @@
-"""To come."""
+"""Approximate nearest neighbours by largest inner product: an adaptive dimension scan over probed lists.
+
+A vector x becomes (x, sqrt(M^2 - |x|^2)), where M is the largest norm, and a query q
+becomes (q, 0): the nearest by distance are then those with the largest inner product.
+Vectors are rotated at random and filed in the list of their nearest centre.  A query
+visits its nearest lists.  A list is scanned in blocks of dimensions: after each, the
+distance so far estimates the whole one, since after a random rotation every dimension
+tells as much as another, and candidates whose estimate exceeds the bound by more than
+chance allows are given up.  The bound is the k-th distance that the query has in its
+first list.  Survivors are measured exactly, on the original vectors.
+
+Lists are cut into pages and queries into batches, so every unit of work is bounded,
+also where one list holds a third of all vectors.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewire.llm.common import materialise
+from tidewire.llm.embed_dedup import _matrix, rotation, valid
+
+#: Rows of which the centres are learnt at most; vectors in a page; queries in a batch.
+SAMPLE, PAGE, BATCH = 20_000, 4096, 256
+#: Part of the lists that a query visits, and the fewest.
+PROBE, FEWEST = 0.7, 8
+#: Dimensions in a block, and how many standard errors an estimate may err.
+STEP, DOUBT = 16, 2.1
+#: Part of the pairs of a unit under which they are followed one by one and no longer as a matrix.
+FEW = 0.05
+
+
+def centres(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """k-means on a bounded sample."""
+    rng = np.random.default_rng(seed)
+    own = sample[rng.permutation(len(sample))[:n]].copy()
+    for _ in range(rounds):
+        at = np.argmin((own * own).sum(axis=1)[None, :] - 2 * sample @ own.T, axis=1)
+        n_of = np.bincount(at, minlength=len(own))
+        total = np.zeros_like(own)
+        np.add.at(total, at, sample)
+        own[n_of > 0] = total[n_of > 0] / n_of[n_of > 0, None]
+    return own
+
+
+def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the k places with the largest scores, ties to smaller ids."""
+    by = np.lexsort((ids[row], -score, query))
+    q = query[by]
+    first = np.r_[True, q[1:] != q[:-1]]
+    rank = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return by[rank < k]
+
+
+def _scan(dims: int, k: int):
+    """Scan a page for a batch of queries."""
+    turned = dims + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
+                x, q = np.frombuffer(r.vectors).reshape(-1, dims), np.frombuffer(r.q_vectors).reshape(-1, dims)
+                y, p = np.frombuffer(r.turned, "<f4").reshape(-1, turned), np.frombuffer(r.q_turned, "<f4").reshape(-1, turned)
+                bound = np.frombuffer(r.bounds)
+                apart = np.zeros((len(q_ids), len(ids)), np.float32)
+                rows = cols = part = None  # the pairs that are left, once they are few
+                for s in range(0, turned, STEP):
+                    e = min(s + STEP, turned)
+                    a, b = y[:, s:e], p[:, s:e]
+                    least = bound if e == turned else bound * (e / turned) * (1 + DOUBT / np.sqrt(e)) ** 2
+                    least = (least * (1 + 1e-5) + 1e-6).astype(np.float32)
+                    if rows is None:
+                        apart += (b * b).sum(axis=1)[:, None] + (a * a).sum(axis=1)[None, :] - 2 * (b @ a.T)
+                        stay = apart <= least[:, None]
+                        if e == turned or stay.mean() < FEW:
+                            rows, cols = np.nonzero(stay)
+                            part = apart[rows, cols]
+                    else:
+                        part = part + ((b[rows] - a[cols]) ** 2).sum(axis=1)
+                        stay = part <= least[rows]
+                        rows, cols, part = rows[stay], cols[stay], part[stay]
+                other = ids[cols] != q_ids[rows]
+                rows, cols = rows[other], cols[other]
+                score = np.concatenate([(q[rows[s : s + 200_000]] * x[cols[s : s + 200_000]]).sum(axis=1) for s in range(0, len(rows), 200_000)] or [np.zeros(0)])
+                top = _best(rows, cols, score, ids, k)
+                yield pd.DataFrame({"query_id": q_ids[rows[top]], "vec_id": ids[cols[top]], "score": score[top]})
+
+    return run
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _pages(placed: DataFrame, size: int) -> DataFrame:
+    """Rows of (list, id, v, turned, bound) as bounded pages: the rows of a list, dealt out by a hash of their id."""
+    many = placed.groupBy("list").agg(F.ceil(F.count("*") / size).alias("shares"))
+    dealt = placed.join(many, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+    rows = dealt.groupBy("list", "share").agg(F.collect_list(F.struct("id", "v", "turned", "bound")).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({
+                "list": b["list"], "ids": [np.asarray(i, "<i8").tobytes() for i in b["id"]], "vectors": [b"".join(v) for v in b["v"]],
+                "turned": [b"".join(t) for t in b["turned"]], "bounds": [np.asarray(x, float).tobytes() for x in b["bound"]],
+            })
+
+    flat = rows.select("list", F.col("rows.id").alias("id"), F.col("rows.v").alias("v"), F.col("rows.turned").alias("turned"), F.col("rows.bound").alias("bound"))
+    return flat.mapInPandas(run, "list int, ids binary, vectors binary, turned binary, bounds binary")
+
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = PROBE) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query the k rows with the largest inner product that were found.
+
+    A query is not its own neighbour (rows with its id are left out).  Scores are inner
+    products of the original vectors in double precision; ties go to the smaller id.
+    Rows and queries whose vector is null, zero or holds null or non-finite components,
+    whose id is null, or that don't have as many dimensions as the longest vector, take no
+    part.  Repeated ids count once, with the first of their vectors in array order.
+    """
+    spark = rows.sparkSession
+
+    def clean(df: DataFrame) -> DataFrame:
+        own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        return own.where(valid(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
+
+    own = materialise(clean(rows), "vectors")
+    dims = own.agg(F.max(F.size("v"))).first()[0]
+    if dims is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    own = own.where(F.size("v") == dims)
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
+    n, largest = own.agg(F.count("*"), F.max(norm2)).first()
+    turn = rotation(dims + 1)
+    some = own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded by SAMPLE
+
+    def turned(m: np.ndarray, query: bool) -> np.ndarray:
+        more = np.zeros(len(m)) if query else np.sqrt(np.maximum(0, largest - (m * m).sum(axis=1)))
+        return np.column_stack([m, more]) @ turn
+
+    middle = centres(turned(_matrix(some), False), max(1, int(np.sqrt(n) / 2)))
+    probes = min(len(middle), max(FEWEST, int(np.ceil(probe * len(middle)))))
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                m = _matrix(b["v"])
+                t = turned(m, False)
+                at = np.argmin((middle * middle).sum(axis=1)[None, :] - 2 * t @ middle.T, axis=1)
+                yield pd.DataFrame({"list": at, "id": b["id"], "v": [r.tobytes() for r in m], "turned": [r.tobytes() for r in t.astype("<f4")], "bound": 0.0})
+
+    placed = own.mapInPandas(file, "list int, id long, v binary, turned binary, bound double")
+    pages = materialise(_pages(placed, PAGE).drop("bounds"), "lists")
+
+    def visit(first: int, last: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    m = _matrix(b["v"])
+                    t = turned(m, True)
+                    near = np.argsort((middle * middle).sum(axis=1)[None, :] - 2 * t @ middle.T, axis=1, kind="stable")[:, first:last]
+                    at, v, w = np.repeat(np.arange(len(m)), near.shape[1]), [r.tobytes() for r in m], [r.tobytes() for r in t.astype("<f4")]
+                    yield pd.DataFrame({"list": near.reshape(-1), "id": b["id"].to_numpy()[at], "v": [v[i] for i in at], "turned": [w[i] for i in at], "bound": b["bound"].to_numpy()[at]})
+
+        return run
+
+    def scanned(asked: DataFrame, first: int, last: int) -> DataFrame:
+        visits = asked.mapInPandas(visit(first, last), "list int, id long, v binary, turned binary, bound double")
+        batch = _pages(visits, BATCH).toDF("list", "q_ids", "q_vectors", "q_turned", "bounds")
+        return pages.join(batch, "list").mapInPandas(_scan(dims, k), FOUND)
+
+    asked = clean(queries).where(F.size("v") == dims)
+    home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("inf"))), 0, 1), k), "home")
+    # The distance of the k-th neighbour so far: |q|^2 + M^2 - 2 <q, x>.
+    kth = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("score"))
+    bound = F.coalesce(norm2 + F.lit(float(largest)) - 2 * F.col("score"), F.lit(float("inf")))
+    second = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", bound.alias("bound"))
+    found = home.select("query_id", "vec_id", "score").unionByName(scanned(second, 1, probes))
+    return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

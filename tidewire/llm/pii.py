@@ -1 +1,197 @@
-"""To come."""
+"""Personal data by patterns and by bootstrapped contexts, in DataFrame operations only.
+
+Fixed patterns find the base spans: e-mail and IP addresses, card and phone numbers.
+They are the seeds of a bootstrap.  The words before a seed are a lexical pattern of its
+kind; whatever else looks like an identifier (a token with a digit or @) is a candidate.
+Patterns and the strings that they introduce form a weighted graph, on which confidence
+is passed to and fro: a pattern is as reliable as the share of all its occurrences in
+the corpus that introduce known identifiers, and a string is an identifier unless all
+patterns that introduce it fail.  Patterns of high confidence finally add the candidates
+that they introduce.
+
+Positions come from splitting a text by the pattern that was extracted from it: the
+lengths of what lies between and of the matches add up.  Regular expressions are linear:
+separators inside chains are first replaced by a mark of the same length, so no group
+repeats, and runs are only tried from their start.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidewire.llm.common import WORD, materialise, text_of
+
+KINDS = ("email", "ip", "card", "phone")
+#: Stands for a separator inside a chain; a text's own such characters are replaced first.
+MARK, OTHER = "\ue000", "\ue001"
+
+#: Distinct strings of one kind that a pattern must introduce; confidence that it must have; added to its occurrences; rounds.
+SUPPORT, CONFIDENT, PRIOR, ROUNDS = 3, 0.6, 1.0, 3
+MOST = 64
+
+_BLANK = r"\x20\x09-\x0D"
+#: Whatever looks like an identifier: a token of 5 to 64 characters with a digit or @; marks around it don't belong to it.
+CANDIDATE = rf"(?<![^{_BLANK}\"'(<\[=:])[A-Za-z0-9+][A-Za-z0-9@._%+()/-]{{3,62}}[A-Za-z0-9](?![A-Za-z0-9@_%+/-])"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, v>>: the matches of a pattern with their places in code points, end exclusive."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    zipped = F.zip_with(found, between, lambda m, b: F.struct(F.coalesce(F.length(b), F.lit(0)).alias("gap"), m.alias("v")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + F.length(x["v"])).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
+    )
+    return F.aggregate(F.filter(zipped, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["out"])
+
+
+def _marked(text: Column, separator: str) -> Column:
+    """Separators of a chain as MARK; the text's own marks become a character that no pattern has."""
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
+    return F.regexp_replace(clean, separator, MARK)
+
+
+def _digits(v: Column) -> Column:
+    return F.regexp_replace(v, "[^0-9]", "")
+
+
+def _luhn(digits: Column) -> Column:
+    n = F.length(digits)
+    at = lambda i: F.substring(digits, n - i, F.lit(1)).cast("int")
+    total = F.aggregate(
+        F.sequence(F.lit(0), n - 1), F.lit(0),
+        lambda s, i: s + F.when(i % 2 == 0, at(i)).when(at(i) > 4, 2 * at(i) - 9).otherwise(2 * at(i)),
+    )
+    return total % 10 == 0
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<s, k, e, v>> of the base spans of all kinds, in order of start, then kind."""
+    local, label = rf"A-Za-z0-9._%+{MARK}-", "A-Za-z0-9-"
+    dots = _marked(text, rf"(?<=[{label}])\.(?=[{label}])")
+    email = matches(dots, rf"(?:\G|(?<![{local}]))[{local}]++@[{label}]++{MARK}[{label}{MARK}]++")
+    ip = matches(text, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+    ip = F.filter(ip, lambda x: ~F.exists(F.split(x["v"], r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) > 3) | (F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int") > 255)))
+    card = matches(_marked(text, r"(?<=[0-9])[\x20-](?=[0-9])"), rf"(?<![0-9{MARK}])[0-9][0-9{MARK}]++")
+    card = F.filter(card, lambda x: F.when(F.length(_digits(x["v"])).between(12, 19), _luhn(_digits(x["v"]))).otherwise(False))
+    phone = F.filter(matches(text, r"\+[0-9][\x20().0-9-]+[0-9]"), lambda x: F.length(_digits(x["v"])).between(9, 15))
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    found = [F.when(F.contains(text, F.lit("@")), email).otherwise(none), ip, card, F.when(F.contains(text, F.lit("+")), phone).otherwise(none)]
+
+    def of_kind(n: int, spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
+
+    return F.array_sort(F.concat(*(of_kind(n, x) for n, x in enumerate(found))))
+
+
+def _before(text: Column, at: Column) -> Column:
+    """The lexical patterns at a place: the last two words, and the last alone where it is a label such as ``tel:``."""
+    back = F.when(at > MOST, MOST).otherwise(at)
+    tail = F.lower(F.substring(text, at - back + 1, back))
+    pair = F.regexp_extract(tail, rf"({WORD}[{_BLANK}]+{WORD})[{_BLANK}]*$", 1)
+    label = F.regexp_extract(tail, rf"({WORD}[:=])[\"'(<{_BLANK}]*$", 1)
+    return F.filter(F.array(F.regexp_replace(pair, rf"[{_BLANK}]+", " "), label), lambda p: p != "")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, h, base, seen: a row a row of ``docs``; seen has every base span and candidate with its patterns.
+
+    ``k`` is the kind, -1 for a candidate.  ``h`` tells texts apart where ids repeat.
+    """
+    text = F.col("text")
+    own = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = own.withColumn("base", base_spans(text))
+    free = F.filter(matches(text, CANDIDATE), lambda c: c["v"].rlike("[0-9@]"))
+    free = F.filter(free, lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    seen = F.concat("base", F.transform(free, lambda c: F.struct(c["s"].alias("s"), F.lit(-1).alias("k"), c["e"].alias("e"), c["v"].alias("v"))))
+    seen = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), _before(text, x["s"]).alias("p")))
+    return own.select("doc_id", "h", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), seen.alias("seen"))
+
+
+def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p, n): how often each of the wanted patterns occurs in all texts, whatever follows."""
+    words = docs.select(F.regexp_extract_all(F.lower(text_of(docs)), F.lit(WORD), F.lit(0)).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    labels = F.filter(F.transform("w", lambda w: F.regexp_extract(w, r"^(.*?[:=])", 1)), lambda x: x != "")
+    one = words.select(F.explode(F.concat(pairs, labels)).alias("p"))
+    return one.join(wanted.select("p"), "p", "left_semi").groupBy("p").agg(F.count("*").alias("n"))
+
+
+def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(doc_id, h, s, k, e): the candidates that reliable patterns introduce."""
+    edges = scanned.select("doc_id", "h", F.explode("seen").alias("x")).select("doc_id", "h", "x.s", "x.k", "x.e", F.lower("x.v").alias("v"), F.explode("x.p").alias("p"))
+    edges = materialise(edges, "introduced")
+    graph = edges.groupBy("p", "v").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    seeds = graph.where("k >= 0")
+    kinds = seeds.groupBy("p", "k").agg(F.count("*").alias("support"), F.sum("n").alias("n"))
+    # A pattern has the kind of most of its seeds, ties to the first kind.
+    patterns = kinds.groupBy("p").agg(F.max(F.struct("n", -F.col("k"), F.col("k").alias("kind"), "support")).alias("m"))
+    patterns = materialise(patterns.where(F.col("m.support") >= SUPPORT).select("p", F.col("m.kind").alias("kind")), "patterns")
+    total = materialise(patterns.join(_occurrences(docs, patterns), "p").select("p", "kind", "n"), "occurrences").withColumnRenamed("n", "total")
+    own = materialise(graph.join(total, "p").select("p", "v", "n", "kind", "total", (F.col("k") == F.col("kind")).alias("seed")), "graph")
+    score = own.select("v", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("v").agg(F.max("score").alias("score"))
+    for _ in range(ROUNDS):
+        sure = own.join(score, "v").groupBy("p").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + PRIOR)).alias("sure"))
+        told = own.join(sure, "p").groupBy("v").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("sure"), F.lit(1 - 1e-9)))).alias("doubt"))
+        score = told.select("v", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
+        score = materialise(score, "scores")
+    good = own.join(score, "v").groupBy("p", "kind").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + PRIOR)).alias("sure")).where(F.col("sure") >= CONFIDENT)
+    new = edges.where("k < 0").join(good.select("p", "kind"), "p")
+    return new.groupBy("doc_id", "h", "s", "e").agg(F.min("kind").alias("k")).select("doc_id", "h", "s", "k", "e")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc_id, h, base, more: a row a row of ``docs``."""
+    scanned = materialise(scan(docs), "scanned")
+    new = discover(docs, scanned).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("more"))
+    new = new.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
+    own = scanned.select("doc_id", "h", "base")
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return own.join(new, own["doc_id"].eqNullSafe(new["d"]) & (own["h"] == new["g"]), "left").select("doc_id", "h", "base", F.coalesce("more", none).alias("more"))
+
+
+def _written(spans: Column) -> Column:
+    kind = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of ``docs``.
+
+    The counts and the digest are of the base spans; ``spans`` has those and what the
+    bootstrap adds.  A null text counts as empty: no spans, the digest of an empty
+    string.  Null and repeated ids are rows like any other.  Without seeds, or without
+    reliable patterns, nothing is added.
+    """
+    own = _spans(docs)
+
+    def count(n: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["k"] == n)).cast("long")
+
+    counts = [count(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    return own.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", "more"))).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span replaced by its kind, as in ``[EMAIL]``, and n_chars (where it is a column) set anew.
+
+    Rows without spans come back as they were.  Overlapping spans become one, with the kind of the first.
+    """
+    new = discover(docs, materialise(scan(docs), "scanned")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "k", "e")).alias("_more"))
+    new = new.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
+    text = text_of(docs)
+    own = docs.join(new, docs["doc_id"].eqNullSafe(new["_d"]) & (F.xxhash64(text) == new["_h"]), "left")
+    base = F.transform(base_spans(F.col("text")), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
+    own = own.withColumn("_spans", F.array_sort(F.concat(F.coalesce(base, F.array().cast("array<struct<s:int,k:int,e:int>>")), F.coalesce("_more", F.array().cast("array<struct<s:int,k:int,e:int>>")))))
+    name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k + 1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    step = lambda acc, x: F.when(
+        x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), name(x["k"]))).alias("out"))
+    ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
+    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    own = own.withColumn("_text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
+    changed = {"text": F.col("_text"), "n_chars": F.when(F.size("_spans") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return own.select(*((changed[c].alias(c) if c in changed else docs[c]) for c in docs.columns))

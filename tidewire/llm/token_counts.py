@@ -1 +1,128 @@
-"""To come."""
+"""Token counts by source, language and tokenizer version, maintained from deltas.
+
+A store has two kinds of tables in the shared file system, one folder a batch:
+
+* ``ledger/batch=<id>``: the documents that the batch touched, with their counts after it;
+  a deleted document has a row without counts.
+* ``deltas/batch=<id>``: what the batch adds to the totals, signed and summed by key.
+
+Totals are the sum of all deltas, so a batch is committed by writing its delta and never
+rewrites a total.  The ledger is written first and the delta last.  A batch whose delta
+is complete is committed, and committing it again changes nothing; one that broke off
+before is simply written anew.  A document's former counts are found in the ledger by
+its latest batch, with a join on the documents of the batch alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.llm.common import materialise, new_path, text_of
+from tidewire.llm.tokens import encoder, public_path
+
+#: Tokenizer versions and their files.
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json"}
+KEY = ["source", "lang", "version"]
+LEDGER = "doc_id long, source string, lang string, version string, n_tokens long"
+DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
+
+
+def count_tokens(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, source, lang, version and n_tokens: a row a row of ``docs`` and version."""
+    paths = {v: public_path(f) for v, f in (versions or VERSIONS).items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            texts = x.pop("text").tolist()
+            for version, path in paths.items():
+                yield x.assign(version=version, n_tokens=[len(i) // 4 for i in encoder(path).ids(texts)])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), text_of(docs).alias("text"))
+    return own.mapInPandas(run, LEDGER)
+
+
+class Rollup:
+    """Totals under ``path``; batches are named by integers that rise."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _batches(self, kind: str) -> list[int]:
+        """Batches of which a table is complete: Spark marks those with _SUCCESS."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(path(f"{self.path}/{kind}/{n}/_SUCCESS")))
+
+    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], f"{schema}, batch long")
+        frame = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.path}/{kind}")
+        return frame.parquet(*(f"{self.path}/{kind}/batch={b}" for b in batches))
+
+    def current(self, before: int) -> DataFrame:
+        """The ledger as the committed batches below ``before`` have left it; deleted documents are without version."""
+        done = [b for b in self._batches("deltas") if b < before]
+        rows = self._read("ledger", LEDGER, done)
+        last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        return rows.join(last, ["doc_id", "batch"]).drop("batch")
+
+    def commit(self, batch: int, changes: DataFrame) -> bool:
+        """Apply changes (op, doc_id, source, lang, version, n_tokens); False if the batch was committed before.
+
+        ``upsert`` rows state all counts that a document has from now on, one a version;
+        they insert or revise.  ``delete`` rows remove a document; only their doc_id
+        counts.  A document that a batch both deletes and upserts stays as upserted;
+        deleting one that isn't there changes nothing.  Repeated rows count once; of
+        differing rows of one document and version, the one with most tokens counts.
+        Changes without a doc_id name no document and are left out.
+        """
+        if batch in (done := self._batches("deltas")):
+            return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after batch {done[-1]}")
+        rows = changes.where("doc_id is not null and op in ('upsert', 'delete')")
+        after = rows.where("op = 'upsert'").groupBy("doc_id", "version").agg(F.max(F.struct("n_tokens", "source", "lang")).alias("m"))
+        after = after.select("doc_id", "m.source", "m.lang", "version", "m.n_tokens")
+        gone = rows.where("op = 'delete'").select("doc_id").distinct().join(after.select("doc_id"), "doc_id", "left_anti")
+        gone = gone.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("version", "string"), ("n_tokens", "long"))))
+        ledger = f"{self.path}/ledger/batch={batch}"
+        after.unionByName(gone).write.mode("overwrite").parquet(ledger)
+        new = self.spark.read.schema(LEDGER).parquet(ledger)
+        plus = new.where("version is not null").withColumn("sign", F.lit(1))
+        minus = self.current(batch).where("version is not null").join(new.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("sign", F.lit(-1))
+        delta = plus.unionByName(minus).groupBy(*KEY).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
+        delta.where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        return True
+
+    def totals(self) -> DataFrame:
+        """source, lang, version, n_docs, n_tokens; keys whose documents are all gone are left out."""
+        sums = self._read("deltas", DELTA, self._batches("deltas")).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.where("n_docs <> 0")
+
+
+def maintained(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
+    """Totals of ``docs`` after an initial load, a removal of exact copies, and a replay of both.
+
+    The first batch inserts every document, the second deletes all but the first of
+    documents with one text, and both are committed again, which changes nothing.  So
+    the totals are those of the distinct texts, under their first document's source and
+    language.  Rows without a doc_id are no documents.
+    """
+    rollup = Rollup(docs.sparkSession, new_path(docs.sparkSession, "rollup"))
+    counts = count_tokens(docs, versions).withColumn("op", F.lit("upsert"))
+    text = docs.where("doc_id is not null").select("doc_id", F.sha2(text_of(docs).cast("binary"), 256).alias("h"))
+    text = materialise(text, "digests")
+    first = text.groupBy("h").agg(F.min("doc_id").alias("first"))
+    copies = text.join(first, "h").where("doc_id <> first").select(F.lit("delete").alias("op"), "doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("version", "string"), ("n_tokens", "long"))))
+    for _ in range(2):
+        rollup.commit(1, counts)
+        rollup.commit(2, copies)
+    return rollup.totals()

@@ -1 +1,161 @@
-"""To come."""
+"""Toxic severity by cumulative-link ordinal regression on sparse text features.
+
+A document has a sparse vector of hashed words, one weight a feature serves all ordered
+thresholds, and P(grade > k) is the logistic of its score less the k-th threshold.  The
+output is the expected grade.
+
+The labels only say toxic or not.  Grades above 0 are made of them: words are scored by
+how much more often they stand in toxic than in other labelled documents, and a toxic
+document's grade grows with the number of such words in it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewire.llm.common import text_of
+
+#: Hashed features; labelled rows that training reads at most, the first in order of a hash of their id.
+FEATURES, SAMPLE = 1 << 18, 8000
+BEGINNINGS = (4, 5, 6)
+#: Grades above 0: as many equal parts of the toxic documents.
+GRADES = 3
+#: How much more often a telling word stands in toxic documents, and in how many of them at least.
+TELLING, OFTEN = 8.0, 5
+#: Penalty that keeps weights sparse, steps, and their size.
+SPARSE, ROUNDS, RATE = 1e-3, 150, 0.3
+#: Hashes of words that a worker keeps before it forgets them.
+KEPT = 500_000
+_TRIM = ".,;:!?\"'()[]{}<>|*#%$&@~^_=+-/\\`"
+_kept: dict[str, tuple[int, ...]] = {}
+
+
+def word_features(word: str) -> tuple[int, ...]:
+    """Hashes of a word and, since inflected languages vary its end, of its beginnings."""
+    parts = {word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)}
+    return tuple(xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass"), 1) % FEATURES for p in parts)
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, value) of a text: log counts of its lower-case words, without marks around them, and their beginnings."""
+    if len(_kept) > KEPT:
+        _kept.clear()
+    at: list[int] = []
+    for w in text.lower().split():
+        if (f := _kept.get(w)) is None:
+            f = _kept[w] = word_features(w.strip(_TRIM))
+        at += f
+    found, n = np.unique(np.array(at, np.int64), return_counts=True)
+    return found, 1 + np.log(n)
+
+
+@dataclass(frozen=True)
+class CumulativeLink:
+    weights: np.ndarray
+    thresholds: np.ndarray  # ascending
+
+    def above(self, score: np.ndarray) -> np.ndarray:
+        """P(grade > k) for each threshold."""
+        return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, n_grades: int) -> CumulativeLink:
+    """Maximum likelihood with an absolute penalty on the weights, by adaptive proximal gradient steps.
+
+    Thresholds are kept in order by writing them as a first one and positive gaps.
+    """
+    doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    at, value = np.concatenate([f for f, _ in rows]), np.concatenate([v for _, v in rows])
+    w = np.zeros(FEATURES)
+    t = np.array([2.0, *np.zeros(n_grades - 2)])  # first, logs of gaps
+    seen_w, seen_t = np.full(FEATURES, 1e-8), np.full(len(t), 1e-8)
+    for _ in range(ROUNDS):
+        theta = t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))]
+        score = np.bincount(doc, w[at] * value, len(rows))
+        s = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -50, 50)))
+        upper = np.column_stack([np.ones(len(rows)), s, np.zeros(len(rows))])  # P(grade > -1), ..., P(grade > top)
+        slope = np.column_stack([np.zeros(len(rows)), s * (1 - s), np.zeros(len(rows))])
+        i = np.arange(len(rows))
+        p = np.maximum(upper[i, grade] - upper[i, grade + 1], 1e-12)
+        d_score = (slope[i, grade] - slope[i, grade + 1]) / p / len(rows)
+        g_w = np.bincount(at, value * d_score[doc], FEATURES) 
+        d_theta = np.zeros((len(rows), len(theta) + 2))
+        d_theta[i, grade] -= slope[i, grade] / p
+        d_theta[i, grade + 1] += slope[i, grade + 1] / p
+        g_theta = d_theta[:, 1:-1].mean(axis=0)
+        g_t = np.r_[g_theta.sum(), np.cumsum(g_theta[::-1])[::-1][1:] * np.exp(t[1:])]
+        seen_w += g_w**2
+        seen_t += g_t**2
+        step = RATE / np.sqrt(seen_w)
+        w += step * g_w
+        w = np.sign(w) * np.maximum(np.abs(w) - step * SPARSE, 0)
+        t += RATE * g_t / np.sqrt(seen_t)
+    return CumulativeLink(w, t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))])
+
+
+def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+    """0 for documents that aren't toxic; else 1 to GRADES, by the number of telling features."""
+    has = [np.zeros(FEATURES), np.zeros(FEATURES)]
+    for (f, _), y in zip(rows, toxic):
+        has[y][f] += 1
+    n = np.bincount(toxic, minlength=2)
+    ratio = ((has[1] + 0.5) / (n[1] + 1)) / ((has[0] + 0.5) / (n[0] + 1))
+    telling = (ratio >= TELLING) & (has[1] >= OFTEN)
+    count = np.array([np.round(np.exp(v[telling[f]] - 1)).sum() for f, v in rows])
+    edges = np.quantile(count[toxic == 1], np.arange(1, GRADES) / GRADES)
+    return np.where(toxic == 1, 1 + np.searchsorted(edges, count), 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink | None:
+    """Learn from at most ``sample`` labelled rows; None unless both labels occur among them.
+
+    Where a document has several labels, the highest counts; labels other than 0 and 1
+    say nothing.
+    """
+    own = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = own.orderBy(F.xxhash64("doc_id")).limit(sample)  # bounded by the parameter
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            f = [features(t) for t in x["text"]]
+            yield pd.DataFrame({"toxic": x["toxic"], "f": [a.astype("<i4").tobytes() for a, _ in f], "v": [b.astype("<f4").tobytes() for _, b in f]})
+
+    got = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInPandas(describe, "toxic int, f binary, v binary").toPandas()
+    toxic = got["toxic"].to_numpy(np.int64)
+    if len(set(toxic)) < 2:
+        return None
+    rows = [(np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for f, v in zip(got["f"], got["v"])]
+    grade = grades(rows, toxic)
+    _, grade = np.unique(grade, return_inverse=True)  # without grades that nobody has
+    return fit(rows, grade, int(grade.max()) + 1)
+
+
+def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """doc_id, severity (the expected grade), p_toxic (that the grade is above 0) and predicted of every row.
+
+    Null and empty texts have no features and get the prior grade of such a score.
+    Without labels of both kinds nothing can be learnt: severity and p_toxic are 0.
+    """
+    model = train(docs, labels, sample)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if model is None:
+                yield pd.DataFrame({"doc_id": x["doc_id"], "severity": 0.0, "p_toxic": 0.0})
+                continue
+            s = np.zeros(len(x))
+            for k, t in enumerate(x["text"]):
+                f, v = features(t)
+                s[k] = model.weights[f] @ v
+            above = model.above(s)
+            yield pd.DataFrame({"doc_id": x["doc_id"], "severity": above.sum(axis=1), "p_toxic": above[:, 0]})
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return own.mapInPandas(score, "doc_id long, severity double, p_toxic double").withColumn("predicted", (F.col("p_toxic") >= threshold).cast("int"))
