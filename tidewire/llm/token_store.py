@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewire.llm.common import materialise, new_path, partitions, text_of
 from tidewire.llm.tokens import encoder, public_path
@@ -151,8 +152,8 @@ def _read_ids(ids: bytes, wide: bool) -> np.ndarray:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for x in batches:
-        for i, w in zip(x["ids"], x["wide"]):
-            n = np.bincount(_read_ids(i, w), minlength=len(total))
+        for wide, own in x.groupby("wide")["ids"]:
+            n = np.bincount(_read_ids(b"".join(own), wide), minlength=len(total))
             n[: len(total)] += total
             total = n
     used = np.flatnonzero(total)
@@ -196,34 +197,36 @@ def write(tokens: DataFrame, path: str) -> Book:
     return book.value
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary of little-endian unsigned 32-bit integers) from a store, in any order."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from a store, in any order.
+
+    ``ids`` are little-endian unsigned 32-bit integers as binary; with ``digest``, their
+    CRC-32 stands in their place, as ids_crc32.
+    """
     row = spark.read.schema("ids array<long>, bits array<long>").parquet(f"{path}/book").first()
     bits = np.zeros(max(row["ids"], default=-1) + 1, np.int64)
     bits[row["ids"]] = row["bits"]
-    book = spark.sparkContext.broadcast(Book.of(bits))
+    book = spark.sparkContext.broadcast(Book.of(bits))  # bounded by the vocabulary
     stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    parts = stored.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one number a file
-    first, before = {}, 0
-    for r in sorted(parts, key=lambda r: r["part"]):
-        first[r["part"]] = before
-        before += r["n"]
-    from pyspark.sql.window import Window
-
-    own = Window.partitionBy("part").orderBy("block")
-    ahead = stored.select("part", "block", "n").withColumn("ahead", F.sum("n").over(own) - F.col("n")).select("part", "block", "ahead")
+    # Tokens before each block: those of the files before, and those before it in its file; numbers alone.
+    files = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = stored.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(files), F.lit(0)).alias("base"))
+    ahead = stored.select("part", "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("ahead")).join(before, "part")
+    ahead = ahead.select("part", "block", (F.col("base") + F.col("ahead")).alias("first"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for part, ahead, docs, lengths, n, code, checkpoints in zip(x["part"], x["ahead"], x["docs"], x["lengths"], x["n"], x["code"], x["checkpoints"]):
+            for first, docs, lengths, n, code, checkpoints in zip(x["first"], x["docs"], x["lengths"], x["n"], x["code"], x["checkpoints"]):
                 ids = book.value.decode(code, np.frombuffer(checkpoints, "<i8"), n).astype("<u4")
                 end = np.cumsum(lengths)
-                yield pd.DataFrame({
-                    "doc_id": pd.array(list(docs), "Int64") if not any(d is None or d != d for d in docs) else pd.array([None if d is None or d != d else int(d) for d in docs], "Int64"),
-                    "start": first[part] + ahead + end - lengths, "n_tokens": lengths, "ids": [ids[e - k : e].tobytes() for e, k in zip(end, lengths)],
-                })
+                own = [ids[e - k : e].tobytes() for e, k in zip(end, lengths)]
+                doc_id = pd.array([None if d is None or d != d else int(d) for d in docs], "Int64")
+                out = pd.DataFrame({"doc_id": doc_id, "start": first + end - lengths, "n_tokens": lengths})
+                yield out.assign(ids_crc32=list(map(zlib.crc32, own))) if digest else out.assign(ids=own)
 
-    return stored.join(ahead, ["part", "block"]).mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    last = "ids_crc32 long" if digest else "ids binary"
+    return stored.join(ahead, ["part", "block"]).mapInPandas(decode, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def tokenise(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -247,8 +250,4 @@ def round_trip(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -
     store = new_path(spark, "store")
     write(materialise(tokenise(docs, path, end_id), "tokens"), store)
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield x.assign(ids_crc32=[zlib.crc32(i) for i in x.pop("ids")])
-
-    return read(spark, store).mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, store, digest=True)

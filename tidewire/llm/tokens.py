@@ -12,16 +12,19 @@ there and the ids of recent parts are kept: most words of a corpus are seen agai
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Parts whose ids a worker keeps before it forgets them all; about 150 bytes each.
-KEPT = 1_000_000
+KEPT = 800_000
 #: New parts that are encoded in a call, and characters of text that are split at a time.
 TOGETHER, AT_ONCE = 400, 1_000_000
-_IRREGULAR = re.compile(r"^\s|\s\s|\s$|[^\S \n]|[\x1c-\x1f\x85]")
+
+
+def _regular(text: str) -> bool:
+    """Single blanks and line feeds between words, and no other white space."""
+    return " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text
 
 
 def _is_word_style(tokenizer) -> bool:
@@ -97,7 +100,7 @@ class Encoder:
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        whole = [not self.word_style and bool(_IRREGULAR.search(t) or "\0" in t) for t in texts]
+        whole = [not self.word_style and not _regular(t) for t in texts]
         plain = iter(self._plain([t for t, w in zip(texts, whole) if w]))
         parts = [[] if w else self._parts(t) for t, w in zip(texts, whole)]
         found = [list(map(kept.get, p)) for p in parts]
