@@ -31,21 +31,41 @@ SUPPORT, CONFIDENT, PRIOR, ROUNDS = 3, 0.6, 1.0, 3
 MOST = 64
 
 _BLANK = r"\x20\x09-\x0D"
-#: Whatever looks like an identifier: a token of 5 to 64 characters with a digit or @; marks around it don't belong to it.
-CANDIDATE = rf"(?<![^{_BLANK}\"'(<\[=:])[A-Za-z0-9+][A-Za-z0-9@._%+()/-]{{3,62}}[A-Za-z0-9](?![A-Za-z0-9@_%+/-])"
+#: Whatever looks like an identifier: 5 to 64 characters with a digit or @; marks around it don't belong to it.
+_PART = "A-Za-z0-9@._%+()/-"
+CANDIDATE = rf"(?<![{_PART}])(?=[A-Za-z._%+()/-]*+[0-9@])[A-Za-z0-9+][{_PART}]{{3,62}}[A-Za-z0-9](?![A-Za-z0-9@_%+/-])"
+#: Matches whose places are added up in one array at a time.
+RUN = 256
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<s:int,e:int,v:string>>")
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>>: the matches of a pattern with their places in code points, end exclusive."""
+    """array<struct<s, e, v>>: the matches of a pattern with their places in code points, end exclusive.
+
+    Lengths are added up in runs, so that a text with very many matches costs no square of them.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zipped = F.zip_with(found, between, lambda m, b: F.struct(F.coalesce(F.length(b), F.lit(0)).alias("gap"), m.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
-    )
-    return F.aggregate(F.filter(zipped, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["out"])
+    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    zipped = F.zip_with(found, between, lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("v")))
+
+    def places(all_: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(RUN)), lambda i: F.slice(all_, i, RUN))
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x["gap"] + x["n"]))
+        first = F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda i: F.aggregate(F.slice(sums, 1, i), F.lit(0), lambda a, x: a + x))
+
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + x["gap"]
+            return F.struct((s + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["v"].alias("v")))).alias("out"))
+
+        def run(r: Column, at: Column) -> Column:
+            return F.aggregate(r, F.struct(at.alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
+
+        return F.flatten(F.zip_with(runs, first, run))
+
+    return F.when(F.size(found) > 0, places(zipped)).otherwise(_none())
 
 
 def _marked(text: Column, separator: str) -> Column:
@@ -78,8 +98,9 @@ def base_spans(text: Column) -> Column:
     card = matches(_marked(text, r"(?<=[0-9])[\x20-](?=[0-9])"), rf"(?<![0-9{MARK}])[0-9][0-9{MARK}]++")
     card = F.filter(card, lambda x: F.when(F.length(_digits(x["v"])).between(12, 19), _luhn(_digits(x["v"]))).otherwise(False))
     phone = F.filter(matches(text, r"\+[0-9][\x20().0-9-]+[0-9]"), lambda x: F.length(_digits(x["v"])).between(9, 15))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    found = [F.when(F.contains(text, F.lit("@")), email).otherwise(none), ip, card, F.when(F.contains(text, F.lit("+")), phone).otherwise(none)]
+    digit = text.rlike("[0-9]")
+    when = [F.contains(text, F.lit("@")), digit & F.contains(text, F.lit(".")), digit, digit & F.contains(text, F.lit("+"))]
+    found = [F.when(c, x).otherwise(_none()) for c, x in zip(when, (email, ip, card, phone))]
 
     def of_kind(n: int, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
@@ -104,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     own = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
     own = own.withColumn("base", base_spans(text))
-    free = F.filter(matches(text, CANDIDATE), lambda c: c["v"].rlike("[0-9@]"))
+    free = F.when(text.rlike("[0-9@]"), matches(text, CANDIDATE)).otherwise(_none())
     free = F.filter(free, lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     seen = F.concat("base", F.transform(free, lambda c: F.struct(c["s"].alias("s"), F.lit(-1).alias("k"), c["e"].alias("e"), c["v"].alias("v"))))
     seen = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), _before(text, x["s"]).alias("p")))
@@ -113,11 +134,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(p, n): how often each of the wanted patterns occurs in all texts, whatever follows."""
-    words = docs.select(F.regexp_extract_all(F.lower(text_of(docs)), F.lit(WORD), F.lit(0)).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    labels = F.filter(F.transform("w", lambda w: F.regexp_extract(w, r"^(.*?[:=])", 1)), lambda x: x != "")
-    one = words.select(F.explode(F.concat(pairs, labels)).alias("p"))
-    return one.join(wanted.select("p"), "p", "left_semi").groupBy("p").agg(F.count("*").alias("n"))
+    words = docs.select(F.split(F.lower(text_of(docs)), rf"[{_BLANK}]+").alias("w"))
+    next_to = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("x")).select("x.a", "x.b")
+    pair = wanted.where(F.contains("p", F.lit(" "))).select("p", F.substring_index("p", " ", 1).alias("a"), F.substring_index("p", " ", -1).alias("b"))
+    label = wanted.where(~F.contains("p", F.lit(" "))).select("p")
+    pairs = next_to.join(pair, ["a", "b"]).groupBy("p").agg(F.count("*").alias("n"))
+    labelled = next_to.where(F.contains("a", F.lit(":")) | F.contains("a", F.lit("="))).select(F.regexp_extract("a", r"^(.*?[:=])", 1).alias("p"))
+    return pairs.unionByName(labelled.join(label, "p").groupBy("p").agg(F.count("*").alias("n")))
 
 
 def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
