@@ -110,6 +110,8 @@ def repeat(docs: DataFrame, **settings) -> DataFrame:
     Texts meet only the table of cutoffs, which has a row a source.
     """
     goal = cutoffs(materialise(sizes(docs), "sizes"), **settings).withColumnRenamed("source", "_source")
-    own = docs.withColumn("place", place(docs["doc_id"]))
-    out = own.join(goal, own["source"].eqNullSafe(goal["_source"])).withColumn("_times", _times(F.coalesce(own["text"], F.lit("")).rlike(WORD)))
-    return out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*(own[c] for c in docs.columns))
+    # A row travels as one column, so names of other columns can't clash.
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), place(docs["doc_id"]).alias("place"))
+    has_words = F.coalesce(F.col("_row.text"), F.lit("")).rlike(WORD)
+    out = own.join(goal, F.col("_row.source").eqNullSafe(F.col("_source"))).withColumn("_times", _times(has_words))
+    return out.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select("_row.*")

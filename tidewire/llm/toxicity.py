@@ -31,6 +31,8 @@ GRADES = 3
 TELLING, OFTEN = 8.0, 5
 #: Penalty that keeps weights sparse, steps, and their size.
 SPARSE, ROUNDS, RATE = 1e-3, 150, 0.3
+#: P(grade > 0) from which a document counts as toxic.
+THRESHOLD = 0.3
 #: Hashes of words that a worker keeps before it forgets them.
 KEPT = 500_000
 _TRIM = ".,;:!?\"'()[]{}<>|*#%$&@~^_=+-/\\`"
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
     return fit(rows, grade, int(grade.max()) + 1)
 
 
-def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, severity (the expected grade), p_toxic (that the grade is above 0) and predicted of every row.
 
     Null and empty texts have no features and get the prior grade of such a score.
