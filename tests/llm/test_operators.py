@@ -369,3 +369,10 @@ def test_pipeline(spark, tmp_path):
     assert sorted(last[last["piece"] == 0].doc_id) == sorted(r.doc_id for r in now.collect())
     assert len(P.run(spark, str(tmp_path)).toPandas()) == len(last)
     assert isinstance(last, pd.DataFrame) and [n for n, _ in P.STAGES] == ["quality", "near-duplicates", "personal data", "mixture", "packing"]
+
+
+def test_rows_without_ids_stay(spark):
+    text = " ".join(WORDS)
+    rows = [(1, text), (None, text), (None, "alone here with other words entirely"), (4, "z y x w v u t s"), (4, "z y x w v u t s")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int")
+    assert sorted(map(str, simhash.keep_one(df).collect())) == sorted(map(str, [df.collect()[k] for k in (0, 2, 3)]))

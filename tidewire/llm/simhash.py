@@ -23,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidewire.llm.common import materialise, partitions, text_of
 from tidewire.llm.graph import connected_components, forest
@@ -57,6 +58,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
+@F.pandas_udf(LongType())
+def fingerprint_of(text: pd.Series) -> pd.Series:
+    return text.map(fingerprint).astype("int64")
+
+
 def gray_rank(fp: Column) -> Column:
     """The place of a bit pattern in Gray order, up to where the order begins."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -258,6 +264,14 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, each doc_id once."""
-    kept = near_duplicates(docs, bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, each doc_id once.
+
+    A row without a doc_id can't be told from another such row, so it stays unless its
+    group has a doc_id; repeated rows of a doc_id are one document and stay once.
+    """
+    found = materialise(near_duplicates(docs, bits), "groups")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_wanted")).distinct()
+    rest = docs.where("doc_id is null").withColumn("_fp", fingerprint_of(text_of(docs))).join(nameless, F.col("_fp") == F.col("_wanted"), "left_semi")
+    return own.unionByName(rest.select(*docs.columns))
