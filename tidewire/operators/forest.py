@@ -116,7 +116,7 @@ def fit(windows: DataFrame, window_seconds: float, contamination: float = 0.05,
     keyed = windows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "tree", "capture", "src_ip", "window_start")).where(F.col("h").cast("double") < (2 * rate - 1) * float(1 << 63))
 
-    def tree(key, x: pd.DataFrame) -> pd.DataFrame:
+    def tree(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         own = x.sort_values("h").head(size)[list(FEATURES)].to_numpy(float)
         nodes = grow(own, np.random.default_rng([seed, int(key[0])]), int(np.ceil(np.log2(max(size, 2)))))
         return pd.DataFrame([(key[0], *v) for v in nodes], columns=["tree", "node", "feature", "at", "low", "high", "size", "depth"])
