@@ -100,6 +100,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 def _pages(placed: DataFrame, size: int) -> DataFrame:
     """Rows of (list, id, v, turned, bound) as bounded pages: the rows of a list, dealt out by a hash of their id."""
+    placed = materialise(placed, "placed")
     many = placed.groupBy("list").agg(F.ceil(F.count("*") / size).alias("shares"))
     dealt = placed.join(many, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
     rows = dealt.groupBy("list", "share").agg(F.collect_list(F.struct("id", "v", "turned", "bound")).alias("rows"))

@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    local tests, a temporary folder of this machine is chosen and recorded there.
+    local tests, a temporary folder of this machine is chosen, once an application.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewire-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -36,7 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, because the files belong to no executor.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -129,15 +129,25 @@ def _pages(classes: DataFrame, dims: int, budget: float) -> DataFrame:
 
 def _compare(dims: int, threshold: float):
     turn, parts, budget = rotation(dims), blocks(dims), 2 - 2 * threshold
-    slack = 1e-9  # rounding in distances must not lose a pair; verification is exact
+    slack = 1e-5  # rounding in single precision must not lose a pair; verification is exact
+
+    def sides(u) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block two matrices, (u, |u|^2, 1) and (-2u, 1, |u|^2): products of rows are squared distances."""
+        out = []
+        for part in parts:
+            p = u[:, part]
+            norm, one = (p * p).sum(axis=1), np.ones(len(p))
+            out.append((np.column_stack([p, norm, one]).astype(np.float32), np.column_stack([-2 * p, one, norm]).astype(np.float32)))
+        return out
+
+    def cut(u, at: slice):
+        return [(p[at], q[at]) for p, q in u]
 
     def tile(x, y, u, v, same: bool) -> np.ndarray:
-        """Which pairs of two runs of vectors link.  x, y: original; u, v: rotated units."""
+        """Which pairs of two runs of vectors link.  x, y: original; u, v: sides of the rotated units."""
         near = np.zeros((len(x), len(y)), bool)
-        for part in parts:
-            p, q = u[:, part], v[:, part]
-            apart = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T)
-            near |= apart <= budget * (part.stop - part.start) / dims + slack
+        for part, p, q in zip(parts, u, v):
+            near |= p[0] @ q[1].T <= np.float32(budget * (part.stop - part.start) / dims + slack)
         if same:
             near &= np.triu(np.ones(near.shape, bool), 1)
         i, j = np.nonzero(near)
@@ -150,7 +160,7 @@ def _compare(dims: int, threshold: float):
     def read(ids: bytes, times: bytes, vectors: bytes):
         x = np.frombuffer(vectors).reshape(-1, dims)
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        return np.frombuffer(ids, "<i8"), np.frombuffer(times, "<i8"), x, _unit(x) @ turn
+        return np.frombuffer(ids, "<i8"), np.frombuffer(times, "<i8"), x, sides(_unit(x) @ turn)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,7 +173,7 @@ def _compare(dims: int, threshold: float):
                 for s in range(0, len(ids), TILE):
                     for t in range(s if same else 0, len(ids2), TILE):
                         p, q = slice(s, s + TILE), slice(t, t + TILE)
-                        near = tile(x[p], y[q], u[p], v[q], same and s == t)
+                        near = tile(x[p], y[q], cut(u, p), cut(v, q), same and s == t)
                         n[p] += near @ times2[q]
                         n2[q] += times[p] @ near
                         i, j = np.nonzero(near)

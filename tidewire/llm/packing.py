@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.llm.common import materialise, partitions, text_of
-from tidewire.llm.tokens import encoder, public_path
+from tidewire.llm.tokens import encoder, public_path, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -85,7 +85,7 @@ def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for x in batches:
+        for x in slices(batches):
             rows = []
             for doc, ids in zip(x["doc_id"], own.ids(x["text"].tolist())):
                 ids += end

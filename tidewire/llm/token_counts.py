@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import materialise, new_path, text_of
-from tidewire.llm.tokens import encoder, public_path
+from tidewire.llm.tokens import encoder, public_path, slices
 
 #: Tokenizer versions and their files.
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json"}
@@ -36,10 +36,10 @@ def count_tokens(docs: DataFrame, versions: dict[str, str] | None = None) -> Dat
     paths = {v: public_path(f) for v, f in (versions or VERSIONS).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            texts = x.pop("text").tolist()
+        for x in slices(batches):
+            texts = x["text"].tolist()
             for version, path in paths.items():
-                yield x.assign(version=version, n_tokens=[len(i) // 4 for i in encoder(path).ids(texts)])
+                yield x.drop(columns="text").assign(version=version, n_tokens=[len(i) // 4 for i in encoder(path).ids(texts)])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), text_of(docs).alias("text"))
     return own.mapInPandas(run, LEDGER)

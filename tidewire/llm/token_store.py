@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.llm.common import materialise, new_path, partitions, text_of
-from tidewire.llm.tokens import encoder, public_path
+from tidewire.llm.tokens import encoder, public_path, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -130,7 +130,7 @@ def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for x in batches:
+        for x in slices(batches):
             ids = [i + end for i in own.ids(x["text"].tolist())]
             yield pd.DataFrame({"doc_id": x["doc_id"], "ids": ids})
 

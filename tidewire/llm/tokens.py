@@ -12,9 +12,11 @@ there and the ids of recent parts are kept: most words of a corpus are seen agai
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 #: Parts whose ids a worker keeps before it forgets them all; about 150 bytes each.
 KEPT = 800_000
@@ -112,6 +114,13 @@ class Encoder:
         return [next(plain) if w else b"".join(f) for f, w in zip(found, whole)]
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Batches in smaller ones: what a text becomes is larger than the text."""
+    for x in batches:
+        for s in range(0, max(len(x), 1), rows):
+            yield x.iloc[s : s + rows]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file, kept between tasks."""
