@@ -36,6 +36,8 @@ _PART = "A-Za-z0-9@._%+()/-"
 CANDIDATE = rf"(?<![{_PART}])(?=[A-Za-z._%+()/-]*+[0-9@])[A-Za-z0-9+][{_PART}]{{3,62}}[A-Za-z0-9](?![A-Za-z0-9@_%+/-])"
 #: Matches whose places are added up in one array at a time.
 RUN = 256
+#: Bits of the test that word pairs pass before they are counted (512 KB).
+BITS = 1 << 22
 
 
 def _none() -> Column:
@@ -132,15 +134,29 @@ def scan(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "h", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), seen.alias("seen"))
 
 
+def _bits(hashes: DataFrame) -> Column:
+    """array<long> of ``BITS`` bits, as a scalar subquery: those set at which some ``h`` of ``hashes`` falls; its size doesn't depend on the data."""
+    at = hashes.select(F.pmod("h", F.lit(BITS)).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("word"))
+    dense = hashes.sparkSession.range(BITS // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"])).scalar()
+
+
 def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(p, n): how often each of the wanted patterns occurs in all texts, whatever follows."""
+    """(p, n): how often each of the wanted patterns occurs in all texts, whatever follows.
+
+    Pairs of words that no wanted pattern has mostly fail a test against bits of fixed
+    size; the others are counted where they are, then shuffled, and joined last.
+    """
     words = docs.select(F.split(F.lower(text_of(docs)), rf"[{_BLANK}]+").alias("w"))
     next_to = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("x")).select("x.a", "x.b")
     pair = wanted.where(F.contains("p", F.lit(" "))).select("p", F.substring_index("p", " ", 1).alias("a"), F.substring_index("p", " ", -1).alias("b"))
     label = wanted.where(~F.contains("p", F.lit(" "))).select("p")
-    pairs = next_to.join(pair, ["a", "b"]).groupBy("p").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("a", "b"), F.lit(BITS))
+    word = F.get(_bits(pair.select(F.xxhash64("a", "b").alias("h"))), F.floor(place / 64).cast("int"))
+    pairs = next_to.where(F.call_function("getbit", word, (place % 64).cast("int")) == 1).groupBy("a", "b").agg(F.count("*").alias("n")).join(pair, ["a", "b"]).select("p", "n")
     labelled = next_to.where(F.contains("a", F.lit(":")) | F.contains("a", F.lit("="))).select(F.regexp_extract("a", r"^(.*?[:=])", 1).alias("p"))
-    return pairs.unionByName(labelled.join(label, "p").groupBy("p").agg(F.count("*").alias("n")))
+    return pairs.unionByName(labelled.groupBy("p").agg(F.count("*").alias("n")).join(label, "p"))
 
 
 def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
