@@ -234,6 +234,18 @@ def test_pii_contexts_discover_and_spare(spark):
     assert red[23].text == "mail [EMAIL], ip [IP]"
 
 
+def test_pii_discovers_spaced_bracketed_and_long_identifiers(spark):
+    rows = [(i, f"some words here please call me at +1 (988) 555-{1000 + i} and the river {i}") for i in range(8)]
+    unseen = ["020 7946 0958", "0171 555 0123", "4111 1111 1111 1112", "(988) 555-1000", "k3y" + "x9-y" * 20, "0171.555 (01) 23", "1.2.3-4 5678"]
+    rows += [(20 + k, f"he said call me at {v}, today") for k, v in enumerate(unseen)]
+    rows += [(40, "he said call me at (0171-5550123) today"), (41, "he said call me at ((988) 555 1000) today"), (42, "he said call me at 1.2.3.4 0171 555 0123"), (43, "x" + " 1" * 9000 + "(a" * 9000)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[20 + k] for k in range(len(unseen))] == [f"phone:19:{19 + len(v)}" for v in unseen]
+    assert (got[40], got[41], got[42], got[43]) == ("phone:20:32", "phone:20:34", "ip:19:26", "")
+    red = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 23").first()
+    assert red.text == "he said call me at [PHONE], today"
+
+
 def test_quality(spark, docs, empty, labels):
     rnd = random.Random(8)
     rows = []

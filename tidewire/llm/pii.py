@@ -2,7 +2,8 @@
 
 Fixed patterns find the base spans: e-mail and IP addresses, card and phone numbers.
 They are the seeds of a bootstrap.  The words before a seed are a lexical pattern of its
-kind; whatever else looks like an identifier (a token with a digit or @) is a candidate.
+kind; whatever else looks like an identifier (a token with a digit or @, or groups of
+digits with single blanks between them) is a candidate.
 Patterns and the strings that they introduce form a weighted graph, on which confidence
 is passed to and fro: a pattern is as reliable as the share of all its occurrences in
 the corpus that introduce known identifiers, and a string is an identifier unless all
@@ -31,9 +32,13 @@ SUPPORT, CONFIDENT, PRIOR, ROUNDS = 3, 0.6, 1.0, 3
 MOST = 64
 
 _BLANK = r"\x20\x09-\x0D"
-#: Whatever looks like an identifier: 5 to 64 characters with a digit or @; marks around it don't belong to it.
+#: Whatever looks like an identifier: 5 characters or more with a digit or @; marks around it don't belong to it.
 _PART = "A-Za-z0-9@._%+()/-"
-CANDIDATE = rf"(?<![{_PART}])(?=[A-Za-z._%+()/-]*+[0-9@])[A-Za-z0-9+][{_PART}]{{3,62}}[A-Za-z0-9](?![A-Za-z0-9@_%+/-])"
+_END = "[A-Za-z0-9@_%+/-]"
+CANDIDATE = rf"(?<![{_PART}])\(*+(?=[A-Za-z._%+()/-]*+[0-9@])[A-Za-z0-9+][{_PART}]{{3,}}[A-Za-z0-9](?!{_END})"
+#: A blank between two groups of digits, and identifiers of several such groups, with MARK for the blank.
+GAP = r"(?<=[0-9]\)?)\x20(?=\(?[0-9])"
+CHAIN = rf"(?<![{_PART}])[(+]*+[0-9][0-9().{MARK}-]{{3,}}[0-9](?!{_END})"
 #: Matches whose places are added up in one array at a time.
 RUN = 256
 #: Bits of the test that word pairs pass before they are counted (512 KB).
@@ -110,11 +115,52 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of_kind(n, x) for n, x in enumerate(found))))
 
 
+def _covered(text: Column, spans: Column) -> Column:
+    """The text with OTHER for every character of the spans, which are in order of start."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s, e = F.greatest(acc["at"], x["s"]), F.greatest(acc["at"], x["e"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(OTHER), e - s))).alias("out"))
+
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def _opened(found: Column) -> Column:
+    """Matches without those brackets at their start that they don't close."""
+
+    def step(x: Column) -> Column:
+        v = x["v"]
+        many = lambda c: F.length(v) - F.length(F.translate(v, c, ""))
+        n = F.least(F.length(v) - F.length(F.ltrim(v, F.lit("("))), F.greatest(F.lit(0), many("(") - many(")")))
+        return F.struct((x["s"] + n).alias("s"), x["e"].alias("e"), F.substring(v, n + 1, F.length(v)).alias("v"))
+
+    return F.transform(found, step)
+
+
+def with_candidates(own: DataFrame) -> DataFrame:
+    """Rows with text and base, and free: array<struct<s, e, v>>, what looks like an identifier and overlaps no base span.
+
+    These are tokens, and chains of groups of digits with single blanks between some of
+    them; a token inside a chain is no candidate of its own.  What is read inside a
+    lambda is a column first, so that it is computed once a row.
+    """
+    text, gaps = F.col("text"), F.col("gaps")
+    own = own.withColumn("gaps", F.when(text.rlike(GAP), _marked(_covered(text, F.col("base")), GAP)).otherwise(F.lit("")))
+    chains = F.filter(matches(gaps, CHAIN), lambda c: F.contains(c["v"], F.lit(MARK)))
+    chains = F.transform(chains, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.translate(c["v"], MARK, " ").alias("v")))
+    own = own.withColumn("chains", F.when(gaps != "", _opened(chains)).otherwise(_none()))
+    own = own.withColumn("tokens", F.when(text.rlike("[0-9@]"), _opened(matches(text, CANDIDATE))).otherwise(_none()))
+    over = lambda c: F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])) | F.exists("chains", lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"]))
+    return own.withColumn("free", F.concat("chains", F.filter("tokens", lambda c: ~over(c)))).drop("gaps", "chains", "tokens")
+
+
 def _before(text: Column, at: Column) -> Column:
     """The lexical patterns at a place: the last two words, and the last alone where it is a label such as ``tel:``."""
     back = F.when(at > MOST, MOST).otherwise(at)
     tail = F.lower(F.substring(text, at - back + 1, back))
-    pair = F.regexp_extract(tail, rf"({WORD}[{_BLANK}]+{WORD})[{_BLANK}]*$", 1)
+    pair = F.regexp_extract(tail, rf"({WORD}[{_BLANK}]+{WORD})[{_BLANK}]+[\"'(<]*$", 1)
     label = F.regexp_extract(tail, rf"({WORD}[:=])[\"'(<{_BLANK}]*$", 1)
     return F.filter(F.array(F.regexp_replace(pair, rf"[{_BLANK}]+", " "), label), lambda p: p != "")
 
@@ -127,9 +173,8 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     own = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
     own = own.withColumn("base", base_spans(text))
-    free = F.when(text.rlike("[0-9@]"), matches(text, CANDIDATE)).otherwise(_none())
-    free = F.filter(free, lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    seen = F.concat("base", F.transform(free, lambda c: F.struct(c["s"].alias("s"), F.lit(-1).alias("k"), c["e"].alias("e"), c["v"].alias("v"))))
+    own = with_candidates(own)
+    seen = F.concat("base", F.transform("free", lambda c: F.struct(c["s"].alias("s"), F.lit(-1).alias("k"), c["e"].alias("e"), c["v"].alias("v"))))
     seen = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), _before(text, x["s"]).alias("p")))
     return own.select("doc_id", "h", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), seen.alias("seen"))
 
