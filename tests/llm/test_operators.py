@@ -246,6 +246,20 @@ def test_pii_discovers_spaced_bracketed_and_long_identifiers(spark):
     assert red.text == "he said call me at [PHONE], today"
 
 
+def test_pii_counts_labels_as_they_are_induced(spark):
+    labels = ['<a href="tel:', "url?x=1&phone=", "contact:phone:"]
+    rows = [(9 * k + i, f"see {x}+1 (988) 555-{1000 + i} there") for k, x in enumerate(labels) for i in range(8)]
+    rows += [(100 + k, f"see {x}0171-5550123 there") for k, x in enumerate(labels)]
+    long = "w" * 70 + ":"  # its last characters are no word
+    rows += [(200 + i, f"see {long} +1 (988) 555-{1000 + i} there") for i in range(8)]
+    rows += [(300, f"see {'v' * 10}{long} 0171-5550123 there")] + [(310 + i, f"see {'w' * 62}: nothing") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert [got[100 + k] for k in range(3)] == [f"phone:{4 + len(x)}:{16 + len(x)}" for x in labels] and got[300] == ""
+    counted = {r.p: r.n for r in pii._occurrences(df, spark.createDataFrame([(x.split()[-1],) for x in labels] + [("see",), ("contact:",)], "p string")).collect()}
+    assert counted == {'href="tel:': 9, "url?x=1&phone=": 9, "contact:phone:": 9, "contact:": 9}
+
+
 def test_quality(spark, docs, empty, labels):
     rnd = random.Random(8)
     rows = []

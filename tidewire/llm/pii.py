@@ -157,14 +157,24 @@ def with_candidates(own: DataFrame) -> DataFrame:
 
 
 def _before(text: Column, at: Column) -> Column:
-    """The lexical patterns at a place: the last two words, and the last alone where it is a label such as ``tel:``."""
-    back = F.when(at > MOST, MOST).otherwise(at)
+    """The lexical patterns at a place: the last two words, and the last alone where it is a label such as ``tel:``.
+
+    Words are whole: one that begins before the last MOST characters is in no pattern.
+    """
+    back = F.when(at > MOST, MOST + 1).otherwise(at)
     tail = F.lower(F.substring(text, at - back + 1, back))
-    pair = F.regexp_extract(tail, rf"({WORD}[{_BLANK}]+{WORD})[{_BLANK}]+[\"'(<]*$", 1)
-    label = F.regexp_extract(tail, rf"({WORD}[:=])[\"'(<{_BLANK}]*$", 1)
+    tail = F.when(at > MOST, tail).otherwise(F.concat(F.lit(" "), tail))
+    pair = F.regexp_extract(tail, rf"[{_BLANK}]({WORD}[{_BLANK}]+{WORD})[{_BLANK}]+[\"'(<]*$", 1)
+    label = F.regexp_extract(tail, rf"[{_BLANK}]({WORD}[:=])[\"'(<{_BLANK}]*$", 1)
     return F.filter(F.array(F.regexp_replace(pair, rf"[{_BLANK}]+", " "), label), lambda p: p != "")
 
 
+def _labels(word: Column) -> Column:
+    """array<string>: every beginning of a word, of at most MOST characters, that can be its label."""
+    ends = F.filter(F.sequence(F.lit(1), F.least(F.length(word), F.lit(MOST))), lambda i: F.substring(word, i, F.lit(1)).isin(":", "="))
+    return F.transform(ends, lambda i: F.substring(word, F.lit(1), i))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, h, base, seen: a row a row of ``docs``; seen has every base span and candidate with its patterns.
 
@@ -200,7 +210,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("a", "b"), F.lit(BITS))
     word = F.get(_bits(pair.select(F.xxhash64("a", "b").alias("h"))), F.floor(place / 64).cast("int"))
     pairs = next_to.where(F.call_function("getbit", word, (place % 64).cast("int")) == 1).groupBy("a", "b").agg(F.count("*").alias("n")).join(pair, ["a", "b"]).select("p", "n")
-    labelled = next_to.where(F.contains("a", F.lit(":")) | F.contains("a", F.lit("="))).select(F.regexp_extract("a", r"^(.*?[:=])", 1).alias("p"))
+    labelled = next_to.where(F.contains("a", F.lit(":")) | F.contains("a", F.lit("="))).select(F.explode(_labels(F.col("a"))).alias("p"))
     return pairs.unionByName(labelled.groupBy("p").agg(F.count("*").alias("n")).join(label, "p"))
 
 
