@@ -121,6 +121,17 @@ def test_encoder_equals_the_tokenizers():
                 assert ids == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (name, text)
 
 
+def test_encoder_equals_a_fresh_tokenizer_on_special_tokens():
+    from tokenizers import Tokenizer
+
+    odd = ["a page <|endoftext|> ends", "<|startoftext|>a", "x<|endoftext|><|endoftext|>\ny", "<|ENDOFTEXT|> a", "<|endoftext |>", "a <|endof text|>", "plain words, here."]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, fresh = tokens.Encoder(tokens.public_path(name)), Tokenizer.from_file(tokens.public_path(name))
+        for _ in range(2):  # new, then kept
+            for text, ids in zip(odd, own.ids(odd)):
+                assert ids == np.array(fresh.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (name, text)
+
+
 def test_packing(docs, empty):
     got = packing.pack_documents(docs).toPandas()
     own = tokens.encoder(tokens.public_path("word_bpe_49k.json")).tokenizer

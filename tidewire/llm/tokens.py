@@ -8,6 +8,9 @@ there and the ids of recent parts are kept: most words of a corpus are seen agai
 * ``byte``: white space starts a word's piece.  Where a text has only single blanks and
   line feeds between its words, each blank belongs to the word behind it and each line
   feed stands alone.  Any other text is encoded as a whole.
+
+A text that holds the string of an added token, such as ``<|endoftext|>``, is encoded as a
+whole, too: the library finds those before it cuts.
 """
 
 from __future__ import annotations
@@ -45,13 +48,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.word_style = _is_word_style(self.tokenizer)
         self.kept: dict = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _has_added(self, text: str) -> bool:
+        """Whether an added token's string is in the text or could get there, since parts are made lower-case."""
+        text = text.lower() if self.word_style else text
+        return any(a in text for a in self.added)
+
     def _parts(self, text: str) -> list:
         if self.word_style:
             return text.encode("utf-8").lower().split()
@@ -102,7 +110,7 @@ class Encoder:
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        whole = [not self.word_style and not _regular(t) for t in texts]
+        whole = [self._has_added(t) or not self.word_style and not _regular(t) for t in texts]
         plain = iter(self._plain([t for t, w in zip(texts, whole) if w]))
         parts = [[] if w else self._parts(t) for t, w in zip(texts, whole)]
         found = [list(map(kept.get, p)) for p in parts]
