@@ -389,6 +389,22 @@ def test_rollups(spark, docs, tmp_path):
     assert {(x.source, x.lang): (x.n_docs, x.n_tokens) for x in token_counts.maintained(docs).collect()} == want
 
 
+def test_rollup_query_counts_every_document(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidewire.llm.queries import QUERIES
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for version in ("byte_bpe_50k", "word_bpe_49k"):
+        fresh = Tokenizer.from_file(tokens.public_path(f"{version}.json"))
+        for d in {d.doc_id: d for d in docs.collect()}.values():
+            n, s = want.get((d.source, d.lang, version), (0, 0))
+            want[d.source, d.lang, version] = n + 1, s + len(fresh.encode(d.text or "", add_special_tokens=False).ids)
+    got = QUERIES["op9_token_count_rollups"](spark, str(tmp_path)).collect()
+    assert {(x.source, x.lang, x.version): (x.n_docs, x.n_tokens) for x in got} == want and len(got) == len(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -44,7 +44,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_count_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.maintained(table(spark, sf_dir, "documents"))
+    return token_counts.restored(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import materialise, new_path, text_of
 from tidewire.llm.tokens import encoder, public_path, slices
 
-#: Tokenizer versions and their files.
+#: Tokenizer versions and their files: that of a first load, and all public ones.
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.json"}
+PUBLIC = {**VERSIONS, "word_bpe_49k": "word_bpe_49k.json"}
 KEY = ["source", "lang", "version"]
 LEDGER = "doc_id long, source string, lang string, version string, n_tokens long"
 DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -108,21 +109,40 @@ class Rollup:
         return sums.where("n_docs <> 0")
 
 
-def maintained(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
-    """Totals of ``docs`` after an initial load, a removal of exact copies, and a replay of both.
-
-    The first batch inserts every document, the second deletes all but the first of
-    documents with one text, and both are committed again, which changes nothing.  So
-    the totals are those of the distinct texts, under their first document's source and
-    language.  Rows without a doc_id are no documents.
-    """
+def _loaded(docs: DataFrame, versions: dict[str, str] | None) -> tuple[Rollup, DataFrame]:
+    """A store after two batches, all documents in and exact copies out, and the counts of all documents by the versions."""
     rollup = Rollup(docs.sparkSession, new_path(docs.sparkSession, "rollup"))
-    counts = count_tokens(docs, versions).withColumn("op", F.lit("upsert"))
+    counts = materialise(count_tokens(docs, versions).withColumn("op", F.lit("upsert")), "counts")
     text = docs.where("doc_id is not null").select("doc_id", F.sha2(text_of(docs).cast("binary"), 256).alias("h"))
     text = materialise(text, "digests")
     first = text.groupBy("h").agg(F.min("doc_id").alias("first"))
     copies = text.join(first, "h").where("doc_id <> first").select(F.lit("delete").alias("op"), "doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("version", "string"), ("n_tokens", "long"))))
+    initial = counts.where(F.col("version") == next(iter(versions or VERSIONS)))
     for _ in range(2):
-        rollup.commit(1, counts)
+        rollup.commit(1, initial)
         rollup.commit(2, copies)
+    return rollup, counts
+
+
+def maintained(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
+    """Totals of ``docs`` after an initial load, a removal of exact copies, and a replay of both.
+
+    The first batch inserts every document with its count by the first version, the
+    second deletes all but the first of documents with one text, and both are committed
+    again, which changes nothing.  So the totals are those of the distinct texts, under
+    their first document's source and language.  Rows without a doc_id are no documents.
+    """
+    return _loaded(docs, versions)[0].totals()
+
+
+def restored(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
+    """Totals of all ``docs`` by all versions, after the batches of ``maintained`` and a revision.
+
+    The third batch states the counts of every document by every version: it inserts the
+    deleted copies again and revises the others, which had the first version only.  It is
+    committed twice, too.
+    """
+    rollup, counts = _loaded(docs, versions or PUBLIC)
+    for _ in range(2):
+        rollup.commit(3, counts)
     return rollup.totals()
