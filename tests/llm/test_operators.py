@@ -367,6 +367,29 @@ def test_neighbours(spark):
     assert len(few) == 12
 
 
+def test_vectors_of_each_size_are_compared(spark):
+    rnd = np.random.default_rng(4)
+    x = {d: rnd.normal(size=(40, d)) for d in (6, 9)}
+    for v in x.values():
+        v[10:20] = 2 * v[0]
+    rows = [(100 * d + i, v.tolist()) for d in x for i, v in enumerate(x[d])] + [(5000, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    dup = {r.vec_id: r for r in embed_dedup.near_duplicates(df, 0.95).collect()}
+    got = ann.search(df, df, k=5, probe=1.0).toPandas()
+    assert len(dup) == 81 and (dup[5000].n_links, dup[5000].kept) == (0, True) and set(got.query_id) == {i for i, _ in rows[:-1]}
+    for d, v in x.items():
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        link = u @ u.T >= 0.95
+        np.fill_diagonal(link, False)
+        want = components(range(40), lambda i, j: link[i, j])
+        assert all((dup[100 * d + i].n_links, dup[100 * d + i].component_id) == (link[i].sum(), 100 * d + want[i]) for i in range(40))
+        score = v @ v.T
+        np.fill_diagonal(score, -np.inf)
+        best = {(100 * d + q, 100 * d + i) for q in range(40) for i in np.lexsort((np.arange(40), -score[q]))[:5]}
+        own = set(map(tuple, got[["query_id", "vec_id"]].to_numpy().tolist()))
+        assert len(best & own) >= 0.95 * len(best)
+
+
 def test_rollups(spark, docs, tmp_path):
     r = token_counts.Rollup(spark, str(tmp_path / "r"))
     change = "op string, doc_id long, source string, lang string, version string, n_tokens long"

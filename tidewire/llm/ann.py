@@ -16,6 +16,7 @@ also where one list holds a third of all vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -127,20 +128,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     A query is not its own neighbour (rows with its id are left out).  Scores are inner
     products of the original vectors in double precision; ties go to the smaller id.
     Rows and queries whose vector is null, zero or holds null or non-finite components,
-    whose id is null, or that don't have as many dimensions as the longest vector, take no
-    part.  Repeated ids count once, with the first of their vectors in array order.
+    or whose id is null, take no part.  Inner products exist within a size of vectors only,
+    so each size is a search of its own.  Repeated ids count once, with the first of their
+    vectors in array order.
     """
-    spark = rows.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
         own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         return own.where(valid(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
 
-    own = materialise(clean(rows), "vectors")
-    dims = own.agg(F.max(F.size("v"))).first()[0]
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = own.where(F.size("v") == dims)
+    own, asked = materialise(clean(rows), "vectors"), materialise(clean(queries), "queries")
+    size = F.size("v").alias("size")
+    sizes = own.select(size).distinct().join(asked.select(size).distinct(), "size").orderBy("size").collect()
+    found = [_search(own.where(F.size("v") == d), asked.where(F.size("v") == d), d, k, probe) for (d,) in sizes]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, probe: float) -> DataFrame:
+    """As ``search``, of (id, v) whose vectors all have ``dims`` components."""
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
     n, largest = own.agg(F.count("*"), F.max(norm2)).first()
     turn = rotation(dims + 1)
@@ -181,7 +186,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
         batch = _pages(visits, BATCH).toDF("list", "q_ids", "q_vectors", "q_turned", "bounds")
         return pages.join(batch, "list").mapInPandas(_scan(dims, k), FOUND)
 
-    asked = clean(queries).where(F.size("v") == dims)
     home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("inf"))), 0, 1), k), "home")
     # The distance of the k-th neighbour so far: |q|^2 + M^2 - 2 <q, x>.
     kth = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("score"))

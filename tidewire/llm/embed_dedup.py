@@ -18,6 +18,7 @@ there are; equal vectors were merged before.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ PAGE, TILE, SAMPLE = 4096, 1024, 20_000
 #: Leading dimensions of a block that make its grid, and the width of its cells in radii.
 GRID_DIMS, GRID_WIDTH = 2, 4.0
 SEED = 7
+FOUND = "node long, n long, to long"
 
 
 def valid(v: Column) -> Column:
@@ -189,23 +191,8 @@ def _compare(dims: int, threshold: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", dims: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``rows``.
-
-    Two rows link if the cosine of their vectors, in double precision, is at least
-    ``threshold``.  n_links counts the other rows that a row links with, copies
-    included; component_id is the smallest id reachable over links, itself included.
-    Vectors that are null, zero, or hold null or non-finite components link with
-    nothing, as do those that don't have ``dims`` components (by default, as many as the
-    longest).  Repeated ids are rows of their own that share what their vectors link with.
-    """
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = own.where(valid(F.col("v")) & F.col("vec_id").isNotNull())
-    if dims is None:
-        dims = good.agg(F.max(F.size("v"))).first()[0] or 1
-    ok = valid(F.col("v")) & F.col("vec_id").isNotNull() & (F.size("v") == dims)
-    own = own.select("vec_id", F.when(ok, F.col("v")).alias("v"))
-    classes = materialise(own.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "classes")
+def _found(classes: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """node, n, to: counts of links and links of classes whose vectors all have ``dims`` components."""
     page = _pages(classes, dims, 2 - 2 * threshold)
     key = page.select("page", "low", "high", F.explode("cells").alias("cell"))
     other = key.toDF("page2", "low2", "high2", "cell")
@@ -218,7 +205,30 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     pairs = key.join(other, "cell").where("page <= page2").withColumn("gap", gap).where(some).select("page", "page2").distinct()
     body = page.select("page", "ids", "times", "vectors")
     units = pairs.join(body, "page").join(body.toDF("page2", "ids2", "times2", "vectors2"), "page2")
-    found = materialise(units.mapInPandas(_compare(dims, threshold), "node long, n long, to long"), "found")
+    return units.mapInPandas(_compare(dims, threshold), FOUND)
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", dims: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``rows``.
+
+    Two rows link if the cosine of their vectors, in double precision, is at least
+    ``threshold``.  n_links counts the other rows that a row links with, copies
+    included; component_id is the smallest id reachable over links, itself included.
+    Vectors that are null, zero, or hold null or non-finite components link with
+    nothing, as do those that don't have ``dims`` components where that is given; by
+    default, vectors of each size link among themselves.  Repeated ids are rows of their
+    own that share what their vectors link with.
+    """
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    ok = valid(F.col("v")) & F.col("vec_id").isNotNull()
+    if dims is not None:
+        ok = ok & (F.size("v") == dims)
+    own = own.select("vec_id", F.when(ok, F.col("v")).alias("v"))
+    classes = materialise(own.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "classes")
+    # Vectors of different sizes have no cosine, and a vector alone in its size no links.
+    sizes = [r[0] for r in classes.groupBy(F.size("v").alias("size")).count().where("count > 1").orderBy("size").collect()]
+    all_ = [materialise(_found(classes.where(F.size("v") == d), d, threshold), "found") for d in sizes]
+    found = reduce(DataFrame.unionByName, all_) if all_ else rows.sparkSession.createDataFrame([], FOUND)
     parts = connected_components(found.where("n < 0").select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     info = classes.join(counts, classes["rep"] == counts["node"], "left").drop("node").join(parts, F.col("rep") == parts["node"], "left")
