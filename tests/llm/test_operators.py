@@ -452,3 +452,11 @@ def test_rows_without_ids_stay(spark):
     rows = [(1, text), (None, text), (None, "alone here with other words entirely"), (4, "z y x w v u t s"), (4, "z y x w v u t s")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int")
     assert sorted(map(str, simhash.keep_one(df).collect())) == sorted(map(str, [df.collect()[k] for k in (0, 2, 3)]))
+
+
+def test_rows_of_one_id_with_differing_texts_stay_by_their_groups(spark):
+    text, alone, other = " ".join(WORDS), "alone here with other words entirely", "z y x w v u t s"
+    rows = [(1, text), (4, alone), (4, text), (4, alone), (4, other)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
+        assert sorted(map(tuple, simhash.keep_one(df).collect())) == sorted([(1, text), (4, alone), (4, other)])

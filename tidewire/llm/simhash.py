@@ -253,25 +253,38 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     has a doc_id).  Rows with one text always share a component, since equal
     fingerprints do.
     """
+    return _groups(docs, bits).select("doc_id", "fp", "component_id")
+
+
+def _groups(docs: DataFrame, bits: int) -> DataFrame:
+    """As ``near_duplicates``, with a fingerprint that names the row's group."""
     own = materialise(fingerprints(docs), "fingerprints")
     fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     parts = connected_components(links(fps, bits)).withColumnRenamed("node", "fp")
     joined = parts.join(fps, "fp")
     low = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    moved = parts.join(low, "component").select("fp", "component_id")
-    whole = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return own.join(whole, "fp").select("doc_id", "fp", "component_id")
+    moved = parts.join(low, "component").select("fp", "component", "component_id")
+    whole = fps.join(moved, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    return own.join(whole, "fp").select("doc_id", "fp", "group", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, each doc_id once.
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, one a group.
 
-    A row without a doc_id can't be told from another such row, so it stays unless its
-    group has a doc_id; repeated rows of a doc_id are one document and stay once.
+    Where a doc_id stands on rows with differing texts, each row is decided by its own
+    group.  A row without a doc_id can't be told from another such row, so it stays
+    unless its group has a doc_id; repeated rows of a doc_id are one document and stay once.
     """
-    found = materialise(near_duplicates(docs, bits), "groups")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    found = materialise(_groups(docs, bits), "groups")
+    several = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id"), "several")
+    firsts = found.where("doc_id = component_id")
+    kept = firsts.join(several, "doc_id", "left_anti").select("doc_id").distinct()
     own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # Of rows with one id in one group, that with the smallest fingerprint stays.
+    chosen = firsts.join(several, "doc_id", "left_semi").groupBy("group").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_wanted"))
+    mixed = docs.join(several, "doc_id", "left_semi").select(*docs.columns)
+    mixed = mixed.withColumn("_fp", fingerprint_of(text_of(mixed))).join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_wanted")), "left_semi")
+    own = own.unionByName(mixed.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
     nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_wanted")).distinct()
     rest = docs.where("doc_id is null").withColumn("_fp", fingerprint_of(text_of(docs))).join(nameless, F.col("_fp") == F.col("_wanted"), "left_semi")
     return own.unionByName(rest.select(*docs.columns))
