@@ -460,3 +460,14 @@ def test_rows_of_one_id_with_differing_texts_stay_by_their_groups(spark):
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
         assert sorted(map(tuple, simhash.keep_one(df).collect())) == sorted([(1, text), (4, alone), (4, other)])
+
+
+def test_toxicity_learns_from_the_documents_that_are_there(spark, monkeypatch):
+    rows = [(i, " ".join(["zorg" if i % 2 else "foam", *WORDS])) for i in range(60)]
+    df = spark.createDataFrame(rows + rows * 3, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, grade, n: given.append(len(rows)))
+    toxicity.train(df, lab, sample=40)
+    toxicity.train(df, lab, sample=100)
+    assert given == [40, 60]

@@ -116,12 +116,14 @@ def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink | None:
-    """Learn from at most ``sample`` labelled rows; None unless both labels occur among them.
+    """Learn from at most ``sample`` labelled documents; None unless both labels occur among them.
 
     Where a document has several labels, the highest counts; labels other than 0 and 1
-    say nothing.
+    say nothing, nor do those of documents that aren't there.  A repeated doc_id is one
+    document, with the last of its texts in order.
     """
     own = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = own.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = own.orderBy(F.xxhash64("doc_id")).limit(sample)  # bounded by the parameter
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
             f = [features(t) for t in x["text"]]
             yield pd.DataFrame({"toxic": x["toxic"], "f": [a.astype("<i4").tobytes() for a, _ in f], "v": [b.astype("<f4").tobytes() for _, b in f]})
 
-    got = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInPandas(describe, "toxic int, f binary, v binary").toPandas()
+    texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = texts.select("text", "toxic").mapInPandas(describe, "toxic int, f binary, v binary").toPandas()
     toxic = got["toxic"].to_numpy(np.int64)
     if len(set(toxic)) < 2:
         return None
