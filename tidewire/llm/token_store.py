@@ -126,44 +126,43 @@ class Book:
         return out.T.reshape(-1)[:n]
 
 
+TOKENS = "doc_id long, wide boolean, ids binary, used array<int>, times array<long>"
+
+
 def _tokenise(path: str, end_id: int):
+    """Rows of ids, in two bytes each where all of a row's fit, and a last row of how often the partition uses each id."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(path)
+        own, total = encoder(path), np.zeros(0, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for x in slices(batches):
             ids = [i + end for i in own.ids(x["text"].tolist())]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": ids})
+            n = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            if len(total) > 1 << 16:
+                ids = [np.frombuffer(i, "<u4") for i in ids]
+                wide = [bool((i > 0xFFFF).any()) for i in ids]
+                ids = [(i if w else i.astype("<u2")).tobytes() for i, w in zip(ids, wide)]
+            else:
+                ids, wide = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids], False
+            yield pd.DataFrame({"doc_id": x["doc_id"], "wide": wide, "ids": ids, "used": None, "times": None})
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pd.DataFrame({"doc_id": [None], "wide": [None], "ids": [None], "used": [used.astype(np.int32)], "times": [total[used]]})
 
     return run
 
 
-def _narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ids in two bytes instead of four where all of a row's fit."""
-    for x in batches:
-        ids = [np.frombuffer(i, "<u4") for i in x["ids"]]
-        wide = [bool((i > 0xFFFF).any()) for i in ids]
-        yield pd.DataFrame({"doc_id": x["doc_id"], "wide": wide, "ids": [i.tobytes() if w else i.astype("<u2").tobytes() for i, w in zip(ids, wide)]})
-
-
 def _read_ids(ids: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
-    for x in batches:
-        for wide, own in x.groupby("wide")["ids"]:
-            n = np.bincount(_read_ids(b"".join(own), wide), minlength=len(total))
-            n[: len(total)] += total
-            total = n
-    used = np.flatnonzero(total)
-    yield pd.DataFrame({"id": used, "n": total[used]})
-
-
 def write(tokens: DataFrame, path: str) -> Book:
-    """Write (doc_id, wide, ids) as a store.  The counts are by id, so the driver gets a row an id of the vocabulary."""
+    """Write what ``tokenise`` made as a store.  The counts are by id, so the driver gets a row an id of the vocabulary."""
     spark = tokens.sparkSession
-    counts = tokens.mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = tokens.where("used is not null").select(F.explode(F.arrays_zip("used", "times")).alias("c"))
+    counts = counts.groupBy(F.col("c.used").alias("id")).agg(F.sum("c.times").alias("n")).toPandas()
     total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     bits = code_lengths(total)
@@ -192,7 +191,7 @@ def write(tokens: DataFrame, path: str) -> Book:
             yield block(part, k, docs, runs)
 
     order = [F.asc_nulls_first("doc_id"), F.col("wide"), F.col("ids")]  # repeated ids: in the order of their tokens
-    dealt = tokens.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(*order)
+    dealt = tokens.where("ids is not null").select("doc_id", "wide", "ids").repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(*order)
     dealt.mapInPandas(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     return book.value
 
@@ -230,14 +229,12 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 
 
 def tokenise(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, wide, ids) of every row; a null or empty text is its end id alone."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    """A row (doc_id, wide, ids) a row of ``docs``, and rows of counts (used, times), one a partition, made in the same pass.
 
-    def run(batches):
-        return _narrow(_tokenise(path, end_id)(batches))
-
-    path = path or public_path(TOKENIZER)
-    return own.mapInPandas(run, "doc_id long, wide boolean, ids binary")
+    A null or empty text is its end id alone.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return own.mapInPandas(_tokenise(path or public_path(TOKENIZER), end_id), TOKENS)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:

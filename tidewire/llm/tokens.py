@@ -9,27 +9,36 @@ there and the ids of recent parts are kept: most words of a corpus are seen agai
   line feeds between its words, each blank belongs to the word behind it and each line
   feed stands alone.  Any other text is encoded as a whole.
 
+A new part of Latin letters alone, with or without marks behind them, is a single piece
+and goes to the library's model at once; any other new part goes the library's whole way.
 A text that holds the string of an added token, such as ``<|endoftext|>``, is encoded as a
 whole, too: the library finds those before it cuts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 
-#: Parts whose ids a worker keeps before it forgets them all; about 150 bytes each.
-KEPT = 800_000
+#: Parts whose ids a worker keeps, twice: once full, they serve as the older half until the next are full.
+KEPT = 400_000
 #: New parts that are encoded in a call, and characters of text that are split at a time.
 TOGETHER, AT_ONCE = 400, 1_000_000
+#: A line that is a word of Latin letters, which have one form only, and marks behind it, which are no piece with it; or any other.
+PIECE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!|&%$*#?;:]*)|.*)$", re.MULTILINE)
+#: White space other than blanks and line feeds, by any definition of it; and the sign of a text's first word.
+OTHER_SPACE = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"
 
 
 def _regular(text: str) -> bool:
     """Single blanks and line feeds between words, and no other white space."""
-    return " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text
+    if text[:1] in " \n" or text[-1:] in " \n" or "  " in text or any(c in text for c in OTHER_SPACE):
+        return False
+    return "\n" not in text or not ("\n\n" in text or "\n " in text or " \n" in text)
 
 
 def _is_word_style(tokenizer) -> bool:
@@ -46,55 +55,93 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.word_style = _is_word_style(self.tokenizer)
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)  # the library's letters for bytes
+        self.letters = {n: letters.pre_tokenize_str(chr(n))[0][0] for n in range(32, 0x250)}
+        self.pieces = Tokenizer(self.tokenizer.model)  # of a whole piece a line, in the letters for its bytes
+        self.pieces.pre_tokenizer = CharDelimiterSplit("\n")
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda v: v[1])
+        self.lengths = np.zeros(names[-1][1] + 1, np.int64)  # letters that each id stands for
+        self.lengths[[i for _, i in names]] = [len(n.removesuffix(self.tokenizer.model.end_of_word_suffix or "")) for n, _ in names]
+        self.line_feed = self._plain(["\n"])[0]
         self.kept: dict = {}
+        self.older: dict = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _has_added(self, text: str) -> bool:
         """Whether an added token's string is in the text or could get there, since parts are made lower-case."""
-        text = text.lower() if self.word_style else text
+        text = text.lower() if self.word_style and "<" in text else text
         return any(a in text for a in self.added)
 
     def _parts(self, text: str) -> list:
+        """Words; in ``byte`` style one stands for itself with the blank before it, or is led by a line feed or, at the start, by NUL."""
         if self.word_style:
             return text.encode("utf-8").lower().split()
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if text else []
+        return f"\0{text}".replace("\n", " \n").split(" ") if text else []
+
+    def _quick(self, words: list[str], lead: str = "") -> list[bytes | None]:
+        """Ids of words of Latin letters and marks behind them, with ``lead`` before each; None for other words."""
+        found = PIECE.findall("\n".join(words))
+        own = dict.fromkeys(head for head, _ in found if head)
+        letters = [lead + (h if h.isascii() else h.translate(self.letters)) for h in own]
+        runs = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        ids: list[bytes] = []
+        for run, x in zip(runs, self.pieces.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)):
+            got = np.array(x.ids, "<u4")
+            ends = 1 + np.searchsorted(np.cumsum(self.lengths[got]), np.cumsum([*map(len, run)]))
+            raw, ends = got.tobytes(), (4 * ends).tolist()
+            ids += [raw[s:e] for s, e in zip([0, *ends], ends)]
+        own.update(zip(own, ids))
+        tails = {t for _, t in found if t}
+        tail = dict(zip(["", *tails], [b"", *self._plain(list(tails))]))
+        return [own[h] + tail[t] if h else None for h, t in found]
 
     def _learn(self, parts: set) -> None:
-        """Keep the ids of new parts.
-
-        A letter or digit and the marks behind it are never in one piece, so a word is
-        looked up without them, too.
-        """
-        tails = b".,!|&%$*#?;:" if self.word_style else ".,!|&%$*#?;:"
-        split = {}
-        for p in parts:
-            if len(head := p.rstrip(tails)) < len(p) and head and (head.decode("utf-8") if self.word_style else head)[-1].isalnum():
-                split[p] = head, p[len(head) :]
-        kept = self.kept
-        self._encode([p for p in {x for two in split.values() for x in two} | (parts - split.keys()) if p not in kept])
-        for p, (head, tail) in split.items():
-            kept[p] = kept[head] + kept[tail]
+        """Keep the ids of new parts."""
+        kept, older = self.kept, self.older
+        known = [p for p in parts if p in older]
+        kept.update((p, older[p]) for p in known)
+        rest = list(parts.difference(known))
+        if self.word_style:
+            groups = [(rest, b"\n".join(rest).decode("utf-8").lower().split("\n"), "")]
+        else:
+            blank, led = [p for p in rest if p[:1] not in "\0\n"], [p for p in rest if p[:1] in "\0\n"]
+            groups = [(blank, blank, self.letters[32]), (led, [p[1:] for p in led], "")]
+        other = []
+        for own, words, lead in groups:
+            for p, ids in zip(own, self._quick(words, lead) if own else []):
+                if ids is None:
+                    other.append(p)
+                else:
+                    kept[p] = self.line_feed + ids if p[:1] == "\n" else ids
+        self._encode(other)
 
     def _encode(self, parts: list) -> None:
-        """Encode parts, many a call with a mark between them that no part holds."""
-        mark = "\x01" if self.word_style else "\n"
-        texts = [p.decode("utf-8") for p in parts] if self.word_style else parts
+        """Encode parts the library's way, many a call with a mark between them that no part holds."""
+        if self.word_style:
+            mark, texts = "\x01", [p.decode("utf-8") for p in parts]
+            between = f" {mark} "
+        else:  # a line feed parts them, too, and leads no word with a blank before it
+            mark = between = "\n"
+            texts = [p[1:] if p[:1] in "\0\n" else f" {p}" for p in parts]
+        sign = self._plain([mark])[0]
         alone = [k for k, t in enumerate(texts) if mark in t]
         for k, ids in zip(alone, self._plain([texts[k] for k in alone])):
             self.kept[parts[k]] = ids
         rest = [k for k, t in enumerate(texts) if mark not in t]
-        between, sign = (f" {mark} ", self._plain([mark])[0]) if self.word_style else (mark, self._plain([mark])[0])
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
         for group, ids in zip(groups, self._plain([between.join(texts[k] for k in g) for g in groups])):
             x = np.frombuffer(ids, "<u4")
             cut = np.r_[-1, np.flatnonzero(x == np.frombuffer(sign, "<u4")[0]), len(x)]
-            self.kept.update((parts[k], ids[4 * s + 4 : 4 * e]) for k, s, e in zip(group, cut.tolist(), cut[1:].tolist()))
+            for k, s, e in zip(group, cut.tolist(), cut[1:].tolist()):
+                led = sign if not self.word_style and parts[k][:1] == "\n" else b""
+                self.kept[parts[k]] = led + ids[4 * s + 4 : 4 * e]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -107,9 +154,9 @@ class Encoder:
         return out + self._ids(held)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.kept) > KEPT:
+            self.older, self.kept = self.kept, {}
         kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
         whole = [self._has_added(t) or not self.word_style and not _regular(t) for t in texts]
         plain = iter(self._plain([t for t, w in zip(texts, whole) if w]))
         parts = [[] if w else self._parts(t) for t, w in zip(texts, whole)]
