@@ -2,7 +2,8 @@
 
 Byte-pair encoders first cut a text into pieces that are encoded one by one.  Two of the
 places where they always cut can be found without their pattern, so a text is split
-there and the ids of recent parts are kept: most words of a corpus are seen again.
+there, each distinct part of a batch is looked up once, and the ids of recent parts are
+kept: most words of a corpus are seen again.
 
 * ``word``: the encoder drops white space, hence any ASCII white space parts a text.
 * ``byte``: white space starts a word's piece.  Where a text has only single blanks and
@@ -17,21 +18,22 @@ whole, too: the library finds those before it cuts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Parts whose ids a worker keeps, twice: once full, they serve as the older half until the next are full.
-KEPT = 400_000
+#: Parts whose ids a worker keeps, about 40 bytes each; the half used last stays when they are more.
+KEPT = 1_500_000
 #: New parts that are encoded in a call, and characters of text that are split at a time.
-TOGETHER, AT_ONCE = 400, 1_000_000
-#: A line that is a word of Latin letters, which have one form only, and marks behind it, which are no piece with it; or any other.
-PIECE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!|&%$*#?;:]*)|.*)$", re.MULTILINE)
+TOGETHER, AT_ONCE = 1000, 4_000_000
 #: White space other than blanks and line feeds, by any definition of it; and the sign of a text's first word.
 OTHER_SPACE = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"
+#: Latin letters, which have one form only, and marks behind them, which are never one piece with a letter.
+LETTERS, TAILS = "^[A-Za-zÀ-ÖØ-öø-ɏ]+$", ".,!|&%$*#?;:"
 
 
 def _regular(text: str) -> bool:
@@ -50,6 +52,12 @@ def _is_word_style(tokenizer) -> bool:
     return first.get("type") == "Split" and first.get("behavior") == "Removed"
 
 
+def _gather(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` ids from ``first`` on, one after another."""
+    end = np.cumsum(n)
+    return ids[np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + n, n)]
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers in bytes."""
 
@@ -67,81 +75,120 @@ class Encoder:
         names = sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda v: v[1])
         self.lengths = np.zeros(names[-1][1] + 1, np.int64)  # letters that each id stands for
         self.lengths[[i for _, i in names]] = [len(n.removesuffix(self.tokenizer.model.end_of_word_suffix or "")) for n, _ in names]
-        self.line_feed = self._plain(["\n"])[0]
-        self.kept: dict = {}
-        self.older: dict = {}
+        self.line_feed = self._flat(["\n"])[0]
+        # What is kept: words, where their ids start, how many they are, when they were used last, and the ids.
+        self.words = pa.array([], pa.string())
+        self.first, self.n, self.used, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.now = 0
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, the library's way, one after another, and how many each has."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.array([len(x) for x in ids], np.int64)
 
     def _has_added(self, text: str) -> bool:
         """Whether an added token's string is in the text or could get there, since parts are made lower-case."""
         text = text.lower() if self.word_style and "<" in text else text
         return any(a in text for a in self.added)
 
-    def _parts(self, text: str) -> list:
+    def _parts(self, texts: list[str]) -> pa.ListArray:
         """Words; in ``byte`` style one stands for itself with the blank before it, or is led by a line feed or, at the start, by NUL."""
         if self.word_style:
-            return text.encode("utf-8").lower().split()
-        return f"\0{text}".replace("\n", " \n").split(" ") if text else []
-
-    def _quick(self, words: list[str], lead: str = "") -> list[bytes | None]:
-        """Ids of words of Latin letters and marks behind them, with ``lead`` before each; None for other words."""
-        found = PIECE.findall("\n".join(words))
-        own = dict.fromkeys(head for head, _ in found if head)
-        letters = [lead + (h if h.isascii() else h.translate(self.letters)) for h in own]
-        runs = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
-        ids: list[bytes] = []
-        for run, x in zip(runs, self.pieces.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)):
-            got = np.array(x.ids, "<u4")
-            ends = 1 + np.searchsorted(np.cumsum(self.lengths[got]), np.cumsum([*map(len, run)]))
-            raw, ends = got.tobytes(), (4 * ends).tolist()
-            ids += [raw[s:e] for s, e in zip([0, *ends], ends)]
-        own.update(zip(own, ids))
-        tails = {t for _, t in found if t}
-        tail = dict(zip(["", *tails], [b"", *self._plain(list(tails))]))
-        return [own[h] + tail[t] if h else None for h, t in found]
-
-    def _learn(self, parts: set) -> None:
-        """Keep the ids of new parts."""
-        kept, older = self.kept, self.older
-        known = [p for p in parts if p in older]
-        kept.update((p, older[p]) for p in known)
-        rest = list(parts.difference(known))
+            return pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+        return pc.split_pattern(pa.array([f"\0{t}".replace("\n", " \n") for t in texts], pa.string()), " ")
+
+    def _one_piece(self, words: pa.Array, blank: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters, with a blank before each if asked, and how many each has."""
+        size = pc.binary_length(words).to_numpy() + blank
+        runs = [words[i : i + TOGETHER].to_pylist() for i in range(0, len(words), TOGETHER)]
+        lines = [("\n ".join(["", *r])[1:] if blank else "\n".join(r)) for r in runs]
+        lines = [x.replace(" ", self.letters[32]) if x.isascii() else x.translate(self.letters) for x in lines]
+        ids = np.array([i for x in self.pieces.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], "<u4")
+        end = 1 + np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size))
+        return ids, np.diff(end, prepend=0)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of other words, the library's way, many a call with a mark between them that no word holds."""
+        mark, between = ("\x01", " \x01 ") if self.word_style else ("\n", "\n")
+        n, ids = np.zeros(len(words), np.int64), []
+        sign = self._flat([mark])[0][0]
+        alone = [k for k, w in enumerate(words) if mark in w]
+        rest = [k for k, w in enumerate(words) if mark not in w]
+        runs = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        flat, of = self._flat([between.join(words[k] for k in r) for r in runs] + [words[k] for k in alone])
+        got = np.split(flat, np.cumsum(of)[:-1])
+        out: list[np.ndarray] = [flat[:0]] * len(words)
+        for run, x in zip(runs, got):
+            cut = np.r_[-1, np.flatnonzero(x == sign), len(x)]
+            for k, s, e in zip(run, cut.tolist(), cut[1:].tolist()):
+                out[k] = x[s + 1 : e]
+        for k, x in zip(alone, got[len(runs) :]):
+            out[k] = x
+        for k, x in enumerate(out):
+            n[k] = len(x)
+            ids.append(x)
+        return (np.concatenate(ids) if ids else flat[:0]), n
+
+    def _learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new parts, one after another, and how many each has."""
+        lead = np.zeros(len(parts), "<U1")
         if self.word_style:
-            groups = [(rest, b"\n".join(rest).decode("utf-8").lower().split("\n"), "")]
+            words = pa.array("\n".join(parts.to_pylist()).lower().split("\n"), pa.string())
         else:
-            blank, led = [p for p in rest if p[:1] not in "\0\n"], [p for p in rest if p[:1] in "\0\n"]
-            groups = [(blank, blank, self.letters[32]), (led, [p[1:] for p in led], "")]
-        other = []
-        for own, words, lead in groups:
-            for p, ids in zip(own, self._quick(words, lead) if own else []):
-                if ids is None:
-                    other.append(p)
-                else:
-                    kept[p] = self.line_feed + ids if p[:1] == "\n" else ids
-        self._encode(other)
-
-    def _encode(self, parts: list) -> None:
-        """Encode parts the library's way, many a call with a mark between them that no part holds."""
-        if self.word_style:
-            mark, texts = "\x01", [p.decode("utf-8") for p in parts]
-            between = f" {mark} "
-        else:  # a line feed parts them, too, and leads no word with a blank before it
-            mark = between = "\n"
-            texts = [p[1:] if p[:1] in "\0\n" else f" {p}" for p in parts]
-        sign = self._plain([mark])[0]
-        alone = [k for k, t in enumerate(texts) if mark in t]
-        for k, ids in zip(alone, self._plain([texts[k] for k in alone])):
-            self.kept[parts[k]] = ids
-        rest = [k for k, t in enumerate(texts) if mark not in t]
-        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for group, ids in zip(groups, self._plain([between.join(texts[k] for k in g) for g in groups])):
-            x = np.frombuffer(ids, "<u4")
-            cut = np.r_[-1, np.flatnonzero(x == np.frombuffer(sign, "<u4")[0]), len(x)]
-            for k, s, e in zip(group, cut.tolist(), cut[1:].tolist()):
-                led = sign if not self.word_style and parts[k][:1] == "\n" else b""
-                self.kept[parts[k]] = led + ids[4 * s + 4 : 4 * e]
+            start = pc.utf8_slice_codeunits(parts, 0, 1)
+            lead = np.where(pc.equal(start, "\n").to_numpy(False), "\n", np.where(pc.equal(start, "\0").to_numpy(False), "0", " "))
+            words = pc.utf8_ltrim(parts, "\n\0")
+        heads = pc.utf8_rtrim(words, TAILS)
+        quick = pc.match_substring_regex(heads, LETTERS).to_numpy(False)
+        buffers, sizes = [self.line_feed], [np.array([len(self.line_feed)])]
+        at = np.zeros((len(parts), 3), np.int64)  # line feed, word, marks: places among all runs; 0 is the line feed
+        has = np.zeros((len(parts), 3), bool)
+        has[:, 0] = lead == "\n"
+
+        def add(rows: np.ndarray, column: int, which: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            at[rows, column] = sum(map(len, sizes)) + which
+            has[rows, column] = True
+            buffers.append(ids)
+            sizes.append(n)
+
+        for blank in (False, True):
+            rows = np.flatnonzero(quick & ((lead == " ") == blank))
+            own = heads.take(pa.array(rows)).dictionary_encode()
+            add(rows, 1, own.indices.to_numpy(), *self._one_piece(own.dictionary, blank))
+        behind = (pc.binary_length(words).to_numpy() - pc.binary_length(heads).to_numpy()) * quick
+        rows = np.flatnonzero(behind)
+        marks = pa.array([w[-k:] for w, k in zip(words.take(pa.array(rows)).to_pylist(), behind[rows].tolist())], pa.string()).dictionary_encode()
+        add(rows, 2, marks.indices.to_numpy(), *self._flat(marks.dictionary.to_pylist()))
+        rows = np.flatnonzero(~quick)
+        rest = (parts if self.word_style else words).take(pa.array(rows)).to_pylist()  # the library makes its own lower case
+        rest = [f" {w}" if b == " " else w for b, w in zip(lead[rows].tolist(), rest)]
+        add(rows, 1, np.arange(len(rows)), *self._other(rest))
+        n = np.concatenate(sizes)
+        first = np.cumsum(n) - n
+        each = np.where(has, n[at], 0)
+        return _gather(np.concatenate(buffers), first[at].reshape(-1), each.reshape(-1)), each.sum(axis=1)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the words are kept; new ones are learnt."""
+        self.now += 1
+        if len(self.words) > KEPT:
+            stay = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+            stay &= self.used > self.used.min()
+            self.words = self.words.filter(pa.array(stay))
+            self.known = _gather(self.known, self.first[stay], self.n[stay])
+            self.n, self.used = self.n[stay], self.used[stay]
+            self.first = np.cumsum(self.n) - self.n
+        at = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            more = words.take(pa.array(new))
+            ids, n = self._learn(more)
+            at[new] = len(self.words) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.known) + np.cumsum(n) - n])
+            self.words, self.known = pa.concat_arrays([self.words, more]), np.concatenate([self.known, ids])
+            self.n, self.used = np.concatenate([self.n, n]), np.concatenate([self.used, np.zeros(len(n), np.int64)])
+        self.used[at] = self.now
+        return at
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -154,19 +201,17 @@ class Encoder:
         return out + self._ids(held)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT:
-            self.older, self.kept = self.kept, {}
-        kept = self.kept
         whole = [self._has_added(t) or not self.word_style and not _regular(t) for t in texts]
-        plain = iter(self._plain([t for t, w in zip(texts, whole) if w]))
-        parts = [[] if w else self._parts(t) for t, w in zip(texts, whole)]
-        found = [list(map(kept.get, p)) for p in parts]
-        lacking = [k for k, f in enumerate(found) if None in f]
-        if lacking:
-            self._learn({x for k in lacking for x, y in zip(parts[k], found[k]) if y is None})
-            for k in lacking:
-                found[k] = [kept[x] for x in parts[k]]
-        return [next(plain) if w else b"".join(f) for f, w in zip(found, whole)]
+        odd, of = self._flat([t for t, w in zip(texts, whole) if w])
+        odd_end = np.cumsum(of)
+        parts = self._parts([t for t, w in zip(texts, whole) if not w])
+        words = parts.flatten().dictionary_encode()  # each word once, and where it stands
+        at = self._places(words.dictionary)[words.indices.to_numpy()]
+        n = self.n[at]
+        raw = _gather(self.known, self.first[at], n).tobytes()
+        cut = (4 * np.concatenate([[0], np.cumsum(n)])[parts.offsets.to_numpy()]).tolist()
+        spans, plain = iter(zip(cut, cut[1:])), iter(zip((odd_end - of).tolist(), odd_end.tolist()))
+        return [odd[slice(*next(plain))].tobytes() if w else raw[slice(*next(spans))] for w in whole]
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
