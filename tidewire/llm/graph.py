@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialise
+from tidewire.llm.common import drop_table, materialise
 
 EDGES = "a long, b long"
 
@@ -63,10 +63,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = e.where("a is not null and b is not null and a <> b").mapInPandas(_contract, EDGES)
-    said = None
+    said, former = None, None
     while True:
         e = materialise(_small_star(_large_star(e)), "stars")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if former is not None:
+            drop_table(former)
+        former = e
         if now == said or now[0] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         said = now
