@@ -3,11 +3,16 @@
 A vector x becomes (x, sqrt(M^2 - |x|^2)), where M is the largest norm, and a query q
 becomes (q, 0): the nearest by distance are then those with the largest inner product.
 Vectors are rotated at random and filed in the list of their nearest centre.  A query
-visits its nearest lists.  A list is scanned in blocks of dimensions: after each, the
-distance so far estimates the whole one, since after a random rotation every dimension
-tells as much as another, and candidates whose estimate exceeds the bound by more than
-chance allows are given up.  The bound is the k-th distance that the query has in its
-first list.  Survivors are measured exactly, on the original vectors.
+first visits the lists nearest to it.  The k-th distance found there is a bound, and from
+a list's size, centre and spread, along the centre and across, follows how many of its vectors are expected within the
+bound; the query then visits the lists with most of them, until they hold ``EXPECTED`` of
+all that is expected.  So structured vectors are found in few lists; where vectors have no
+structure, neighbours are everywhere and most lists are visited.
+
+A list is scanned in blocks of dimensions: after each, the distance so far estimates the
+whole one, since after a random rotation every dimension tells as much as another, and
+candidates whose estimate exceeds the bound by more than chance allows are given up.
+Survivors are measured exactly, on the original vectors.
 
 Lists are cut into pages and queries into batches, so every unit of work is bounded,
 also where one list holds a third of all vectors.
@@ -27,12 +32,12 @@ from pyspark.sql.window import Window
 from tidewire.llm.common import materialise
 from tidewire.llm.embed_dedup import _matrix, rotation, valid
 
-#: Rows of which the centres are learnt at most; vectors in a page; queries in a batch.
-SAMPLE, PAGE, BATCH = 20_000, 4096, 256
-#: Part of the lists that a query visits, and the fewest.
-PROBE, FEWEST = 0.7, 8
+#: Rows of which the centres are learnt at most; lists at most; vectors in a page; queries in a batch.
+SAMPLE, LISTS, PAGE, BATCH = 20_000, 4096, 4096, 256
+#: Part of the lists that a query visits first, and the fewest; part of the expected neighbours that its lists must hold.
+HOME, FEWEST, EXPECTED = 0.1, 3, 0.93
 #: Dimensions in a block, and how many standard errors an estimate may err.
-STEP, DOUBT = 16, 2.1
+STEP, DOUBT = 16, 2.8
 #: Part of the pairs of a unit under which they are followed one by one and no longer as a matrix.
 FEW = 0.05
 
@@ -50,6 +55,12 @@ def centres(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.n
     return own
 
 
+def _above(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """P(a normal variable > x), by the logistic function that is nearest to it; 1 where x is minus infinity."""
+    z = np.clip((mean - np.maximum(x, -1e300)) / np.sqrt(var + 1e-12), -20, 20)
+    return 1 / (1 + np.exp(-(1.5976 * z + 0.07056 * z**3)))
+
+
 def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Of each query the k places with the largest scores, ties to smaller ids."""
     by = np.lexsort((ids[row], -score, query))
@@ -59,28 +70,28 @@ def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray
     return by[rank < k]
 
 
-def _scan(dims: int, k: int):
+def _scan(k: int, turned):
     """Scan a page for a batch of queries."""
-    turned = dims + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
-                x, q = np.frombuffer(r.vectors).reshape(-1, dims), np.frombuffer(r.q_vectors).reshape(-1, dims)
-                y, p = np.frombuffer(r.turned, "<f4").reshape(-1, turned), np.frombuffer(r.q_turned, "<f4").reshape(-1, turned)
+                x, q = (np.frombuffer(v, "<f4" if small else "<f8").reshape(len(i), -1).astype(float) for v, i, small in ((r.vectors, ids, r.small), (r.q_vectors, q_ids, r.q_small)))
+                y, p = turned(x, False).astype(np.float32), turned(q, True).astype(np.float32)
+                dims = y.shape[1]
                 bound = np.frombuffer(r.bounds)
                 apart = np.zeros((len(q_ids), len(ids)), np.float32)
                 rows = cols = part = None  # the pairs that are left, once they are few
-                for s in range(0, turned, STEP):
-                    e = min(s + STEP, turned)
+                for s in range(0, dims, STEP):
+                    e = min(s + STEP, dims)
                     a, b = y[:, s:e], p[:, s:e]
-                    least = bound if e == turned else bound * (e / turned) * (1 + DOUBT / np.sqrt(e)) ** 2
+                    least = bound if e == dims else bound * (e / dims) * (1 + DOUBT / np.sqrt(e)) ** 2
                     least = (least * (1 + 1e-5) + 1e-6).astype(np.float32)
                     if rows is None:
                         apart += (b * b).sum(axis=1)[:, None] + (a * a).sum(axis=1)[None, :] - 2 * (b @ a.T)
                         stay = apart <= least[:, None]
-                        if e == turned or stay.mean() < FEW:
+                        if e == dims or stay.mean() < FEW:
                             rows, cols = np.nonzero(stay)
                             part = apart[rows, cols]
                     else:
@@ -97,24 +108,33 @@ def _scan(dims: int, k: int):
 
 
 FOUND = "query_id long, vec_id long, score double"
+PLACED = "list int, id long, v binary, small boolean, bound double"
+
+
+def _packed(m: np.ndarray) -> tuple[list[bytes], list[bool]]:
+    """Vectors as bytes, in single precision where that says the same, and which those are."""
+    with np.errstate(over="ignore"):
+        small = m.astype("<f4")
+    exact = (small == m).all(axis=1)
+    return [(s if e else r).tobytes() for s, r, e in zip(small, m, exact)], exact.tolist()
 
 
 def _pages(placed: DataFrame, size: int) -> DataFrame:
-    """Rows of (list, id, v, turned, bound) as bounded pages: the rows of a list, dealt out by a hash of their id."""
+    """Rows of (list, id, v, small, bound) as bounded pages: the rows of a list and format, dealt out by a hash of their id."""
     placed = materialise(placed, "placed")
-    many = placed.groupBy("list").agg(F.ceil(F.count("*") / size).alias("shares"))
-    dealt = placed.join(many, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
-    rows = dealt.groupBy("list", "share").agg(F.collect_list(F.struct("id", "v", "turned", "bound")).alias("rows"))
+    many = placed.groupBy("list", "small").agg(F.ceil(F.count("*") / size).alias("shares"))
+    dealt = placed.join(many, ["list", "small"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+    rows = dealt.groupBy("list", "small", "share").agg(F.collect_list(F.struct("id", "v", "bound")).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({
-                "list": b["list"], "ids": [np.asarray(i, "<i8").tobytes() for i in b["id"]], "vectors": [b"".join(v) for v in b["v"]],
-                "turned": [b"".join(t) for t in b["turned"]], "bounds": [np.asarray(x, float).tobytes() for x in b["bound"]],
+                "list": b["list"], "small": b["small"], "ids": [np.asarray(i, "<i8").tobytes() for i in b["id"]],
+                "vectors": [b"".join(v) for v in b["v"]], "bounds": [np.asarray(x, float).tobytes() for x in b["bound"]],
             })
 
-    flat = rows.select("list", F.col("rows.id").alias("id"), F.col("rows.v").alias("v"), F.col("rows.turned").alias("turned"), F.col("rows.bound").alias("bound"))
-    return flat.mapInPandas(run, "list int, ids binary, vectors binary, turned binary, bounds binary")
+    flat = rows.select("list", "small", F.col("rows.id").alias("id"), F.col("rows.v").alias("v"), F.col("rows.bound").alias("bound"))
+    return flat.mapInPandas(run, "list int, small boolean, ids binary, vectors binary, bounds binary")
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
@@ -122,7 +142,7 @@ def _best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = PROBE) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", expected: float = EXPECTED) -> DataFrame:
     """query_id, rank, vec_id, score: of each query the k rows with the largest inner product that were found.
 
     A query is not its own neighbour (rows with its id are left out).  Scores are inner
@@ -130,7 +150,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     Rows and queries whose vector is null, zero or holds null or non-finite components,
     or whose id is null, take no part.  Inner products exist within a size of vectors only,
     so each size is a search of its own.  Repeated ids count once, with the first of their
-    vectors in array order.
+    vectors in array order.  Products that overflow are infinite, and tie.  With ``expected``
+    1, all lists are visited in which a neighbour can be expected.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -140,56 +161,83 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     own, asked = materialise(clean(rows), "vectors"), materialise(clean(queries), "queries")
     size = F.size("v").alias("size")
     sizes = own.select(size).distinct().join(asked.select(size).distinct(), "size").orderBy("size").collect()
-    found = [_search(own.where(F.size("v") == d), asked.where(F.size("v") == d), d, k, probe) for (d,) in sizes]
+    found = [_search(own.where(F.size("v") == d), asked.where(F.size("v") == d), d, k, expected) for (d,) in sizes]
     return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, probe: float) -> DataFrame:
+def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, expected: float) -> DataFrame:
     """As ``search``, of (id, v) whose vectors all have ``dims`` components."""
-    norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
+    peak = F.max(F.array_max(F.transform("v", F.abs)))
+    scale = max(own.agg(peak).first()[0], asked.agg(peak).first()[0])  # so that squares neither overflow nor vanish
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + (e / scale) * (e / scale))
     n, largest = own.agg(F.count("*"), F.max(norm2)).first()
     turn = rotation(dims + 1)
     some = own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded by SAMPLE
 
     def turned(m: np.ndarray, query: bool) -> np.ndarray:
+        m = m / scale
         more = np.zeros(len(m)) if query else np.sqrt(np.maximum(0, largest - (m * m).sum(axis=1)))
         return np.column_stack([m, more]) @ turn
 
-    middle = centres(turned(_matrix(some), False), max(1, int(np.sqrt(n) / 2)))
-    probes = min(len(middle), max(FEWEST, int(np.ceil(probe * len(middle)))))
+    middle = centres(turned(_matrix(some), False), max(1, min(LISTS, int(np.sqrt(n)))))
+    own_norms = (middle * middle).sum(axis=1)
+    homes = min(len(middle), max(FEWEST, int(np.ceil(HOME * len(middle)))))
+    # Centres among the vectors themselves, and their directions, along which norms spread.
+    plain = (middle @ turn.T)[:, :dims]
+    ray = plain / np.maximum(np.sqrt((plain * plain).sum(axis=1, keepdims=True)), 1e-300)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 m = _matrix(b["v"])
-                t = turned(m, False)
-                at = np.argmin((middle * middle).sum(axis=1)[None, :] - 2 * t @ middle.T, axis=1)
-                yield pd.DataFrame({"list": at, "id": b["id"], "v": [r.tobytes() for r in m], "turned": [r.tobytes() for r in t.astype("<f4")], "bound": 0.0})
-
-    placed = own.mapInPandas(file, "list int, id long, v binary, turned binary, bound double")
-    pages = materialise(_pages(placed, PAGE).drop("bounds"), "lists")
-
-    def visit(first: int, last: int):
+                at = np.argmin(own_norms[None, :] - 2 * turned(m, False) @ middle.T, axis=1)
+                v, small = _packed(m)
+                off = m / scale - plain[at]
+                yield pd.DataFrame({"list": at, "id": b["id"], "v": v, "small": small, "bound": 0.0, "off": (off * off).sum(axis=1), "along": ((off * ray[at]).sum(axis=1)) ** 2})
+
+    placed = materialise(own.mapInPandas(file, f"{PLACED}, off double, along double"), "filed")
+    spread = placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("off").alias("off"), F.avg("along").alias("along")).collect()  # at most LISTS rows
+    size, along, across = np.zeros((3, len(middle)))
+    for r in spread:
+        size[r["list"]], along[r["list"]], across[r["list"]] = r["n"], r["along"], max(0.0, r["off"] - r["along"]) / max(1, dims - 1)
+    pages = materialise(_pages(placed.drop("off", "along"), PAGE).drop("bounds"), "lists")
+
+    def visit(home: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    m = _matrix(b["v"])
+                    m, bound = _matrix(b["v"]), b["bound"].to_numpy()
                     t = turned(m, True)
-                    near = np.argsort((middle * middle).sum(axis=1)[None, :] - 2 * t @ middle.T, axis=1, kind="stable")[:, first:last]
-                    at, v, w = np.repeat(np.arange(len(m)), near.shape[1]), [r.tobytes() for r in m], [r.tobytes() for r in t.astype("<f4")]
-                    yield pd.DataFrame({"list": near.reshape(-1), "id": b["id"].to_numpy()[at], "v": [v[i] for i in at], "turned": [w[i] for i in at], "bound": b["bound"].to_numpy()[at]})
+                    apart = np.maximum(0, (t * t).sum(axis=1)[:, None] + own_norms[None, :] - 2 * t @ middle.T)
+                    order = np.argsort(apart, axis=1, kind="stable")
+                    if home:
+                        row, col = np.repeat(np.arange(len(m)), homes), order[:, :homes].reshape(-1)
+                    else:
+                        q = m / scale
+                        norm, met = (q * q).sum(axis=1), (q @ ray.T) ** 2
+                        least = (norm + largest - bound) / 2  # the k-th inner product so far
+                        wanted = size[None, :] * _above(least[:, None], q @ plain.T, met * along + np.maximum(0, norm[:, None] - met) * across)
+                        np.put_along_axis(wanted, order[:, :homes], 0, axis=1)
+                        best = np.argsort(-wanted, axis=1, kind="stable")
+                        most = np.take_along_axis(wanted, best, axis=1)
+                        run_ = np.cumsum(most, axis=1)
+                        share = np.where(np.isinf(bound), 1.0, expected)[:, None]  # whoever has no k yet visits all
+                        row, at = np.nonzero((most > 0) & (run_ - most < share * run_[:, -1:]))
+                        col = best[row, at]
+                    v, small = _packed(m)
+                    yield pd.DataFrame({"list": col, "id": b["id"].to_numpy()[row], "v": [v[i] for i in row], "small": [small[i] for i in row], "bound": bound[row]})
 
         return run
 
-    def scanned(asked: DataFrame, first: int, last: int) -> DataFrame:
-        visits = asked.mapInPandas(visit(first, last), "list int, id long, v binary, turned binary, bound double")
-        batch = _pages(visits, BATCH).toDF("list", "q_ids", "q_vectors", "q_turned", "bounds")
-        return pages.join(batch, "list").mapInPandas(_scan(dims, k), FOUND)
+    def scanned(asked: DataFrame, home: bool) -> DataFrame:
+        visits = asked.mapInPandas(visit(home), PLACED)
+        batch = _pages(visits, BATCH).toDF("list", "q_small", "q_ids", "q_vectors", "bounds")
+        return pages.join(batch, "list").mapInPandas(_scan(k, turned), FOUND)
 
-    home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("inf"))), 0, 1), k), "home")
-    # The distance of the k-th neighbour so far: |q|^2 + M^2 - 2 <q, x>.
+    home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("inf"))), True), k), "home")
+    # The squared distance of the k-th neighbour so far: |q|^2 + M^2 - 2 <q, x>.
     kth = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("score"))
-    bound = F.coalesce(norm2 + F.lit(float(largest)) - 2 * F.col("score"), F.lit(float("inf")))
+    bound = F.coalesce(norm2 + F.lit(float(largest)) - 2 * (F.col("score") / scale / scale), F.lit(float("inf")))
     second = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", bound.alias("bound"))
-    found = home.select("query_id", "vec_id", "score").unionByName(scanned(second, 1, probes))
+    found = home.select("query_id", "vec_id", "score").unionByName(scanned(second, False))
     return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
