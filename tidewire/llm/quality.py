@@ -147,14 +147,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns.
 
-    The model is a few thousand numbers, so texts are scored where they are read; a
-    first pass over the labelled rows alone fits it.
+    Texts are read once: the statistics are written beside the rows, the labelled ones
+    of them meet the labels, and the rows are then chosen where they are.
     """
-    own = docs.select("doc_id", "text").join(labels.where("quality in (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit(materialise(describe(own), "described"), labels)
+
+    @F.pandas_udf("array<double>")
+    def described(text: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in text], dtype=object)
+
+    # A row travels as one column, so names of other columns can't clash.
+    own = materialise(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), described(text_of(docs)).alias("x")), "described")
+    model = fit(own.select(F.col("row.doc_id").cast("long").alias("doc_id"), "x"), labels)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([features(t) for t in text])) if model and len(text) else np.full(len(text), 0.5))
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_numpy())) if model and len(x) else np.full(len(x), 0.5))
 
-    return docs.where(score(text_of(docs)) >= threshold)
+    return own.where(score("x") >= threshold).select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewire.llm.common import materialise, partitions, text_of
+from tidewire.llm.common import join_classes, materialise, maybe_in, partitions, text_of
 from tidewire.llm.graph import connected_components, forest
 
 MAX_BITS = 4
@@ -253,38 +253,36 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     has a doc_id).  Rows with one text always share a component, since equal
     fingerprints do.
     """
-    return _groups(docs, bits).select("doc_id", "fp", "component_id")
+    own = materialise(fingerprints(docs), "fingerprints")
+    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "classes")
+    return join_classes(own, _grouped(classes, bits).select("fp", "times", F.col("low").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
-def _groups(docs: DataFrame, bits: int) -> DataFrame:
-    """As ``near_duplicates``, with a fingerprint that names the row's group."""
-    own = materialise(fingerprints(docs), "fingerprints")
-    fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = connected_components(links(fps, bits)).withColumnRenamed("node", "fp")
-    joined = parts.join(fps, "fp")
-    low = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    moved = parts.join(low, "component").select("fp", "component", "component_id")
-    whole = fps.join(moved, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
-    return own.join(whole, "fp").select("doc_id", "fp", "group", "component_id")
+def _grouped(classes: DataFrame, bits: int) -> DataFrame:
+    """``classes``, a row a fingerprint with the least of its rows as ``first``, with group and low, the least ``first`` of the group."""
+    parts = connected_components(links(classes.select("fp"), bits)).toDF("fp", "group")
+    parts = materialise(parts, "parts")
+    low = materialise(parts.join(classes, "fp").groupBy("group").agg(F.min("first").alias("low"), F.count("*").alias("times")), "groups")
+    moved = join_classes(parts, low, "group").select("fp", "group", "low")
+    return classes.join(moved, "fp", "left").withColumn("low", F.when(F.col("group").isNull(), F.col("first")).otherwise(F.col("low"))).withColumn("group", F.coalesce("group", "fp"))
 
 
 def keep_one(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, one a group.
+    """One row of each near-duplicate group of ``docs``, with its columns: that with the smallest doc_id.
+
+    Rows are decided by their own texts, so rows of one doc_id whose texts are no near
+    copies all stay, and repeated rows stay once.  Null ids come last; of rows alike in
+    doc_id the smaller fingerprint stays, then the smaller hash of the text.
 
-    Where a doc_id stands on rows with differing texts, each row is decided by its own
-    group.  A row without a doc_id can't be told from another such row, so it stays
-    unless its group has a doc_id; repeated rows of a doc_id are one document and stay once.
+    Texts are read once.  Only rows that may go, by a test against bits of fixed size,
+    are shuffled with their texts.
     """
-    found = materialise(_groups(docs, bits), "groups")
-    several = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id"), "several")
-    firsts = found.where("doc_id = component_id")
-    kept = firsts.join(several, "doc_id", "left_anti").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    # Of rows with one id in one group, that with the smallest fingerprint stays.
-    chosen = firsts.join(several, "doc_id", "left_semi").groupBy("group").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_wanted"))
-    mixed = docs.join(several, "doc_id", "left_semi").select(*docs.columns)
-    mixed = mixed.withColumn("_fp", fingerprint_of(text_of(mixed))).join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_wanted")), "left_semi")
-    own = own.unionByName(mixed.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_wanted")).distinct()
-    rest = docs.where("doc_id is null").withColumn("_fp", fingerprint_of(text_of(docs))).join(nameless, F.col("_fp") == F.col("_wanted"), "left_semi")
-    return own.unionByName(rest.select(*docs.columns))
+    # A row travels as one column, so names of other columns can't clash.
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), fingerprint_of(text_of(docs)).alias("fp"), F.xxhash64(text_of(docs)).alias("h"), F.monotonically_increasing_id().alias("id"))
+    own = materialise(own, "marked")
+    rank = F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("doc_id"), "fp", "h", "id")
+    classes = materialise(own.groupBy("fp").agg(F.min(rank).alias("first")), "classes")
+    kept = _grouped(classes, bits).select("low.id").distinct()
+    gone = materialise(own.select("id").join(kept, "id", "left_anti"), "gone")
+    own = own.withColumn("may_go", maybe_in(F.xxhash64("id"), gone.select(F.xxhash64("id").alias("h"))))
+    return own.where("not may_go").select("row.*").unionByName(own.where("may_go").join(gone, "id", "left_anti").select("row.*"))
