@@ -7,8 +7,9 @@ digits with single blanks between them) is a candidate.
 Patterns and the strings that they introduce form a weighted graph, on which confidence
 is passed to and fro: a pattern is as reliable as the share of all its occurrences in
 the corpus that introduce known identifiers, and a string is an identifier unless all
-patterns that introduce it fail.  Patterns of high confidence finally add the candidates
-that they introduce.
+patterns that introduce it fail.  Strings of high confidence are instances like the seeds:
+in the next round the other words that introduce them become patterns, too.  Patterns of
+high confidence finally add the candidates that they introduce.
 
 Positions come from splitting a text by the pattern that was extracted from it: the
 lengths of what lies between and of the matches add up.  Regular expressions are linear:
@@ -18,31 +19,33 @@ repeats, and runs are only tried from their start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import WORD, materialise, text_of
+from tidewire.llm.common import WORD, materialise, maybe_in, text_of
 
+SPANS = "array<struct<s:int,k:int,e:int>>"
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a separator inside a chain; a text's own such characters are replaced first.
 MARK, OTHER = "\ue000", "\ue001"
 
-#: Distinct strings of one kind that a pattern must introduce; confidence that it must have; added to its occurrences; rounds.
-SUPPORT, CONFIDENT, PRIOR, ROUNDS = 3, 0.6, 1.0, 3
-MOST = 64
+#: Distinct strings of one kind that a pattern must introduce; confidence that patterns and strings must have; added to a pattern's occurrences; rounds at most.
+SUPPORT, CONFIDENT, PRIOR, ROUNDS = 3, 0.6, 1.0, 4
+#: A pattern's words are of this length at most.
+MOST = 128
 
 _BLANK = r"\x20\x09-\x0D"
-#: Whatever looks like an identifier: 5 characters or more with a digit or @; marks around it don't belong to it.
+#: Whatever looks like an identifier: 3 characters or more with a digit or @; marks around it don't belong to it.
 _PART = "A-Za-z0-9@._%+()/-"
 _END = "[A-Za-z0-9@_%+/-]"
-CANDIDATE = rf"(?<![{_PART}])\(*+(?=[A-Za-z._%+()/-]*+[0-9@])[A-Za-z0-9+][{_PART}]{{3,}}[A-Za-z0-9](?!{_END})"
+CANDIDATE = rf"(?<![{_PART}])\(*+(?=[A-Za-z._%+()/-]*+[0-9@])[A-Za-z0-9+][{_PART}]+[A-Za-z0-9](?!{_END})"
 #: A blank between two groups of digits, and identifiers of several such groups, with MARK for the blank.
 GAP = r"(?<=[0-9]\)?)\x20(?=\(?[0-9])"
-CHAIN = rf"(?<![{_PART}])[(+]*+[0-9][0-9().{MARK}-]{{3,}}[0-9](?!{_END})"
+CHAIN = rf"(?<![{_PART}])[(+]*+[0-9][0-9().{MARK}-]+[0-9](?!{_END})"
 #: Matches whose places are added up in one array at a time.
 RUN = 256
-#: Bits of the test that word pairs pass before they are counted (512 KB).
-BITS = 1 << 22
 
 
 def _none() -> Column:
@@ -115,18 +118,35 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of_kind(n, x) for n, x in enumerate(found))))
 
 
-def _covered(text: Column, spans: Column) -> Column:
-    """The text with OTHER for every character of the spans, which are in order of start."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _rewritten(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``put(span, end of the spans before)`` for the spans, which are in order of start.
+
+    Spans are taken in runs, each with its part of the text, so that a text with very
+    many costs no square of them.
+    """
+    runs = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(RUN)), lambda i: F.slice(spans, i, RUN))
+    ends = F.transform(runs, lambda r: F.array_max(F.transform(r, lambda x: x["e"])))
+    first = F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: F.coalesce(F.array_max(F.slice(ends, 1, i)), F.lit(0)))
+    parts = F.zip_with(runs, first, lambda r, at: F.struct(r.alias("r"), at.alias("at"), F.substring(text, at + 1, F.array_max(F.transform(r, lambda x: x["e"])) - at).alias("part")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s, e = F.greatest(acc["at"], x["s"]), F.greatest(acc["at"], x["e"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(OTHER), e - s))).alias("out"))
+    def rewrite(run: Column) -> Column:
+        start = F.struct(run["at"].alias("at"), F.array().cast("array<string>").alias("out"))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.substring(run["part"], acc["at"] - run["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, put(x, acc["at"]))).alias("out"))
+
+        return F.aggregate(run["r"], start, step, lambda acc: F.array_join(acc["out"], ""))
+
+    done = F.concat(F.array_join(F.transform(parts, rewrite), ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def _covered(text: Column, spans: Column) -> Column:
+    """The text with OTHER for every character of the spans."""
+    return _rewritten(text, spans, lambda x, at: F.repeat(F.lit(OTHER), x["e"] - F.greatest(at, x["s"])))
+
+
 def _opened(found: Column) -> Column:
     """Matches without those brackets at their start that they don't close."""
 
@@ -175,76 +195,77 @@ def _labels(word: Column) -> Column:
     return F.transform(ends, lambda i: F.substring(word, F.lit(1), i))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, h, base, seen: a row a row of ``docs``; seen has every base span and candidate with its patterns.
+def scan(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """id, doc_id, base, seen: a row a row of ``docs``, with its columns as ``row`` if asked; seen has every base span and candidate with its patterns.
 
-    ``k`` is the kind, -1 for a candidate.  ``h`` tells texts apart where ids repeat.
+    ``k`` is the kind, -1 for a candidate.  Once written, ``id`` names the row.
     """
     text = F.col("text")
-    own = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if rows else []
+    own = docs.select(*row, "doc_id", text_of(docs).alias("text"), F.monotonically_increasing_id().alias("id"))
     own = own.withColumn("base", base_spans(text))
     own = with_candidates(own)
     seen = F.concat("base", F.transform("free", lambda c: F.struct(c["s"].alias("s"), F.lit(-1).alias("k"), c["e"].alias("e"), c["v"].alias("v"))))
     seen = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), _before(text, x["s"]).alias("p")))
-    return own.select("doc_id", "h", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"))).alias("base"), seen.alias("seen"))
-
-
-def _bits(hashes: DataFrame) -> Column:
-    """array<long> of ``BITS`` bits, as a scalar subquery: those set at which some ``h`` of ``hashes`` falls; its size doesn't depend on the data."""
-    at = hashes.select(F.pmod("h", F.lit(BITS)).alias("at"))
-    words = at.groupBy(F.expr("at div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("word"))
-    dense = hashes.sparkSession.range(BITS // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"])).scalar()
+    base = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
+    return own.select("id", "doc_id", base.alias("base"), seen.alias("seen"), *(["row"] if rows else []))
 
 
 def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(p, n): how often each of the wanted patterns occurs in all texts, whatever follows.
 
-    Pairs of words that no wanted pattern has mostly fail a test against bits of fixed
-    size; the others are counted where they are, then shuffled, and joined last.
+    What is no wanted pattern mostly fails a test against bits of fixed size; the rest
+    is counted where it is, then shuffled, and joined last, so the counts are exact.
     """
     words = docs.select(F.split(F.lower(text_of(docs)), rf"[{_BLANK}]+").alias("w"))
     next_to = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("x")).select("x.a", "x.b")
-    pair = wanted.where(F.contains("p", F.lit(" "))).select("p", F.substring_index("p", " ", 1).alias("a"), F.substring_index("p", " ", -1).alias("b"))
-    label = wanted.where(~F.contains("p", F.lit(" "))).select("p")
-    place = F.pmod(F.xxhash64("a", "b"), F.lit(BITS))
-    word = F.get(_bits(pair.select(F.xxhash64("a", "b").alias("h"))), F.floor(place / 64).cast("int"))
-    pairs = next_to.where(F.call_function("getbit", word, (place % 64).cast("int")) == 1).groupBy("a", "b").agg(F.count("*").alias("n")).join(pair, ["a", "b"]).select("p", "n")
-    labelled = next_to.where(F.contains("a", F.lit(":")) | F.contains("a", F.lit("="))).select(F.explode(_labels(F.col("a"))).alias("p"))
-    return pairs.unionByName(labelled.groupBy("p").agg(F.count("*").alias("n")).join(label, "p"))
+    pair = F.array(F.concat_ws(" ", "a", "b"))
+    both = F.when(F.contains("a", F.lit(":")) | F.contains("a", F.lit("=")), F.concat(pair, _labels(F.col("a")))).otherwise(pair)
+    said = next_to.select(F.explode(both).alias("p")).where(maybe_in(F.xxhash64("p"), wanted.select(F.xxhash64("p").alias("h"))))
+    return said.groupBy("p").agg(F.count("*").alias("n")).join(wanted.select("p"), "p")
 
 
-def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(doc_id, h, s, k, e): the candidates that reliable patterns introduce."""
-    edges = scanned.select("doc_id", "h", F.explode("seen").alias("x")).select("doc_id", "h", "x.s", "x.k", "x.e", F.lower("x.v").alias("v"), F.explode("x.p").alias("p"))
-    edges = materialise(edges, "introduced")
-    graph = edges.groupBy("p", "v").agg(F.count("*").alias("n"), F.max("k").alias("k"))
-    seeds = graph.where("k >= 0")
-    kinds = seeds.groupBy("p", "k").agg(F.count("*").alias("support"), F.sum("n").alias("n"))
-    # A pattern has the kind of most of its seeds, ties to the first kind.
-    patterns = kinds.groupBy("p").agg(F.max(F.struct("n", -F.col("k"), F.col("k").alias("kind"), "support")).alias("m"))
-    patterns = materialise(patterns.where(F.col("m.support") >= SUPPORT).select("p", F.col("m.kind").alias("kind")), "patterns")
-    total = materialise(patterns.join(_occurrences(docs, patterns), "p").select("p", "kind", "n"), "occurrences").withColumnRenamed("n", "total")
-    own = materialise(graph.join(total, "p").select("p", "v", "n", "kind", "total", (F.col("k") == F.col("kind")).alias("seed")), "graph")
-    score = own.select("v", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("v").agg(F.max("score").alias("score"))
+def _reliable(graph: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(p, kind): the patterns of high confidence after the bootstrap over ``graph`` (p, v, n, k); None if there are none."""
+    seeds = materialise(graph.where("k >= 0").groupBy("v").agg(F.max("k").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
+    known, total = seeds, None
     for _ in range(ROUNDS):
-        sure = own.join(score, "v").groupBy("p").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + PRIOR)).alias("sure"))
-        told = own.join(sure, "p").groupBy("v").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("sure"), F.lit(1 - 1e-9)))).alias("doubt"))
-        score = told.select("v", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
-        score = materialise(score, "scores")
-    good = own.join(score, "v").groupBy("p", "kind").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + PRIOR)).alias("sure")).where(F.col("sure") >= CONFIDENT)
-    new = edges.where("k < 0").join(good.select("p", "kind"), "p")
-    return new.groupBy("doc_id", "h", "s", "e").agg(F.min("kind").alias("k")).select("doc_id", "h", "s", "k", "e")
+        sure_ones = known.where(F.col("score") >= CONFIDENT)
+        kinds = graph.join(sure_ones, "v").groupBy("p", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("n"))
+        # A pattern has the kind of most of its known strings, ties to the first kind.
+        main = kinds.groupBy("p").agg(F.max(F.struct("n", -F.col("kind"), "kind", "support")).alias("m"))
+        patterns = materialise(main.where(F.col("m.support") >= SUPPORT).select("p", F.col("m.kind").alias("kind")), "patterns")
+        new = patterns if total is None else patterns.join(total, "p", "left_anti")
+        if not new.isEmpty():
+            counts = _occurrences(docs, new)
+            total = materialise(counts if total is None else counts.unionByName(total), "occurrences")
+        elif total is None:
+            return None
+        own = materialise(graph.join(patterns.join(total.withColumnRenamed("n", "total"), "p"), "p"), "graph")
+
+        def sure(score: DataFrame) -> DataFrame:
+            """How reliable each pattern is, by the strings of its kind."""
+            met = own.join(score.withColumnRenamed("kind", "of"), "v", "left")
+            good = F.when(F.col("of") == F.col("kind"), F.col("n") * F.col("score")).otherwise(0.0)
+            return met.groupBy("p", "kind").agg((F.sum(good) / (F.max("total") + PRIOR)).alias("sure"))
+
+        doubt = F.sum(F.log1p(-F.least(F.col("sure"), F.lit(1 - 1e-9))))
+        told = own.select("p", "v").join(sure(known), "p").groupBy("v", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        told = told.groupBy("v").agg(F.max(F.struct("score", -F.col("kind"), "kind")).alias("m")).select("v", "m.kind", "m.score")
+        known = materialise(seeds.unionByName(told.join(seeds, "v", "left_anti")), "known")
+    return sure(known).where(F.col("sure") >= CONFIDENT).select("p", "kind")
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h, base, more: a row a row of ``docs``."""
-    scanned = materialise(scan(docs), "scanned")
-    new = discover(docs, scanned).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("more"))
-    new = new.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-    own = scanned.select("doc_id", "h", "base")
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return own.join(new, own["doc_id"].eqNullSafe(new["d"]) & (own["h"] == new["g"]), "left").select("doc_id", "h", "base", F.coalesce("more", none).alias("more"))
+def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(id, more): the candidates (s, k, e) that reliable patterns introduce, in order, for the rows that have some."""
+    edges = scanned.select("id", F.explode("seen").alias("x")).select("id", "x.s", "x.k", "x.e", F.lower("x.v").alias("v"), F.explode("x.p").alias("p"))
+    edges = materialise(edges, "introduced")
+    graph = materialise(edges.groupBy("p", "v").agg(F.count("*").alias("n"), F.max("k").alias("k")), "graph")
+    good = _reliable(graph, docs)
+    new = edges.where("k < 0")
+    new = new.limit(0).withColumn("kind", F.lit(0)) if good is None else new.join(good, "p")
+    new = new.groupBy("id", "s", "e").agg(F.min("kind").alias("k"))
+    return new.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("more"))
 
 
 def _written(spans: Column) -> Column:
@@ -260,7 +281,8 @@ def find(docs: DataFrame) -> DataFrame:
     string.  Null and repeated ids are rows like any other.  Without seeds, or without
     reliable patterns, nothing is added.
     """
-    own = _spans(docs)
+    own = materialise(scan(docs), "scanned")
+    own = own.join(discover(docs, own), "id", "left").select("doc_id", "base", F.coalesce("more", F.array().cast(SPANS)).alias("more"))
 
     def count(n: int) -> Column:
         return F.size(F.filter("base", lambda x: x["k"] == n)).cast("long")
@@ -272,20 +294,22 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind, as in ``[EMAIL]``, and n_chars (where it is a column) set anew.
 
-    Rows without spans come back as they were.  Overlapping spans become one, with the kind of the first.
+    Rows without spans come back as they were.  Overlapping spans become one, with the kind
+    of the first.  Texts are read and searched once; only rows that may have spans of the
+    bootstrap, by a test against bits of fixed size, are shuffled with their texts.
     """
-    new = discover(docs, materialise(scan(docs), "scanned")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "k", "e")).alias("_more"))
-    new = new.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
-    text = text_of(docs)
-    own = docs.join(new, docs["doc_id"].eqNullSafe(new["_d"]) & (F.xxhash64(text) == new["_h"]), "left")
-    base = F.transform(base_spans(F.col("text")), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
-    own = own.withColumn("_spans", F.array_sort(F.concat(F.coalesce(base, F.array().cast("array<struct<s:int,k:int,e:int>>")), F.coalesce("_more", F.array().cast("array<struct<s:int,k:int,e:int>>")))))
+    own = materialise(scan(docs, rows=True), "scanned")
+    new = materialise(discover(docs, own), "discovered")
+    own = own.select("id", "row", "base").withColumn("may", maybe_in(F.xxhash64("id"), new.select(F.xxhash64("id").alias("h"))))
+    none = F.array().cast(SPANS)
+    own = own.where("not may").select("row", F.col("base").alias("spans")).unionByName(
+        own.where("may").join(new, "id", "left").select("row", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    )
     name = lambda k: F.element_at(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k + 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, x: F.when(
-        x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), name(x["k"]))).alias("out"))
-    ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    own = own.withColumn("_text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
-    changed = {"text": F.col("_text"), "n_chars": F.when(F.size("_spans") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return own.select(*((changed[c].alias(c) if c in changed else docs[c]) for c in docs.columns))
+    own = own.withColumn("done", _rewritten(F.col("row.text"), F.col("spans"), lambda x, at: F.when(x["s"] >= at, name(x["k"])).otherwise("")))
+    some = F.size("spans") > 0
+    changed = {"text": F.when(some, F.col("done")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(some, F.length("done").cast(kind)).otherwise(F.col("row.n_chars"))
+    return own.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
