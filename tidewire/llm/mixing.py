@@ -26,9 +26,9 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def place(doc_id: Column) -> Column:
-    """36 bits of the id's MD5, which other engines compute alike."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
+def place(doc_id: Column, text: Column) -> Column:
+    """36 bits of the MD5 of the id, or of the text where there is none; other engines compute them alike."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text).cast("binary")), 1, 9), 16, 10).cast("long")
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -51,7 +51,7 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(text_of(docs)).alias("size"), place(docs["doc_id"]).alias("place"))
+    return docs.select("doc_id", "source", n_words(text_of(docs)).alias("size"), place(docs["doc_id"], text_of(docs)).alias("place"))
 
 
 def cutoffs(own: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, levels: tuple = LEVELS) -> DataFrame:
@@ -94,8 +94,8 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     A source's target over its size gives the whole number of times that each of its
     documents is taken; the rest of the target is met by the documents whose place lies
     below the source's threshold, which are taken once more.  Null texts have size 0, as
-    have texts without words.  Null sources are a source, the last; null ids share a
-    place, as repeated ids do, and are taken together.  If nothing has a word, nothing is
+    have texts without words.  Null sources are a source, the last.  Rows of one
+    id share a place and are taken together, as are rows without ids that have one text.  If nothing has a word, nothing is
     taken and targets are 0.
     """
     own = materialise(sizes(docs), "sizes")
@@ -111,7 +111,7 @@ def repeat(docs: DataFrame, **settings) -> DataFrame:
     """
     goal = cutoffs(materialise(sizes(docs), "sizes"), **settings).withColumnRenamed("source", "_source")
     # A row travels as one column, so names of other columns can't clash.
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), place(docs["doc_id"]).alias("place"))
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), place(docs["doc_id"], text_of(docs)).alias("place"))
     has_words = F.coalesce(F.col("_row.text"), F.lit("")).rlike(WORD)
     out = own.join(goal, F.col("_row.source").eqNullSafe(F.col("_source"))).withColumn("_times", _times(has_words))
     return out.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select("_row.*")
