@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import mixing, packing, pii, quality, simhash
-from tidewire.llm.common import materialise, table
+from tidewire.llm.common import drop_table, scratch, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:  # what a stage wrote on its way goes once its result is written
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if former is not None:
+            drop_table(former)
+        former = docs
     return STAGES[-1][1](spark, docs, sf_dir)
