@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 #: Parts whose ids a worker keeps, about 40 bytes each; the half used last stays when they are more.
 KEPT = 1_500_000
 #: New parts that are encoded in a call, and characters of text that are split at a time.
-TOGETHER, AT_ONCE = 1000, 4_000_000
+TOGETHER, AT_ONCE = 1000, 6_000_000
 #: White space other than blanks and line feeds, by any definition of it; and the sign of a text's first word.
 OTHER_SPACE = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"
 #: Latin letters, which have one form only, and marks behind them, which are never one piece with a letter.
@@ -58,6 +58,23 @@ def _gather(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ids[np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + n, n)]
 
 
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 257)], np.uint64)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    n = np.diff(ends)
+    out = np.zeros(len(words), np.uint64)
+    if len(words) and ends[-1] > ends[0]:
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        start = ends[:-1] - ends[0]
+        place = np.arange(len(raw)) - np.repeat(start, n)
+        out[n > 0] = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 255], start[n > 0])
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers in bytes."""
 
@@ -79,6 +96,7 @@ class Encoder:
         # What is kept: words, where their ids start, how many they are, when they were used last, and the ids.
         self.words = pa.array([], pa.string())
         self.first, self.n, self.used, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the words, in order, and their places
         self.now = 0
 
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,13 +190,15 @@ class Encoder:
         """Where the words are kept; new ones are learnt."""
         self.now += 1
         if len(self.words) > KEPT:
-            stay = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
-            stay &= self.used > self.used.min()
-            self.words = self.words.filter(pa.array(stay))
-            self.known = _gather(self.known, self.first[stay], self.n[stay])
-            self.n, self.used = self.n[stay], self.used[stay]
-            self.first = np.cumsum(self.n) - self.n
-        at = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
+            self._forget()
+        keys = _hashes(words)
+        by = np.argsort(keys)  # in order, so neighbours are looked for side by side
+        near = np.minimum(np.searchsorted(self.keys, keys[by]), len(self.keys) - 1)
+        at = np.full(len(words), -1)
+        hit = by[self.keys[near] == keys[by]] if len(self.keys) else by[:0]
+        maybe = self.where[near[self.keys[near] == keys[by]]] if len(self.keys) else hit
+        same = pc.equal(words.take(pa.array(hit)), self.words.take(pa.array(maybe))).to_numpy(False)  # words with one hash are told apart
+        at[hit[same]] = maybe[same]
         new = np.flatnonzero(at < 0)
         if len(new):
             more = words.take(pa.array(new))
@@ -187,9 +207,23 @@ class Encoder:
             self.first = np.concatenate([self.first, len(self.known) + np.cumsum(n) - n])
             self.words, self.known = pa.concat_arrays([self.words, more]), np.concatenate([self.known, ids])
             self.n, self.used = np.concatenate([self.n, n]), np.concatenate([self.used, np.zeros(len(n), np.int64)])
+            by = new[np.argsort(keys[new])]
+            place = np.searchsorted(self.keys, keys[by])
+            self.keys, self.where = np.insert(self.keys, place, keys[by]), np.insert(self.where, place, at[by])
         self.used[at] = self.now
         return at
 
+    def _forget(self) -> None:
+        """Keep the half of the words that were used last."""
+        stay = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        stay &= self.used > self.used.min()
+        self.words = self.words.filter(pa.array(stay))
+        self.known = _gather(self.known, self.first[stay], self.n[stay])
+        self.n, self.used = self.n[stay], self.used[stay]
+        self.first = np.cumsum(self.n) - self.n
+        kept = stay[self.where]
+        self.keys, self.where = self.keys[kept], (np.cumsum(stay) - 1)[self.where[kept]]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         held, size = [], 0
@@ -214,7 +248,7 @@ class Encoder:
         return [odd[slice(*next(plain))].tobytes() if w else raw[slice(*next(spans))] for w in whole]
 
 
-def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
     """Batches in smaller ones: what a text becomes is larger than the text."""
     for x in batches:
         for s in range(0, max(len(x), 1), rows):
