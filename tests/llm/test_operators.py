@@ -134,6 +134,18 @@ def test_encoder_equals_the_tokenizers():
                 assert ids == np.array(fresh.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (name, text)
 
 
+def test_encoder_forgets_and_tells_words_of_one_hash_apart(monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(WORDS) + rnd.choice(["", ",", "x", "9", "é"]) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    monkeypatch.setattr(tokens, "AT_ONCE", 2000)
+    for kept, hashes in ((40, tokens._hashes), (1000, lambda w: np.zeros(len(w), np.uint64)), (1000, lambda w, own=tokens._hashes: own(w) % np.uint64(7))):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        monkeypatch.setattr(tokens, "_hashes", hashes)
+        for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+            own, fresh = tokens.Encoder(tokens.public_path(name)), fresh_tokenizer(name)
+            assert own.ids(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_encoder_equals_a_fresh_tokenizer_on_special_tokens():
     from tokenizers import Tokenizer
 
