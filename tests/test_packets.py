@@ -97,17 +97,47 @@ def test_expected_alerts_of_fixtures(analysis, files):
 
 
 def test_secrets_are_nowhere(analysis, tmp_path):
-    text = "\n".join(map(str, analysis.packets.collect())) + json.dumps(R.Report(analysis).json(), default=str) + R.Report(analysis).markdown() + analysis.packets._jdf.queryExecution().toString()
+    text = "\n".join(map(str, analysis.packets.collect())) + "".join(R.Report(analysis).json_lines()) + "".join(R.Report(analysis).markdown_lines()) + analysis.packets._jdf.queryExecution().toString()
     assert "s3cretpw" not in text and "hunter2" not in text and "***REDACTED***" in text
 
 
 def test_reports(analysis):
     own = R.Report(analysis)
-    doc = own.json()
+    doc = json.loads("".join(own.json_lines()))
     assert doc["summary"]["total_alerts"] == 6 and doc["summary"]["alerts_by_severity"] == {"HIGH": 2, "MEDIUM": 4, "LOW": 0} and doc["alerts"][0]["severity"] == "HIGH"
-    assert doc["summary"]["top_offenders"][0] == {"src": "192.168.56.30", "alert_count": 2}
+    assert doc["summary"]["top_offenders"][0] == {"src": "192.168.56.30", "alert_count": 2} and len(doc["alerts"]) == 6
     assert 'tidewire_alerts_total{detector="dns_tunnel",severity="HIGH"} 1' in own.metrics() and 'score_max{detector="ml_anomaly"} 0.0' in own.metrics()
-    assert "### Finding #6" in own.markdown() and "| `192.168.56.30` | 2 |" in own.markdown()
+    text = "".join(own.markdown_lines())
+    assert "\n6. **MEDIUM" in text and "192.168.56.30 | 2 | MEDIUM" in text
+
+
+def test_one_call_and_failing_detectors(spark, files, tmp_path, monkeypatch):
+    from tidewire.plans import analyze
+
+    found = R.run(spark, files["syn_scan"], out_dir=tmp_path / "one", metrics=tmp_path / "one" / "m.txt")
+    assert found.stats["valid_packets"] == 25 and [r.detector for r in found.alerts.collect()] == ["port_scan"] and set(found.reports) == {"json_report", "markdown_report", "metrics_file"}
+    assert len(json.loads((tmp_path / "one" / "report.json").read_text())["alerts"]) == 1
+
+    def broken(packets, config, swept):
+        raise RuntimeError("broken")
+
+    packets = analyze.read_captures(spark, files["syn_scan"])
+    with pytest.raises(RuntimeError):
+        analyze.detect(packets, load_config(), {**analyze.RULES, "dns_tunnel": broken})
+    assert analyze.detect(packets, load_config(), {**analyze.RULES, "dns_tunnel": broken}, keep_going=True).count() == 1
+    assert analyze.detect(packets, load_config(), {"dns_tunnel": broken}, keep_going=True).count() == 0
+
+
+def test_oversized_records_hide_nothing(monkeypatch):
+    import io
+
+    from tidewire.sources import pcap
+
+    monkeypatch.setattr(pcap, "LARGEST", 200)
+    packets = [(C.T0, C.tcp("1.1.1.1", "2.2.2.2", 1, 2, 2)), (C.T0 + 1, C.tcp("1.1.1.1", "2.2.2.2", 1, 2, 2, b"x" * 5000)), (C.T0 + 2, C.tcp("1.1.1.1", "2.2.2.2", 1, 3, 2))]
+    for raw in (C.classic(packets), C.blocks(packets)):
+        rows = list(pcap.packet_rows(io.BytesIO(raw), "c"))
+        assert [(r[3] - C.T0, r[10], r[14]) for r in rows] == [(0, 2, False), (1, None, True), (2, 3, False)]
 
 
 def test_evaluation_and_commands(spark, files, tmp_path, capsys):
@@ -121,12 +151,12 @@ def test_evaluation_and_commands(spark, files, tmp_path, capsys):
     labels.write_text("\n".join(lines))
     found = evaluate_captures(spark, labels, load_config())
     assert found.overall == {"tp": 6, "fp": 0, "fn": 0, "precision": 1.0, "recall": 1.0, "f1": 1.0} and found.by_split["held_out"]["tp"] == 2 and found.by_detector["port_scan"]["tp"] == 2
-    assert "OVERALL" in found.table() and json.loads((tmp_path / "e.json").write_text(json.dumps(found.to_dict())) and (tmp_path / "e.json").read_text())["total_captures"] == 6
+    assert "all                         6 found" in found.table() and json.loads((tmp_path / "e.json").write_text(json.dumps(found.to_dict())) and (tmp_path / "e.json").read_text())["total_captures"] == 6
     assert cli.main(["analyze", files["syn_scan"], "-o", str(tmp_path), "--metrics", str(tmp_path / "m.txt")], spark) == 0
     assert json.loads((tmp_path / "report.json").read_text())["summary"]["total_alerts"] == 1 and (tmp_path / "m.txt").exists() and "[MEDIUM]" in capsys.readouterr().out
     assert cli.main(["analyze", str(tmp_path / "no.pcap")], spark) == 1 and cli.main([], spark) == 1
     model = str(tmp_path / "model")
-    assert cli.main(["train", "--baseline", files["benign"], "--output", model, "--window", "0.5"], spark) == 0
+    assert cli.main(["train", "-b", files["benign"], "-o", model, "--window", "0.5"], spark) == 0
     (tmp_path / "c.yaml").write_text("ml: {window_seconds: 0.5}")
     assert cli.main(["analyze", files["syn_scan"], "-o", str(tmp_path), "-c", str(tmp_path / "c.yaml"), "--ml", "--model", model], spark) == 0
     assert cli.main(["analyze", files["syn_scan"], "-o", str(tmp_path), "--ml", "--model", model], spark) == 1  # windows differ

@@ -121,6 +121,53 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted((r.seq, r.was) for r in stream.collect()) == sorted((r.emit_seq, r.evidence.original_mac) for r in batch.collect()) != []
 
 
+def test_streams_of_names_and_logins_equal_batch(spark, tmp_path):
+    rnd = random.Random(7)
+    cfg = load_config(overrides={"dns_tunnel": {"min_unique_subdomains": 6, "window_seconds": 20}})
+    name = lambda: "".join(rnd.choice("abcdef0123456789") for _ in range(rnd.choice([4, 12, 44]))) + rnd.choice([".x.org", ".y.org"])
+    asked = [(C.T0 + i * 700_000, {"proto": "UDP", "src_ip": f"s{rnd.randrange(2)}", "dst_ip": "d", "dst_port": 53, "dns": (0, 0, 0, name(), rnd.choice([1, 16]))}) for i in range(150)]
+    said = [(C.T0 + i * 9_000_000 + 1, {"src_ip": f"c{rnd.randrange(2)}", "dst_ip": "f", "dst_port": 21, "ftp_cmd": rnd.choice([("USER", f"u{rnd.randrange(2)}"), ("PASS", "x")])}) for i in range(60)]
+    said += [(C.T0 + i * 11_000_000 + 2, {"src_ip": f"c{rnd.randrange(2)}", "dst_ip": "f", "dst_port": 80, "http_auth": (f"h{rnd.randrange(2)}", "x")}) for i in range(40)]
+    p = C.packets(spark, sorted(asked + said, key=lambda r: r[0])).persist()
+    swept = T.sweeps(p, micros(30))
+    batch = D.throttle(D.dns_trips(D.dns_queries(p, cfg), cfg, ["capture", "src_ip", "parent"]), ["capture", "src_ip", "parent"], micros(D.DNS_MUTE))
+    pick = lambda df: sorted((r.seq, r.names, r.records, r.total, r.single, r.volume, r.record) for r in df.collect())
+    assert pick(run_stream(spark, p, tmp_path / "dns", lambda s: S.dns_emissions(s, cfg))) == pick(batch) != []
+    batch = D.cleartext_creds(p, cfg, swept)
+    stream = run_stream(spark, p, tmp_path / "login", lambda s: S.logins(s, cfg))
+    assert sorted((r.seq, r.protocol, r.username) for r in stream.collect()) == sorted((r.emit_seq, r.evidence.protocol, r.evidence.username) for r in batch.collect()) != []
+
+
+def test_order_statistics(spark, monkeypatch):
+    from tidewire.operators import features as X
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(X, "BUCKETS", 4)
+    a = [rnd.choice([0.0, 1.5, rnd.random(), 1e12 * rnd.random(), -rnd.random()]) for _ in range(700)]
+    b = [3.0] * 650 + [rnd.random() for _ in range(50)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double").repartition(3)
+    ranks = [0, 1, 49, 50, 349, 350, 698, 699]
+    got = X.order_statistics(df, {"a": ranks, "b": ranks})
+    assert got == {(c, k): sorted(v)[k] for c, v in (("a", a), ("b", b)) for k in ranks}
+
+
+def test_sweep_clock_over_many_slices(spark, monkeypatch):
+    rnd = random.Random(3)
+    monkeypatch.setattr(T, "CLOCK_SLICE", 3)
+    rows, want = [], []
+    for c in range(6):
+        us, last = 5, None
+        for _ in range(300):
+            us += rnd.randrange(1, (4, 20, 70, 500, 2, 90)[c])
+            rows.append((f"c{c}", us))
+            if last is None or us - last >= 50:
+                if last is not None:
+                    want.append((f"c{c}", us))
+                last = us
+    got = T.sweeps(spark.createDataFrame(rows, "capture string, us long").repartition(4), 50)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_stream_features_of_closed_windows(spark, tmp_path):
     from tidewire.operators.features import flow_windows
 

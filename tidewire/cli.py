@@ -26,16 +26,17 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--ml", action="store_true")
     a.add_argument("--model")
     a.add_argument("--metrics", metavar="FILE")
+    a.add_argument("--keep-going", action="store_true", help="leave out detectors that fail, and say so")
     e = commands.add_parser("evaluate", help="score detection on labelled captures")
     e.add_argument("--labels", "-l", default="data/labels.yaml")
     e.add_argument("--config", "-c")
-    e.add_argument("--dataset-dir", "-d", default=".")
+    e.add_argument("--dataset-dir", "-d", "--base-dir", "-b", default=".")
     e.add_argument("--out", "-o")
     e.add_argument("--ml", action="store_true")
     e.add_argument("--model")
     t = commands.add_parser("train", help="fit the anomaly model on benign captures")
-    t.add_argument("--baseline", nargs="+", required=True)
-    t.add_argument("--output", default="models/iforest")
+    t.add_argument("--baseline", "-b", nargs="+", required=True)
+    t.add_argument("--output", "-o", default="models/iforest")
     t.add_argument("--config", "-c")
     t.add_argument("--window", type=float)
     t.add_argument("--contamination", type=float)
@@ -61,9 +62,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         config = load_config(args.config, overrides(args))
         spark = spark or SparkSession.builder.appName("tidewire").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if args.command == "analyze":
-            own = report.Report(analyze.analyse_captures(spark, args.capture, config=config))
-            own.summary(sys.stdout)
-            for name, path in report.write_reports(own, args.out_dir, not args.no_json, not args.no_markdown, args.metrics).items():
+            found = report.run(spark, args.capture, config=config, out_dir=args.out_dir, as_json=not args.no_json, as_markdown=not args.no_markdown, metrics=args.metrics, to=sys.stdout, keep_going=args.keep_going)
+            for name, path in found.reports.items():
                 if path:
                     print(f"{name}: {path}")
         elif args.command == "evaluate":

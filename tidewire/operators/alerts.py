@@ -43,8 +43,10 @@ def merge(raw: DataFrame, gap_us: int) -> DataFrame:
     parts = rows.groupBy(*key, "island").agg(
         F.count("*").cast("int").alias("n"), F.min_by(F.struct("id", "dst", "summary", "evidence", "severity"), first).alias("f"), F.min(F.struct(*order)).alias("seen"),
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("severity_rank").alias("severity_rank"), F.max("score").alias("score"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence.sample_ports")))).alias("ports"), F.sum("evidence.total_probes").alias("probes"), F.max("evidence.distinct_ports_count").alias("reported"),
+        F.sum("evidence.total_probes").alias("probes"), F.max("evidence.distinct_ports_count").alias("reported"),
     )
+    united = rows.select(*key, "island", F.explode("evidence.sample_ports").alias("port")).groupBy(*key, "island").agg(F.array_sort(F.collect_set("port")).alias("ports"))  # 65,536 at most
+    parts = parts.join(united, [*key, "island"], "left").withColumn("ports", F.coalesce("ports", F.array().cast("array<int>")))
     many = F.col("n") > 1
     scan = many & (F.col("detector") == "port_scan")
     span = N.seconds(F.greatest(F.lit(1000), F.col("end_us") - F.col("start_us")))
@@ -65,9 +67,22 @@ def rank_order() -> list[Column]:
     return [F.desc("severity_rank"), F.desc("score"), F.asc("start_us"), F.asc("emit_seq"), F.asc("emit_ord"), F.asc("id")]
 
 
+#: Seconds of a capture whose alerts are ranked in one task.
+RANK_SLICE = 3600
+
+
 def ranked(alerts: DataFrame) -> DataFrame:
-    """Adds each alert's rank in its capture."""
-    return alerts.withColumn("rank", F.row_number().over(Window.partitionBy("capture").orderBy(*rank_order())))
+    """Adds each alert's rank in its capture.
+
+    Alerts are ordered within those of their capture, severity, score and hour alone;
+    how many go before such a group follows from the groups' sizes.
+    """
+    group = ["capture", "severity_rank", "score", "_hour"]
+    own = alerts.withColumn("_hour", F.floor(F.col("start_us") / F.lit(RANK_SLICE * 1_000_000)))
+    ahead = Window.partitionBy("capture").orderBy(F.desc("severity_rank"), F.desc("score"), "_hour")
+    before = own.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(ahead) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*rank_order()))
+    return own.withColumn("_place", place).join(before, group).select(*alerts.columns, (F.col("_before") + F.col("_place")).alias("rank"))
 
 
 def serialised(alerts: DataFrame) -> DataFrame:

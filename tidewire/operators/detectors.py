@@ -98,19 +98,24 @@ def port_scan(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us
     out = scan_emissions(rows, cfg, keys, mute_us)
     width = F.when(F.col("kind") == "fast", fast).otherwise(slow)
     near = window_rows(out.withColumn("_w", width), rows, keys, F.col("_w"), max(fast, slow))
-    seen = near.groupBy(*keys, "e_us", "e_seq").agg(
-        F.count("*").alias("probes"), F.min("us").alias("first"), F.sort_array(F.collect_set("dst_port")).alias("ports"), F.sort_array(F.collect_set("dst_ip")).alias("hosts"),
-        F.count_if(F.col("tcp_flags") == "S").alias("syn"), F.count_if(F.col("tcp_flags") == "").alias("null"), F.count_if(F.col("tcp_flags") == "F").alias("fin"), F.count_if(N.is_xmas(F.col("tcp_flags"))).alias("xmas"),
-    )
+    kinds = {"syn": F.col("tcp_flags") == "S", "null": F.col("tcp_flags") == "", "fin": F.col("tcp_flags") == "F", "xmas": N.is_xmas(F.col("tcp_flags"))}
+    mark = [*keys, "e_us", "e_seq"]
+    # Hosts may be very many, so they are counted, and a few are kept; ports are at most 65,536.
+    pairs = near.groupBy(*mark, "dst_ip", "dst_port").agg(F.count("*").alias("probes"), F.min("us").alias("first"), *(F.count_if(c).alias(k) for k, c in kinds.items()))
+    place = F.row_number().over(Window.partitionBy(*mark).orderBy("dst_ip"))
+    few = pairs.select(*mark, "dst_ip").distinct().withColumn("place", place).where("place <= 5").groupBy(*mark).agg(F.sort_array(F.collect_list("dst_ip")).alias("hosts"))
+    ports = pairs.select(*mark, "dst_port").distinct().groupBy(*mark).agg(F.sort_array(F.collect_list("dst_port")).alias("ports"))
+    seen = pairs.groupBy(*mark).agg(F.sum("probes").alias("probes"), F.min("first").alias("first"), F.countDistinct("dst_ip").cast("int").alias("n_hosts"), *(F.sum(k).alias(k) for k in kinds))
+    seen = seen.join(few, mark).join(ports, mark)
     done = out.join(seen.withColumnRenamed("e_us", "us").withColumnRenamed("e_seq", "seq"), [*keys, "us", "seq"])
     kind = F.concat(F.when(F.col("kind") == "slow", "slow_").otherwise(""), scan_type(F.col("probes"), F.col("syn"), F.col("null"), F.col("fin"), F.col("xmas")))
-    n, hosts = F.size("ports"), F.size("hosts")
+    n, hosts = F.size("ports"), F.col("n_hosts")
     span = N.seconds(F.greatest(F.lit(1000), F.col("us") - F.col("first")))
     score = F.round(F.least(F.lit(0.99), F.when(F.col("kind") == "fast", 0.8).otherwise(0.7) + n / 500.0 * 0.2), 4)
     summary = F.concat(F.upper(kind), F.lit(" port scan detected from "), "src_ip", F.lit(": "), n.cast("string"), F.lit(" distinct ports targeted across "), hosts.cast("string"), F.lit(" host(s) in "), F.round(span, 2).cast("string"), F.lit("s"))
     proof = evidence(
         scan_type=kind, distinct_ports_count=n, total_probes=F.col("probes"), sample_ports=F.slice("ports", 1, 10), probe_rate_per_sec=F.round(F.col("probes") / span, 2),
-        window_type=F.col("kind"), target_hosts_count=hosts, sample_target_hosts=F.slice("hosts", 1, 5),
+        window_type=F.col("kind"), target_hosts_count=hosts, sample_target_hosts=F.col("hosts"),
     )
     return alerts(done, "port_scan", "SCAN", 0, F.when(n >= SCAN_HIGH, 3).otherwise(2), F.col("src_ip"), F.when(hosts == 1, F.col("hosts")[0]), F.col("first"), F.col("us"), score, summary, proof)
 
@@ -162,16 +167,28 @@ def arp_claims(packets: DataFrame, cfg: dict[str, Any]) -> DataFrame:
 
 
 def arp_changes(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
-    """Claims that differ from the one before: ``was`` is the former MAC, ``known`` all seen so far."""
-    rows = with_epochs(claims, ["capture", "ip"], swept, micros(cfg["state_ttl_seconds"]))
+    """Claims that differ from the one before: ``was`` is the former MAC."""
     by = Window.partitionBy("capture", "ip", "epoch").orderBy("us", "seq")
-    known = F.sort_array(F.collect_set("mac").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.withColumn("was", F.lag("mac").over(by)).withColumn("known", known).where("was is not null and was <> mac")
+    return arp_lives(claims, cfg, swept).withColumn("was", F.lag("mac").over(by)).where("was is not null and was <> mac")
+
+
+def arp_lives(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
+    return with_epochs(claims, ["capture", "ip"], swept, micros(cfg["state_ttl_seconds"]))
+
+
+def with_known_macs(rows: DataFrame, lives: DataFrame) -> DataFrame:
+    """Adds ``known`` to claims: all MACs that had claimed the address by then, from when each did so first."""
+    key = ["capture", "ip", "epoch"]
+    firsts = lives.groupBy(*key, "mac").agg(F.min(F.struct("us", "seq")).alias("first")).withColumnRenamed("mac", "other")
+    seen = rows.select(*key, "us", "seq").join(firsts, key).where(F.col("first") <= F.struct("us", "seq"))
+    known = seen.groupBy(*key, "us", "seq").agg(F.sort_array(F.collect_list("other")).alias("known"))
+    return rows.join(known, [*key, "us", "seq"])
 
 
 def arp_spoof(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us: int = micros(ARP_MUTE)) -> DataFrame:
     """Addresses that another MAC claims than before."""
-    out = throttle(arp_changes(arp_claims(packets, cfg), cfg, swept), ["capture", "ip", "mac"], mute_us)
+    claims = arp_claims(packets, cfg)
+    out = with_known_macs(throttle(arp_changes(claims, cfg, swept), ["capture", "ip", "mac"], mute_us), arp_lives(claims, cfg, swept))
     summary = F.concat(F.lit("ARP spoofing detected: IP "), "ip", F.lit(" was claimed by "), "mac", F.lit(" (previously mapped to "), "was", F.lit(")"))
     proof = evidence(
         victim_ip=F.col("ip"), original_mac=F.col("was"), spoofed_mac=F.col("mac"), all_known_macs=F.col("known"), is_gratuitous=F.col("is_gratuitous"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewire.schema import FEATURES
 
@@ -52,11 +54,43 @@ def flow_windows(packets: DataFrame, window_seconds: float = 60.0) -> DataFrame:
     return joined.select("capture", F.col("ip").alias("src_ip"), "window_start", (F.col("window_start") + w).alias("window_end"), *(F.round(v.cast("double"), 6).alias(n) for n, v in zip(FEATURES, values)))
 
 
+#: Buckets of a histogram in which a rank is looked for.
+BUCKETS = 1 << 12
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """(column, rank from 0): the value of that rank in a column of finite doubles without nulls, exactly.
+
+    A histogram tells in which bucket a rank lies; the values of that bucket alone then
+    make the next histogram, until they are all alike.  So no task and no driver holds
+    more than BUCKETS counts a rank, however many values there are.
+    """
+    values = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ranks))
+    rows = df.select(F.explode(values).alias("x")).select("x.c", "x.v")
+    ends = {r["c"]: (r["lo"], r["hi"]) for r in rows.groupBy("c").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    sought, out = [(c, k, *ends[c], 0) for c, own in ranks.items() for k in sorted(set(own))], {}
+    while sought:
+        out |= {(c, k): lo for c, k, lo, hi, _ in sought if lo == hi}
+        sought = [x for x in sought if x[2] != x[3]]
+        if sought:
+            goal = F.broadcast(df.sparkSession.createDataFrame(sought, "c string, k long, lo double, hi double, before long"))  # a row a rank
+            bucket = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+            counts = rows.join(goal, "c").where("v between lo and hi").groupBy("c", "k", "before", bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            upto = F.col("before") + F.sum("n").over(Window.partitionBy("c", "k").orderBy("b"))
+            hit = counts.withColumn("upto", upto).where("upto > k and upto - n <= k")
+            sought = [(r["c"], r["k"], r["lo"], r["hi"], r["upto"] - r["n"]) for r in hit.collect()]
+    return out
+
+
 def baseline(windows: DataFrame) -> DataFrame:
     """feature, median, scale: a row a feature; the scale is the population deviation, 1e-6 at least."""
-    stats = windows.agg(*(F.median(f).alias(f"m_{f}") for f in FEATURES), *(F.greatest(F.stddev_pop(f), F.lit(1e-6)).alias(f"s_{f}") for f in FEATURES))
-    rows = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("median"), F.col(f"s_{f}").alias("scale")) for f in FEATURES))
-    return stats.select(F.explode(rows).alias("x")).select("x.feature", "x.median", "x.scale")
+    windows = windows.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = windows.agg(F.count("*").alias("n"), *(F.greatest(F.stddev_pop(f), F.lit(1e-6)).alias(f) for f in FEATURES)).first()
+    n = stats["n"]
+    found = order_statistics(windows, {f: [(n - 1) // 2, n // 2] for f in FEATURES}) if n else {}
+    windows.unpersist()
+    rows = [(f, (found[f, (n - 1) // 2] + found[f, n // 2]) / 2 if n else None, stats[f]) for f in FEATURES]
+    return windows.sparkSession.createDataFrame(rows, "feature string, median double, scale double")
 
 
 def contributors(medians: list[float], scales: list[float], k: int = 3) -> Column:

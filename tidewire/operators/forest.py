@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators.features import baseline
+from tidewire.operators.features import baseline, order_statistics
 from tidewire.schema import FEATURES
 
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -113,8 +114,9 @@ def fit(windows: DataFrame, window_seconds: float, contamination: float = 0.05,
     size = min(sample, n)
     # Every tree has its own hash order; rows are thinned by it first, so few reach the exact choice.
     rate = min(1.0, 4.0 * size / n + 20.0 / n)
-    keyed = windows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "tree", "capture", "src_ip", "window_start")).where(F.col("h").cast("double") < (2 * rate - 1) * float(1 << 63))
+    place = lambda t: F.xxhash64(F.lit(seed), t, "capture", "src_ip", "window_start")
+    few = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t).cast("double") < (2 * rate - 1) * float(1 << 63))
+    keyed = windows.withColumn("tree", F.explode(few)).withColumn("h", place(F.col("tree")))
 
     def tree(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         own = x.sort_values("h").head(size)[list(FEATURES)].to_numpy(float)
@@ -124,7 +126,12 @@ def fit(windows: DataFrame, window_seconds: float, contamination: float = 0.05,
     nodes = keyed.groupBy("tree").applyInPandas(tree, NODES).toPandas()  # trees * 2 * sample rows at most
     base = {r["feature"]: r for r in baseline(windows).collect()}
     model = Forest(nodes, size, 0.0, [base[f]["median"] for f in FEATURES], [base[f]["scale"] for f in FEATURES], float(window_seconds), n)
-    model.offset = scored(windows, model).agg(F.percentile("raw", contamination)).first()[0]
+    raw = scored(windows, model).select("raw").persist(StorageLevel.MEMORY_AND_DISK)
+    at = contamination * (n - 1)  # between two ranks their values are weighed
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    found = order_statistics(raw, {"raw": [low, high]})
+    raw.unpersist()
+    model.offset = found["raw", low] if low == high else (high - at) * found["raw", low] + (at - low) * found["raw", high]
     return model
 
 

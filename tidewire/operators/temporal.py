@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,29 +135,68 @@ def islands(df: DataFrame, keys: list[str], gap_us: int, order: list[str]) -> Da
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
+#: Sweep intervals in a slice of the clock.
+CLOCK_SLICE = 16
+
+
 def sweeps(events: DataFrame, interval_us: int) -> DataFrame:
     """(capture, sweep_us): the times at which a capture's idle state is swept.
 
     The first positive time starts the clock; a sweep happens at the first event at least
-    ``interval_us`` after the start or the last sweep.  That clock is sequential within a
-    capture, so captures are dealt out and each is read in order of time, one number a
-    distinct time, holding only the last sweep.
+    ``interval_us`` after the start or the last sweep.  So whatever happened before, a
+    time slice is left at a sweep that depends on the one at which it was entered only,
+    and a later entry never leaves earlier.  Slices are read side by side: each says where
+    it is left for every entry, which is a table of few rows, since clocks that start
+    apart soon tick alike.  Those tables are then followed from slice to slice, and each
+    slice's sweeps from its entry are told by a second reading.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        capture, last = object(), None
+    span = interval_us * CLOCK_SLICE
+    times = events.where("us > 0").select("capture", "us").distinct().withColumn("part", F.floor(F.col("us") / F.lit(span)).cast("long"))
+
+    def leave(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(x["us"].to_numpy())
+        after = np.searchsorted(us, us + interval_us)
+        last = np.where(after < len(us), after, np.arange(len(us)))
+        while not np.array_equal(last, further := last[last]):  # of each time as a sweep the last sweep in the slice
+            last = further
+        # The first sweep in the slice is a time of its first interval, or the next one after that.
+        own = last[: np.searchsorted(us, us[0] + interval_us) + 1]
+        cut = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+        until = np.r_[cut[1:], len(own)] - 1
+        return pd.DataFrame({"capture": key[0], "part": key[1], "first": us[0], "until": us[until], "last": us[own[cut]]})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        capture, part, clock, entry, found = object(), None, None, None, False
         for b in batches:
             out = []
-            for c, us in zip(b["capture"], b["us"]):
+            for c, p, first, until, last in zip(b["capture"], b["part"], b["first"], b["until"], b["last"]):
                 if c != capture:
-                    capture, last = c, us
-                elif us - last >= interval_us:
-                    last = us
-                    out.append((c, us))
-            yield pd.DataFrame(out, columns=["capture", "sweep_us"])
-
-    times = events.where("us > 0").select("capture", "us").distinct()
-    return times.repartition("capture").sortWithinPartitions("capture", "us").mapInPandas(run, "capture string, sweep_us long")
+                    capture, part, clock = c, None, None
+                if p != part:
+                    part, entry, found = p, clock, False
+                if found:
+                    continue
+                # Rows of a slice are in order of entry; the first that a sweep at ``entry`` reaches holds.
+                if entry is None or until >= entry + interval_us:
+                    found, clock = True, last
+                    out.append((c, p, entry))
+            yield pd.DataFrame(out, columns=["capture", "part", "entry"]).astype({"part": "Int64", "entry": "Int64"})
+
+    def tick(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(x["us"].to_numpy())
+        entry = x["entry"].iloc[0]
+        at, out = (0, []) if pd.isna(entry) else (int(np.searchsorted(us, int(entry) + interval_us)), [])
+        start = pd.isna(entry)
+        while at < len(us):
+            if not start:
+                out.append(us[at])
+            start = False
+            at = int(np.searchsorted(us, us[at] + interval_us))
+        return pd.DataFrame({"capture": key[0], "sweep_us": out})
+
+    tables = times.groupBy("capture", "part").applyInPandas(leave, "capture string, part long, first long, until long, last long")
+    entries = tables.repartition("capture").sortWithinPartitions("capture", "part", "until").mapInPandas(follow, "capture string, part long, entry long")
+    return times.join(entries, ["capture", "part"]).groupBy("capture", "part").applyInPandas(tick, "capture string, sweep_us long")
 
 
 def with_epochs(df: DataFrame, keys: list[str], swept: DataFrame, ttl_us: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from typing import Any
 
@@ -15,8 +16,11 @@ from tidewire.operators.detectors import ARP_MUTE, CREDS_MUTE, RULES, Detector
 from tidewire.operators.features import flow_windows
 from tidewire.operators.forest import Forest, fit
 from tidewire.operators.temporal import sweeps
+from tidewire.schema import ALERTS
 from tidewire.sources.pcap import capture_stats, read_captures
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Analysis:
@@ -29,15 +33,29 @@ class Analysis:
     config: dict[str, Any]
 
 
-def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Detector] | None = None, model: Forest | None = None) -> DataFrame:
+def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Detector] | None = None, model: Forest | None = None, keep_going: bool = False) -> DataFrame:
     """Raw alerts of all detectors; ``detectors`` may add or replace some.
 
-    A detector that fails stops the analysis: errors are not swallowed.
+    A detector that fails stops the analysis, unless it is to ``keep_going``: each
+    detector's alerts are then computed at once, and one that fails is logged and left out.
     """
     if micros(config["state_ttl_seconds"]) < micros(max(CREDS_MUTE, ARP_MUTE)):
         raise ValueError("state_ttl_seconds must not be below the mute times of alerts")
     swept = sweeps(packets, micros(config["sweep_interval_seconds"]))
-    parts = [detector(packets, config, swept) for detector in (detectors or RULES).values()]
+    parts = []
+    for name, detector in (detectors or RULES).items():
+        try:
+            found = detector(packets, config, swept)
+            if keep_going:
+                found = found.persist(StorageLevel.MEMORY_AND_DISK)
+                found.count()
+            parts.append(found)
+        except Exception:
+            if not keep_going:
+                raise
+            log.exception("detector %s failed and is left out", name)
+    if not parts:
+        parts.append(packets.sparkSession.createDataFrame([], ALERTS))
     if model is not None:
         if model.window_seconds != float(config["ml"]["window_seconds"]):
             raise ValueError(f"the model has windows of {model.window_seconds:g} s, the settings of {config['ml']['window_seconds']:g} s")
@@ -45,7 +63,7 @@ def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Dete
     return union(parts)
 
 
-def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors: dict[str, Detector] | None = None) -> Analysis:
+def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors: dict[str, Detector] | None = None, keep_going: bool = False) -> Analysis:
     """Analyse packets, which may hold many captures.
 
     Decoded packets are kept for the detectors that share them, spilling to disk.
@@ -54,13 +72,13 @@ def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors:
     packets = packets.persist(StorageLevel.MEMORY_AND_DISK)
     good = packets.where("not coalesce(malformed, false)")
     model = Forest.load(packets.sparkSession, config["ml"]["model_path"]) if config["ml"]["enabled"] else None
-    raw = detect(good, config, detectors, model)
+    raw = detect(good, config, detectors, model, keep_going)
     return Analysis(packets, capture_stats(packets), raw, ranked(merge(raw, micros(config["window_seconds"]))), config)
 
 
-def analyse_captures(spark: SparkSession, *paths: str, config: dict[str, Any] | None = None) -> Analysis:
+def analyse_captures(spark: SparkSession, *paths: str, config: dict[str, Any] | None = None, keep_going: bool = False) -> Analysis:
     config = config or load_config()
-    return analyse(read_captures(spark, *paths, mask_opaque=config["cleartext_creds"].get("mask_opaque_username", False)), config)
+    return analyse(read_captures(spark, *paths, mask_opaque=config["cleartext_creds"].get("mask_opaque_username", False)), config, keep_going=keep_going)
 
 
 def train(spark: SparkSession, paths: list[str], config: dict[str, Any], output: str) -> dict[str, Any]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,7 @@ from tidewire.operators import anomaly, detectors, features, forest, temporal
 from tidewire.plans import evaluate
 from tidewire.schema import FEATURES
 from tidewire.sources import tables
-from tidewire.sources.pcap import capture_stats
+from tidewire.sources.pcap import capture_stats, decode_captures
 
 DAY = 86_400
 #: Settings for tables whose events are hours apart.
@@ -98,7 +99,8 @@ def creds_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arp_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, cfg = tables.arp_packets(spark, sf_dir), settings()
-    return detectors.arp_changes(detectors.arp_claims(p, cfg), cfg, swept(p, cfg)).select("seq", "ip", "mac", "was", F.array_join("known", ",").alias("known"))
+    claims, clock = detectors.arp_claims(p, cfg), swept(p, cfg)
+    return detectors.with_known_macs(detectors.arp_changes(claims, cfg, clock), detectors.arp_lives(claims, cfg, clock)).select("seq", "ip", "mac", "was", F.array_join("known", ",").alias("known"))
 
 
 def arp_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +185,46 @@ def anomaly_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.serialised(anomaly.ml_anomaly(windows, forest.fit(windows, DAY), 10))
 
 
+def feature_attribution_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three features of each window that deviate most from a stated baseline, in order."""
+    top = features.contributors([10.0 * (n + 1) for n in range(len(FEATURES))], [n + 1.0 for n in range(len(FEATURES))], k=3)
+    return flow_features(spark, sf_dir).select("src_ip", "window_start", F.posexplode(top).alias("place", "x")).select("src_ip", "window_start", (F.col("place") + 1).alias("place"), "x.feature", "x.deviation")
+
+
+def stated_forest() -> forest.Forest:
+    """Two trees of one cut each, whose scores SQL can tell, too."""
+    nodes = [(0, 0, 3, 2.0, 1, 2, 4, 0), (0, 1, -1, 0.0, -1, -1, 3, 1), (0, 2, -1, 0.0, -1, -1, 1, 1), (1, 0, 2, 3.0, 1, 2, 3, 0), (1, 1, -1, 0.0, -1, -1, 2, 1), (1, 2, -1, 0.0, -1, -1, 1, 1)]
+    frame = pd.DataFrame(nodes, columns=["tree", "node", "feature", "at", "low", "high", "size", "depth"])
+    return forest.Forest(frame, 4, -0.5, [1.0] * len(FEATURES), [1.0] * len(FEATURES), float(DAY), 10)
+
+
+def anomaly_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most outlying windows by a stated forest: decisions, their scale within the capture, severities and order."""
+    out = anomaly.ml_anomaly(flow_features(spark, sf_dir), stated_forest(), 25)
+    return out.select("id", "src", "severity", "score", "start_us", "end_us", "summary", F.col("emit_ord").alias("place"), F.round("evidence.raw_if_score", 3).alias("raw"))
+
+
+def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a kind of scan, a part of its name, and a time; and labels of any detector: the alert that each takes."""
+    found, e = _merged(spark, sf_dir), tables.events(spark, sf_dir)
+    users = tables.tcp_packets(spark, sf_dir).select("src_ip").distinct().where(F.substring_index("src_ip", ".", -1).cast("int") % 3 == 0)
+    began = e.agg((F.min("us") / 1e6).alias("began"))
+    own = users.select(F.row_number().over(Window.orderBy("src_ip")).alias("idx"), "src_ip").crossJoin(F.broadcast(began))  # one row
+    labels = own.select(F.lit("events").alias("capture"), F.lit("all").alias("split"), "idx", F.lit("port_scan").alias("detector"), F.upper("src_ip").alias("src"), F.when(F.col("idx") % 2 == 0, "syn").otherwise("sweep").alias("scan_type"), (F.col("began") + 10 * DAY).alias("start"), (F.col("began") + 20 * DAY).alias("end"))
+    both = [evaluate.match(labels, found.where(c), any_).withColumn("any_detector", F.lit(any_)) for c, any_ in (("detector = 'port_scan'", False), ("detector <> 'ml_anomaly'", True))]
+    return both[0].unionByName(both[1]).select("any_detector", F.col("idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"))
+
+
+def captures_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a packet each, made of events as bytes, and read back by the capture reader."""
+    out = decode_captures(tables.capture_files(spark, sf_dir))
+    a, d, none = F.col("app.arp"), F.col("app.dns"), lambda c: F.coalesce(c, F.lit(-1)).alias(c.split(".")[-1])
+    return out.select(
+        "capture", "us", "src_ip", "dst_ip", "src_mac", "dst_mac", "proto", none("src_port"), none("dst_port"), "tcp_flags", "length", none("app.dns.qr"), d["qname"].alias("qname"), none("app.dns.qtype"),
+        none("app.arp.op"), a["hwsrc"].alias("hwsrc"), a["pdst"].alias("pdst"), F.coalesce(a["is_gratuitous"], F.lit(False)).alias("is_gratuitous"), "malformed",
+    )
+
+
 def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged alerts held against labels: every third user is said to be a scanner."""
     found = _merged(spark, sf_dir).where("detector = 'port_scan'")
@@ -208,7 +250,7 @@ def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scan_windows, scan_emissions, scan_alerts, creds_http, creds_ftp_asof, creds_alerts, arp_changes, arp_alerts, arp_allowlist, ttl_epochs, dns_metrics, dns_allowlist, dns_trips, dns_alerts,
-    alerts_ranked, alerts_scan_merged, alerts_grid, alerts_max_score, alerts_top_offenders, alerts_json, flow_features, feature_baseline, feature_attribution, anomaly_alerts, label_scores, stats_of_captures, tcp_flags_canon, text_entropy,
+    alerts_ranked, alerts_scan_merged, alerts_grid, alerts_max_score, alerts_top_offenders, alerts_json, flow_features, feature_baseline, feature_attribution, feature_attribution_top3, anomaly_alerts, anomaly_ranked, label_scores, label_matches, captures_decoded, stats_of_captures, tcp_flags_canon, text_entropy,
 )}
 
 # ---- SQL -------------------------------------------------------------------------------------------------------------
@@ -294,6 +336,28 @@ flow AS (SELECT ip AS src_ip, floor(us / 1000000.0 / 86400) * 86400.0 AS window_
   FROM both_ GROUP BY 1, 2, 3 HAVING count(*) FILTER (o) > 0)"""
 _FLOW_ALL = f"{_E}, {_TCP}, {_FLOW}"
 
+_JSON = f"""scan_all AS (SELECT s.*, m.kind, list_sort(list(DISTINCT p.dst_ip))[1:5] AS sample_hosts FROM scan s JOIN emitted m ON m.seq = s.seq
+  JOIN probes p ON p.src_ip = s.src AND p.us <= m.us AND p.us >= m.us - CASE m.kind WHEN 'fast' THEN {3 * _D} ELSE {14 * _D} END GROUP BY ALL),
+scan_j AS (SELECT *, round(greatest(1000, end_us - start_us) / 1000000.0::DOUBLE, 2) AS span FROM scan_all),
+said AS (
+  SELECT 'port_scan' AS detector, seq, 0 AS ord, 'SCAN' AS prefix, upper(scan_type) || ' port scan detected from ' || src || ': ' || ports || ' distinct ports targeted across ' || target_hosts_count || ' host(s) in ' || CAST(span AS VARCHAR) || 's' AS summary,
+    '"scan_type":"' || scan_type || '","distinct_ports_count":' || ports || ',"total_probes":' || total_probes || ',"sample_ports":[' || sample_ports || '],"probe_rate_per_sec":' || CAST(probe_rate_per_sec AS VARCHAR)
+    || ',"window_type":"' || kind || '","target_hosts_count":' || target_hosts_count || ',"sample_target_hosts":["' || array_to_string(sample_hosts, '","') || '"]' AS proof, scan_type, ports, total_probes, sample, kind, target_hosts_count AS hosts, sample_hosts FROM scan_j
+  UNION ALL SELECT 'cleartext_creds', seq, CASE protocol WHEN 'HTTP' THEN 1 ELSE 2 END, 'CRED', CASE protocol WHEN 'HTTP' THEN 'Cleartext HTTP Basic Authentication detected from ' ELSE 'Cleartext FTP login credentials detected from ' END || src_ip || ' to ' || dst_ip,
+    '"protocol":"' || protocol || '",' || CASE protocol WHEN 'HTTP' THEN '"auth_type":"Basic",' ELSE '' END || '"username":"' || username || '","password":"***REDACTED***","target_port":21', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM creds
+  UNION ALL SELECT 'arp_spoof', seq, 3, 'ARP', 'ARP spoofing detected: IP ' || ip || ' was claimed by ' || mac || ' (previously mapped to ' || was || ')',
+    '"victim_ip":"' || ip || '","original_mac":"' || was || '","spoofed_mac":"' || mac || '","all_known_macs":["' || replace(known, ',', '","') || '"],"is_gratuitous":' || is_gratuitous || ',"change_type":"'
+    || CASE WHEN is_gratuitous THEN 'gratuitous_arp_override' ELSE 'mac_binding_conflict' END || '","arp_opcode":2', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM spoofs),
+parts AS (SELECT i.detector, i.src, coalesce(i.dst, '') AS d, i.sub, i.island, list_sort(list_distinct(flatten(list(coalesce(s.sample, []))))) AS united, CAST(sum(s.total_probes) AS BIGINT) AS probes, max(s.ports) AS reported
+  FROM isl i JOIN said s ON s.detector = i.detector AND s.seq = i.seq AND s.ord = i.ord GROUP BY ALL),
+firsts AS (SELECT m.*, i.ord AS first_ord, i.dst AS first_dst FROM merged m JOIN isl i ON i.detector = m.detector AND i.src = m.src AND coalesce(i.dst, '') = m.d AND i.sub = m.sub AND i.island = m.island AND i.seq = m.first_seq AND i.start_us = m.start_us),
+whole AS (SELECT f.*, s.prefix, s.summary AS own_summary, s.proof, s.scan_type, s.kind, s.hosts, s.sample_hosts, p.united, p.probes, greatest(p.reported, len(p.united)) AS n_ports, greatest(1000, end_us - f.start_us) / 1000000.0::DOUBLE AS span, f.merged > 1 AS many
+  FROM firsts f JOIN said s ON s.detector = f.detector AND s.seq = f.first_seq AND s.ord = f.first_ord JOIN parts p ON p.detector = f.detector AND p.src = f.src AND p.d = f.d AND p.sub = f.sub AND p.island = f.island)"""
+_FOREST = """c AS (SELECT 2 * (ln(2) + 0.5772156649015329) - 4.0::DOUBLE / 3 AS c3, 2 * (ln(3) + 0.5772156649015329) - 1.5::DOUBLE AS c4),
+dec AS (SELECT src_ip, window_start, window_end, -power(2.0::DOUBLE, -((1 + CASE WHEN syn_count <= 2 THEN c3 ELSE 0 END) + (1 + CASE WHEN distinct_dst_ports <= 3 THEN 1 ELSE 0 END)) / 2 / c4) + 0.5 AS raw FROM flow, c),
+low AS (SELECT *, 1 - (raw - min(raw) OVER ()) / greatest(max(raw) OVER () - min(raw) OVER (), 1e-9) AS anomaly FROM dec WHERE raw <= 0),
+best AS (SELECT *, row_number() OVER (ORDER BY anomaly DESC, window_start, src_ip) AS place FROM low)"""
+
 SQL = {
     "scan_windows": f"WITH {_E}, {_TCP}, {_WIN} SELECT seq, src_ip, fast_ports, slow_ports FROM win",
     "scan_emissions": f"WITH RECURSIVE {_E}, {_TCP}, {_WIN}, {_FOLD} SELECT * FROM emitted",
@@ -339,4 +403,25 @@ SQL = {
     "stats_of_captures": "SELECT 'events' AS capture, count(*) AS total_packets, count(*) AS valid_packets, CAST(0 AS BIGINT) AS malformed_packets, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 4) AS duration_seconds FROM events",
     "tcp_flags_canon": "SELECT CAST(l_partkey % 256 AS INT) AS bits, " + " || ".join(f"CASE WHEN (l_partkey % 256) & {1 << n} <> 0 THEN '{c}' ELSE '' END" for n, c in enumerate(N.FLAG_LETTERS)) + " AS flags, count(*) AS n FROM lineitem GROUP BY ALL",
     "text_entropy": "SELECT p_partkey, round(coalesce(list_aggregate(string_split(p_name, ''), 'entropy'), 0.0), 6) AS entropy FROM part",
+    "alerts_json": f"""WITH RECURSIVE {_MERGED}, {_JSON}
+        SELECT 'events' AS capture, prefix || '-' || upper(substr(sha256(detector || '|' || CASE detector WHEN 'port_scan' THEN 0 WHEN 'arp_spoof' THEN 3 ELSE first_ord END || '|events|' || src || coalesce('|' || first_dst, '') || '|' || first_seq), 1, 8)) AS id,
+          detector, CASE sev WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, src, dst, ((start_us + 50) // 100) / 10000.0::DOUBLE AS start_ts, ((end_us + 50) // 100) / 10000.0::DOUBLE AS end_ts, greatest(0, (end_us - start_us + 50) // 100) / 10000.0::DOUBLE AS duration_seconds, round(score, 4) AS score,
+          CASE WHEN many AND detector = 'port_scan' THEN upper(scan_type) || ' port scan detected from ' || src || ': ' || n_ports || ' distinct ports targeted in ' || CAST(round(span, 2) AS VARCHAR) || 's' ELSE own_summary END AS summary,
+          '{{' || CASE WHEN many AND detector = 'port_scan' THEN '"scan_type":"' || scan_type || '","distinct_ports_count":' || n_ports || ',"total_probes":' || probes || ',"sample_ports":[' || array_to_string(united[1:15], ',') || '],"probe_rate_per_sec":' || CAST(round(probes / span, 2) AS VARCHAR)
+            || ',"window_type":"' || kind || '","target_hosts_count":' || hosts || ',"sample_target_hosts":["' || array_to_string(sample_hosts, '","') || '"]' ELSE proof END || CASE WHEN many THEN ',"merged_alerts_count":' || merged ELSE '' END || '}}' AS evidence
+        FROM whole""",
+    "feature_attribution_top3": f"WITH {_FLOW_ALL}, d AS (" + " UNION ALL ".join(f"SELECT src_ip, window_start, {n} AS i, '{f}' AS feature, abs({f} - {10.0 * (n + 1)}) / {n + 1}.0::DOUBLE AS deviation FROM flow" for n, f in enumerate(FEATURES))
+        + "), r AS (SELECT *, row_number() OVER (PARTITION BY src_ip, window_start ORDER BY deviation DESC, i DESC) AS place FROM d) SELECT src_ip, window_start, CAST(place AS INT) AS place, feature, round(deviation, 3) AS deviation FROM r WHERE place <= 3",
+    "anomaly_ranked": f"""WITH {_FLOW_ALL}, {_FOREST} SELECT 'ml_' || src_ip || '_' || CAST(window_start AS BIGINT) AS id, src_ip AS src, CASE WHEN anomaly >= 0.8 THEN 'HIGH' WHEN anomaly >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS severity, round(anomaly, 4) AS score,
+        CAST(window_start * 1000000 AS BIGINT) AS start_us, CAST(window_end * 1000000 AS BIGINT) AS end_us, 'ML anomaly detected for ' || src_ip || ': anomaly score ' || printf('%.3f', anomaly) || ' in 86400s window' AS summary, CAST(place AS INT) AS place, round(round(raw, 4), 3) AS raw FROM best WHERE place <= 25""",
+    "label_matches": f"""WITH RECURSIVE {_MERGED}, r AS (SELECT *, row_number() OVER (ORDER BY sev DESC, score DESC, start_us, seen) AS rank, row_number() OVER (ORDER BY sev DESC, score DESC, start_us, seen) AS any_rank FROM merged),
+        x AS (SELECT row_number() OVER (ORDER BY src_ip) AS idx, src_ip AS src FROM (SELECT DISTINCT src_ip FROM tcp WHERE CAST(string_split(src_ip, '.')[4] AS INT) % 3 = 0)), t AS (SELECT min(us) + {10 * _D} AS a, min(us) + {20 * _D} AS b FROM e),
+        met AS (SELECT x.idx, r.rank, r.detector, contains(r.sub, CASE WHEN x.idx % 2 = 0 THEN 'syn' ELSE 'sweep' END) AND r.detector = 'port_scan' AS like_kind FROM x JOIN r ON r.src = x.src, t WHERE greatest(r.start_us, t.a) <= least(r.end_us, t.b))
+        SELECT FALSE AS any_detector, idx, min(rank) AS rank FROM met WHERE like_kind GROUP BY idx UNION ALL SELECT TRUE, idx, min(rank) FROM met GROUP BY idx""",
+    "captures_decoded": f"""WITH {_E}, v AS (SELECT *, seq % 3 AS kind, '10.0.' || CAST(user_id // 256 % 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS ip FROM e)
+        SELECT 'event-' || seq AS capture, us, CASE kind WHEN 2 THEN '10.9.0.' || (k % 20) ELSE ip END AS src_ip, CASE kind WHEN 2 THEN CASE WHEN event_type = 'view' THEN '10.9.0.' || (k % 20) ELSE '10.9.1.1' END ELSE '10.1.0.' || (k % 8) END AS dst_ip,
+          '00:00:00:00:00:0' || (user_id % 4) AS src_mac, '00:00:00:00:00:09' AS dst_mac, CASE kind WHEN 0 THEN 'TCP' WHEN 1 THEN 'UDP' ELSE 'ARP' END AS proto, CASE WHEN kind < 2 THEN 40000 + user_id % 100 ELSE -1 END::INT AS src_port, CASE kind WHEN 0 THEN 1000 + k WHEN 1 THEN 53 ELSE -1 END::INT AS dst_port,
+          CASE WHEN kind = 0 THEN """ + " || ".join(f"CASE WHEN seq & {1 << n} <> 0 THEN '{c}' ELSE '' END" for n, c in enumerate(N.FLAG_LETTERS)) + """ END AS tcp_flags,
+          CAST(CASE kind WHEN 0 THEN 54 WHEN 1 THEN 42 + 12 + 1 + length('k' || k) + 13 + 4 ELSE 42 END AS INT) AS length, CASE WHEN kind = 1 THEN 0 ELSE -1 END::INT AS qr, CASE WHEN kind = 1 THEN 'k' || k || '.example.org' END AS qname, CASE WHEN kind = 1 THEN CASE WHEN event_type = 'view' THEN 16 ELSE 1 END ELSE -1 END::INT AS qtype,
+          CASE WHEN kind = 2 THEN 2 ELSE -1 END::INT AS op, CASE WHEN kind = 2 THEN '00:00:00:00:00:0' || (user_id % 4) END AS hwsrc, CASE WHEN kind = 2 THEN CASE WHEN event_type = 'view' THEN '10.9.0.' || (k % 20) ELSE '10.9.1.1' END END AS pdst, kind = 2 AND event_type = 'view' AS is_gratuitous, FALSE AS malformed FROM v""",
 }

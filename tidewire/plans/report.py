@@ -1,22 +1,24 @@
 """Reports of an analysis: JSON, Markdown, Prometheus text, and a summary for the terminal.
 
-Counts are aggregated by Spark.  The alerts themselves are merged findings for a reader;
-they are fetched partition by partition while a report is written.
+Counts are aggregated by Spark.  The alerts themselves are fetched partition by partition
+while a report is written, line by line, so the driver holds one partition of them.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any, TextIO
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators.alerts import grid, offenders, rank_order, serialised, top_scores
-from tidewire.plans.analyze import Analysis
+from tidewire.plans.analyze import Analysis, analyse_captures
 from tidewire.schema import DETECTORS, SEVERITIES
 
 VERSION = "0.1.0"
@@ -45,44 +47,47 @@ class Report:
             out.pop("capture")
             yield out | {"evidence": json.loads(out["evidence"])}
 
-    def json(self) -> dict[str, Any]:
+    def head(self) -> dict[str, Any]:
+        """What a JSON report says besides its alerts."""
         meta = {k: self.stats[k] for k in ("filepath", "file_size_bytes", "total_packets", "valid_packets", "malformed_packets")}
         meta |= {"duration_seconds": round(self.stats["duration_seconds"], 4), "start_time": self.stats["start_time"], "end_time": self.stats["end_time"]}
         top = [{"src": r["src"], "alert_count": r["n"]} for r in offenders(self.analysis.alerts, 10).collect()]
         return {
             "version": VERSION, "generated_at": datetime.now(UTC).isoformat(), "capture_metadata": meta,
             "summary": {"total_alerts": self.total, "alerts_by_severity": self.by_severity, "alerts_by_detector": self.by_detector, "top_offenders": top},
-            "config": self.analysis.config, "alerts": list(self.alerts()),
+            "config": self.analysis.config,
         }
 
-    def markdown(self) -> str:
+    def json_lines(self) -> Iterator[str]:
+        """The JSON report; each alert is a line of its own."""
+        yield json.dumps(self.head(), indent=2)[:-2] + ',\n  "alerts": ['
+        comma = ""
+        for a in self.alerts():
+            yield f"{comma}\n    {json.dumps(a)}"
+            comma = ","
+        yield "\n  ]\n}\n"
+
+    def markdown_lines(self) -> Iterator[str]:
+        """The Markdown report: what was read, who stands out, and a paragraph an alert."""
         s, by = self.stats, self.by_severity
-        table = [
-            ("File Size", f"{round(s['file_size_bytes'] / 1048576, 2)} MB ({s['file_size_bytes']} bytes)"), ("Total Packets", f"{s['total_packets']:,}"), ("Valid Processed Packets", f"{s['valid_packets']:,}"),
-            ("Malformed / Skipped Packets", s["malformed_packets"]), ("Capture Duration", f"{round(s['duration_seconds'], 2)} seconds"), ("Total Security Alerts", f"**{self.total}**"),
-            ("Alerts Breakdown", " | ".join(f"**{k}**: {by[k]}" for k in SEVERITIES)),
-        ]
-        out = ["# Threat Analysis Report", "", f"**Generated:** {datetime.now(UTC):%Y-%m-%d %H:%M:%S} UTC  ", f"**Target Capture:** `{s['filepath']}`  ", "", "---", ""]
-        out += ["## 1. Executive Summary", "", "| Metric | Value |", "|---|---|", *(f"| **{k}** | {v} |" for k, v in table), ""]
-        out += ["## 2. Top Offending Sources", ""]
+        yield f"# Alerts in {s['filepath']}\n\n"
+        yield f"{self.total} alerts ({', '.join(f'{by[k]} {k.lower()}' for k in SEVERITIES)}) in {s['valid_packets']:,} packets over {s['duration_seconds']:.2f} s. "
+        yield f"{s['file_size_bytes']:,} bytes were read, {s['malformed_packets']} packets could not be decoded. Written on {datetime.now(UTC):%Y-%m-%d at %H:%M:%S} UTC.\n\n"
         top = offenders(self.analysis.alerts, 5).collect()
         if top:
-            out += ["| Source IP | Alert Count | Max Severity | Threat Categories |", "|---|---|---|---|", *(f"| `{r['src']}` | {r['n']} | **{r['severity']}** | {r['detectors']} |" for r in top), ""]
+            yield "## Sources\n\nsource | alerts | worst | by\n-|-|-|-\n"
+            yield from (f"{r['src']} | {r['n']} | {r['severity']} | {r['detectors']}\n" for r in top)
+            yield "\n## Alerts by rank\n\n"
         else:
-            out += ["_No suspicious sources._", ""]
-        out += ["## 3. Detailed Security Findings", ""]
-        if not self.total:
-            out += ["_No alerts: the traffic looks benign by the configured thresholds._", ""]
+            yield "Nothing passed the thresholds.\n\n"
         for n, a in enumerate(self.alerts(), 1):
-            target = f"`{a['dst']}`" if a["dst"] else "_Multiple / Broadcast_"
-            out += [f"### Finding #{n}: [{a['severity']}] {a['summary']}", "", f"- **Alert ID:** `{a['id']}`", f"- **Detector:** `{a['detector']}`", f"- **Confidence Score:** `{a['score']}`", f"- **Source Endpoint:** `{a['src']}`", f"- **Target Endpoint:** {target}"]
-            out += [f"- **Observed Window:** `{round(a['start_ts'], 2)}s` to `{round(a['end_ts'], 2)}s` (Duration: `{round(a['duration_seconds'], 2)}s`)", "", "**Collected Evidence:**", "", "| Evidence Key | Value |", "|---|---|"]
+            yield f"{n}. **{a['severity']}, {a['score']}**: {a['summary']}\n"
+            yield f"   {a['detector']} `{a['id']}`, {a['src']} to {a['dst'] or 'several targets'}, {a['start_ts']:.2f} to {a['end_ts']:.2f}\n"
             for k, v in a["evidence"].items():
-                text = ", ".join(map(str, v[:12])) + (f"... (+{len(v) - 12} more)" if len(v) > 12 else "") if isinstance(v, list) else str(v)
-                out.append(f"| `{k}` | `{text}` |")
-            out.append("")
-        out += ["---", "", "## 4. Notes & Limitations", "", "- Scans that stay below both port windows are not seen; tune `port_scan` for them.", "- Only unencrypted logins are seen.", "- Passwords are masked while packets are decoded and stored nowhere.", ""]
-        return "\n".join(out)
+                more = f" and {len(v) - 12} others" if isinstance(v, list) and len(v) > 12 else ""
+                yield f"   - {k}: {', '.join(map(str, v[:12])) if isinstance(v, list) else v}{more}\n"
+            yield "\n"
+        yield "## What this cannot show\n\nScans slower than both port windows, and logins that are encrypted. Passwords are masked while packets are decoded and stored nowhere.\n"
 
     def metrics(self, detectors: tuple = DETECTORS) -> str:
         names = tuple(dict.fromkeys((*detectors, *self.by_detector)))
@@ -90,10 +95,10 @@ class Report:
         best = {r["detector"]: r["score_max"] for r in top_scores(self.analysis.alerts, names).collect()}
         s = self.stats
         families = [
-            ("packets_total", "counter", "Packets processed", [("", s["valid_packets"])]), ("malformed_packets_total", "counter", "Malformed packets skipped", [("", s["malformed_packets"])]),
-            ("capture_duration_seconds", "gauge", "Duration of the capture", [("", round(s["duration_seconds"], 4))]),
-            ("alerts_total", "counter", "Alerts by detector and severity", [(f'{{detector="{d}",severity="{v}"}}', counts[d, v]) for d in names for v in SEVERITIES]),
-            ("alert_score_max", "gauge", "Highest score by detector", [(f'{{detector="{d}"}}', best[d]) for d in names]),
+            ("packets_total", "counter", "Packets that were decoded", [("", s["valid_packets"])]), ("malformed_packets_total", "counter", "Packets that could not be decoded", [("", s["malformed_packets"])]),
+            ("capture_duration_seconds", "gauge", "Seconds between first and last packet", [("", round(s["duration_seconds"], 4))]),
+            ("alerts_total", "counter", "Merged alerts of a detector and severity", [(f'{{detector="{d}",severity="{v}"}}', counts[d, v]) for d in names for v in SEVERITIES]),
+            ("alert_score_max", "gauge", "Largest score among the alerts of a detector", [(f'{{detector="{d}"}}', best[d]) for d in names]),
         ]
         lines = []
         for name, kind, text, values in families:
@@ -105,22 +110,42 @@ class Report:
         print(f"packets {s['valid_packets']:,}, malformed {s['malformed_packets']}, duration {round(s['duration_seconds'], 2)} s", file=to)
         print(f"alerts {self.total}: " + ", ".join(f"{k}={by[k]}" for k in SEVERITIES), file=to)
         for r in self.analysis.alerts.orderBy(*rank_order()).limit(5).collect():
-            print(f"  - [{r['severity']}] {r['summary']} (Score: {r['score']})", file=to)
+            print(f"  [{r['severity']}] {r['score']} {r['summary']}", file=to)
         if self.total > 5:
-            print(f"  ... and {self.total - 5} more alerts.", file=to)
+            print(f"  and {self.total - 5} of lower rank", file=to)
 
 
-def write_text(path: str | Path, text: str) -> str:
+def write_lines(path: str | Path, lines: Iterable[str]) -> str:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text, encoding="utf-8")
+    with path.open("w", encoding="utf-8") as f:
+        f.writelines(lines)
     return str(path)
 
 
 def write_reports(report: Report, out_dir: str | Path, as_json: bool = True, as_markdown: bool = True, metrics: str | Path | None = None) -> dict[str, str | None]:
     out = Path(out_dir)
     return {
-        "json_report": write_text(out / "report.json", json.dumps(report.json(), indent=2)) if as_json else None,
-        "markdown_report": write_text(out / "report.md", report.markdown()) if as_markdown else None,
-        "metrics_file": write_text(metrics, report.metrics()) if metrics else None,
+        "json_report": write_lines(out / "report.json", report.json_lines()) if as_json else None,
+        "markdown_report": write_lines(out / "report.md", report.markdown_lines()) if as_markdown else None,
+        "metrics_file": write_lines(metrics, [report.metrics()]) if metrics else None,
     }
+
+
+@dataclass(frozen=True)
+class Findings:
+    """What an analysis of captures came to: statistics, merged alerts in order of rank, and the files written."""
+
+    stats: dict[str, Any]
+    alerts: DataFrame
+    reports: dict[str, str | None]
+
+
+def run(
+    spark: SparkSession, *paths: str, config: dict[str, Any] | None = None, out_dir: str | Path = ".", as_json: bool = True, as_markdown: bool = True, metrics: str | Path | None = None, to: TextIO | None = None, keep_going: bool = False,
+) -> Findings:
+    """Analyse captures and write their reports in one call; ``to`` gets a summary."""
+    own = Report(analyse_captures(spark, *paths, config=config, keep_going=keep_going))
+    if to is not None:
+        own.summary(to)
+    return Findings(own.stats, own.analysis.alerts, write_reports(own, out_dir, as_json, as_markdown, metrics))

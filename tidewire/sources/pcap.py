@@ -40,8 +40,19 @@ class BadHeader(ValueError):
     """The file is not a capture."""
 
 
-def records(f: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
-    """(microseconds, link type, bytes) of each record; ends quietly where the file breaks off."""
+def _skipped(f: BinaryIO, n: int) -> bool:
+    """Read over ``n`` bytes; whether they were there."""
+    while n and (got := len(f.read(min(n, 1 << 20)))):
+        n -= got
+    return not n
+
+
+def records(f: BinaryIO) -> Iterator[tuple[int, int, bytes | None]]:
+    """(microseconds, link type, bytes) of each record; ends quietly where the file breaks off.
+
+    A record of more than LARGEST bytes has None for its bytes and is read over, so it
+    counts as malformed and hides nothing that follows.
+    """
     magic = f.read(4)
     if magic in CLASSIC:
         yield from _classic(f, *CLASSIC[magic])
@@ -58,7 +69,11 @@ def _classic(f: BinaryIO, order: str, ticks: int) -> Iterator[tuple[int, int, by
     link = struct.unpack(order + "HHiIII", head)[5] & 0xFFFF
     while len(head := f.read(16)) == 16:
         s, part, kept, _ = struct.unpack(order + "IIII", head)
-        if kept > LARGEST or len(data := f.read(kept)) < kept:
+        data = None
+        if kept > LARGEST:
+            if not _skipped(f, kept):
+                return
+        elif len(data := f.read(kept)) < kept:
             return
         yield s * 10**6 + part * 10**6 // ticks, link, data
 
@@ -87,7 +102,20 @@ def _blocks(f: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
             done = 0
         kind, size = struct.unpack(order + "I", kind_raw)[0], struct.unpack(order + "I", size_raw)[0]
         rest = size - 8 - done
-        if not 4 <= rest <= LARGEST or len(body := f.read(rest)) < rest:
+        if rest < 4:
+            return
+        if rest > LARGEST:
+            head = f.read(20)
+            if not _skipped(f, rest - len(head)):
+                return
+            if kind in (ENHANCED, PACKET):
+                high, low = struct.unpack_from(order + "II", head, 4)
+                yield (high << 32 | low) * 10**6 // (faces[0][1] if faces else 10**6), ETHERNET, None
+            elif kind == SIMPLE:
+                yield 0, ETHERNET, None
+            kind_raw = f.read(4)
+            continue
+        if len(body := f.read(rest)) < rest:
             return
         body = body[:-4]
         if kind == INTERFACE and len(body) >= 8:
@@ -224,8 +252,8 @@ def packet_rows(f: BinaryIO, capture: str, mask_opaque: bool = False) -> Iterato
     for seq, (us, link, data) in enumerate(records(f)):
         try:
             d, bad = decode(link, data, mask_opaque), False
-        except (struct.error, IndexError, ValueError):
-            d, bad = dict.fromkeys(("src_ip", "dst_ip", "src_mac", "dst_mac", "src_port", "dst_port", "tcp_flags", "dns", "arp", "http_auth", "ftp_cmd")) | {"proto": "OTHER", "length": len(data)}, True
+        except (struct.error, IndexError, ValueError, TypeError):
+            d, bad = dict.fromkeys(("src_ip", "dst_ip", "src_mac", "dst_mac", "src_port", "dst_port", "tcp_flags", "dns", "arp", "http_auth", "ftp_cmd")) | {"proto": "OTHER", "length": len(data or b"")}, True
         app = tuple(tuple(d[k].values()) if d[k] else None for k in ("dns", "arp", "http_auth", "ftp_cmd"))
         yield (capture, seq, us / 1e6, us, d["src_ip"], d["dst_ip"], d["src_mac"], d["dst_mac"], d["proto"], d["src_port"], d["dst_port"], d["tcp_flags"], d["length"], app, bad)
 
@@ -287,6 +315,11 @@ def read_captures_anywhere(spark: SparkSession, path: str, mask_opaque: bool = F
     Spark fetches each file as a whole, which bounds it to what a task can hold; use
     ``read_captures`` for larger ones on a mounted file system.
     """
+    return decode_captures(spark.read.format("binaryFile").load(path).select("path", "content"), mask_opaque)
+
+
+def decode_captures(files: DataFrame, mask_opaque: bool = False) -> DataFrame:
+    """Packets of captures given as (path, content)."""
     import io
 
     import pandas as pd
@@ -307,7 +340,7 @@ def read_captures_anywhere(spark: SparkSession, path: str, mask_opaque: bool = F
                         flat = []
                 yield pd.DataFrame(flat, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PACKETS)
+    return files.select("path", "content").mapInPandas(run, PACKETS)
 
 
 def capture_stats(packets: DataFrame) -> DataFrame:

@@ -70,3 +70,37 @@ def dns_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = p.select(F.col("page_id").alias("event_id"), (F.col("page_id") * 1_000_000).alias("us"), F.element_at(parts, 3).alias("host"), F.try_element_at(parts, F.lit(4)).alias("lang"), F.length("url").alias("n"))
     dns = F.struct(F.lit(0).alias("qr"), F.lit(0).alias("opcode"), F.lit(0).alias("rcode"), F.col("host").alias("qname"), F.when(F.col("event_id") % 3 == 0, 16).otherwise(1).alias("qtype"))
     return _packet(e, capture=F.lit("pages"), src_ip=F.concat(F.lit("lang-"), F.coalesce("lang", F.lit("none"))), dst_ip=F.lit("10.2.0.53"), proto=F.lit("UDP"), src_port=F.lit(5353), dst_port=F.lit(53), length=F.col("n").cast("int"), app=_app(dns=dns))
+
+
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a capture of one packet an event: TCP segments, DNS queries and ARP replies in turn."""
+
+    def be(n: Column, size: int) -> Column:
+        return F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+
+    def le(n: Column) -> Column:
+        h = be(n, 4)
+        return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+
+    h = F.lit
+    e = events(spark, sf_dir).withColumn("kind", F.col("event_id") % 3)
+    k, user, seq = F.col("k"), F.col("user_id"), F.col("event_id")
+    mac = F.concat(h("0000000000"), be(user % 4, 1))
+    source, target = F.concat(h("0A00"), be(F.floor(user / 256) % 256, 1), be(user % 256, 1)), F.concat(h("0A0100"), be(k % 8, 1))
+    ports = F.concat(be(40000 + user % 100, 2), F.when(F.col("kind") == 0, be(1000 + k, 2)).otherwise(be(h(53), 2)))
+    segment = F.concat(ports, h("0000000000000000"), h("50"), be(seq % 256, 1), h("200000000000"))
+    label = F.concat(h("k"), k.cast("string"))
+    question = F.concat(h("000701000001000000000000"), be(F.length(label), 1), F.hex(label.cast("binary")), h("076578616D706C65036F726700"), be(F.when(F.col("event_type") == "view", 16).otherwise(1), 2), h("0001"))
+    datagram = F.concat(ports, be(8 + F.length(question) / 2, 2), h("0000"), question)
+
+    def ip(protocol: int, body: Column) -> Column:
+        return F.concat(h("4500"), be(20 + F.length(body) / 2, 2), h("0001000040"), be(h(protocol), 1), h("0000"), source, target, body)
+
+    claimed = F.concat(h("0A0900"), be(k % 20, 1))
+    arp = F.concat(h("0001080006040002"), mac, claimed, h("000000000009"), F.when(F.col("event_type") == "view", claimed).otherwise("0A090101"))
+    body = F.when(F.col("kind") == 0, F.concat(h("0800"), ip(6, segment))).when(F.col("kind") == 1, F.concat(h("0800"), ip(17, datagram))).otherwise(F.concat(h("0806"), arp))
+    frame = F.concat(h("000000000009"), mac, body)
+    size = F.length(frame) / 2
+    us = F.col("us")
+    content = F.concat(h("D4C3B2A1020004000000000000000000FFFF000001000000"), le(F.floor(us / 1_000_000)), le(us % 1_000_000), le(size), le(size), frame)
+    return e.select(F.concat(h("event-"), seq.cast("string")).alias("path"), F.unhex(content).alias("content"))
