@@ -488,6 +488,33 @@ def test_toxicity(spark, docs, empty, labels):
     assert {r.severity for r in toxicity.severity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_ordinal_fit_is_the_likeliest(monkeypatch):
+    """The penalised likelihood, written out, has no better parameters near those that are fitted."""
+    monkeypatch.setattr(toxicity, "FEATURES", 12)
+    monkeypatch.setattr(toxicity, "ROUNDS", 3000)
+    rnd = np.random.default_rng(5)
+    rows = [(f := np.sort(rnd.choice(12, rnd.integers(1, 6), replace=False)), 1 + rnd.random(len(f))) for _ in range(250)]
+    truth = np.r_[2.0, -2.0, 1.0, np.zeros(9)]
+    score = np.array([truth[f] @ v for f, v in rows]) + rnd.logistic(size=250)
+    grade = np.digitize(score, [0.5, 1.5, 3.0])
+    model = toxicity.fit(rows, grade, 4)
+
+    def objective(w, theta):
+        loss = 0.0
+        for (f, v), g in zip(rows, grade):
+            p = [1.0, *(1 / (1 + np.exp(-(w[f] @ v - t))) for t in theta), 0.0]
+            loss -= np.log(max(p[g] - p[g + 1], 1e-12)) / len(rows)
+        return loss + toxicity.SPARSE * np.abs(w).sum()
+
+    best = objective(model.weights, model.thresholds)
+    assert (np.diff(model.thresholds) > 0).all() and best < objective(np.zeros(12), model.thresholds) - 0.05
+    for k in range(15):
+        for step in (0.05, -0.05):
+            w, t = model.weights.copy(), model.thresholds.copy()
+            (w if k < 12 else t)[k if k < 12 else k - 12] += step
+            assert objective(w, t) > best - 1e-4
+
+
 def vectors(spark, seed=3):
     rnd = np.random.default_rng(seed)
     x = rnd.normal(size=(600, 24)) * rnd.uniform(0.5, 3, size=(600, 1))
@@ -771,3 +798,7 @@ def test_toxicity_learns_from_the_documents_that_are_there(spark, monkeypatch):
     toxicity.train(df, lab, sample=40)
     toxicity.train(df, lab, sample=100)
     assert given == [40, 60]
+    size = max(len(t) for _, t in rows)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10 * size)
+    toxicity.train(df, lab, sample=100)
+    assert 10 <= given[-1] <= 11

@@ -24,6 +24,8 @@ from tidewire.llm.common import text_of
 
 #: Hashed features; labelled rows that training reads at most, the first in order of a hash of their id.
 FEATURES, SAMPLE = 1 << 18, 8000
+#: Characters of their texts at most: what the driver gets is bounded in bytes, too.
+SAMPLE_CHARS = 48_000_000
 BEGINNINGS = (4, 5, 6)
 #: Grades above 0: as many equal parts of the toxic documents.
 GRADES = 3
@@ -116,7 +118,7 @@ def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink | None:
-    """Learn from at most ``sample`` labelled documents; None unless both labels occur among them.
+    """Learn from at most ``sample`` labelled documents of at most SAMPLE_CHARS characters together; None unless both labels occur among them.
 
     Where a document has several labels, the highest counts; labels other than 0 and 1
     say nothing, nor do those of documents that aren't there.  A repeated doc_id is one
@@ -125,6 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
     own = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = own.orderBy(F.xxhash64("doc_id")).limit(sample)  # bounded by the parameter
+    sizes = docs.select("doc_id", F.length(text_of(docs)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic"))
+    sizes = sizes.orderBy(F.xxhash64("doc_id")).toPandas()  # at most ``sample`` rows of numbers
+    sizes = sizes[sizes["n"] <= SAMPLE_CHARS]
+    sizes = sizes[sizes["n"].cumsum() <= SAMPLE_CHARS]
+    chosen = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sizes["doc_id"], sizes["toxic"])], "doc_id long, toxic int")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
