@@ -26,10 +26,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts whose ids a worker keeps, about 40 bytes each; the half used last stays when they are more.
-KEPT = 1_500_000
+#: Parts whose ids a worker keeps, about 45 bytes each; the half used last stays when they are more.
+KEPT = 1_000_000
 #: New parts that are encoded in a call, and characters of text that are split at a time.
-TOGETHER, AT_ONCE = 1000, 6_000_000
+TOGETHER, AT_ONCE = 1000, 3_000_000
 #: White space other than blanks and line feeds, by any definition of it; and the sign of a text's first word.
 OTHER_SPACE = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"
 #: Latin letters, which have one form only, and marks behind them, which are never one piece with a letter.
@@ -95,8 +95,8 @@ class Encoder:
         self.line_feed = self._flat(["\n"])[0]
         # What is kept: words, where their ids start, how many they are, when they were used last, and the ids.
         self.words = pa.array([], pa.string())
-        self.first, self.n, self.used, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the words, in order, and their places
+        self.first, self.n, self.used, self.known = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of the words, in order, and their places
         self.now = 0
 
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,12 +204,12 @@ class Encoder:
             more = words.take(pa.array(new))
             ids, n = self._learn(more)
             at[new] = len(self.words) + np.arange(len(new))
-            self.first = np.concatenate([self.first, len(self.known) + np.cumsum(n) - n])
+            self.first = np.concatenate([self.first, (len(self.known) + np.cumsum(n) - n).astype(np.int32)])
             self.words, self.known = pa.concat_arrays([self.words, more]), np.concatenate([self.known, ids])
-            self.n, self.used = np.concatenate([self.n, n]), np.concatenate([self.used, np.zeros(len(n), np.int64)])
+            self.n, self.used = np.concatenate([self.n, n.astype(np.int32)]), np.concatenate([self.used, np.zeros(len(n), np.int32)])
             by = new[np.argsort(keys[new])]
             place = np.searchsorted(self.keys, keys[by])
-            self.keys, self.where = np.insert(self.keys, place, keys[by]), np.insert(self.where, place, at[by])
+            self.keys, self.where = np.insert(self.keys, place, keys[by]), np.insert(self.where, place, at[by].astype(np.int32))
         self.used[at] = self.now
         return at
 
@@ -220,9 +220,9 @@ class Encoder:
         self.words = self.words.filter(pa.array(stay))
         self.known = _gather(self.known, self.first[stay], self.n[stay])
         self.n, self.used = self.n[stay], self.used[stay]
-        self.first = np.cumsum(self.n) - self.n
+        self.first = (np.cumsum(self.n) - self.n).astype(np.int32)
         kept = stay[self.where]
-        self.keys, self.where = self.keys[kept], (np.cumsum(stay) - 1)[self.where[kept]]
+        self.keys, self.where = self.keys[kept], (np.cumsum(stay, dtype=np.int32) - 1)[self.where[kept]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -232,7 +232,9 @@ class Encoder:
             if (size := size + len(text)) > AT_ONCE:
                 out += self._ids(held)
                 held, size = [], 0
-        return out + self._ids(held)
+        out += self._ids(held)
+        pa.default_memory_pool().release_unused()
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         whole = [self._has_added(t) or not self.word_style and not _regular(t) for t in texts]
@@ -248,7 +250,7 @@ class Encoder:
         return [odd[slice(*next(plain))].tobytes() if w else raw[slice(*next(spans))] for w in whole]
 
 
-def slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """Batches in smaller ones: what a text becomes is larger than the text."""
     for x in batches:
         for s in range(0, max(len(x), 1), rows):
