@@ -3,6 +3,8 @@
 Each takes a packets relation, the settings and the capture's sweeps.  They share a
 shape: window aggregates and a predicate leave the few rows that trip, an ordered
 throttle chooses the emissions, and evidence is gathered for those alone.
+
+The sentences of alert summaries are fixed values: readers of reports match them.
 """
 
 from __future__ import annotations

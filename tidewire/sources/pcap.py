@@ -32,6 +32,7 @@ SECTION, INTERFACE, PACKET, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 2, 3, 6
 ETHERNET, RAW_IP, LOOPBACK, LINUX_SLL = 1, (12, 14, 101), 0, 113
 LARGEST = 1 << 26
 
+#: The header of HTTP Basic credentials and the FTP commands of a login.
 _BASIC = re.compile(r"Authorization:\s*Basic\s+([A-Za-z0-9+/=]+)", re.I)
 _LOGIN = re.compile(r"(USER|PASS)\s+(.*)", re.I)
 
