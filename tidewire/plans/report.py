@@ -14,6 +14,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any, TextIO
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ PREFIX = "tidewire"
 class Report:
     def __init__(self, analysis: Analysis):
         self.analysis = analysis
+        self.found = analysis.alerts.persist(StorageLevel.MEMORY_AND_DISK)  # every part of a report reads them
         s = analysis.stats.agg(
             F.sort_array(F.collect_list("capture")).alias("captures"), F.sum("total_packets").alias("total_packets"), F.sum("valid_packets").alias("valid_packets"), F.sum("malformed_packets").alias("malformed_packets"),
             F.sum("duration_seconds").alias("duration_seconds"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
@@ -36,13 +38,13 @@ class Report:
         self.stats = {k: v or 0 if k not in ("start_time", "end_time") else v for k, v in s.items()}
         self.stats["filepath"] = ", ".join(files)
         self.stats["file_size_bytes"] = sum(os.path.getsize(f) for f in files if os.path.isfile(f))
-        rows = analysis.alerts.groupBy("severity", "detector").count().collect()
+        rows = self.found.groupBy("severity", "detector").count().collect()
         self.by_severity = {s: sum(r["count"] for r in rows if r["severity"] == s) for s in SEVERITIES}
         self.by_detector = {d: sum(r["count"] for r in rows if r["detector"] == d) for d in sorted({r["detector"] for r in rows})}
         self.total = sum(self.by_severity.values())
 
     def alerts(self) -> Iterator[dict[str, Any]]:
-        for r in serialised(self.analysis.alerts.orderBy(*rank_order())).toLocalIterator():
+        for r in serialised(self.found.orderBy(*rank_order())).toLocalIterator():
             out = r.asDict()
             out.pop("capture")
             yield out | {"evidence": json.loads(out["evidence"])}
@@ -51,7 +53,7 @@ class Report:
         """What a JSON report says besides its alerts."""
         meta = {k: self.stats[k] for k in ("filepath", "file_size_bytes", "total_packets", "valid_packets", "malformed_packets")}
         meta |= {"duration_seconds": round(self.stats["duration_seconds"], 4), "start_time": self.stats["start_time"], "end_time": self.stats["end_time"]}
-        top = [{"src": r["src"], "alert_count": r["n"]} for r in offenders(self.analysis.alerts, 10).collect()]
+        top = [{"src": r["src"], "alert_count": r["n"]} for r in offenders(self.found, 10).collect()]
         return {
             "version": VERSION, "generated_at": datetime.now(UTC).isoformat(), "capture_metadata": meta,
             "summary": {"total_alerts": self.total, "alerts_by_severity": self.by_severity, "alerts_by_detector": self.by_detector, "top_offenders": top},
@@ -73,7 +75,7 @@ class Report:
         yield f"# Alerts in {s['filepath']}\n\n"
         yield f"{self.total} alerts ({', '.join(f'{by[k]} {k.lower()}' for k in SEVERITIES)}) in {s['valid_packets']:,} packets over {s['duration_seconds']:.2f} s. "
         yield f"{s['file_size_bytes']:,} bytes were read, {s['malformed_packets']} packets could not be decoded. Written on {datetime.now(UTC):%Y-%m-%d at %H:%M:%S} UTC.\n\n"
-        top = offenders(self.analysis.alerts, 5).collect()
+        top = offenders(self.found, 5).collect()
         if top:
             yield "## Sources\n\nsource | alerts | worst | by\n-|-|-|-\n"
             yield from (f"{r['src']} | {r['n']} | {r['severity']} | {r['detectors']}\n" for r in top)
@@ -91,8 +93,8 @@ class Report:
 
     def metrics(self, detectors: tuple = DETECTORS) -> str:
         names = tuple(dict.fromkeys((*detectors, *self.by_detector)))
-        counts = {(r["detector"], r["severity"]): r["n"] for r in grid(self.analysis.alerts, names).collect()}
-        best = {r["detector"]: r["score_max"] for r in top_scores(self.analysis.alerts, names).collect()}
+        counts = {(r["detector"], r["severity"]): r["n"] for r in grid(self.found, names).collect()}
+        best = {r["detector"]: r["score_max"] for r in top_scores(self.found, names).collect()}
         s = self.stats
         families = [
             ("packets_total", "counter", "Packets that were decoded", [("", s["valid_packets"])]), ("malformed_packets_total", "counter", "Packets that could not be decoded", [("", s["malformed_packets"])]),
@@ -109,7 +111,7 @@ class Report:
         s, by = self.stats, self.by_severity
         print(f"packets {s['valid_packets']:,}, malformed {s['malformed_packets']}, duration {round(s['duration_seconds'], 2)} s", file=to)
         print(f"alerts {self.total}: " + ", ".join(f"{k}={by[k]}" for k in SEVERITIES), file=to)
-        for r in self.analysis.alerts.orderBy(*rank_order()).limit(5).collect():
+        for r in self.found.orderBy(*rank_order()).limit(5).collect():
             print(f"  [{r['severity']}] {r['score']} {r['summary']}", file=to)
         if self.total > 5:
             print(f"  and {self.total - 5} of lower rank", file=to)
@@ -148,4 +150,4 @@ def run(
     own = Report(analyse_captures(spark, *paths, config=config, keep_going=keep_going))
     if to is not None:
         own.summary(to)
-    return Findings(own.stats, own.analysis.alerts, write_reports(own, out_dir, as_json, as_markdown, metrics))
+    return Findings(own.stats, own.found, write_reports(own, out_dir, as_json, as_markdown, metrics))
