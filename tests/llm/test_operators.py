@@ -247,6 +247,9 @@ def base_spans(text):
 def test_pii_base_spans(spark, docs, empty):
     rnd = random.Random(5)
     rows = ["".join(rnd.choice("ab1234567890..@@+- ()%_\n1 2é😀") for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    part = lambda: rnd.choice(["0", "00", "000", "0" * 40, "1", "07", "10", "255", "0255", "256", "00256", "999", "1000", str(rnd.randrange(300))])
+    rows += [rnd.choice(["", "host ", "x", "9 ", "."]) + ".".join(part() for _ in range(rnd.randrange(3, 7))) + rnd.choice(["", " up", ".", "x"]) for _ in range(1500)]
+    rows += ["10.0.0.1", "host 192.168.0.7 up", "00.1.2.3", "0.0.0.0", "000.1.2.3", "0" * 4000 + ".0.0." + "0" * 4000 + "9 b"]
     rows += [None, "", "4337 1665-9846 4399 x", "a@b.c_d@e.f", "a@b.c.d.@x.y", "0001.2.3.4", "1.2.3.256", "1 " * 9000 + "x", "a.b@" + "c." * 9000 + "d", "+" + "1" * 12 + "(" * 50, "x 1.2.3.4 4337166598464399 " * 300]
     df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(rows)], "doc_id long, text string")
     want = []
@@ -402,6 +405,12 @@ def test_redaction_of_many_overlapping_spans(spark):
     assert got[1].text == want + text[at:] and got[1].spans == 3 and got[2].text == "x" and len(text) > 20_000
 
 
+def test_redaction_of_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "host 192.168.0.7 up, 0.0.0.0 and 000.1.2.3.", "10.0.0.256 stays"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["[IP]", "host [IP] up, [IP] and [IP].", "10.0.0.256 stays"]
+
+
 def test_pii_contexts_discover_and_spare(spark):
     rows = [(i, f"some words here please call me at +1 (988) 555-{1000 + i} and the river {i}") for i in range(8)]
     rows += [(20, "he said call me at 0171-5550{0} today".replace("{0}", "123")), (21, "a plain text about room 12345a and foam"), (22, None), (23, "mail a.b@c.de, ip 1.2.3.4")]

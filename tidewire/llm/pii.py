@@ -88,6 +88,12 @@ def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
+def _above_255(part: Column) -> Column:
+    """Whether the digits of a part of an IP address, which may be zeros and very many, say more than 255."""
+    rest = F.ltrim(part, F.lit("0"))
+    return (F.length(rest) > 3) | (F.coalesce(F.substring(rest, 1, 3).try_cast("int"), F.lit(0)) > 255)
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
     at = lambda i: F.substring(digits, n - i, F.lit(1)).cast("int")
@@ -104,7 +110,7 @@ def base_spans(text: Column) -> Column:
     dots = _marked(text, rf"(?<=[{label}])\.(?=[{label}])")
     email = matches(dots, rf"(?:\G|(?<![{local}]))[{local}]++@[{label}]++{MARK}[{label}{MARK}]++")
     ip = matches(text, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-    ip = F.filter(ip, lambda x: ~F.exists(F.split(x["v"], r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) > 3) | (F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int") > 255)))
+    ip = F.filter(ip, lambda x: ~F.exists(F.split(x["v"], r"\."), _above_255))
     card = matches(_marked(text, r"(?<=[0-9])[\x20-](?=[0-9])"), rf"(?<![0-9{MARK}])[0-9][0-9{MARK}]++")
     card = F.filter(card, lambda x: F.when(F.length(_digits(x["v"])).between(12, 19), _luhn(_digits(x["v"]))).otherwise(False))
     phone = F.filter(matches(text, r"\+[0-9][\x20().0-9-]+[0-9]"), lambda x: F.length(_digits(x["v"])).between(9, 15))
