@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, embed_dedup, mixing, packing, pii, quality, simhash, token_counts, token_store, toxicity
+from tidewire.llm import ann, conversations, embed_dedup, lines, manifest, mixing, packing, pii, quality, simhash, token_counts, token_store, toxicity
 from tidewire.llm.common import table
 
 
@@ -51,9 +51,22 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_summaries(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.kept_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ann_adaptive_scan, op2_embedding_near_dedup, op3_best_fit_packing, op4_source_mixing, op5_huffman_token_store,
     op6_pii_bootstrap, op7_toxicity_ordinal, op8_simhash_near_dedup, op9_token_count_rollups, op10_quality_discriminant,
+    op11_conversation_repair, op12_merkle_manifest, op13_line_dedup,
 )}
 
 #: The mixture: the same hash places, one running sum instead of nested histograms.
