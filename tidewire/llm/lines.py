@@ -116,8 +116,8 @@ class LineIndex:
         return True
 
     def _together(self, kind: str, runs: list[tuple[int, int, int]]) -> DataFrame:
-        """Runs as one relation; dealt anew, since Spark 4.1 takes the union of bucketed tables, some empty, for bucketed and would group in parts."""
-        return reduce(DataFrame.unionByName, [self._table(kind, r) for r in runs]).repartition(self.buckets, "h")
+        """Runs as one relation, read as plain files: Spark 4.1 takes a union of bucketed tables for bucketed, which it isn't, and would group in parts."""
+        return self.spark.read.schema(RUN).parquet(*(f"{self.path}/{kind}/{'-'.join(map(str, r))}" for r in runs))
 
     def compact(self) -> None:
         """Where a level has FAN runs, they become one of the next level."""
