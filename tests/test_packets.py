@@ -137,8 +137,9 @@ def test_oversized_records_hide_nothing(monkeypatch):
     monkeypatch.setattr(pcap, "LARGEST", 200)
     packets = [(C.T0, C.tcp("1.1.1.1", "2.2.2.2", 1, 2, 2)), (C.T0 + 1, C.tcp("1.1.1.1", "2.2.2.2", 1, 2, 2, b"x" * 5000)), (C.T0 + 2, C.tcp("1.1.1.1", "2.2.2.2", 1, 3, 2))]
     for raw in (C.classic(packets), C.blocks(packets)):
-        rows = list(pcap.packet_rows(io.BytesIO(raw), "c"))
-        assert [(r[3] - C.T0, r[10], r[14]) for r in rows] == [(0, 2, False), (1, None, True), (2, 3, False)]
+        f = io.BytesIO(raw)
+        rows = [r for b in pcap.batches(f, "c", *pcap.opened(f), None) for r in b.to_pylist()]
+        assert [(r["us"] - C.T0, r["dst_port"], r["malformed"]) for r in rows] == [(0, 2, False), (1, None, True), (2, 3, False)]
 
 
 def test_evaluation_and_commands(spark, files, tmp_path, capsys):
