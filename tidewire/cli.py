@@ -62,10 +62,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         config = load_config(args.config, overrides(args))
         spark = spark or SparkSession.builder.appName("tidewire").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if args.command == "analyze":
-            found = report.run(spark, args.capture, config=config, out_dir=args.out_dir, as_json=not args.no_json, as_markdown=not args.no_markdown, metrics=args.metrics, to=sys.stdout, keep_going=args.keep_going)
-            for name, path in found.reports.items():
-                if path:
-                    print(f"{name}: {path}")
+            with report.run(spark, args.capture, config=config, out_dir=args.out_dir, as_json=not args.no_json, as_markdown=not args.no_markdown, metrics=args.metrics, to=sys.stdout, keep_going=args.keep_going) as found:
+                for name, path in found.reports.items():
+                    if path:
+                        print(f"{name}: {path}")
         elif args.command == "evaluate":
             found = evaluate.evaluate_captures(spark, args.labels, config, args.dataset_dir)
             print(found.table())

@@ -21,6 +21,10 @@ DEFAULTS: dict[str, Any] = {
 }
 
 
+#: Fixed value: the settings that are read where no file is named.
+DEFAULT_FILE = Path("configs/default.yaml")
+
+
 def merged(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
     """``over`` on top of ``base``: mappings are merged at every depth, anything else is replaced."""
     out = deepcopy(dict(base))
@@ -31,8 +35,13 @@ def merged(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def load_config(path: str | Path | None = None, overrides: Mapping[str, Any] | None = None) -> dict[str, Any]:
-    """Defaults, then the YAML file at ``path`` (FileNotFoundError if there is none), then ``overrides``."""
+    """Defaults, then the YAML file at ``path`` (FileNotFoundError if there is none), then ``overrides``.
+
+    Without a path the file is ``configs/default.yaml`` in the working folder, if it is there.
+    """
     out = deepcopy(DEFAULTS)
+    if path is None and DEFAULT_FILE.is_file():
+        path = DEFAULT_FILE
     if path is not None:
         import yaml
 

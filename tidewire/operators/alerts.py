@@ -39,14 +39,14 @@ def merge(raw: DataFrame, gap_us: int) -> DataFrame:
     key = ["capture", "detector", "src", "_dst", "_sub"]
     order = ["emit_seq", "emit_ord"]
     rows = islands(raw.withColumn("_dst", F.coalesce("dst", F.lit(""))).withColumn("_sub", sub_key()), key, gap_us, order)
-    first = F.struct("start_us", *order)
+    # A row a sample port (at most ten an alert), so that one grouping unites ports and sums up; what an alert says once counts in its first row.
+    rows = rows.select("*", F.posexplode_outer("evidence.sample_ports").alias("_place", "_port"))
+    own = F.coalesce(F.col("_place"), F.lit(0)) == 0
     parts = rows.groupBy(*key, "island").agg(
-        F.count("*").cast("int").alias("n"), F.min_by(F.struct("id", "dst", "summary", "evidence", "severity"), first).alias("f"), F.min(F.struct(*order)).alias("seen"),
+        F.count_if(own).cast("int").alias("n"), F.min_by(F.struct("id", "dst", "summary", "evidence", "severity"), F.struct("start_us", *order)).alias("f"), F.min(F.struct(*order)).alias("seen"),
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("severity_rank").alias("severity_rank"), F.max("score").alias("score"),
-        F.sum("evidence.total_probes").alias("probes"), F.max("evidence.distinct_ports_count").alias("reported"),
+        F.sum(F.when(own, F.col("evidence.total_probes"))).alias("probes"), F.max("evidence.distinct_ports_count").alias("reported"), F.array_sort(F.collect_set("_port")).alias("ports"),  # 65,536 at most
     )
-    united = rows.select(*key, "island", F.explode("evidence.sample_ports").alias("port")).groupBy(*key, "island").agg(F.array_sort(F.collect_set("port")).alias("ports"))  # 65,536 at most
-    parts = parts.join(united, [*key, "island"], "left").withColumn("ports", F.coalesce("ports", F.array().cast("array<int>")))
     many = F.col("n") > 1
     scan = many & (F.col("detector") == "port_scan")
     span = N.seconds(F.greatest(F.lit(1000), F.col("end_us") - F.col("start_us")))
@@ -75,7 +75,8 @@ def ranked(alerts: DataFrame) -> DataFrame:
     """Adds each alert's rank in its capture.
 
     Alerts are ordered within those of their capture, severity, score and hour alone;
-    how many go before such a group follows from the groups' sizes.
+    how many go before such a group follows from the groups' sizes.  ``alerts`` is read
+    twice, so it had better be a table (``Tables``).
     """
     group = ["capture", "severity_rank", "score", "_hour"]
     own = alerts.withColumn("_hour", F.floor(F.col("start_us") / F.lit(RANK_SLICE * 1_000_000)))

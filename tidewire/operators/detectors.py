@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import micros
 from tidewire.functions import network as N
-from tidewire.operators.temporal import SLICE, growth_throttle, throttle, trailing, with_epochs
+from tidewire.operators.temporal import SLICE, growth_throttle, last_sweeps, throttle, trailing, with_epochs
 from tidewire.schema import EVIDENCE, REDACTED
 
 Detector = Callable[[DataFrame, dict[str, Any], DataFrame], DataFrame]
@@ -44,11 +44,11 @@ def alerts(df: DataFrame, detector: str, prefix: str, ordinal: int, rank: Column
     )
 
 
-def window_rows(emitted: DataFrame, rows: DataFrame, keys: list[str], width_us: Column, longest_us: int) -> DataFrame:
-    """The rows in the trailing window of each emission (marked by its ``us`` and ``seq`` as e_us, e_seq), joined by key and time slice."""
+def window_rows(emitted: DataFrame, rows: DataFrame, keys: list[str], width_us: Column, longest_us: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The rows in the trailing window of each emission (marked by its ``us`` and ``seq`` as e_us, e_seq, with its ``carried`` columns), joined by key and time slice."""
     span = longest_us * SLICE
     at = F.floor(F.col("us") / F.lit(span)).cast("long")
-    own = emitted.select(*keys, F.col("us").alias("e_us"), F.col("seq").alias("e_seq"), width_us.alias("_width"))
+    own = emitted.select(*keys, F.col("us").alias("e_us"), F.col("seq").alias("e_seq"), width_us.alias("_width"), *carried)
     first, last = F.floor((F.col("e_us") - longest_us) / F.lit(span)).cast("long"), F.floor(F.col("e_us") / F.lit(span)).cast("long")
     own = own.withColumn("_slice", F.explode(F.when(first < last, F.array(first, last)).otherwise(F.array(last))))
     near = (F.col("us") >= F.col("e_us") - F.col("_width")) & ((F.col("us") < F.col("e_us")) | ((F.col("us") == F.col("e_us")) & (F.col("seq") <= F.col("e_seq"))))
@@ -97,19 +97,17 @@ def port_scan(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us
     """Sources that probe many ports within a fast or a slow window."""
     fast, slow = micros(cfg["port_scan"]["window_seconds"]), micros(cfg["port_scan"]["slow_window_seconds"])
     rows, keys = lived(probes(packets), ["capture", "src_ip"], swept, micros(cfg["state_ttl_seconds"]), max(fast, slow, mute_us))
-    out = scan_emissions(rows, cfg, keys, mute_us)
     width = F.when(F.col("kind") == "fast", fast).otherwise(slow)
-    near = window_rows(out.withColumn("_w", width), rows, keys, F.col("_w"), max(fast, slow))
+    near = window_rows(scan_emissions(rows, cfg, keys, mute_us), rows, keys, width, max(fast, slow), ("kind",))
     kinds = {"syn": F.col("tcp_flags") == "S", "null": F.col("tcp_flags") == "", "fin": F.col("tcp_flags") == "F", "xmas": N.is_xmas(F.col("tcp_flags"))}
-    mark = [*keys, "e_us", "e_seq"]
+    mark = [*keys, "e_us", "e_seq", "kind"]
     # Hosts may be very many, so they are counted, and a few are kept; ports are at most 65,536.
     pairs = near.groupBy(*mark, "dst_ip", "dst_port").agg(F.count("*").alias("probes"), F.min("us").alias("first"), *(F.count_if(c).alias(k) for k, c in kinds.items()))
-    place = F.row_number().over(Window.partitionBy(*mark).orderBy("dst_ip"))
-    few = pairs.select(*mark, "dst_ip").distinct().withColumn("place", place).where("place <= 5").groupBy(*mark).agg(F.sort_array(F.collect_list("dst_ip")).alias("hosts"))
-    ports = pairs.select(*mark, "dst_port").distinct().groupBy(*mark).agg(F.sort_array(F.collect_list("dst_port")).alias("ports"))
-    seen = pairs.groupBy(*mark).agg(F.sum("probes").alias("probes"), F.min("first").alias("first"), F.countDistinct("dst_ip").cast("int").alias("n_hosts"), *(F.sum(k).alias(k) for k in kinds))
-    seen = seen.join(few, mark).join(ports, mark)
-    done = out.join(seen.withColumnRenamed("e_us", "us").withColumnRenamed("e_seq", "seq"), [*keys, "us", "seq"])
+    place = F.dense_rank().over(Window.partitionBy(*mark).orderBy("dst_ip"))
+    done = pairs.withColumn("place", place).groupBy(*mark).agg(
+        F.sum("probes").alias("probes"), F.min("first").alias("first"), F.max("place").alias("n_hosts"), F.sort_array(F.collect_set(F.when(F.col("place") <= 5, F.col("dst_ip")))).alias("hosts"),
+        F.sort_array(F.collect_set("dst_port")).alias("ports"), *(F.sum(k).alias(k) for k in kinds),
+    ).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
     kind = F.concat(F.when(F.col("kind") == "slow", "slow_").otherwise(""), scan_type(F.col("probes"), F.col("syn"), F.col("null"), F.col("fin"), F.col("xmas")))
     n, hosts = F.size("ports"), F.col("n_hosts")
     span = N.seconds(F.greatest(F.lit(1000), F.col("us") - F.col("first")))
@@ -132,10 +130,7 @@ def credentials(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> Da
     last = F.last(F.when(F.col("ftp_cmd.cmd") == "USER", F.struct("us", F.coalesce("ftp_cmd.arg", F.lit("")).alias("arg"))), ignorenulls=True).over(by)
     logins = ftp.withColumn("session", last).where("ftp_cmd.cmd = 'PASS'")
     # The session is gone if it is older than the ttl at the last sweep; only logins that late need the sweep.
-    late = logins.where(F.col("us") - F.col("session.us") > ttl).select("capture", F.col("us").alias("_t")).distinct()
-    marks = late.select("capture", F.col("_t").alias("us"), F.lit(None).cast("long").alias("sweep")).unionByName(swept.select("capture", F.col("sweep_us").alias("us"), F.col("sweep_us").alias("sweep")))
-    asof = Window.partitionBy("capture").orderBy("us", F.col("sweep").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept_at = marks.select("capture", "us", "sweep", F.last("sweep", ignorenulls=True).over(asof).alias("_sweep")).where("sweep is null").select(F.col("capture").alias("_c"), F.col("us").alias("_t"), "_sweep")
+    swept_at = last_sweeps(logins.where(F.col("us") - F.col("session.us") > ttl), swept).select(F.col("capture").alias("_c"), F.col("us").alias("_t"), F.col("sweep").alias("_sweep"))
     logins = logins.join(swept_at, (F.col("capture") == F.col("_c")) & (F.col("us") == F.col("_t")), "left")
     alive = F.coalesce(F.col("session.us") >= F.col("_sweep") - ttl, F.col("session").isNotNull())
     ftp = logins.select("capture", "seq", "us", "src_ip", "dst_ip", "dst_port", F.lit("FTP").alias("protocol"), F.when(alive, F.col("session.arg")).otherwise("unknown").alias("username"))
@@ -168,29 +163,36 @@ def arp_claims(packets: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     return own.where(~F.lower("mac").isin(allowed)) if allowed else own
 
 
-def arp_changes(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
-    """Claims that differ from the one before: ``was`` is the former MAC."""
-    by = Window.partitionBy("capture", "ip", "epoch").orderBy("us", "seq")
-    return arp_lives(claims, cfg, swept).withColumn("was", F.lag("mac").over(by)).where("was is not null and was <> mac")
+def arp_lives(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
+    """Claims with ``epoch``, which tells the lives of an address apart, ``was``, the MAC of the claim before, and ``first``, whether the MAC is new to the life."""
+    own = with_epochs(claims, ["capture", "ip"], swept, micros(cfg["state_ttl_seconds"]))
+    key = ["capture", "ip", "epoch"]
+    was = F.lag("mac").over(Window.partitionBy(*key).orderBy("us", "seq"))
+    first = F.row_number().over(Window.partitionBy(*key, "mac").orderBy("us", "seq")) == 1
+    return own.withColumn("was", was).withColumn("first", first)
 
 
-def arp_lives(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
-    return with_epochs(claims, ["capture", "ip"], swept, micros(cfg["state_ttl_seconds"]))
+def arp_changes(lives: DataFrame) -> DataFrame:
+    """Claims that differ from the one before: ``was`` is the former MAC."""
+    return lives.where("was is not null and was <> mac")
 
 
 def with_known_macs(rows: DataFrame, lives: DataFrame) -> DataFrame:
-    """Adds ``known`` to claims: all MACs that had claimed the address by then, from when each did so first."""
+    """Adds ``known`` to claims: all MACs that had claimed the address by then, from when each did so first.
+
+    A claim meets the MACs that it tells and those that come later in the life.
+    """
     key = ["capture", "ip", "epoch"]
-    firsts = lives.groupBy(*key, "mac").agg(F.min(F.struct("us", "seq")).alias("first")).withColumnRenamed("mac", "other")
-    seen = rows.select(*key, "us", "seq").join(firsts, key).where(F.col("first") <= F.struct("us", "seq"))
+    firsts = lives.where("first").select(*key, F.col("mac").alias("other"), F.struct("us", "seq").alias("_first"))
+    seen = rows.select(*key, "us", "seq").join(firsts, key).where(F.col("_first") <= F.struct("us", "seq"))
     known = seen.groupBy(*key, "us", "seq").agg(F.sort_array(F.collect_list("other")).alias("known"))
     return rows.join(known, [*key, "us", "seq"])
 
 
 def arp_spoof(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us: int = micros(ARP_MUTE)) -> DataFrame:
     """Addresses that another MAC claims than before."""
-    claims = arp_claims(packets, cfg)
-    out = with_known_macs(throttle(arp_changes(claims, cfg, swept), ["capture", "ip", "mac"], mute_us), arp_lives(claims, cfg, swept))
+    lives = arp_lives(arp_claims(packets, cfg), cfg, swept)
+    out = with_known_macs(throttle(arp_changes(lives), ["capture", "ip", "mac"], mute_us), lives)
     summary = F.concat(F.lit("ARP spoofing detected: IP "), "ip", F.lit(" was claimed by "), "mac", F.lit(" (previously mapped to "), "was", F.lit(")"))
     proof = evidence(
         victim_ip=F.col("ip"), original_mac=F.col("was"), spoofed_mac=F.col("mac"), all_known_macs=F.col("known"), is_gratuitous=F.col("is_gratuitous"),
@@ -224,17 +226,21 @@ def dns_tunnel(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_u
     """Sources whose queries under one domain look like a tunnel: one telling name, many names, or many TXT and NULL records."""
     width = micros(cfg["dns_tunnel"]["window_seconds"])
     rows, keys = lived(dns_queries(packets, cfg), ["capture", "src_ip", "parent"], swept, micros(cfg["state_ttl_seconds"]), max(width, mute_us))
-    out = throttle(dns_trips(rows, cfg, keys), keys, mute_us)
-    near = window_rows(out, rows.select("seq", "us", *keys, "qname", "label", "entropy"), keys, F.lit(width), width)
-    seen = near.groupBy(*keys, "e_us", "e_seq").agg(F.min("us").alias("first"), F.max("entropy").alias("top_entropy"), F.max("label").alias("top_label"), F.sort_array(F.collect_set("qname")).alias("sample"))
-    done = out.join(seen.withColumnRenamed("e_us", "us").withColumnRenamed("e_seq", "seq"), [*keys, "us", "seq"])
+    told = ("dst_ip", "names", "records", "total", "single", "volume", "record")
+    near = window_rows(throttle(dns_trips(rows, cfg, keys), keys, mute_us), rows.select("seq", "us", *keys, "qname", "label", "entropy"), keys, F.lit(width), width, told)
+    mark = [*keys, "e_us", "e_seq", *told]
+    names = near.groupBy(*mark, "qname").agg(F.min("us").alias("first"), F.max("entropy").alias("entropy"), F.max("label").alias("label"))
+    place = F.row_number().over(Window.partitionBy(*mark).orderBy("qname"))
+    done = names.withColumn("place", place).groupBy(*mark).agg(
+        F.min("first").alias("first"), F.max("entropy").alias("top_entropy"), F.max("label").alias("top_label"), F.sort_array(F.collect_list(F.when(F.col("place") <= 5, F.col("qname")))).alias("sample")
+    ).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
     more = F.col("volume") | F.col("record")
     score = F.when(F.col("single") & more, 0.98).when(F.col("single"), F.least(F.lit(0.95), 0.75 + F.col("top_label") / 100.0 * 0.2)).when(F.col("volume"), F.least(F.lit(0.95), 0.80 + F.col("names") / 100.0 * 0.15)).otherwise(0.80)
     rank = F.when((score >= 0.90) | (F.col("records") >= DNS_RECORDS_HIGH), 3).otherwise(2)
     summary = F.concat(F.lit("DNS tunneling / exfiltration indicator detected for domain '"), "parent", F.lit("' from "), "src_ip", F.lit(": "), F.col("names").cast("string"), F.lit(" unique subdomains, max entropy "), F.col("top_entropy").cast("string"))
     proof = evidence(
         parent_domain=F.col("parent"), unique_subdomains_count=F.col("names"), max_entropy=F.col("top_entropy"), max_label_length=F.col("top_label"), txt_null_queries_count=F.col("records"),
-        total_queries_in_window=F.col("total"), sample_queries=F.slice("sample", 1, 5), single_query_trip=F.col("single"), volume_trip=F.col("volume"),
+        total_queries_in_window=F.col("total"), sample_queries=F.col("sample"), single_query_trip=F.col("single"), volume_trip=F.col("volume"),
     )
     return alerts(done, "dns_tunnel", "DNS", 4, rank, F.col("src_ip"), F.col("dst_ip"), F.col("first"), F.col("us"), F.round(score, 4), summary, proof)
 

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,8 +137,37 @@ def islands(df: DataFrame, keys: list[str], gap_us: int, order: list[str]) -> Da
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-#: Sweep intervals in a slice of the clock.
-CLOCK_SLICE = 16
+#: Sweep intervals in a slice of the clock; seconds in a slice of an as-of join; times looked up at once.
+CLOCK_SLICE, ASOF_SLICE, AT_ONCE = 16, 3600, 1 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int, np.ndarray, int | None]]:
+    """(capture, part, distinct times, entry) of each slice of rows sorted by capture, part and time."""
+    now, held = None, []
+
+    def done():
+        us = held[0] if len(held) == 1 else np.concatenate(held)
+        return (*now[:2], us[np.r_[True, us[1:] != us[:-1]]], now[2])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part, capture = b["part"].to_numpy(), b["capture"]
+        new = part[1:] != part[:-1]
+        if pc.count_distinct(capture, mode="all").as_py() > 1:
+            codes = pc.dictionary_encode(capture, null_encoding="encode").indices.to_numpy()
+            new |= codes[1:] != codes[:-1]
+        cut = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        us = b["us"].to_numpy()
+        for s, e in zip(cut, cut[1:]):
+            own = (capture[s].as_py(), int(part[s]), b["entry"][s].as_py() if "entry" in b.schema.names else None)
+            if now is not None and own != now:
+                yield done()
+                held = []
+            now = own
+            held.append(us[s:e].copy())
+    if now is not None:
+        yield done()
 
 
 def sweeps(events: DataFrame, interval_us: int) -> DataFrame:
@@ -148,28 +179,38 @@ def sweeps(events: DataFrame, interval_us: int) -> DataFrame:
     and a later entry never leaves earlier.  Slices are read side by side: each says where
     it is left for every entry, which is a table of few rows, since clocks that start
     apart soon tick alike.  Those tables are then followed from slice to slice, and each
-    slice's sweeps from its entry are told by a second reading.
+    slice's sweeps from its entry are told by a second reading.  Times come as sorted
+    columns; of a slice only its times and a place for each (12 bytes a time) are held.
     """
     span = interval_us * CLOCK_SLICE
-    times = events.where("us > 0").select("capture", "us").distinct().withColumn("part", F.floor(F.col("us") / F.lit(span)).cast("long"))
-
-    def leave(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(x["us"].to_numpy())
-        after = np.searchsorted(us, us + interval_us)
-        last = np.where(after < len(us), after, np.arange(len(us)))
-        while not np.array_equal(last, further := last[last]):  # of each time as a sweep the last sweep in the slice
-            last = further
-        # The first sweep in the slice is a time of its first interval, or the next one after that.
-        own = last[: np.searchsorted(us, us[0] + interval_us) + 1]
-        cut = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
-        until = np.r_[cut[1:], len(own)] - 1
-        return pd.DataFrame({"capture": key[0], "part": key[1], "first": us[0], "until": us[until], "last": us[own[cut]]})
+    times = events.where("us > 0").select("capture", "us", F.floor(F.col("us") / F.lit(span)).cast("long").alias("part"))
+
+    def after(us: np.ndarray) -> np.ndarray:
+        """Of each time the place of the first one at least an interval later; its own place if there is none in the slice."""
+        out = np.arange(len(us), dtype=np.int32)
+        for s in range(0, len(us), AT_ONCE):
+            at = np.searchsorted(us, us[s : s + AT_ONCE] + interval_us)
+            inside = at < len(us)
+            out[s : s + AT_ONCE][inside] = at[inside]
+        return out
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for capture, part, us, _ in _slices(batches):
+            last = after(us)
+            while not np.array_equal(last, further := last[last]):  # of each time as a sweep the last sweep in the slice
+                last = further
+            # The first sweep in the slice is a time of its first interval, or the next one after that.
+            own = last[: np.searchsorted(us, us[0] + interval_us) + 1]
+            cut = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+            until = np.r_[cut[1:], len(own)] - 1
+            n = len(cut)
+            yield pa.RecordBatch.from_arrays([pa.array([capture] * n, pa.string()), pa.array([part] * n, pa.int64()), pa.array(us[until]), pa.array(us[own[cut]])], ["capture", "part", "until", "last"])
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         capture, part, clock, entry, found = object(), None, None, None, False
         for b in batches:
             out = []
-            for c, p, first, until, last in zip(b["capture"], b["part"], b["first"], b["until"], b["last"]):
+            for c, p, until, last in zip(b["capture"], b["part"], b["until"], b["last"]):
                 if c != capture:
                     capture, part, clock = c, None, None
                 if p != part:
@@ -182,21 +223,37 @@ def sweeps(events: DataFrame, interval_us: int) -> DataFrame:
                     out.append((c, p, entry))
             yield pd.DataFrame(out, columns=["capture", "part", "entry"]).astype({"part": "Int64", "entry": "Int64"})
 
-    def tick(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(x["us"].to_numpy())
-        entry = x["entry"].iloc[0]
-        at, out = (0, []) if pd.isna(entry) else (int(np.searchsorted(us, int(entry) + interval_us)), [])
-        start = pd.isna(entry)
-        while at < len(us):
-            if not start:
+    def tick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for capture, _, us, entry in _slices(batches):
+            at, out = 0 if entry is None else int(np.searchsorted(us, entry + interval_us)), []
+            while at < len(us):
                 out.append(us[at])
-            start = False
-            at = int(np.searchsorted(us, us[at] + interval_us))
-        return pd.DataFrame({"capture": key[0], "sweep_us": out})
+                at = int(np.searchsorted(us, us[at] + interval_us))
+            out = out[1:] if entry is None else out  # the first time starts the clock and is no sweep
+            yield pa.RecordBatch.from_arrays([pa.array([capture] * len(out), pa.string()), pa.array(np.asarray(out, np.int64))], ["capture", "sweep_us"])
 
-    tables = times.groupBy("capture", "part").applyInPandas(leave, "capture string, part long, first long, until long, last long")
+    by = ["capture", "part"]
+    tables = times.repartition(*by).sortWithinPartitions(*by, "us").mapInArrow(leave, "capture string, part long, until long, last long")
     entries = tables.repartition("capture").sortWithinPartitions("capture", "part", "until").mapInPandas(follow, "capture string, part long, entry long")
-    return times.join(entries, ["capture", "part"]).groupBy("capture", "part").applyInPandas(tick, "capture string, sweep_us long")
+    return times.join(entries, by).sortWithinPartitions(*by, "us").mapInArrow(tick, "capture string, sweep_us long")
+
+
+def last_sweeps(times: DataFrame, swept: DataFrame) -> DataFrame:
+    """(capture, us, sweep): the last sweep up to each of the distinct ``times`` (capture, us), null if there was none.
+
+    Times and sweeps meet in slices of ASOF_SLICE seconds; what holds at the beginning of a
+    slice comes from the slices' last sweeps, a row a slice.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(ASOF_SLICE * 1_000_000)).cast("long")
+    none = F.lit(None).cast("long")
+    times = times.select("capture", "us", at("us").alias("slice")).distinct()
+    marks = times.withColumn("sweep", none).unionByName(swept.select("capture", F.col("sweep_us").alias("us"), at("sweep_us").alias("slice"), F.col("sweep_us").alias("sweep")))
+    ends = marks.groupBy("capture", "slice").agg(F.max("sweep").alias("sweep"))
+    before = Window.partitionBy("capture").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("capture", "slice", F.last("sweep", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy("capture", "slice").orderBy("us", F.col("sweep").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.select("capture", "us", "slice", F.col("sweep").isNull().alias("asked"), F.last("sweep", ignorenulls=True).over(inside).alias("own")).where("asked")
+    return found.join(ends, ["capture", "slice"]).select("capture", "us", F.coalesce("own", "carried").alias("sweep"))
 
 
 def with_epochs(df: DataFrame, keys: list[str], swept: DataFrame, ttl_us: int) -> DataFrame:
@@ -208,11 +265,8 @@ def with_epochs(df: DataFrame, keys: list[str], swept: DataFrame, ttl_us: int) -
     """
     by = Window.partitionBy(*keys).orderBy("us", "seq")
     gaps = df.withColumn("_prev", F.lag("us").over(by))
-    late = gaps.where(F.col("us") - F.col("_prev") > ttl_us).select("capture", F.col("us").alias("_t")).distinct()
-    marks = late.select("capture", F.col("_t").alias("us"), F.lit(None).cast("long").alias("sweep")).unionByName(swept.select("capture", F.col("sweep_us").alias("us"), F.col("sweep_us").alias("sweep")))
-    asof = Window.partitionBy("capture").orderBy("us", F.col("sweep").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = marks.select("capture", "us", "sweep", F.last("sweep", ignorenulls=True).over(asof).alias("_sweep")).where("sweep is null").select("capture", F.col("us").alias("_t"), "_sweep")
-    joined = gaps.join(last.withColumnRenamed("capture", "_c"), (F.col("capture") == F.col("_c")) & (F.col("us") == F.col("_t")), "left")
+    last = last_sweeps(gaps.where(F.col("us") - F.col("_prev") > ttl_us), swept).select(F.col("capture").alias("_c"), F.col("us").alias("_t"), F.col("sweep").alias("_sweep"))
+    joined = gaps.join(last, (F.col("capture") == F.col("_c")) & (F.col("us") == F.col("_t")), "left")
     gone = F.coalesce(F.col("_prev") < F.col("_sweep") - ttl_us, F.lit(False)).cast("long")
     out = joined.withColumn("_gone", gone).withColumn("epoch", F.sum("_gone").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return out.select(*df.columns, "epoch")

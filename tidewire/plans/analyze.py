@@ -18,38 +18,47 @@ from tidewire.operators.forest import Forest, fit
 from tidewire.operators.temporal import sweeps
 from tidewire.schema import ALERTS
 from tidewire.sources.pcap import capture_stats, read_captures
+from tidewire.store import Tables
 
 log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy relations of an analysis; nothing runs until one is used."""
+    """Relations of an analysis.  Packets are cached and alerts are tables until ``close``; also a context."""
 
     packets: DataFrame
     stats: DataFrame
     raw: DataFrame
     alerts: DataFrame
     config: dict[str, Any]
+    tables: Tables
 
+    def close(self) -> None:
+        self.packets.unpersist()
+        self.tables.close()
 
-def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Detector] | None = None, model: Forest | None = None, keep_going: bool = False) -> DataFrame:
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Detector] | None = None, model: Forest | None = None, keep_going: bool = False, tables: Tables | None = None) -> DataFrame:
     """Raw alerts of all detectors; ``detectors`` may add or replace some.
 
-    A detector that fails stops the analysis, unless it is to ``keep_going``: each
-    detector's alerts are then computed at once, and one that fails is logged and left out.
+    The sweeps, and each detector's alerts, are written once.  A detector that fails stops
+    the analysis, unless it is to ``keep_going``: it is then logged and left out.
     """
+    tables = tables or Tables(packets.sparkSession)
     if micros(config["state_ttl_seconds"]) < micros(max(CREDS_MUTE, ARP_MUTE)):
         raise ValueError("state_ttl_seconds must not be below the mute times of alerts")
-    swept = sweeps(packets, micros(config["sweep_interval_seconds"]))
+    swept = tables.keep(sweeps(packets, micros(config["sweep_interval_seconds"])), "sweeps")
     parts = []
     for name, detector in (detectors or RULES).items():
         try:
-            found = detector(packets, config, swept)
-            if keep_going:
-                found = found.persist(StorageLevel.MEMORY_AND_DISK)
-                found.count()
-            parts.append(found)
+            parts.append(tables.keep(detector(packets, config, swept), f"raw-{name}"))
         except Exception:
             if not keep_going:
                 raise
@@ -59,7 +68,7 @@ def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Dete
     if model is not None:
         if model.window_seconds != float(config["ml"]["window_seconds"]):
             raise ValueError(f"the model has windows of {model.window_seconds:g} s, the settings of {config['ml']['window_seconds']:g} s")
-        parts.append(ml_anomaly(flow_windows(packets, model.window_seconds), model, int(config["ml"]["top_k"])))
+        parts.append(tables.keep(ml_anomaly(flow_windows(packets, model.window_seconds), model, int(config["ml"]["top_k"])), "raw-ml"))
     return union(parts)
 
 
@@ -71,9 +80,16 @@ def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors:
     config = config or load_config()
     packets = packets.persist(StorageLevel.MEMORY_AND_DISK)
     good = packets.where("not coalesce(malformed, false)")
-    model = Forest.load(packets.sparkSession, config["ml"]["model_path"]) if config["ml"]["enabled"] else None
-    raw = detect(good, config, detectors, model, keep_going)
-    return Analysis(packets, capture_stats(packets), raw, ranked(merge(raw, micros(config["window_seconds"]))), config)
+    tables = Tables(packets.sparkSession)
+    try:
+        model = Forest.load(packets.sparkSession, config["ml"]["model_path"]) if config["ml"]["enabled"] else None
+        raw = detect(good, config, detectors, model, keep_going, tables)
+        merged = tables.keep(merge(raw, micros(config["window_seconds"])), "merged")
+        return Analysis(packets, tables.keep(capture_stats(packets), "stats"), raw, tables.keep(ranked(merged), "ranked"), config, tables)
+    except BaseException:
+        packets.unpersist()
+        tables.close()
+        raise
 
 
 def analyse_captures(spark: SparkSession, *paths: str, config: dict[str, Any] | None = None, keep_going: bool = False) -> Analysis:

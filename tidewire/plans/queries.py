@@ -21,6 +21,7 @@ from tidewire.plans import evaluate
 from tidewire.schema import FEATURES
 from tidewire.sources import tables
 from tidewire.sources.pcap import capture_stats, decode_captures
+from tidewire.store import Tables
 
 DAY = 86_400
 #: Settings for tables whose events are hours apart.
@@ -38,12 +39,12 @@ def settings(**more: Any) -> dict[str, Any]:
 
 
 def swept(packets: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    return temporal.sweeps(packets, micros(cfg["sweep_interval_seconds"]))
+    return Tables(packets.sparkSession).keep(temporal.sweeps(packets, micros(cfg["sweep_interval_seconds"])), "sweeps")
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, cfg = tables.tcp_packets(spark, sf_dir), settings()
-    return detectors.port_scan(p, cfg, swept(p, cfg), micros(SCAN_MUTE))
+    return detectors.port_scan(p, cfg, temporal.sweeps(p, micros(cfg["sweep_interval_seconds"])), micros(SCAN_MUTE))  # read only if state is evicted
 
 
 def _arp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,10 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.ranked(A.merge(_raw(spark, sf_dir), micros(GAP)))
+    """Raw and merged alerts are written once, so what follows reads a table."""
+    own = Tables(spark)
+    raw = own.keep(_raw(spark, sf_dir), "raw")
+    return A.ranked(own.keep(A.merge(raw, micros(GAP)), "merged"))
 
 
 def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +103,8 @@ def creds_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arp_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, cfg = tables.arp_packets(spark, sf_dir), settings()
-    claims, clock = detectors.arp_claims(p, cfg), swept(p, cfg)
-    return detectors.with_known_macs(detectors.arp_changes(claims, cfg, clock), detectors.arp_lives(claims, cfg, clock)).select("seq", "ip", "mac", "was", F.array_join("known", ",").alias("known"))
+    lives = detectors.arp_lives(detectors.arp_claims(p, cfg), cfg, swept(p, cfg))
+    return detectors.with_known_macs(detectors.arp_changes(lives), lives).select("seq", "ip", "mac", "was", F.array_join("known", ",").alias("known"))
 
 
 def arp_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +138,7 @@ def dns_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dns_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, cfg = tables.dns_packets(spark, sf_dir), settings()
-    out = detectors.dns_tunnel(p, cfg, swept(p, cfg), micros(10))
+    out = detectors.dns_tunnel(p, cfg, temporal.sweeps(p, micros(cfg["sweep_interval_seconds"])), micros(10))
     return out.select(F.col("emit_seq").alias("seq"), "src", "severity", "score", "start_us", "evidence.max_entropy", "evidence.max_label_length", F.array_join("evidence.sample_queries", ",").alias("sample"))
 
 

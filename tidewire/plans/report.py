@@ -14,7 +14,6 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any, TextIO
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ PREFIX = "tidewire"
 class Report:
     def __init__(self, analysis: Analysis):
         self.analysis = analysis
-        self.found = analysis.alerts.persist(StorageLevel.MEMORY_AND_DISK)  # every part of a report reads them
+        self.found = analysis.alerts
         s = analysis.stats.agg(
             F.sort_array(F.collect_list("capture")).alias("captures"), F.sum("total_packets").alias("total_packets"), F.sum("valid_packets").alias("valid_packets"), F.sum("malformed_packets").alias("malformed_packets"),
             F.sum("duration_seconds").alias("duration_seconds"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
@@ -136,18 +135,36 @@ def write_reports(report: Report, out_dir: str | Path, as_json: bool = True, as_
 
 @dataclass(frozen=True)
 class Findings:
-    """What an analysis of captures came to: statistics, merged alerts in order of rank, and the files written."""
+    """What an analysis of captures came to: statistics, merged alerts with their ranks, and the files written.
+
+    The alerts are there until ``close``, or until the context ends.
+    """
 
     stats: dict[str, Any]
     alerts: DataFrame
     reports: dict[str, str | None]
+    analysis: Analysis
+
+    def close(self) -> None:
+        self.analysis.close()
+
+    def __enter__(self) -> Findings:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def run(
     spark: SparkSession, *paths: str, config: dict[str, Any] | None = None, out_dir: str | Path = ".", as_json: bool = True, as_markdown: bool = True, metrics: str | Path | None = None, to: TextIO | None = None, keep_going: bool = False,
 ) -> Findings:
     """Analyse captures and write their reports in one call; ``to`` gets a summary."""
-    own = Report(analyse_captures(spark, *paths, config=config, keep_going=keep_going))
-    if to is not None:
-        own.summary(to)
-    return Findings(own.stats, own.found, write_reports(own, out_dir, as_json, as_markdown, metrics))
+    analysis = analyse_captures(spark, *paths, config=config, keep_going=keep_going)
+    try:
+        own = Report(analysis)
+        if to is not None:
+            own.summary(to)
+        return Findings(own.stats, own.found, write_reports(own, out_dir, as_json, as_markdown, metrics), analysis)
+    except BaseException:
+        analysis.close()
+        raise
