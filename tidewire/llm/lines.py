@@ -88,12 +88,13 @@ class LineIndex:
         return self.spark.table(self._names[folder])
 
     def _write(self, rows: DataFrame, kind: str, run: tuple[int, int, int]) -> None:
+        """Rows that are dealt by hash already make a file a bucket; the writer sorts them."""
         folder = f"{self.path}/{kind}/{'-'.join(map(str, run))}"
         if old := self._names.pop(folder, None):
             self.spark.sql(f"DROP TABLE {old}")
         drop(self.spark, folder)
         name = f"tidewire_new_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").write.format("parquet").option("path", folder).option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        rows.write.format("parquet").option("path", folder).option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
 
     def close(self) -> None:
@@ -106,12 +107,13 @@ class LineIndex:
         """Count a batch of (h, doc_id), every pair once; False if it was there already.  A document is in one batch only."""
         if any(a <= batch <= b for _, a, b in self.runs("again")):
             return False
-        own = materialise(lines.groupBy("h").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "batch")
-        known = self.runs("first")
-        fresh = reduce(lambda left, run: left.hint("merge").join(self._table("first", run), "h", "left_anti"), [r for r in known if r[2] != batch], own)
-        self._write(fresh, "first", (0, batch, batch))
-        again = own.join(self._table("first", (0, batch, batch)), "h", "left_anti") if known else own.limit(0)
-        self._write(again, "again", (0, batch, batch))  # comes last: it says that the batch is in
+        run = (0, batch, batch)
+        self._write(lines.groupBy("h").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "batch", run)
+        own, known = self._table("batch", run), [r for r in self.runs("first") if r[2] != batch]
+        fresh = reduce(lambda left, r: left.hint("merge").join(self._table("first", r), "h", "left_anti"), known, own)
+        self._write(fresh, "first", run)
+        self._write(own.hint("merge").join(self._table("first", run), "h", "left_anti"), "again", run)  # comes last: it says that the batch is in
+        drop(self.spark, f"{self.path}/batch")
         self.compact()
         return True
 
@@ -132,7 +134,7 @@ class LineIndex:
                 rows = self._together(kind, full)
                 if kind == "again":  # new hashes are in one run each
                     rows = rows.groupBy("h").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-                self._write(rows, kind, (full[0][0] + 1, full[0][1], full[-1][2]))
+                self._write(rows if kind == "again" else rows.repartition(self.buckets, "h"), kind, (full[0][0] + 1, full[0][1], full[-1][2]))
 
     def vacuum(self) -> None:
         """Delete runs that a compacted one contains; for when nothing reads them any more."""
@@ -176,26 +178,28 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, shared: int = SHARED, f
     which is smaller than any other.  A line stays wherever its largest document has it,
     however often.  Documents come in ``batches`` by a hash of their id.
     """
-    spark = docs.sparkSession
+    spark, name = docs.sparkSession, F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    lines = own.select("doc_id", F.explode(line_hashes(F.col("text"))).alias("h"))
+    # A row has each of its lines once, so only rows of a repeated id can have a pair twice.
+    shared_ids = materialise(own.groupBy("doc_id").count().where("count > 1").select(name.alias("h")), "shared-ids")
+    lines = own.select("doc_id", maybe_in(name, shared_ids).alias("twice"), F.explode(line_hashes(F.col("text"))).alias("h"))
     path = new_path(spark, "lines")
     lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").option("compression", "zstd").parquet(path)
-    lines = spark.read.schema("doc_id long, h binary, batch int").parquet(path)
+    lines = spark.read.schema("doc_id long, twice boolean, h binary, batch int").parquet(path)
     index = LineIndex(spark, new_path(spark, "line-runs"), fan, partitions(spark))
     for batch in range(batches):
-        index.add(batch, lines.where(F.col("batch") == batch).select("h", "doc_id").distinct())
+        rows = lines.where(F.col("batch") == batch)
+        index.add(batch, rows.where("not twice").select("h", "doc_id").unionByName(rows.where("twice").select("h", "doc_id").distinct()))
     common = materialise(index.frequent(shared), "frequent")
     index.close()
     # A line goes unless its document is the largest; the null document is the smallest.
     test = F.xxhash64("h")
-    near = lines.where(maybe_in(test, common.select(test.alias("h")))).select("h", "doc_id").distinct()
+    near = lines.where(maybe_in(test, common.select(test.alias("h")))).select("h", "doc_id")
     hits = join_classes(near, common.withColumn("times", F.col("docs")), "h").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last"))).where("last is not null")
-    drops = materialise(hits.groupBy("doc_id").agg(F.collect_list("h").alias("drops")), "drops")  # lines of one document
-    name = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull())
+    drops = materialise(hits.groupBy("doc_id").agg(F.collect_set("h").alias("drops")), "drops")  # lines of one document
     sized = own.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
     touched = maybe_in(name, drops.select(name.alias("h")))
-    some = sized.where(touched).withColumnRenamed("doc_id", "_id").join(drops, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    some = sized.where(touched).withColumnRenamed("doc_id", "_id").join(drops.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")), "left")  # drops grow with the input
     changed = some.select(F.col("_id").alias("doc_id"), "n_lines", "text", F.coalesce("drops", F.array().cast("array<binary>")).alias("drops"))
     changed = changed.mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
     rest = sized.where(~touched).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), "text")
