@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by largest inner product: an adaptive dimension scan over probed lists.
 
-A vector x becomes (x, sqrt(M^2 - |x|^2)), where M is the largest norm, and a query q
-becomes (q, 0): the nearest by distance are then those with the largest inner product.
-Vectors are rotated at random and filed in the list of their nearest centre.  A query
-first visits the lists nearest to it.  The k-th distance found there is a bound, and from
-a list's size, centre and spread, along the centre and across, follows how many of its vectors are expected within the
-bound; the query then visits the lists with most of them, until they hold ``EXPECTED`` of
-all that is expected.  So structured vectors are found in few lists; where vectors have no
-structure, neighbours are everywhere and most lists are visited.
+Vectors are filed by norm, in shells of nearly equal norms, and in a shell in the list of their
+nearest centre.  From a list's size, centre and spread, along the centre and across, follows
+how large the inner products of a query with its vectors are, and, where norms are nearly
+equal, that holds also if they vary over the whole set.  A query first visits the lists that
+promise the largest products.  The k-th product found there is a bound, and each list tells how
+many of its vectors are expected beyond it; the query then visits the lists with most of
+them, until they hold ``EXPECTED`` of all that is expected.  So structured vectors are found
+in few lists; where vectors have no structure, neighbours are everywhere and most lists are
+visited.
+
+In a list a vector x becomes (x, sqrt(M^2 - |x|^2)), where M is the list's largest norm, and a
+query q becomes (q, 0): the largest products are then the smallest distances.
 
 A list is scanned in blocks of dimensions: after each, the distance so far estimates the
 whole one, since after a random rotation every dimension tells as much as another, and
@@ -34,8 +38,12 @@ from tidewire.llm.embed_dedup import _matrix, rotation, valid
 
 #: Rows of which the centres are learnt at most; lists at most; vectors in a page; queries in a batch.
 SAMPLE, LISTS, PAGE, BATCH = 20_000, 4096, 4096, 256
-#: Part of the lists that a query visits first, and the fewest; part of the expected neighbours that its lists must hold.
-HOME, FEWEST, EXPECTED = 0.1, 3, 0.93
+#: Lists are so many times the root of the number of vectors.
+MORE = 3
+#: Part of the lists that a query visits first, and the fewest; times k the vectors that these hold at least; part of the expected neighbours that its lists must hold.
+HOME, FEWEST, FIRST, EXPECTED = 0.1, 3, 4, 0.93
+#: Norms of a shell are within this ratio; the last of so many shells has all that is smaller.
+RATIO, SHELLS = 1.2, 64
 #: Dimensions in a block, and how many standard errors an estimate may err.
 STEP, DOUBT = 16, 2.8
 #: Part of the pairs of a unit under which they are followed one by one and no longer as a matrix.
@@ -78,7 +86,7 @@ def _scan(k: int, turned):
             for r in batch.itertuples():
                 ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
                 x, q = (np.frombuffer(v, "<f4" if small else "<f8").reshape(len(i), -1).astype(float) for v, i, small in ((r.vectors, ids, r.small), (r.q_vectors, q_ids, r.q_small)))
-                y, p = turned(x, False).astype(np.float32), turned(q, True).astype(np.float32)
+                y, p = turned(x, r.list).astype(np.float32), turned(q, None).astype(np.float32)
                 dims = y.shape[1]
                 bound = np.frombuffer(r.bounds)
                 apart = np.zeros((len(q_ids), len(ids)), np.float32)
@@ -172,60 +180,96 @@ def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, expected: float
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + (e / scale) * (e / scale))
     n, largest = own.agg(F.count("*"), F.max(norm2)).first()
     turn = rotation(dims + 1)
-    some = own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded by SAMPLE
-
-    def turned(m: np.ndarray, query: bool) -> np.ndarray:
-        m = m / scale
-        more = np.zeros(len(m)) if query else np.sqrt(np.maximum(0, largest - (m * m).sum(axis=1)))
-        return np.column_stack([m, more]) @ turn
-
-    middle = centres(turned(_matrix(some), False), max(1, min(LISTS, int(np.sqrt(n)))))
-    own_norms = (middle * middle).sum(axis=1)
-    homes = min(len(middle), max(FEWEST, int(np.ceil(HOME * len(middle)))))
-    # Centres among the vectors themselves, and their directions, along which norms spread.
-    plain = (middle @ turn.T)[:, :dims]
-    ray = plain / np.maximum(np.sqrt((plain * plain).sum(axis=1, keepdims=True)), 1e-300)
+    some = _matrix(own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]) / scale  # bounded by SAMPLE
+    top = np.sqrt(largest)
+
+    def shell(m: np.ndarray) -> np.ndarray:
+        norm = np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)
+        return np.clip(np.log(top / norm) / np.log(RATIO), 0, SHELLS - 1).astype(int)
+
+    of = shell(some)
+    there, each = np.unique(of, return_counts=True)
+    lists = max(1, min(LISTS, int(MORE * np.sqrt(n))))
+    parts = [centres(some[of == s], max(1, round(lists * c / len(some)))) for s, c in zip(there, each)]
+    plain, shell_of = np.concatenate(parts), np.repeat(there, [len(x) for x in parts])
+    nearest = there[np.argmin(np.abs(np.arange(SHELLS)[:, None] - there[None, :]), axis=1)]  # a shell that the sample has not goes to one that it has
+    ray = plain / np.maximum(np.sqrt((plain * plain).sum(axis=1, keepdims=True)), 1e-300)  # along which norms spread
+    homes = min(len(plain), max(FEWEST, int(np.ceil(HOME * len(plain)))))
+
+    def filed(m: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        at, s = np.zeros(len(m), int), nearest[shell(m)]
+        for one in np.unique(s):
+            mine = np.flatnonzero(shell_of == one)
+            c = plain[mine]
+            at[s == one] = mine[np.argmin((c * c).sum(axis=1)[None, :] - 2 * m[s == one] @ c.T, axis=1)]
+        return at
+
+    def apart(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector how far it is from its centre along the centre's ray, and what is left across."""
+        off = m - plain[at]
+        along_ = (off * ray[at]).sum(axis=1)
+        return along_, off - along_[:, None] * ray[at]
+
+    # Directions in which vectors spread across rays: their share of the whole spread, in all lists alike.
+    rest = apart(some, filed(some))[1]
+    spread_of = rest.T @ rest
+    spread_of = spread_of / max(np.trace(spread_of), 1e-300)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                m = _matrix(b["v"])
-                at = np.argmin(own_norms[None, :] - 2 * turned(m, False) @ middle.T, axis=1)
-                v, small = _packed(m)
-                off = m / scale - plain[at]
-                yield pd.DataFrame({"list": at, "id": b["id"], "v": v, "small": small, "bound": 0.0, "off": (off * off).sum(axis=1), "along": ((off * ray[at]).sum(axis=1)) ** 2})
-
-    placed = materialise(own.mapInPandas(file, f"{PLACED}, off double, along double"), "filed")
-    spread = placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("off").alias("off"), F.avg("along").alias("along")).collect()  # at most LISTS rows
-    size, along, across = np.zeros((3, len(middle)))
+                raw = _matrix(b["v"])
+                m = raw / scale
+                at = filed(m)
+                v, small = _packed(raw)
+                along_, across_ = apart(m, at)
+                yield pd.DataFrame({"list": at, "id": b["id"], "v": v, "small": small, "bound": 0.0, "across": (across_ * across_).sum(axis=1), "along": along_**2, "norm2": (m * m).sum(axis=1)})
+
+    placed = materialise(own.mapInPandas(file, f"{PLACED}, across double, along double, norm2 double"), "filed")
+    spread = placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("across").alias("across"), F.avg("along").alias("along"), F.max("norm2").alias("high")).collect()  # at most LISTS + SHELLS rows
+    size, along, across, high = np.zeros((4, len(plain)))
     for r in spread:
-        size[r["list"]], along[r["list"]], across[r["list"]] = r["n"], r["along"], max(0.0, r["off"] - r["along"]) / max(1, dims - 1)
-    pages = materialise(_pages(placed.drop("off", "along"), PAGE).drop("bounds"), "lists")
+        size[r["list"]], along[r["list"]], across[r["list"]], high[r["list"]] = r["n"], r["along"], r["across"], r["high"]
+    pages = materialise(_pages(placed.drop("across", "along", "norm2"), PAGE).drop("bounds"), "lists")
+
+    def turned(m: np.ndarray, of_list: int | None) -> np.ndarray:
+        m = m / scale
+        more = np.zeros(len(m)) if of_list is None else np.sqrt(np.maximum(0, high[of_list] - (m * m).sum(axis=1)))
+        return np.column_stack([m, more]) @ turn
+
+    def visits(q: np.ndarray, least: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list) of the visits of queries whose k-th product so far is ``least``."""
+        mean = q @ plain.T
+        var = (q @ ray.T) ** 2 * along + ((q @ spread_of) * q).sum(axis=1)[:, None] * across
+        order = np.argsort(-np.where(size > 0, mean + 2 * np.sqrt(var), -np.inf), axis=1, kind="stable")
+        held = np.cumsum(size[order], axis=1)
+        first = (np.arange(len(plain)) < homes) | (held - size[order] < FIRST * k)
+        first &= size[order] > 0
+        if home:
+            row, at = np.nonzero(first)
+            return row, order[row, at]
+        wanted = size[None, :] * _above(least[:, None], mean, var)
+        np.put_along_axis(wanted, order, np.where(first, 0, np.take_along_axis(wanted, order, axis=1)), axis=1)
+        best = np.argsort(-wanted, axis=1, kind="stable")
+        most = np.take_along_axis(wanted, best, axis=1)
+        upto = np.cumsum(most, axis=1)
+        share = np.where(np.isinf(least), 1.0, expected)[:, None]  # whoever has no k yet visits all
+        more = (upto - most < share * upto[:, -1:]) | (np.arange(len(plain)) < homes)  # as many again at least, whose vectors a normal spread may not tell
+        row, at = np.nonzero((most > 0) & more)
+        return row, best[row, at]
 
     def visit(home: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    m, bound = _matrix(b["v"]), b["bound"].to_numpy()
-                    t = turned(m, True)
-                    apart = np.maximum(0, (t * t).sum(axis=1)[:, None] + own_norms[None, :] - 2 * t @ middle.T)
-                    order = np.argsort(apart, axis=1, kind="stable")
-                    if home:
-                        row, col = np.repeat(np.arange(len(m)), homes), order[:, :homes].reshape(-1)
-                    else:
-                        q = m / scale
-                        norm, met = (q * q).sum(axis=1), (q @ ray.T) ** 2
-                        least = (norm + largest - bound) / 2  # the k-th inner product so far
-                        wanted = size[None, :] * _above(least[:, None], q @ plain.T, met * along + np.maximum(0, norm[:, None] - met) * across)
-                        np.put_along_axis(wanted, order[:, :homes], 0, axis=1)
-                        best = np.argsort(-wanted, axis=1, kind="stable")
-                        most = np.take_along_axis(wanted, best, axis=1)
-                        run_ = np.cumsum(most, axis=1)
-                        share = np.where(np.isinf(bound), 1.0, expected)[:, None]  # whoever has no k yet visits all
-                        row, at = np.nonzero((most > 0) & (run_ - most < share * run_[:, -1:]))
-                        col = best[row, at]
+            for whole in batches:
+                for s in range(0, len(whole), BATCH):
+                    b = whole.iloc[s : s + BATCH]
+                    m, least = _matrix(b["v"]), b["bound"].to_numpy()
+                    q = m / scale
+                    row, col = visits(q, least, home)
                     v, small = _packed(m)
-                    yield pd.DataFrame({"list": col, "id": b["id"].to_numpy()[row], "v": [v[i] for i in row], "small": [small[i] for i in row], "bound": bound[row]})
+                    bound = (q * q).sum(axis=1)[row] + high[col] - 2 * least[row]
+                    yield pd.DataFrame({"list": col, "id": b["id"].to_numpy()[row], "v": [v[i] for i in row], "small": [small[i] for i in row], "bound": bound})
 
         return run
 
@@ -234,10 +278,9 @@ def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, expected: float
         batch = _pages(visits, BATCH).toDF("list", "q_small", "q_ids", "q_vectors", "bounds")
         return pages.join(batch, "list").mapInPandas(_scan(k, turned), FOUND)
 
-    home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("inf"))), True), k), "home")
-    # The squared distance of the k-th neighbour so far: |q|^2 + M^2 - 2 <q, x>.
+    home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("-inf"))), True), k), "home")
     kth = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("score"))
-    bound = F.coalesce(norm2 + F.lit(float(largest)) - 2 * (F.col("score") / scale / scale), F.lit(float("inf")))
-    second = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", bound.alias("bound"))
+    least = F.coalesce(F.col("score") / scale / scale, F.lit(float("-inf")))
+    second = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", least.alias("bound"))
     found = home.select("query_id", "vec_id", "score").unionByName(scanned(second, False))
     return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
