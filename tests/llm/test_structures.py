@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from tidewire.llm import conversations, lines, manifest
+from tidewire.llm.queries import QUERIES, SQL
 from tests.llm.test_operators import documents
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -259,3 +261,21 @@ def test_line_index_is_levelled_and_idempotent(spark, tmp_path):
 def test_documents_with_nulls_and_clashing_columns(spark):
     docs = documents(spark)
     assert lines.kept_digests(docs).count() == docs.count() == manifest.verified(docs).count()
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_merkle_manifest", "op13_line_dedup"])
+def test_queries_equal_their_sql(spark, name, tmp_path):
+    """On small tables with nulls, which the given ones have not."""
+    rows = [(c, t, r, x) for c, t, r, x in talk(5, 60)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = [(i, t, ["en", None, "de", ""][len(t or "") % 4], [None, "a"][len(t or "") % 2], len(t) if t else None) for i, t in lined(7, 60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for t in ("conversations", "documents"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    asked = duck.execute(SQL[name])
+    columns = sorted(c[0] for c in asked.description)
+    place = [[c[0] for c in asked.description].index(c) for c in columns]
+    want, frame = [tuple(r[k] for k in place) for r in asked.fetchall()], QUERIES[name](spark, str(tmp_path))
+    got = [tuple(r[c] for c in columns) for r in frame.collect()]
+    assert columns == sorted(frame.columns) and sorted(got, key=str) == sorted(want, key=str) and got

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, conversations, embed_dedup, lines, manifest, mixing, packing, pii, quality, simhash, token_counts, token_store, toxicity
+from tidewire.llm import ann, conversations, embed_dedup, lines, manifest, mixing, packing, pii, quality, simhash, sql, token_counts, token_store, toxicity
 from tidewire.llm.common import table
 
 
@@ -94,4 +94,4 @@ SELECT doc_id, size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
-SQL = {"op4_source_mixing": MIX_SQL}
+SQL = {"op4_source_mixing": MIX_SQL, "op11_conversation_repair": sql.CONVERSATIONS, "op12_merkle_manifest": sql.MANIFEST, "op13_line_dedup": sql.LINES}
