@@ -125,8 +125,8 @@ def test_one_call_and_failing_detectors(spark, files, tmp_path, monkeypatch):
     own = {"arp_spoof": analyze.RULES["arp_spoof"], "dns_tunnel": broken}
     with pytest.raises(RuntimeError):
         analyze.detect(packets, load_config(), own)
-    assert analyze.detect(packets, load_config(), own, keep_going=True).count() == 0
-    assert analyze.detect(packets, load_config(), {"dns_tunnel": broken}, keep_going=True).count() == 0
+    assert analyze.detect(packets, load_config(), own, keep_going=True)[0].count() == 0
+    assert analyze.detect(packets, load_config(), {"dns_tunnel": broken}, keep_going=True)[0].count() == 0
 
 
 def test_oversized_records_hide_nothing(monkeypatch):

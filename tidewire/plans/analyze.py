@@ -15,6 +15,8 @@ from tidewire.operators.anomaly import ml_anomaly
 from tidewire.operators.detectors import ARP_MUTE, CREDS_MUTE, RULES, Detector
 from tidewire.operators.features import flow_windows
 from tidewire.operators.forest import Forest, fit
+from tidewire.operators.stateful import FAILURES, StatefulDetector
+from tidewire.operators.stateful import run as run_stateful
 from tidewire.operators.temporal import sweeps
 from tidewire.schema import ALERTS
 from tidewire.sources.pcap import capture_stats, read_captures
@@ -33,6 +35,7 @@ class Analysis:
     alerts: DataFrame
     config: dict[str, Any]
     tables: Tables
+    failures: DataFrame
 
     def close(self) -> None:
         self.packets.unpersist()
@@ -45,34 +48,49 @@ class Analysis:
         self.close()
 
 
-def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Detector] | None = None, model: Forest | None = None, keep_going: bool = False, tables: Tables | None = None) -> DataFrame:
-    """Raw alerts of all detectors; ``detectors`` may add or replace some.
+def detect(packets: DataFrame, config: dict[str, Any], detectors: dict[str, Detector | type[StatefulDetector]] | None = None, model: Forest | None = None, keep_going: bool = False, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw alerts of all detectors, and the packets at which users' detectors failed; ``detectors`` may add or replace some.
 
-    The sweeps, and each detector's alerts, are written once.  A detector that fails stops
-    the analysis, unless it is to ``keep_going``: it is then logged and left out.
+    A detector is a function of tables or a class of ``StatefulDetector``.  The sweeps, and
+    each detector's alerts, are written once, several side by side.  A function that fails
+    stops the analysis, unless it is to ``keep_going``: it is then logged and left out.  A
+    class fails by packets.
     """
     tables = tables or Tables(packets.sparkSession)
     if micros(config["state_ttl_seconds"]) < micros(max(CREDS_MUTE, ARP_MUTE)):
         raise ValueError("state_ttl_seconds must not be below the mute times of alerts")
     swept = tables.keep(sweeps(packets, micros(config["sweep_interval_seconds"])), "sweeps")
-    parts = []
+    found: dict[str, DataFrame] = {}
+    failures = []
     for name, detector in (detectors or RULES).items():
+        if isinstance(detector, type):  # a stateful detector of a user's own
+            both = tables.keep(run_stateful(packets, config, swept, detector), f"stateful-{name}")
+            found[name] = both.where("alert is not null").select("alert.*")
+            failures.append(both.where("failure is not null").select("failure.*"))
+            continue
         try:
-            parts.append(tables.keep(detector(packets, config, swept), f"raw-{name}"))
+            found[name] = detector(packets, config, swept)
         except Exception:
             if not keep_going:
                 raise
             log.exception("detector %s failed and is left out", name)
-    if not parts:
-        parts.append(packets.sparkSession.createDataFrame([], ALERTS))
     if model is not None:
         if model.window_seconds != float(config["ml"]["window_seconds"]):
             raise ValueError(f"the model has windows of {model.window_seconds:g} s, the settings of {config['ml']['window_seconds']:g} s")
-        parts.append(tables.keep(ml_anomaly(flow_windows(packets, model.window_seconds), model, int(config["ml"]["top_k"])), "raw-ml"))
-    return union(parts)
-
-
-def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors: dict[str, Detector] | None = None, keep_going: bool = False) -> Analysis:
+        found["ml_anomaly"] = ml_anomaly(flow_windows(packets, model.window_seconds), model, int(config["ml"]["top_k"]))
+    parts = []
+    for name, rows in tables.keep_all(found).items():
+        if not isinstance(rows, Exception):
+            parts.append(rows)
+        elif keep_going and name != "ml_anomaly":
+            log.error("detector %s failed and is left out", name, exc_info=rows)
+        else:
+            raise rows
+    spark = packets.sparkSession
+    return union([spark.createDataFrame([], ALERTS), *parts]), union([spark.createDataFrame([], FAILURES), *failures])
+
+
+def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors: dict[str, Detector | type[StatefulDetector]] | None = None, keep_going: bool = False) -> Analysis:
     """Analyse packets, which may hold many captures.
 
     Decoded packets are kept for the detectors that share them, spilling to disk.
@@ -83,9 +101,9 @@ def analyse(packets: DataFrame, config: dict[str, Any] | None = None, detectors:
     tables = Tables(packets.sparkSession)
     try:
         model = Forest.load(packets.sparkSession, config["ml"]["model_path"]) if config["ml"]["enabled"] else None
-        raw = detect(good, config, detectors, model, keep_going, tables)
+        raw, failures = detect(good, config, detectors, model, keep_going, tables)
         merged = tables.keep(merge(raw, micros(config["window_seconds"])), "merged")
-        return Analysis(packets, tables.keep(capture_stats(packets), "stats"), raw, tables.keep(ranked(merged), "ranked"), config, tables)
+        return Analysis(packets, tables.keep(capture_stats(packets), "stats"), raw, tables.keep(ranked(merged), "ranked"), config, tables, failures)
     except BaseException:
         packets.unpersist()
         tables.close()

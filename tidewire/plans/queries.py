@@ -57,15 +57,18 @@ def _creds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.cleartext_creds(p, cfg, swept(p, cfg), micros(CREDS_MUTE))
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.union([_scan(spark, sf_dir), _creds(spark, sf_dir), _arp(spark, sf_dir)])
+def _raw(spark: SparkSession, sf_dir: str, own: Tables) -> DataFrame:
+    found = own.keep_all({"scan": _scan(spark, sf_dir), "creds": _creds(spark, sf_dir), "arp": _arp(spark, sf_dir)})
+    for rows in found.values():
+        if isinstance(rows, Exception):
+            raise rows
+    return A.union(list(found.values()))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and merged alerts are written once, so what follows reads a table."""
     own = Tables(spark)
-    raw = own.keep(_raw(spark, sf_dir), "raw")
-    return A.ranked(own.keep(A.merge(raw, micros(GAP)), "merged"))
+    return A.ranked(own.keep(A.merge(_raw(spark, sf_dir, own), micros(GAP)), "merged"))
 
 
 def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 _own: dict[str, str] = {}
 
@@ -36,14 +39,25 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/tidewire-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self._n = count(1)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self.path}/{self._n}-{name}"
+        path = f"{self.path}/{next(self._n)}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_all(self, relations: dict[str, DataFrame]) -> dict[str, DataFrame | Exception]:
+        """Several at a time, so that small stages fill the cluster; one that fails gives its exception."""
+
+        def one(item: tuple[str, DataFrame]) -> DataFrame | Exception:
+            try:
+                return self.keep(item[1], item[0])
+            except Exception as e:
+                return e
+
+        with ThreadPoolExecutor(max(1, len(relations))) as pool:
+            return dict(zip(relations, pool.map(inheritable_thread_target(self.spark)(one), relations.items())))
+
     def close(self) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
