@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.schema import REDACTED, SEVERITIES
@@ -106,3 +106,24 @@ def severity_of(rank: Column) -> Column:
 
 def seconds(us: Column) -> Column:
     return us / F.lit(1_000_000.0)
+
+
+#: Domains of an allowlist up to which each is a term of an expression.
+FEW_DOMAINS = 64
+
+
+def without_allowed(rows: DataFrame, name: str, parent: str, domains: list[str]) -> DataFrame:
+    """Rows whose name is neither one of the domains nor under one, nor has one for its parent.
+
+    Of a long list no expression is made: distinct names are exploded into their suffixes and
+    joined with the domains, which Spark broadcasts only if they are small, and the rows of
+    the names that were found are left out.
+    """
+    clean = sorted({d.lower().strip(".") for d in domains})
+    if len(clean) <= FEW_DOMAINS:
+        return rows.where(~allowlisted(F.col(name), F.col(parent), clean))
+    labels = F.split(F.lower(name), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select(name, parent).distinct().select(name, parent, F.explode(F.array_union(suffixes, F.array(F.col(parent)))).alias("domain"))
+    known = rows.sparkSession.createDataFrame([(d,) for d in clean], "domain string")
+    return rows.join(asked.join(known, "domain").select(name, parent).distinct(), [name, parent], "left_anti")

@@ -29,6 +29,14 @@ def sub_key() -> Column:
     )
 
 
+#: Alerts of one key may be merged.
+KEY = ["capture", "detector", "src", "_dst", "_sub"]
+
+
+def keyed(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("_dst", F.coalesce("dst", F.lit(""))).withColumn("_sub", sub_key())
+
+
 def merge(raw: DataFrame, gap_us: int) -> DataFrame:
     """Alerts of one key whose next starts within ``gap_us`` of the end of the one before become one.
 
@@ -36,9 +44,8 @@ def merge(raw: DataFrame, gap_us: int) -> DataFrame:
     all else of the first.  Port scans also unite their sample ports and add up their
     probes.  Alerts that stay alone are unchanged.
     """
-    key = ["capture", "detector", "src", "_dst", "_sub"]
-    order = ["emit_seq", "emit_ord"]
-    rows = islands(raw.withColumn("_dst", F.coalesce("dst", F.lit(""))).withColumn("_sub", sub_key()), key, gap_us, order)
+    key, order = KEY, ["emit_seq", "emit_ord"]
+    rows = islands(keyed(raw), key, gap_us, order)
     # A row a sample port (at most ten an alert), so that one grouping unites ports and sums up; what an alert says once counts in its first row.
     rows = rows.select("*", F.posexplode_outer("evidence.sample_ports").alias("_place", "_port"))
     own = F.coalesce(F.col("_place"), F.lit(0)) == 0
@@ -47,6 +54,11 @@ def merge(raw: DataFrame, gap_us: int) -> DataFrame:
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("severity_rank").alias("severity_rank"), F.max("score").alias("score"),
         F.sum(F.when(own, F.col("evidence.total_probes"))).alias("probes"), F.max("evidence.distinct_ports_count").alias("reported"), F.array_sort(F.collect_set("_port")).alias("ports"),  # 65,536 at most
     )
+    return united(parts)
+
+
+def united(parts: DataFrame) -> DataFrame:
+    """Alerts of what their parts come to: n, f (the first part), seen, start_us, end_us, severity_rank, score, probes, reported, ports."""
     many = F.col("n") > 1
     scan = many & (F.col("detector") == "port_scan")
     span = N.seconds(F.greatest(F.lit(1000), F.col("end_us") - F.col("start_us")))

@@ -207,7 +207,7 @@ def dns_queries(packets: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     own = packets.where(d.isNotNull() & (F.col("src_ip") != "") & (d["qr"] == 0) & d["qname"].isNotNull())
     own = own.select("capture", "seq", "us", "src_ip", N.or_default(F.col("dst_ip"), "unknown").alias("dst_ip"), d["qname"].alias("qname"), F.coalesce(d["qtype"], F.lit(1)).alias("qtype"))
     own = own.withColumn("parent", N.parent_domain(F.col("qname"))).where("parent <> ''")
-    own = own.where(~N.allowlisted(F.col("qname"), F.col("parent"), cfg["dns_tunnel"].get("domain_allowlist", [])))
+    own = N.without_allowed(own, "qname", "parent", cfg["dns_tunnel"].get("domain_allowlist", []))
     return own.withColumn("label", N.max_label_length(F.col("qname"))).withColumn("entropy", F.round(N.entropy(N.subdomain(F.col("qname"))), 3))
 
 

@@ -239,10 +239,20 @@ def flow_windows(packets: DataFrame, window_seconds: int = 60, watermark: str =
     roles = F.array(F.struct(F.when(F.col("src_ip") != "", F.col("src_ip")).alias("ip"), F.lit(True).alias("out")), F.struct(F.when((F.col("dst_ip") != "") & (F.coalesce("src_ip", F.lit("")) != F.col("dst_ip")), F.col("dst_ip")).alias("ip"), F.lit(False).alias("out")))
     both = own.withColumn("role", F.explode(roles)).where("role.ip is not null")
     out = F.col("role.out")
-    sums = both.groupBy("capture", F.col("role.ip").alias("src_ip"), F.window("event_time", f"{window_seconds} seconds").alias("w")).agg(
-        F.size(F.collect_set(F.when(out, F.to_json(F.struct("proto", "dst_ip", "src_port", "dst_port"))))).alias("connections"), F.size(F.collect_set(F.when(out & (F.col("dst_ip") != ""), F.col("dst_ip")))).alias("ips"),
-        F.size(F.collect_set(F.when(out, F.col("dst_port")))).alias("ports"), F.count_if(out).alias("packets"), F.sum(F.when(out, F.col("length"))).alias("sent"), F.sum(F.when(~out, F.col("length"))).alias("received"),
-        F.count_if(out & tcp & syn & ~ack).alias("syn"), F.count_if(~out & tcp & syn & ack).alias("synack"), F.count_if(out & dns).alias("dns"),
+    # A distinct value is a state row of its own (kinds 0 to 2), and so are the sums (kind 3): none grows with what an endpoint does.
+    value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    kinds = F.array(
+        value(0, F.when(out, F.to_json(F.struct("proto", "dst_ip", "src_port", "dst_port")))), value(1, F.when(out & (F.col("dst_ip") != ""), F.col("dst_ip"))), value(2, F.when(out, F.col("dst_port"))), value(3, none)
+    )
+    flat = both.select(
+        "event_time", "capture", F.col("role.ip").alias("src_ip"), out.cast("int").alias("out"), F.when(out, F.col("length")).alias("sent"), F.when(~out, F.col("length")).alias("received"),
+        (out & tcp & syn & ~ack).cast("int").alias("syn"), (~out & tcp & syn & ack).cast("int").alias("synack"), F.coalesce(out & dns, F.lit(False)).cast("int").alias("dns"), F.explode(kinds).alias("k"),
+    ).where("k.kind = 3 or k.value is not null")
+    names = ("out", "sent", "received", "syn", "synack", "dns")
+    values = flat.groupBy("capture", "src_ip", F.window("event_time", f"{window_seconds} seconds").alias("w"), "k").agg(*(F.sum(F.when(F.col("k.kind") == 3, F.col(n))).alias(n) for n in names))
+    sums = values.groupBy("capture", "src_ip", F.window("w", f"{window_seconds} seconds").alias("w")).agg(
+        *(F.count_if(F.col("k.kind") == n).alias(c) for n, c in enumerate(("connections", "ips", "ports"))), *(F.sum(n).alias("packets" if n == "out" else n) for n in names)
     ).where("packets > 0")
     minutes = window_seconds / 60.0
     values = (
