@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import micros
 from tidewire.functions import network as N
-from tidewire.operators.temporal import SLICE, growth_throttle, last_sweeps, throttle, trailing, with_epochs
+from tidewire.operators.temporal import growth_throttle, last_sweeps, throttle, trailing, window_evidence, with_epochs
 from tidewire.schema import EVIDENCE, REDACTED
 
 Detector = Callable[[DataFrame, dict[str, Any], DataFrame], DataFrame]
@@ -44,17 +44,6 @@ def alerts(df: DataFrame, detector: str, prefix: str, ordinal: int, rank: Column
     )
 
 
-def window_rows(emitted: DataFrame, rows: DataFrame, keys: list[str], width_us: Column, longest_us: int, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The rows in the trailing window of each emission (marked by its ``us`` and ``seq`` as e_us, e_seq, with its ``carried`` columns), joined by key and time slice."""
-    span = longest_us * SLICE
-    at = F.floor(F.col("us") / F.lit(span)).cast("long")
-    own = emitted.select(*keys, F.col("us").alias("e_us"), F.col("seq").alias("e_seq"), width_us.alias("_width"), *carried)
-    first, last = F.floor((F.col("e_us") - longest_us) / F.lit(span)).cast("long"), F.floor(F.col("e_us") / F.lit(span)).cast("long")
-    own = own.withColumn("_slice", F.explode(F.when(first < last, F.array(first, last)).otherwise(F.array(last))))
-    near = (F.col("us") >= F.col("e_us") - F.col("_width")) & ((F.col("us") < F.col("e_us")) | ((F.col("us") == F.col("e_us")) & (F.col("seq") <= F.col("e_seq"))))
-    return rows.withColumn("_slice", at).join(own, [*keys, "_slice"]).where(near)
-
-
 def probes(packets: DataFrame) -> DataFrame:
     """TCP packets whose flags a scan would send."""
     own = packets.where("proto = 'TCP' and src_ip <> '' and dst_port is not null").where(N.is_probe(F.col("tcp_flags")))
@@ -71,10 +60,12 @@ def lived(rows: DataFrame, keys: list[str], swept: DataFrame, ttl_us: int, longe
 
 
 def scan_windows(rows: DataFrame, cfg: dict[str, Any], keys: list[str]) -> DataFrame:
-    """Distinct ports of each probe's fast and slow window."""
-    ps = cfg["port_scan"]
-    fast = trailing(rows.select("seq", "us", *keys, "dst_port"), keys, micros(ps["window_seconds"]), distinct={"fast_ports": "dst_port"})
-    return trailing(fast, keys, micros(ps["slow_window_seconds"]), distinct={"slow_ports": "dst_port"})
+    """Of each probe's fast and slow window the distinct ports and hosts, the probes, and those of each kind."""
+    ps, flags = cfg["port_scan"], F.col("tcp_flags")
+    kinds = {"probes": F.lit(1), "syn": flags == "S", "null": flags == "", "fin": flags == "F", "xmas": N.is_xmas(flags)}
+    for name, seconds in (("fast", ps["window_seconds"]), ("slow", ps["slow_window_seconds"])):
+        rows = trailing(rows, keys, micros(seconds), sums={f"{name}_{k}": c for k, c in kinds.items()}, distinct={f"{name}_ports": "dst_port", f"{name}_hosts": "dst_ip"})
+    return rows
 
 
 def scan_type(total: Column, syn: Column, null: Column, fin: Column, xmas: Column) -> Column:
@@ -85,12 +76,16 @@ def scan_type(total: Column, syn: Column, null: Column, fin: Column, xmas: Colum
 
 
 def scan_emissions(rows: DataFrame, cfg: dict[str, Any], keys: list[str], mute_us: int = micros(SCAN_MUTE)) -> DataFrame:
+    """The probes at which a source is reported: ``kind`` is the window that tells it, n its distinct ports, and hosts, probes and kinds are of that window, too."""
     ps = cfg["port_scan"]
-    seen = scan_windows(rows, cfg, keys)
+    seen = scan_windows(rows.select("seq", "us", *keys, "dst_ip", "dst_port", "tcp_flags"), cfg, keys)
+    told = ("hosts", "probes", "syn", "null", "fin", "xmas")
     fast_n = F.when(F.col("fast_ports") >= ps["min_distinct_ports"], F.col("fast_ports")).otherwise(0)
     slow_n = F.when(F.col("slow_ports") >= ps["slow_min_distinct_ports"], F.col("slow_ports")).otherwise(0)
-    candidates = seen.select("seq", "us", *keys, fast_n.alias("fast_n"), slow_n.alias("slow_n")).where("fast_n > 0 or slow_n > 0")
-    return growth_throttle(candidates, keys, mute_us, SCAN_GROWTH)
+    candidates = seen.select("seq", "us", *keys, fast_n.alias("fast_n"), slow_n.alias("slow_n"), *(f"{w}_{k}" for w in ("fast", "slow") for k in told)).where("fast_n > 0 or slow_n > 0")
+    out = growth_throttle(candidates, keys, mute_us, SCAN_GROWTH)
+    own = lambda k: F.when(F.col("kind") == "fast", F.col(f"fast_{k}")).otherwise(F.col(f"slow_{k}")).alias(k)
+    return out.select("seq", "us", *keys, "fast_n", "slow_n", "kind", own("n"), *map(own, told))
 
 
 def port_scan(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us: int = micros(SCAN_MUTE)) -> DataFrame:
@@ -98,26 +93,18 @@ def port_scan(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us
     fast, slow = micros(cfg["port_scan"]["window_seconds"]), micros(cfg["port_scan"]["slow_window_seconds"])
     rows, keys = lived(probes(packets), ["capture", "src_ip"], swept, micros(cfg["state_ttl_seconds"]), max(fast, slow, mute_us))
     width = F.when(F.col("kind") == "fast", fast).otherwise(slow)
-    near = window_rows(scan_emissions(rows, cfg, keys, mute_us), rows, keys, width, max(fast, slow), ("kind",))
-    kinds = {"syn": F.col("tcp_flags") == "S", "null": F.col("tcp_flags") == "", "fin": F.col("tcp_flags") == "F", "xmas": N.is_xmas(F.col("tcp_flags"))}
-    mark = [*keys, "e_us", "e_seq", "kind"]
-    # Hosts may be very many, so they are counted, and a few are kept; ports are at most 65,536.
-    pairs = near.groupBy(*mark, "dst_ip", "dst_port").agg(F.count("*").alias("probes"), F.min("us").alias("first"), *(F.count_if(c).alias(k) for k, c in kinds.items()))
-    place = F.dense_rank().over(Window.partitionBy(*mark).orderBy("dst_ip"))
-    done = pairs.withColumn("place", place).groupBy(*mark).agg(
-        F.sum("probes").alias("probes"), F.min("first").alias("first"), F.max("place").alias("n_hosts"), F.sort_array(F.collect_set(F.when(F.col("place") <= 5, F.col("dst_ip")))).alias("hosts"),
-        F.sort_array(F.collect_set("dst_port")).alias("ports"), *(F.sum(k).alias(k) for k in kinds),
-    ).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
+    least = {"ports": (F.lpad(F.col("dst_port").cast("string"), 5, "0"), 10), "targets": (F.col("dst_ip"), 5)}
+    done = window_evidence(scan_emissions(rows, cfg, keys, mute_us), rows, keys, width, max(fast, slow), least)
     kind = F.concat(F.when(F.col("kind") == "slow", "slow_").otherwise(""), scan_type(F.col("probes"), F.col("syn"), F.col("null"), F.col("fin"), F.col("xmas")))
-    n, hosts = F.size("ports"), F.col("n_hosts")
+    n, hosts = F.col("n"), F.col("hosts")
     span = N.seconds(F.greatest(F.lit(1000), F.col("us") - F.col("first")))
     score = F.round(F.least(F.lit(0.99), F.when(F.col("kind") == "fast", 0.8).otherwise(0.7) + n / 500.0 * 0.2), 4)
     summary = F.concat(F.upper(kind), F.lit(" port scan detected from "), "src_ip", F.lit(": "), n.cast("string"), F.lit(" distinct ports targeted across "), hosts.cast("string"), F.lit(" host(s) in "), F.round(span, 2).cast("string"), F.lit("s"))
     proof = evidence(
-        scan_type=kind, distinct_ports_count=n, total_probes=F.col("probes"), sample_ports=F.slice("ports", 1, 10), probe_rate_per_sec=F.round(F.col("probes") / span, 2),
-        window_type=F.col("kind"), target_hosts_count=hosts, sample_target_hosts=F.col("hosts"),
+        scan_type=kind, distinct_ports_count=n, total_probes=F.col("probes"), sample_ports=F.transform("ports", lambda p: p.cast("int")), probe_rate_per_sec=F.round(F.col("probes") / span, 2),
+        window_type=F.col("kind"), target_hosts_count=hosts, sample_target_hosts=F.col("targets"),
     )
-    return alerts(done, "port_scan", "SCAN", 0, F.when(n >= SCAN_HIGH, 3).otherwise(2), F.col("src_ip"), F.when(hosts == 1, F.col("hosts")[0]), F.col("first"), F.col("us"), score, summary, proof)
+    return alerts(done, "port_scan", "SCAN", 0, F.when(n >= SCAN_HIGH, 3).otherwise(2), F.col("src_ip"), F.when(hosts == 1, F.col("targets")[0]), F.col("first"), F.col("us"), score, summary, proof)
 
 
 def credentials(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
@@ -226,14 +213,8 @@ def dns_tunnel(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_u
     """Sources whose queries under one domain look like a tunnel: one telling name, many names, or many TXT and NULL records."""
     width = micros(cfg["dns_tunnel"]["window_seconds"])
     rows, keys = lived(dns_queries(packets, cfg), ["capture", "src_ip", "parent"], swept, micros(cfg["state_ttl_seconds"]), max(width, mute_us))
-    told = ("dst_ip", "names", "records", "total", "single", "volume", "record")
-    near = window_rows(throttle(dns_trips(rows, cfg, keys), keys, mute_us), rows.select("seq", "us", *keys, "qname", "label", "entropy"), keys, F.lit(width), width, told)
-    mark = [*keys, "e_us", "e_seq", *told]
-    names = near.groupBy(*mark, "qname").agg(F.min("us").alias("first"), F.max("entropy").alias("entropy"), F.max("label").alias("label"))
-    place = F.row_number().over(Window.partitionBy(*mark).orderBy("qname"))
-    done = names.withColumn("place", place).groupBy(*mark).agg(
-        F.min("first").alias("first"), F.max("entropy").alias("top_entropy"), F.max("label").alias("top_label"), F.sort_array(F.collect_list(F.when(F.col("place") <= 5, F.col("qname")))).alias("sample")
-    ).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
+    out = throttle(dns_trips(rows, cfg, keys), keys, mute_us).withColumnsRenamed({"entropy": "own_entropy", "label": "own_label"})
+    done = window_evidence(out, rows, keys, F.lit(width), width, {"sample": (F.col("qname"), 5)}, ("entropy", "label"), copies=width / max(1, mute_us)).withColumnsRenamed({"entropy": "top_entropy", "label": "top_label"})
     more = F.col("volume") | F.col("record")
     score = F.when(F.col("single") & more, 0.98).when(F.col("single"), F.least(F.lit(0.95), 0.75 + F.col("top_label") / 100.0 * 0.2)).when(F.col("volume"), F.least(F.lit(0.95), 0.80 + F.col("names") / 100.0 * 0.15)).otherwise(0.80)
     rank = F.when((score >= 0.90) | (F.col("records") >= DNS_RECORDS_HIGH), 3).otherwise(2)

@@ -79,7 +79,7 @@ def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detectors.probes(tables.tcp_packets(spark, sf_dir))
     out = detectors.scan_emissions(rows, settings(), ["capture", "src_ip"], micros(SCAN_MUTE))
-    return out.select("seq", "src_ip", "us", "kind", F.when(F.col("kind") == "fast", F.col("fast_n")).otherwise(F.col("slow_n")).alias("n"))
+    return out.select("seq", "src_ip", "us", "kind", "n")
 
 
 def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
