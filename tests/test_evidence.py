@@ -16,7 +16,7 @@ def test_window_evidence_equals_all_rows(spark):
     df = spark.createDataFrame(rows, "seq long, us long, k string, v string, h string, top double").repartition(3)
     out = [(q, u, k, rnd.choice([0, 5, 900, 7_777, 20_000])) for q, u, k, *_ in rows if rnd.random() < 0.2]
     emitted = spark.createDataFrame(out, "seq long, us long, k string, w long")
-    got = [r for copies in (2, 9) for r in T.window_evidence(emitted, df, ["k"], F.col("w"), 20_000, {"vs": (F.col("v"), 4), "hs": (F.col("h"), 2)}, ("top",), copies).collect()]
+    got = [r for f in (T.window_evidence, T.joined_evidence) for r in f(emitted, df, ["k"], F.col("w"), 20_000, {"vs": (F.col("v"), 4), "hs": (F.col("h"), 2)}, ("top",)).collect()]
     assert len(got) == 2 * len(out)
     for r in got:
         own = [x for x in rows if x[2] == r.k and r.us - r.w <= x[1] <= r.us and (x[1] < r.us or x[0] <= r.seq)]
@@ -43,3 +43,19 @@ def test_rows_read_grow_with_rows_and_emissions(spark):
             made.append(p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     assert made and max(made) < 60 * 1000 + n and 1000 * 6000 > 50 * max(made)  # copies of windows would be 6 million rows
+
+
+def test_both_ways_give_the_same_alerts(spark, monkeypatch):
+    from tests import captures as C
+    from tidewire.config import load_config, micros
+    from tidewire.operators import detectors as D
+
+    rnd = random.Random(6)
+    rows = [(C.T0 + i * 300_000 + rnd.randrange(200_000), {"src_ip": f"s{rnd.randrange(2)}", "dst_ip": f"d{rnd.randrange(9)}", "dst_port": rnd.randrange(90), "tcp_flags": rnd.choice(["S", "", "F", "FPU"])}) for i in range(500)]
+    cfg = load_config(overrides={"port_scan": {"min_distinct_ports": 8, "window_seconds": 10, "slow_window_seconds": 120, "slow_min_distinct_ports": 30}})
+    p = C.packets(spark, rows).persist()
+    swept, got = T.sweeps(p, micros(30)), []
+    for copies in (0, 10_000):
+        monkeypatch.setattr(D, "COPIES", copies)
+        got.append(sorted(map(str, D.port_scan(p, cfg, swept).collect())))
+    assert got[0] == got[1] and len(got[0]) > 20

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import micros
 from tidewire.functions import network as N
-from tidewire.operators.temporal import growth_throttle, last_sweeps, throttle, trailing, window_evidence, with_epochs
+from tidewire.operators.temporal import COPIES, growth_throttle, joined_evidence, last_sweeps, throttle, trailing, window_evidence, with_epochs
 from tidewire.schema import EVIDENCE, REDACTED
 
 Detector = Callable[[DataFrame, dict[str, Any], DataFrame], DataFrame]
@@ -59,12 +59,17 @@ def lived(rows: DataFrame, keys: list[str], swept: DataFrame, ttl_us: int, longe
     return (with_epochs(rows, keys, swept, ttl_us), [*keys, "epoch"]) if ttl_us < longest_us else (rows, keys)
 
 
-def scan_windows(rows: DataFrame, cfg: dict[str, Any], keys: list[str]) -> DataFrame:
-    """Of each probe's fast and slow window the distinct ports and hosts, the probes, and those of each kind."""
-    ps, flags = cfg["port_scan"], F.col("tcp_flags")
-    kinds = {"probes": F.lit(1), "syn": flags == "S", "null": flags == "", "fin": flags == "F", "xmas": N.is_xmas(flags)}
-    for name, seconds in (("fast", ps["window_seconds"]), ("slow", ps["slow_window_seconds"])):
-        rows = trailing(rows, keys, micros(seconds), sums={f"{name}_{k}": c for k, c in kinds.items()}, distinct={f"{name}_ports": "dst_port", f"{name}_hosts": "dst_ip"})
+def scan_sums() -> dict[str, Column]:
+    """What is counted of a window's probes: all, and those of each kind of scan."""
+    flags = F.col("tcp_flags")
+    return {"probes": F.lit(1), "syn": flags == "S", "null": flags == "", "fin": flags == "F", "xmas": N.is_xmas(flags)}
+
+
+def scan_windows(rows: DataFrame, cfg: dict[str, Any], keys: list[str], told: bool = False) -> DataFrame:
+    """Of each probe's fast and slow window the distinct ports and, if they are to be ``told``, the hosts, the probes, and those of each kind."""
+    for name, seconds in (("fast", cfg["port_scan"]["window_seconds"]), ("slow", cfg["port_scan"]["slow_window_seconds"])):
+        sums = {f"{name}_{k}": c for k, c in scan_sums().items()} if told else {}
+        rows = trailing(rows, keys, micros(seconds), sums=sums, distinct={f"{name}_ports": "dst_port"} | ({f"{name}_hosts": "dst_ip"} if told else {}))
     return rows
 
 
@@ -75,26 +80,34 @@ def scan_type(total: Column, syn: Column, null: Column, fin: Column, xmas: Colum
     return F.when(total > 0, kind).otherwise("unknown")
 
 
-def scan_emissions(rows: DataFrame, cfg: dict[str, Any], keys: list[str], mute_us: int = micros(SCAN_MUTE)) -> DataFrame:
-    """The probes at which a source is reported: ``kind`` is the window that tells it, n its distinct ports, and hosts, probes and kinds are of that window, too."""
-    ps = cfg["port_scan"]
-    seen = scan_windows(rows.select("seq", "us", *keys, "dst_ip", "dst_port", "tcp_flags"), cfg, keys)
-    told = ("hosts", "probes", "syn", "null", "fin", "xmas")
+def scan_emissions(rows: DataFrame, cfg: dict[str, Any], keys: list[str], mute_us: int = micros(SCAN_MUTE), told: bool = False) -> DataFrame:
+    """The probes at which a source is reported: ``kind`` is the window that tells it, n its distinct ports; with ``told``, hosts, probes and kinds are of that window, too."""
+    ps, more = cfg["port_scan"], ("hosts", *scan_sums()) if told else ()
+    seen = scan_windows(rows.select("seq", "us", *keys, "dst_port", *(("dst_ip", "tcp_flags") if told else ())), cfg, keys, told)
     fast_n = F.when(F.col("fast_ports") >= ps["min_distinct_ports"], F.col("fast_ports")).otherwise(0)
     slow_n = F.when(F.col("slow_ports") >= ps["slow_min_distinct_ports"], F.col("slow_ports")).otherwise(0)
-    candidates = seen.select("seq", "us", *keys, fast_n.alias("fast_n"), slow_n.alias("slow_n"), *(f"{w}_{k}" for w in ("fast", "slow") for k in told)).where("fast_n > 0 or slow_n > 0")
-    out = growth_throttle(candidates, keys, mute_us, SCAN_GROWTH)
+    candidates = seen.select("seq", "us", *keys, fast_n.alias("fast_n"), slow_n.alias("slow_n"), *(f"{w}_{k}" for w in ("fast", "slow") for k in more)).where("fast_n > 0 or slow_n > 0")
     own = lambda k: F.when(F.col("kind") == "fast", F.col(f"fast_{k}")).otherwise(F.col(f"slow_{k}")).alias(k)
-    return out.select("seq", "us", *keys, "fast_n", "slow_n", "kind", own("n"), *map(own, told))
+    return growth_throttle(candidates, keys, mute_us, SCAN_GROWTH).select("seq", "us", *keys, "kind", own("n"), *map(own, more))
 
 
 def port_scan(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us: int = micros(SCAN_MUTE)) -> DataFrame:
-    """Sources that probe many ports within a fast or a slow window."""
+    """Sources that probe many ports within a fast or a slow window.
+
+    A source that is reported every mute time has each probe in so many windows as there are
+    mute times in one.  If these are many, counts come from running sums and the rest from
+    panes; if few, windows are joined with their probes.
+    """
     fast, slow = micros(cfg["port_scan"]["window_seconds"]), micros(cfg["port_scan"]["slow_window_seconds"])
     rows, keys = lived(probes(packets), ["capture", "src_ip"], swept, micros(cfg["state_ttl_seconds"]), max(fast, slow, mute_us))
     width = F.when(F.col("kind") == "fast", fast).otherwise(slow)
     least = {"ports": (F.lpad(F.col("dst_port").cast("string"), 5, "0"), 10), "targets": (F.col("dst_ip"), 5)}
-    done = window_evidence(scan_emissions(rows, cfg, keys, mute_us), rows, keys, width, max(fast, slow), least)
+    overlap = max(fast, slow) > COPIES * mute_us
+    out = scan_emissions(rows, cfg, keys, mute_us, overlap)
+    if overlap:
+        done = window_evidence(out, rows, keys, width, max(fast, slow), least)
+    else:
+        done = joined_evidence(out, rows, keys, width, max(fast, slow), least, sums=scan_sums()).withColumnRenamed("n_targets", "hosts")
     kind = F.concat(F.when(F.col("kind") == "slow", "slow_").otherwise(""), scan_type(F.col("probes"), F.col("syn"), F.col("null"), F.col("fin"), F.col("xmas")))
     n, hosts = F.col("n"), F.col("hosts")
     span = N.seconds(F.greatest(F.lit(1000), F.col("us") - F.col("first")))
@@ -214,7 +227,8 @@ def dns_tunnel(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_u
     width = micros(cfg["dns_tunnel"]["window_seconds"])
     rows, keys = lived(dns_queries(packets, cfg), ["capture", "src_ip", "parent"], swept, micros(cfg["state_ttl_seconds"]), max(width, mute_us))
     out = throttle(dns_trips(rows, cfg, keys), keys, mute_us).withColumnsRenamed({"entropy": "own_entropy", "label": "own_label"})
-    done = window_evidence(out, rows, keys, F.lit(width), width, {"sample": (F.col("qname"), 5)}, ("entropy", "label"), copies=width / max(1, mute_us)).withColumnsRenamed({"entropy": "top_entropy", "label": "top_label"})
+    evidence_of = window_evidence if width > COPIES * mute_us else joined_evidence
+    done = evidence_of(out, rows, keys, F.lit(width), width, {"sample": (F.col("qname"), 5)}, ("entropy", "label")).withColumnsRenamed({"entropy": "top_entropy", "label": "top_label"})
     more = F.col("volume") | F.col("record")
     score = F.when(F.col("single") & more, 0.98).when(F.col("single"), F.least(F.lit(0.95), 0.75 + F.col("top_label") / 100.0 * 0.2)).when(F.col("volume"), F.least(F.lit(0.95), 0.80 + F.col("names") / 100.0 * 0.15)).otherwise(0.80)
     rank = F.when((score >= 0.90) | (F.col("records") >= DNS_RECORDS_HIGH), 3).otherwise(2)

@@ -58,8 +58,8 @@ def trailing(df: DataFrame, keys: list[str], width_us: int, sums: dict[str, Colu
     return out.where("_home and _e.kind = 0").drop("_home", "_e")
 
 
-#: Panes of the finest level in the longest window; panes of a level that make one of the next; levels; copies of rows that are cheaper than panes.
-PANES, PER_LEVEL, LEVELS, COPIES = 512, 8, 4, 4
+#: Panes of the finest level in the longest window; panes of a level that make one of the next; levels; copies of a row up to which they are cheaper than the panes of a window (some 40).
+PANES, PER_LEVEL, LEVELS, COPIES = 512, 8, 4, 32
 
 
 def _few(rows: DataFrame, by: list[str], tops: tuple[str, ...], least: dict[str, int]) -> DataFrame:
@@ -75,61 +75,73 @@ def _few(rows: DataFrame, by: list[str], tops: tuple[str, ...], least: dict[str,
     return one.withColumn("_place", place).groupBy(*own).agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), kept.alias("few"))
 
 
-def window_evidence(emitted: DataFrame, rows: DataFrame, keys: list[str], width_us: Column, longest_us: int, least: dict[str, tuple[Column, int]], tops: tuple[str, ...] = (), copies: float = float("inf")) -> DataFrame:
+def window_evidence(emitted: DataFrame, rows: DataFrame, keys: list[str], width_us: Column, longest_us: int, least: dict[str, tuple[Column, int]], tops: tuple[str, ...] = ()) -> DataFrame:
     """Adds to emissions what the trailing window of each tells: ``first`` (the first time), the largest ``tops``, and the k least distinct values of ``least`` (name: string value, k).
 
     Windows overlap, so rows aren't joined with the windows that hold them.  Rows are summed
     up in panes, and these in wider ones; all have the few values, and no more.  A window is
     then the panes inside it, of which there are at most 14 a level, and the rows of its two
     edges, each under 1 / PANES of the longest window.  So what is read grows with rows and
-    emissions, however much windows overlap.  If no row can be in more than a few windows
-    (``copies``), they are joined with rows.
+    emissions, however much windows overlap.  Where a row is in no more than COPIES windows
+    or so, ``joined_evidence`` costs less.
     """
-    summed = copies > COPIES
-    base = max(1, longest_us // (PANES if summed else SLICE))
+    base = max(1, longest_us // PANES)
     sizes, carried = {n: k for n, (_, k) in least.items()}, [c for c in emitted.columns if c not in (*keys, "us", "seq")]
     at = lambda c: F.floor(c / F.lit(base)).cast("long")
     values = F.explode(F.array(*(F.struct(F.lit(n).alias("what"), v.cast("string").alias("value")) for n, (v, _) in least.items())))
     flat = rows.select(*keys, at(F.col("us")).alias("pane"), "us", "seq", *tops, values.alias("v")).select(*keys, "pane", F.col("us").alias("first"), "seq", *tops, "v.what", "v.value")
     shape = [*keys, "level", "pane", "seq", "first", *tops, "what", "few"]
     facts = flat.withColumn("level", F.lit(-1)).withColumn("few", F.array("value")).select(*shape)
-    if summed:
-        panes = _few(flat, [*keys, "pane"], tops, sizes).withColumn("level", F.explode(F.array(*map(F.lit, range(LEVELS)))))
-        panes = panes.withColumn("pane", F.floor(F.col("pane") / F.pow(F.lit(PER_LEVEL), F.col("level"))).cast("long"))
-        # A pane has at most PER_LEVEL ** level of the finest below it, each with a few values.
-        limit = F.coalesce(*(F.when(F.col("what") == n, k) for n, k in sizes.items()))
-        wide = panes.groupBy(*keys, "level", "pane", "what").agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), F.array_sort(F.array_distinct(F.flatten(F.collect_list("few")))).alias("few"))
-        facts = facts.unionByName(wide.withColumn("few", F.slice("few", F.lit(1), limit)).withColumn("seq", F.lit(None).cast("long")).select(*shape))
+    panes = _few(flat, [*keys, "pane"], tops, sizes).withColumn("level", F.explode(F.array(*map(F.lit, range(LEVELS)))))
+    panes = panes.withColumn("pane", F.floor(F.col("pane") / F.pow(F.lit(PER_LEVEL), F.col("level"))).cast("long"))
+    # A pane has at most PER_LEVEL ** level of the finest below it, each with a few values.
+    limit = F.coalesce(*(F.when(F.col("what") == n, k) for n, k in sizes.items()))
+    wide = panes.groupBy(*keys, "level", "pane", "what").agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), F.array_sort(F.array_distinct(F.flatten(F.collect_list("few")))).alias("few"))
+    facts = facts.unionByName(wide.withColumn("few", F.slice("few", F.lit(1), limit)).withColumn("seq", F.lit(None).cast("long")).select(*shape))
 
     mark = [*keys, "e_us", "e_seq", *carried]
     own = emitted.select(*keys, F.col("us").alias("e_us"), F.col("seq").alias("e_seq"), *carried, (F.col("us") - width_us).alias("lo"))
     first, last, after = at(F.col("lo")), at(F.col("e_us")), at(F.col("lo") + (base - 1))
     run = lambda level, x, y: F.when(x < y, F.transform(F.sequence(x, y - 1), lambda p: F.struct(F.lit(level).alias("level"), p.alias("pane")))).otherwise(F.array())
-    if summed:
-        # Whole panes are those from a to b, b left out; what does not make a whole pane of the next level is taken from this one.
-        pieces = [F.transform(F.array_distinct(F.array(first, last)), lambda p: F.struct(F.lit(-1).alias("level"), p.alias("pane")))]
-        own = own.withColumn("_a0", after).withColumn("_b0", last)
-        for level in range(LEVELS):
-            x, y = F.col(f"_a{level}"), F.col(f"_b{level}")
-            if level == LEVELS - 1:
-                pieces.append(run(level, x, y))
-            else:
-                up, down = F.ceil(x / PER_LEVEL).cast("long"), F.floor(y / PER_LEVEL).cast("long")
-                whole = up < down
-                own = own.withColumn(f"_a{level + 1}", F.when(whole, up).otherwise(F.lit(0).cast("long"))).withColumn(f"_b{level + 1}", F.when(whole, down).otherwise(F.lit(0).cast("long")))
-                pieces += [run(level, x, F.when(whole, up * PER_LEVEL).otherwise(y)), run(level, F.when(whole, down * PER_LEVEL).otherwise(y), y)]
-    else:
-        pieces = [run(-1, first, last + 1)]
+    # Whole panes are those from a to b, b left out; what does not make a whole pane of the next level is taken from this one.
+    pieces = [F.transform(F.array_distinct(F.array(first, last)), lambda p: F.struct(F.lit(-1).alias("level"), p.alias("pane")))]
+    own = own.withColumn("_a0", after).withColumn("_b0", last)
+    for level in range(LEVELS):
+        x, y = F.col(f"_a{level}"), F.col(f"_b{level}")
+        if level == LEVELS - 1:
+            pieces.append(run(level, x, y))
+        else:
+            up, down = F.ceil(x / PER_LEVEL).cast("long"), F.floor(y / PER_LEVEL).cast("long")
+            whole = up < down
+            own = own.withColumn(f"_a{level + 1}", F.when(whole, up).otherwise(F.lit(0).cast("long"))).withColumn(f"_b{level + 1}", F.when(whole, down).otherwise(F.lit(0).cast("long")))
+            pieces += [run(level, x, F.when(whole, up * PER_LEVEL).otherwise(y)), run(level, F.when(whole, down * PER_LEVEL).otherwise(y), y)]
     asked = own.select(*mark, "lo", F.explode(F.concat(*pieces)).alias("p")).select(*mark, "lo", "p.level", "p.pane")
     inside = (F.col("first") >= F.col("lo")) & ((F.col("first") < F.col("e_us")) | ((F.col("first") == F.col("e_us")) & (F.col("seq") <= F.col("e_seq"))))
-    if summed:
-        inside = inside & ((F.col("pane") == last) | (F.col("pane") < after))  # an edge that is a whole pane is among those
+    inside = inside & ((F.col("pane") == last) | (F.col("pane") < after))  # an edge that is a whole pane is among those
     met = asked.join(facts, [*keys, "level", "pane"]).where((F.col("level") >= 0) | inside)
     told = _few(met.select(*mark, "what", "first", *tops, F.explode("few").alias("value")), mark, tops, sizes)
     lists = (F.flatten(F.collect_list(F.when(F.col("what") == n, F.col("few")))).alias(n) for n in least)  # one list each
     return told.groupBy(*mark).agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), *lists).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
 
 
+def joined_evidence(emitted: DataFrame, rows: DataFrame, keys: list[str], width_us: Column, longest_us: int, least: dict[str, tuple[Column, int]], tops: tuple[str, ...] = (), sums: dict[str, Column] | None = None) -> DataFrame:
+    """``window_evidence`` by a join of windows and rows, by key and time slice; also ``sums`` over the window, and of each of ``least`` the number of its distinct values (n_name)."""
+    span, carried = longest_us * SLICE, [c for c in emitted.columns if c not in (*keys, "us", "seq")]
+    at = lambda c: F.floor(c / F.lit(span)).cast("long")
+    mark = [*keys, "e_us", "e_seq", *carried]
+    own = emitted.select(*keys, F.col("us").alias("e_us"), F.col("seq").alias("e_seq"), *carried, (F.col("us") - width_us).alias("lo"))
+    own = own.withColumn("_slice", F.explode(F.array_distinct(F.array(at(F.col("lo")), at(F.col("e_us"))))))
+    inside = (F.col("first") >= F.col("lo")) & ((F.col("first") < F.col("e_us")) | ((F.col("first") == F.col("e_us")) & (F.col("seq") <= F.col("e_seq"))))
+    values = rows.select(*keys, at(F.col("us")).alias("_slice"), F.col("us").alias("first"), "seq", *tops, *(v.cast("string").alias(f"_{n}") for n, (v, _) in least.items()), *(c.cast("long").alias(n) for n, c in (sums or {}).items()))
+    added = [F.sum(n).alias(n) for n in sums or {}]
+    met = own.join(values, [*keys, "_slice"]).where(inside).groupBy(*mark, *(f"_{n}" for n in least)).agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), *added)
+    for n in least:  # numbered before any are gathered, since values may be very many
+        met = met.withColumn(f"_at_{n}", F.dense_rank().over(Window.partitionBy(*mark).orderBy(f"_{n}")))
+    lists = (F.array_sort(F.collect_set(F.when(F.col(f"_at_{n}") <= k, F.col(f"_{n}")))).alias(n) for n, (_, k) in least.items())
+    counts = (F.max(f"_at_{n}").cast("long").alias(f"n_{n}") for n in least)
+    return met.groupBy(*mark).agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), *lists, *counts, *added).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
+
+
 def _folded(df: DataFrame, keys: list[str], fold, extra: str = "") -> DataFrame:
     """Rows of ``df`` that an ordered fold lets pass.
 
