@@ -316,7 +316,7 @@ def sweeps(events: DataFrame, interval_us: int) -> DataFrame:
     by = ["capture", "part"]
     tables = times.repartition(*by).sortWithinPartitions(*by, "us").mapInArrow(leave, "capture string, part long, until long, last long")
     entries = tables.repartition("capture").sortWithinPartitions("capture", "part", "until").mapInPandas(follow, "capture string, part long, entry long")
-    return times.join(entries, by).sortWithinPartitions(*by, "us").mapInArrow(tick, "capture string, sweep_us long")
+    return times.join(entries, by).repartition(*by).sortWithinPartitions(*by, "us").mapInArrow(tick, "capture string, sweep_us long")
 
 
 def last_sweeps(times: DataFrame, swept: DataFrame) -> DataFrame:
