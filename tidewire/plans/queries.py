@@ -232,6 +232,13 @@ def captures_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logins_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a login each, in both formats, as bytes, read back by the capture reader with secrets masked."""
+    out = decode_captures(tables.login_files(spark, sf_dir))
+    http, ftp = F.col("app.http_auth"), F.col("app.ftp_cmd")
+    return out.select("capture", "us", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "length", http["username"].alias("http_user"), http["password"].alias("http_password"), ftp["cmd"].alias("ftp_cmd"), ftp["arg"].alias("ftp_arg"), "malformed")
+
+
 def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged alerts held against labels: every third user is said to be a scanner."""
     found = _merged(spark, sf_dir).where("detector = 'port_scan'")
@@ -257,7 +264,7 @@ def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scan_windows, scan_emissions, scan_alerts, creds_http, creds_ftp_asof, creds_alerts, arp_changes, arp_alerts, arp_allowlist, ttl_epochs, dns_metrics, dns_allowlist, dns_trips, dns_alerts,
-    alerts_ranked, alerts_scan_merged, alerts_grid, alerts_max_score, alerts_top_offenders, alerts_json, flow_features, feature_baseline, feature_attribution, feature_attribution_top3, anomaly_alerts, anomaly_ranked, label_scores, label_matches, captures_decoded, stats_of_captures, tcp_flags_canon, text_entropy,
+    alerts_ranked, alerts_scan_merged, alerts_grid, alerts_max_score, alerts_top_offenders, alerts_json, flow_features, feature_baseline, feature_attribution, feature_attribution_top3, anomaly_alerts, anomaly_ranked, label_scores, label_matches, captures_decoded, logins_decoded, stats_of_captures, tcp_flags_canon, text_entropy,
 )}
 
 # ---- SQL -------------------------------------------------------------------------------------------------------------
@@ -431,4 +438,8 @@ SQL = {
           CASE WHEN kind = 0 THEN """ + " || ".join(f"CASE WHEN seq & {1 << n} <> 0 THEN '{c}' ELSE '' END" for n, c in enumerate(N.FLAG_LETTERS)) + """ END AS tcp_flags,
           CAST(CASE kind WHEN 0 THEN 54 WHEN 1 THEN 42 + 12 + 1 + length('k' || k) + 13 + 4 ELSE 42 END AS INT) AS length, CASE WHEN kind = 1 THEN 0 ELSE -1 END::INT AS qr, CASE WHEN kind = 1 THEN 'k' || k || '.example.org' END AS qname, CASE WHEN kind = 1 THEN CASE WHEN event_type = 'view' THEN 16 ELSE 1 END ELSE -1 END::INT AS qtype,
           CASE WHEN kind = 2 THEN 2 ELSE -1 END::INT AS op, CASE WHEN kind = 2 THEN '00:00:00:00:00:0' || (user_id % 4) END AS hwsrc, CASE WHEN kind = 2 THEN CASE WHEN event_type = 'view' THEN '10.9.0.' || (k % 20) ELSE '10.9.1.1' END END AS pdst, kind = 2 AND event_type = 'view' AS is_gratuitous, FALSE AS malformed FROM v""",
+    "logins_decoded": f"""WITH {_E}, v AS (SELECT *, event_type IN ('click', 'view') AS web, 'user' || user_id AS who FROM e)
+        SELECT 'login-' || seq AS capture, us, '10.0.' || CAST(user_id // 256 % 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS src_ip, '10.1.0.' || (user_id % 8) AS dst_ip, CAST(40000 + user_id % 100 AS INT) AS src_port, CASE WHEN web THEN 80 ELSE 21 END::INT AS dst_port, 'PA' AS tcp_flags,
+          CAST(54 + CASE WHEN web THEN 37 + (length(who || ':pw' || k) + 2) // 3 * 4 ELSE 8 + length(CAST(k AS VARCHAR)) END AS INT) AS length, CASE WHEN web THEN who END AS http_user, CASE WHEN web THEN '***REDACTED***' END AS http_password,
+          CASE WHEN NOT web THEN CASE WHEN event_type IN ('signup', 'error') THEN 'USER' ELSE 'PASS' END END AS ftp_cmd, CASE WHEN NOT web THEN CASE WHEN event_type IN ('signup', 'error') THEN 'u' || k ELSE '***REDACTED***' END END AS ftp_arg, FALSE AS malformed FROM v""",
 }

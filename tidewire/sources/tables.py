@@ -72,35 +72,60 @@ def dns_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packet(e, capture=F.lit("pages"), src_ip=F.concat(F.lit("lang-"), F.coalesce("lang", F.lit("none"))), dst_ip=F.lit("10.2.0.53"), proto=F.lit("UDP"), src_port=F.lit(5353), dst_port=F.lit(53), length=F.col("n").cast("int"), app=_app(dns=dns))
 
 
-def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a capture of one packet an event: TCP segments, DNS queries and ARP replies in turn."""
+def _be(n: Column, size: int) -> Column:
+    """A number as hex digits of ``size`` bytes, largest first."""
+    return F.lpad(F.hex(n.cast("long")), 2 * size, "0")
 
-    def be(n: Column, size: int) -> Column:
-        return F.lpad(F.hex(n.cast("long")), 2 * size, "0")
 
-    def le(n: Column) -> Column:
-        h = be(n, 4)
-        return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+def _le(n: Column) -> Column:
+    """A number as hex digits of four bytes, smallest first."""
+    h = _be(n, 4)
+    return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
 
+
+def _ip(protocol: int, source: Column, target: Column, body: Column) -> Column:
+    h = F.lit
+    return F.concat(h("4500"), _be(20 + F.length(body) / 2, 2), h("0001000040"), _be(h(protocol), 1), h("0000"), source, target, body)
+
+
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a capture of one packet an event: TCP segments, DNS queries and ARP replies in turn."""
     h = F.lit
     e = events(spark, sf_dir).withColumn("kind", F.col("event_id") % 3)
     k, user, seq = F.col("k"), F.col("user_id"), F.col("event_id")
-    mac = F.concat(h("0000000000"), be(user % 4, 1))
-    source, target = F.concat(h("0A00"), be(F.floor(user / 256) % 256, 1), be(user % 256, 1)), F.concat(h("0A0100"), be(k % 8, 1))
-    ports = F.concat(be(40000 + user % 100, 2), F.when(F.col("kind") == 0, be(1000 + k, 2)).otherwise(be(h(53), 2)))
-    segment = F.concat(ports, h("0000000000000000"), h("50"), be(seq % 256, 1), h("200000000000"))
+    mac = F.concat(h("0000000000"), _be(user % 4, 1))
+    source, target = F.concat(h("0A00"), _be(F.floor(user / 256) % 256, 1), _be(user % 256, 1)), F.concat(h("0A0100"), _be(k % 8, 1))
+    ports = F.concat(_be(40000 + user % 100, 2), F.when(F.col("kind") == 0, _be(1000 + k, 2)).otherwise(_be(h(53), 2)))
+    segment = F.concat(ports, h("0000000000000000"), h("50"), _be(seq % 256, 1), h("200000000000"))
     label = F.concat(h("k"), k.cast("string"))
-    question = F.concat(h("000701000001000000000000"), be(F.length(label), 1), F.hex(label.cast("binary")), h("076578616D706C65036F726700"), be(F.when(F.col("event_type") == "view", 16).otherwise(1), 2), h("0001"))
-    datagram = F.concat(ports, be(8 + F.length(question) / 2, 2), h("0000"), question)
-
-    def ip(protocol: int, body: Column) -> Column:
-        return F.concat(h("4500"), be(20 + F.length(body) / 2, 2), h("0001000040"), be(h(protocol), 1), h("0000"), source, target, body)
+    question = F.concat(h("000701000001000000000000"), _be(F.length(label), 1), F.hex(label.cast("binary")), h("076578616D706C65036F726700"), _be(F.when(F.col("event_type") == "view", 16).otherwise(1), 2), h("0001"))
+    datagram = F.concat(ports, _be(8 + F.length(question) / 2, 2), h("0000"), question)
 
-    claimed = F.concat(h("0A0900"), be(k % 20, 1))
+    claimed = F.concat(h("0A0900"), _be(k % 20, 1))
     arp = F.concat(h("0001080006040002"), mac, claimed, h("000000000009"), F.when(F.col("event_type") == "view", claimed).otherwise("0A090101"))
-    body = F.when(F.col("kind") == 0, F.concat(h("0800"), ip(6, segment))).when(F.col("kind") == 1, F.concat(h("0800"), ip(17, datagram))).otherwise(F.concat(h("0806"), arp))
+    body = F.when(F.col("kind") == 0, F.concat(h("0800"), _ip(6, source, target, segment))).when(F.col("kind") == 1, F.concat(h("0800"), _ip(17, source, target, datagram))).otherwise(F.concat(h("0806"), arp))
     frame = F.concat(h("000000000009"), mac, body)
     size = F.length(frame) / 2
     us = F.col("us")
-    content = F.concat(h("D4C3B2A1020004000000000000000000FFFF000001000000"), le(F.floor(us / 1_000_000)), le(us % 1_000_000), le(size), le(size), frame)
+    content = F.concat(h("D4C3B2A1020004000000000000000000FFFF000001000000"), _le(F.floor(us / 1_000_000)), _le(us % 1_000_000), _le(size), _le(size), frame)
     return e.select(F.concat(h("event-"), seq.cast("string")).alias("path"), F.unhex(content).alias("content"))
+
+
+def login_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a capture of one login an event, in turn in the block format and in the classic one with nanoseconds, largest byte first."""
+    h = F.lit
+    e = events(spark, sf_dir).withColumn("payload", login_payload())
+    user, seq, us = F.col("user_id"), F.col("event_id"), F.col("us")
+    source, target = F.concat(h("0A00"), _be(F.floor(user / 256) % 256, 1), _be(user % 256, 1)), F.concat(h("0A0100"), _be(user % 8, 1))
+    port = F.when(F.col("event_type").isin("click", "view"), 80).otherwise(21)
+    segment = F.concat(_be(40000 + user % 100, 2), _be(port, 2), h("0000000000000000"), h("5018"), h("200000000000"), F.hex(F.col("payload").cast("binary")))
+    frame = F.concat(h("0000000000090000000000010800"), _ip(6, source, target, segment))
+    size = F.length(frame) / 2
+    classic = F.concat(h("A1B23C4D0002000400000000000000000000FFFF00000001"), _be(F.floor(us / 1_000_000), 4), _be(us % 1_000_000 * 1000, 4), _be(size, 4), _be(size, 4), frame)
+    filled = F.concat(frame, F.repeat(h("00"), ((4 - size % 4) % 4).cast("int")))
+    whole = 32 + F.length(filled) / 2
+    block = F.concat(
+        h("0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000"), h("0100000014000000010000000000040014000000"),
+        h("06000000"), _le(whole), h("00000000"), _le(F.floor(us / (1 << 32))), _le(us % (1 << 32)), _le(size), _le(size), filled, _le(whole),
+    )
+    return e.select(F.concat(h("login-"), seq.cast("string")).alias("path"), F.unhex(F.when(seq % 2 == 0, block).otherwise(classic)).alias("content"))
