@@ -506,7 +506,8 @@ def test_ordinal_fit_is_the_likeliest(monkeypatch):
     truth = np.r_[2.0, -2.0, 1.0, np.zeros(9)]
     score = np.array([truth[f] @ v for f, v in rows]) + rnd.logistic(size=250)
     grade = np.digitize(score, [0.5, 1.5, 3.0])
-    model = toxicity.fit(rows, grade, 4)
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    model = toxicity.fit(toxicity.rows_of(rows), grade, 4)
 
     def objective(w, theta):
         loss = 0.0
@@ -571,6 +572,15 @@ def test_neighbours(spark):
     assert len(few) == 12
 
 
+def test_rows_of_one_id_are_candidates_each(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(7, [100.0, 0.0]), (7, [100.0, 0.0]), (7, [50.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id in (3, 7)"), k=5, expected=1.0).toPandas()
+    of = {q: list(zip(f.vec_id, f.score)) for q, f in got.sort_values("rank").groupby("query_id")}
+    assert of[3] == [(7, 300.0), (7, 300.0), (7, 153.0), (19, 58.0), (18, 55.0)]
+    assert of[7] == [(n, 7.0 * n + 1) for n in (19, 18, 17, 16, 15)]  # asked with the first of its vectors; rows of its id are its own
+
+
 def recall(spark, x, k=20, **settings):
     """Of ``ann.search`` at its shipped settings, against brute force."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
@@ -829,7 +839,32 @@ def test_toxicity_learns_from_the_documents_that_are_there(spark, monkeypatch):
     toxicity.train(df, lab, sample=40)
     toxicity.train(df, lab, sample=100)
     assert given == [40, 60]
-    size = max(len(t) for _, t in rows)
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10 * size)
+    size = max(len(toxicity.features(t)[0]) for _, t in rows)
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 10 * size)
     toxicity.train(df, lab, sample=100)
     assert 10 <= given[-1] <= 11
+
+
+def test_grades_and_chunks_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 40)
+    rnd = np.random.default_rng(2)
+    toxic = (rnd.random(300) < 0.4).astype(int)
+    vectors = []
+    for y in toxic:
+        f = np.sort(rnd.choice(40, rnd.integers(0, 9), replace=False))
+        f = f[(f < 30) | (y == 1) | (rnd.random(len(f)) < 0.02)]  # features from 30 on are telling
+        vectors.append((f, 1 + np.log(rnd.integers(1, 4, len(f)))))
+    has = [[sum(k in f for (f, _), y in zip(vectors, toxic) if y == c) for k in range(40)] for c in (0, 1)]
+    n = [int((toxic == c).sum()) for c in (0, 1)]
+    telling = {k for k in range(40) if has[1][k] >= toxicity.OFTEN and ((has[1][k] + 0.5) / (n[1] + 1)) / ((has[0][k] + 0.5) / (n[0] + 1)) >= toxicity.TELLING}
+    count = [sum(round(np.exp(x - 1)) for k, x in zip(*v) if k in telling) for v in vectors]
+    edges = np.quantile([c for c, y in zip(count, toxic) if y], np.arange(1, toxicity.GRADES) / toxicity.GRADES)
+    want = [1 + int((edges < c).sum()) if y else 0 for c, y in zip(count, toxic)]
+    assert telling and len(set(want)) > 2
+    for chunk in (1, 7, 10_000):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        rows = toxicity.rows_of(vectors)
+        parts = list(rows.chunks())
+        assert [i for part, *_ in parts for i in range(part.start, part.stop)] == list(range(300))
+        assert [(int(k), part.start + int(d)) for part, at, _, doc in parts for k, d in zip(at, doc)] == [(int(k), i) for i, (f, _) in enumerate(vectors) for k in f]
+        assert toxicity.grades(rows, toxic).tolist() == want

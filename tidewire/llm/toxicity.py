@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import text_of
+from tidewire.llm.common import materialise, scratch, text_of
 
 #: Hashed features; labelled rows that training reads at most, the first in order of a hash of their id.
 FEATURES, SAMPLE = 1 << 18, 8000
-#: Characters of their texts at most: what the driver gets is bounded in bytes, too.
-SAMPLE_CHARS = 48_000_000
+#: Features of theirs together at most, of 8 bytes each on the driver, and how many of them a step reads at a time.
+SAMPLE_FEATURES, CHUNK = 12_000_000, 1_000_000
 BEGINNINGS = (4, 5, 6)
 #: Grades above 0: as many equal parts of the toxic documents.
 GRADES = 3
@@ -70,30 +70,57 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, n_grades: int) -> CumulativeLink:
+@dataclass(frozen=True)
+class Rows:
+    """Sparse rows one after another: features and their values, and where each row begins; a last entry is the end."""
+
+    at: np.ndarray
+    value: np.ndarray
+    begin: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def chunks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, features, values, row of each, counted from the first) for runs of about CHUNK features."""
+        a = 0
+        while a < len(self):
+            b = max(a + 1, int(np.searchsorted(self.begin, self.begin[a] + CHUNK, "right")) - 1)
+            part = slice(self.begin[a], self.begin[b])
+            yield slice(a, b), self.at[part], self.value[part], np.repeat(np.arange(b - a), np.diff(self.begin[a : b + 1]))
+            a = b
+
+
+def rows_of(vectors: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+    begin = np.cumsum([0, *(len(f) for f, _ in vectors)])
+    return Rows(np.concatenate([f for f, _ in vectors]).astype(np.int32), np.concatenate([v for _, v in vectors]).astype(np.float32), begin)
+
+
+def fit(rows: Rows, grade: np.ndarray, n_grades: int) -> CumulativeLink:
     """Maximum likelihood with an absolute penalty on the weights, by adaptive proximal gradient steps.
 
-    Thresholds are kept in order by writing them as a first one and positive gaps.
+    Thresholds are kept in order by writing them as a first one and positive gaps.  Scores
+    and gradients are summed chunk by chunk, so temporaries don't grow with the sample.
     """
-    doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    at, value = np.concatenate([f for f, _ in rows]), np.concatenate([v for _, v in rows])
     w = np.zeros(FEATURES)
     t = np.array([2.0, *np.zeros(n_grades - 2)])  # first, logs of gaps
     seen_w, seen_t = np.full(FEATURES, 1e-8), np.full(len(t), 1e-8)
     for _ in range(ROUNDS):
         theta = t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))]
-        score = np.bincount(doc, w[at] * value, len(rows))
-        s = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -50, 50)))
-        upper = np.column_stack([np.ones(len(rows)), s, np.zeros(len(rows))])  # P(grade > -1), ..., P(grade > top)
-        slope = np.column_stack([np.zeros(len(rows)), s * (1 - s), np.zeros(len(rows))])
-        i = np.arange(len(rows))
-        p = np.maximum(upper[i, grade] - upper[i, grade + 1], 1e-12)
-        d_score = (slope[i, grade] - slope[i, grade + 1]) / p / len(rows)
-        g_w = np.bincount(at, value * d_score[doc], FEATURES) 
-        d_theta = np.zeros((len(rows), len(theta) + 2))
-        d_theta[i, grade] -= slope[i, grade] / p
-        d_theta[i, grade + 1] += slope[i, grade + 1] / p
-        g_theta = d_theta[:, 1:-1].mean(axis=0)
+        g_w, g_theta = np.zeros(FEATURES), np.zeros(len(theta) + 2)
+        for part, at, value, doc in rows.chunks():
+            own = grade[part]
+            i = np.arange(len(own))
+            score = np.bincount(doc, w[at] * value, len(own))
+            s = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -50, 50)))
+            upper = np.column_stack([np.ones(len(own)), s, np.zeros(len(own))])  # P(grade > -1), ..., P(grade > top)
+            slope = np.column_stack([np.zeros(len(own)), s * (1 - s), np.zeros(len(own))])
+            p = np.maximum(upper[i, own] - upper[i, own + 1], 1e-12)
+            d_score = (slope[i, own] - slope[i, own + 1]) / p / len(rows)
+            g_w += np.bincount(at, value * d_score[doc], FEATURES)
+            np.add.at(g_theta, own, -slope[i, own] / p / len(rows))
+            np.add.at(g_theta, own + 1, slope[i, own + 1] / p / len(rows))
+        g_theta = g_theta[1:-1]
         g_t = np.r_[g_theta.sum(), np.cumsum(g_theta[::-1])[::-1][1:] * np.exp(t[1:])]
         seen_w += g_w**2
         seen_t += g_t**2
@@ -104,46 +131,57 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, n_grades:
     return CumulativeLink(w, t[0] + np.r_[0, np.cumsum(np.exp(t[1:]))])
 
 
-def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+def grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
     """0 for documents that aren't toxic; else 1 to GRADES, by the number of telling features."""
     has = [np.zeros(FEATURES), np.zeros(FEATURES)]
-    for (f, _), y in zip(rows, toxic):
-        has[y][f] += 1
+    for part, at, _, doc in rows.chunks():
+        bad = toxic[part][doc]
+        for y in (0, 1):
+            has[y] += np.bincount(at[bad == y], minlength=FEATURES)
     n = np.bincount(toxic, minlength=2)
     ratio = ((has[1] + 0.5) / (n[1] + 1)) / ((has[0] + 0.5) / (n[0] + 1))
     telling = (ratio >= TELLING) & (has[1] >= OFTEN)
-    count = np.array([np.round(np.exp(v[telling[f]] - 1)).sum() for f, v in rows])
+    count = np.zeros(len(rows))
+    for part, at, value, doc in rows.chunks():
+        told = telling[at]
+        count[part] = np.bincount(doc[told], np.round(np.exp(value[told].astype(float) - 1)), part.stop - part.start)
     edges = np.quantile(count[toxic == 1], np.arange(1, GRADES) / GRADES)
     return np.where(toxic == 1, 1 + np.searchsorted(edges, count), 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink | None:
-    """Learn from at most ``sample`` labelled documents of at most SAMPLE_CHARS characters together; None unless both labels occur among them.
+    """Learn from at most ``sample`` labelled documents with at most SAMPLE_FEATURES features together; None unless both labels occur among them.
 
     Where a document has several labels, the highest counts; labels other than 0 and 1
     say nothing, nor do those of documents that aren't there.  A repeated doc_id is one
-    document, with the last of its texts in order.
+    document, with the last of its texts in order.  Features are counted where the texts
+    are, so only those that are learnt from come to the driver.
     """
     own = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = own.orderBy(F.xxhash64("doc_id")).limit(sample)  # bounded by the parameter
-    sizes = docs.select("doc_id", F.length(text_of(docs)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic"))
-    sizes = sizes.orderBy(F.xxhash64("doc_id")).toPandas()  # at most ``sample`` rows of numbers
-    sizes = sizes[sizes["n"] <= SAMPLE_CHARS]
-    sizes = sizes[sizes["n"].cumsum() <= SAMPLE_CHARS]
-    chosen = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sizes["doc_id"], sizes["toxic"])], "doc_id long, toxic int")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            f = [features(t) for t in x["text"]]
-            yield pd.DataFrame({"toxic": x["toxic"], "f": [a.astype("<i4").tobytes() for a, _ in f], "v": [b.astype("<f4").tobytes() for _, b in f]})
+            for s in range(0, len(x), 64):
+                own = x.iloc[s : s + 64]
+                f = [features(t) for t in own["text"]]
+                yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"], "n": [len(a) for a, _ in f], "f": [a.astype("<i4").tobytes() for a, _ in f], "v": [b.astype("<f4").tobytes() for _, b in f]})
 
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    got = texts.select("text", "toxic").mapInPandas(describe, "toxic int, f binary, v binary").toPandas()
+    with scratch(docs.sparkSession):
+        described = materialise(texts.mapInPandas(describe, "doc_id long, toxic int, n long, f binary, v binary"), "features")
+        order = F.xxhash64("doc_id")
+        sizes = described.select("doc_id", "n").orderBy(order).toPandas()  # at most ``sample`` rows of numbers
+        sizes = sizes[sizes["n"] <= SAMPLE_FEATURES]
+        sizes = sizes[sizes["n"].cumsum() <= SAMPLE_FEATURES]
+        learnt = docs.sparkSession.createDataFrame([(int(i),) for i in sizes["doc_id"]], "doc_id long")
+        got = described.join(F.broadcast(learnt), "doc_id").orderBy(order).toPandas()
     toxic = got["toxic"].to_numpy(np.int64)
     if len(set(toxic)) < 2:
         return None
-    rows = [(np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for f, v in zip(got["f"], got["v"])]
+    rows = rows_of([(np.frombuffer(f, "<i4"), np.frombuffer(v, "<f4")) for f, v in zip(got["f"], got["v"])])
+    del got
     grade = grades(rows, toxic)
     _, grade = np.unique(grade, return_inverse=True)  # without grades that nobody has
     return fit(rows, grade, int(grade.max()) + 1)
