@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.llm.common import materialise
-from tidewire.llm.embed_dedup import _matrix, rotation, valid
+from tidewire.llm.embed_dedup import _matrix, page_rows, rotation, valid
 
-#: Rows of which the centres are learnt at most; lists at most; vectors in a page; queries in a batch.
+#: Rows of which the centres are learnt at most; lists at most; vectors in a page (fewer, if they are long: see PAGE_BYTES); queries in a batch.
 SAMPLE, LISTS, PAGE, BATCH = 20_000, 4096, 4096, 256
 #: Lists are so many times the root of the number of vectors.
 MORE = 3
@@ -157,16 +157,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     products of the original vectors in double precision; ties go to the smaller id.
     Rows and queries whose vector is null, zero or holds null or non-finite components,
     or whose id is null, take no part.  Inner products exist within a size of vectors only,
-    so each size is a search of its own.  Repeated ids count once, with the first of their
-    vectors in array order.  Products that overflow are infinite, and tie.  With ``expected``
+    so each size is a search of its own.  Rows that share an id are candidates each, so an id
+    may be found more than once; such queries are one, with the first of their vectors in
+    array order.  Products that overflow are infinite, and tie.  With ``expected``
     1, all lists are visited in which a neighbour can be expected.
     """
 
     def clean(df: DataFrame) -> DataFrame:
         own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return own.where(valid(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
+        return own.where(valid(F.col("v")) & F.col("id").isNotNull())
 
-    own, asked = materialise(clean(rows), "vectors"), materialise(clean(queries), "queries")
+    own = materialise(clean(rows), "vectors")
+    asked = materialise(clean(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
     size = F.size("v").alias("size")
     sizes = own.select(size).distinct().join(asked.select(size).distinct(), "size").orderBy("size").collect()
     found = [_search(own.where(F.size("v") == d), asked.where(F.size("v") == d), d, k, expected) for (d,) in sizes]
@@ -231,7 +233,7 @@ def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, expected: float
     size, along, across, high = np.zeros((4, len(plain)))
     for r in spread:
         size[r["list"]], along[r["list"]], across[r["list"]], high[r["list"]] = r["n"], r["along"], r["across"], r["high"]
-    pages = materialise(_pages(placed.drop("across", "along", "norm2"), PAGE).drop("bounds"), "lists")
+    pages = materialise(_pages(placed.drop("across", "along", "norm2"), page_rows(PAGE, dims)).drop("bounds"), "lists")
 
     def turned(m: np.ndarray, of_list: int | None) -> np.ndarray:
         m = m / scale

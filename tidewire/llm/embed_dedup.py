@@ -25,13 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialise
+from tidewire.llm.common import join_classes, materialise
 from tidewire.llm.graph import connected_components, forest
 
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
 #: Vectors in a page at most (about); of a pair of pages compared at a time; in the sample that places the cuts.
 PAGE, TILE, SAMPLE = 4096, 1024, 20_000
+#: Bytes of a page's vectors at most (about): pages of long vectors hold fewer.
+PAGE_BYTES = 32 << 20
 #: Leading dimensions of a block that make its grid, and the width of its cells in radii.
 GRID_DIMS, GRID_WIDTH = 2, 4.0
 SEED = 7
@@ -62,6 +64,11 @@ def blocks(dims: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
+def page_rows(most: int, dims: int) -> int:
+    """Vectors in a page: ``most``, or as many as PAGE_BYTES hold."""
+    return max(1, min(most, PAGE_BYTES // (8 * max(dims, 1))))
+
+
 class Cuts:
     """A binary tree of median cuts along the widest rotated dimension, from a bounded sample."""
 
@@ -94,8 +101,8 @@ def _pages(classes: DataFrame, dims: int, budget: float) -> DataFrame:
     """page, ids, times, vectors, and the page's grid cells: (block, cell) and bounds."""
     turn = rotation(dims)
     parts = blocks(dims)
-    n = classes.count()
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / PAGE))))
+    n, size = classes.count(), page_rows(PAGE, dims)
+    depth = max(0, int(np.ceil(np.log2(max(n, 1) / size))))
     some = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded by SAMPLE
     cuts = Cuts(_unit(_matrix(some)) @ turn if len(some) else np.zeros((0, dims)), depth)
 
@@ -106,7 +113,7 @@ def _pages(classes: DataFrame, dims: int, budget: float) -> DataFrame:
 
     placed = materialise(classes.mapInPandas(place, "rep long, times long, cell long, v binary"), "placed")
     # A cell of many vectors is dealt out to several pages.
-    many = placed.groupBy("cell").agg(F.ceil(F.count("*") / PAGE).alias("shares"))
+    many = placed.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("shares"))
     paged = placed.join(many, "cell").withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")))
     own = paged.groupBy("cell", "share").agg(F.collect_list(F.struct("rep", "times", "v")).alias("rows"))
     own = own.select((F.col("cell") * (1 << 32) + F.col("share")).alias("page"), F.col("rows.rep").alias("ids"), F.col("rows.times").alias("times"), F.col("rows.v").alias("vectors"))
@@ -232,6 +239,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     parts = connected_components(found.where("n < 0").select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     info = classes.join(counts, classes["rep"] == counts["node"], "left").drop("node").join(parts, F.col("rep") == parts["node"], "left")
-    info = info.select(F.col("v").alias("v2"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = own.join(info, own["v"] == info["v2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    info = materialise(info.select("v", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "links")
+    linked = join_classes(own.where("v is not null"), info, "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = linked.unionByName(own.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
