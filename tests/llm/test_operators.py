@@ -73,6 +73,12 @@ def test_components(spark):
     want = components(list(near), lambda i, j: j in near[i])
     got = connected_components(spark.createDataFrame([*pairs, (None, 3), (5, None)], "a long, b long").repartition(5))
     assert {r.node: r.component for r in got.collect()} == {k: v for k, v in want.items() if near[k] != {k}}
+    # hubs with the least and the largest number, which share a third of their neighbours, and one of them as a path's end
+    hubs = [(0, k) for k in range(1, 3001)] + [(10_000, k) for k in range(2001, 5001)] + [(20_000, k) for k in range(20_001, 22_000)] + [(k, k + 1) for k in range(22_000, 22_050)]
+    rnd.shuffle(hubs)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(hubs, "a long, b long").repartition(7)).collect()}
+    assert {n: got[n] for n in got if n <= 10_000} == {n: 0 for n in [*range(5001), 10_000]}
+    assert {n: c for n, c in got.items() if n > 10_000} == {n: 20_000 if n < 22_000 else 22_000 for n in range(20_000, 22_051)}
     a, b = forest(np.array([5, 9, 2]), np.array([7, 5, 2]))
     assert dict(zip(a, b)) == {7: 5, 9: 5}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -114,12 +114,14 @@ def maybe_in(h: Column, hashes: DataFrame) -> Column:
     return F.call_function("getbit", F.get(bits(hashes), F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` joined with their class; ``classes`` has a row a value of ``key``, with its number of rows as ``times``.
 
-    Rows of large classes don't meet in one task: those are fewer than HOT, and are broadcast.
+    Rows of large classes don't meet in one task: those are fewer than HOT, and are
+    broadcast.  ``total`` is the sum of times, or a little more, where that is known.
     """
-    total = classes.agg(F.sum("times")).first()[0] or 0
+    if total is None:
+        total = classes.agg(F.sum("times")).first()[0] or 0
     hot = F.broadcast(classes.where(F.col("times") * HOT > total))
     few = rows.join(hot.select(key), key, "left_anti").join(classes.where(F.col("times") * HOT <= total), key)
     return few.unionByName(rows.join(hot, key))

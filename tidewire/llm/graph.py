@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import drop_table, materialise
+from tidewire.llm.common import drop_table, join_classes, materialise
 
 EDGES = "a long, b long"
 
@@ -41,35 +41,43 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b})
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _low(e: DataFrame) -> DataFrame:
+    """a, m, times: the least neighbour of each node and its number of edges."""
+    return e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times"))
+
+
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    met = join_classes(both.where("b > a"), _low(both), "a", total).withColumn("m", F.least("a", "m"))
+    return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(e: DataFrame, total: int) -> DataFrame:
+    low = _low(e)
+    moved = join_classes(e, low, "a", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that an edge touches; component is its smallest reachable node.
 
-    Alternating large and small stars (Kiveris et al., 2014).  Each round is written to
-    the shared folder; a round needs a few shuffles of at most one row an edge, the
-    minima are combined before the shuffle, and hubs are split by adaptive joins.
-    Edges with a null end and loops say nothing and are left out.
+    Alternating large and small stars (Kiveris et al., 2014).  Each star is written to
+    the shared folder; it needs a few shuffles of at most one row an edge, and the
+    minima are combined before the shuffle.  A hub, a node of more than one edge in HOT,
+    meets its minimum where its edges are; there are fewer than HOT hubs.  Edges with a
+    null end and loops say nothing and are left out.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    e = e.where("a is not null and b is not null and a <> b").mapInPandas(_contract, EDGES)
-    said, former = None, None
-    while True:
-        e = materialise(_small_star(_large_star(e)), "stars")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if former is not None:
-            drop_table(former)
-        former = e
-        if now == said or now[0] == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        said = now
+    e = materialise(e.where("a is not null and b is not null and a <> b").mapInPandas(_contract, EDGES), "stars")
+    said, now = None, _said(e)
+    while now != said and now[0]:
+        large = materialise(_large_star(e, 2 * now[0]), "large-stars")
+        small = materialise(_small_star(large, now[0]), "stars")
+        drop_table(e)
+        drop_table(large)
+        e, said, now = small, now, _said(small)
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _said(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
