@@ -9,6 +9,7 @@ from tests import captures as C
 from tidewire.config import load_config, micros
 from tidewire.operators import detectors as D
 from tidewire.operators import temporal as T
+from tidewire.store import Tables
 from tidewire.streaming import detectors as S
 
 
@@ -176,3 +177,17 @@ def test_stream_features_of_closed_windows(spark, tmp_path):
     stream = run_stream(spark, p, tmp_path, lambda s: S.flow_windows(s, 60, "0 seconds"))
     got, want = {str(r) for r in stream.collect()}, {str(r) for r in flow_windows(p, 60.0).collect()}
     assert got <= want and len(want) - len(got) <= 5  # the last window is still open
+
+
+def test_places_without_a_single_task(spark):
+    own = Tables(spark)
+    values = [None, None] + [(k * 7919) % 1000 for k in range(3000)]
+    df = spark.createDataFrame([(v, n) for n, v in enumerate(values)], "v long, n long").repartition(6)
+    got = own.numbered(df, "v", "n")
+    key = lambda r: (r.v is not None, r.v or 0, r.n)
+    rows = got.collect()
+    assert [r.idx for r in sorted(rows, key=key)] == list(range(1, len(values) + 1)) and got.columns == ["v", "n", "idx"]
+    tied = own.numbered(df.select("v"), "v").collect()
+    assert [r.v for r in sorted(tied, key=lambda r: r.idx)] == sorted(values, key=lambda v: (v is not None, v or 0)) and {r.idx for r in tied} == {r.idx for r in rows}
+    assert own.numbered(df.where("false"), "v").count() == 0
+    own.close()

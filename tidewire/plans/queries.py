@@ -11,7 +11,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewire.config import load_config, micros
 from tidewire.functions import network as N
@@ -216,7 +215,7 @@ def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, e = _merged(spark, sf_dir), tables.events(spark, sf_dir)
     users = tables.tcp_packets(spark, sf_dir).select("src_ip").distinct().where(F.substring_index("src_ip", ".", -1).cast("int") % 3 == 0)
     began = e.agg((F.min("us") / 1e6).alias("began"))
-    own = users.select(F.row_number().over(Window.orderBy("src_ip")).alias("idx"), "src_ip").crossJoin(F.broadcast(began))  # one row
+    own = Tables(spark).numbered(users, "src_ip").crossJoin(F.broadcast(began))  # one row
     labels = own.select(F.lit("events").alias("capture"), F.lit("all").alias("split"), "idx", F.lit("port_scan").alias("detector"), F.upper("src_ip").alias("src"), F.when(F.col("idx") % 2 == 0, "syn").otherwise("sweep").alias("scan_type"), (F.col("began") + 10 * DAY).alias("start"), (F.col("began") + 20 * DAY).alias("end"))
     both = [evaluate.match(labels, found.where(c), any_).withColumn("any_detector", F.lit(any_)) for c, any_ in (("detector = 'port_scan'", False), ("detector <> 'ml_anomaly'", True))]
     return both[0].unionByName(both[1]).select("any_detector", F.col("idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"))
@@ -243,7 +242,7 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged alerts held against labels: every third user is said to be a scanner."""
     found = _merged(spark, sf_dir).where("detector = 'port_scan'")
     users = tables.tcp_packets(spark, sf_dir).select("src_ip").distinct().where(F.substring_index("src_ip", ".", -1).cast("int") % 3 == 0)
-    expected = users.select(F.lit("events").alias("capture"), F.lit("all").alias("split"), F.row_number().over(Window.orderBy("src_ip")).alias("idx"), F.lit("port_scan").alias("detector"), F.col("src_ip").alias("src"), F.lit("").alias("scan_type"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
+    expected = Tables(spark).numbered(users, "src_ip").select(F.lit("events").alias("capture"), F.lit("all").alias("split"), "idx", F.lit("port_scan").alias("detector"), F.col("src_ip").alias("src"), F.lit("").alias("scan_type"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
     splits = spark.createDataFrame([("events", "all")], "capture string, split string")
     return evaluate.scores(evaluate.outcomes(expected, found, splits))
 

@@ -10,6 +10,8 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.util import inheritable_thread_target
 
 _own: dict[str, str] = {}
@@ -58,6 +60,20 @@ class Tables:
         with ThreadPoolExecutor(max(1, len(relations))) as pool:
             return dict(zip(relations, pool.map(inheritable_thread_target(self.spark)(one), relations.items())))
 
+    def numbered(self, df: DataFrame, *order: str) -> DataFrame:
+        """``df`` with idx, each row's place in ``order`` from 1, nulls first; ties come in any order, but stay as they are.
+
+        Rows are dealt by ranges and numbered in them; a row a range tells how many go before,
+        so no task sees all rows.  An empty ``df`` gives no rows.
+        """
+        dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        dealt = self.keep(dealt.withColumns({"_range": F.spark_partition_id(), "_at": at}), "numbered")
+        counts = dealt.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+        before = F.sum("n").over(Window.orderBy("_range")) - F.col("n")  # a row a range
+        shift = F.broadcast(counts.select("_range", (before - F.col("first") + 1).alias("_shift")))
+        return dealt.join(shift, "_range").withColumn("idx", F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
+
     def close(self) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
