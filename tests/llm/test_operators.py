@@ -578,6 +578,18 @@ def test_neighbours(spark):
     assert len(few) == 12
 
 
+def test_visits_are_never_broadcast(spark, monkeypatch):
+    """Files of visits hold a query's vector once, so their size tells nothing of the batches that meet the pages."""
+    joined = []
+    monkeypatch.setattr(ann, "_scan", lambda k, turned, make=ann._scan: (joined.append(k), make(k, turned))[1])
+    plan = ann.search(*(vectors(spark)[1].where(c) for c in ("true", "vec_id % 20 = 0")), k=10)._jdf.queryExecution().executedPlan().toString()
+    assert len(joined) == 2
+    for line in plan.splitlines():
+        assert "q_vectors" not in line or "BroadcastExchange" not in line
+    over = [line.split("Join", 1)[1] for line in plan.splitlines() if "HashJoin" in line or "MergeJoin" in line]
+    assert sum("share" in x for x in over) == 1 and "SortMergeJoin" in plan
+
+
 def test_rows_of_one_id_are_candidates_each(spark):
     rows = [(i, [float(i), 1.0]) for i in range(20)] + [(7, [100.0, 0.0]), (7, [100.0, 0.0]), (7, [50.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

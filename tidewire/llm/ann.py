@@ -130,19 +130,19 @@ def _packed(m: np.ndarray) -> tuple[list[bytes], list[bool]]:
 def _pages(placed: DataFrame, size: int) -> DataFrame:
     """Rows of (list, id, v, small, bound) as bounded pages: the rows of a list and format, dealt out by a hash of their id."""
     placed = materialise(placed, "placed")
-    many = placed.groupBy("list", "small").agg(F.ceil(F.count("*") / size).alias("shares"))
+    many = F.broadcast(placed.groupBy("list", "small").agg(F.ceil(F.count("*") / size).alias("shares")))  # at most two rows a list
     dealt = placed.join(many, ["list", "small"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
     rows = dealt.groupBy("list", "small", "share").agg(F.collect_list(F.struct("id", "v", "bound")).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({
-                "list": b["list"], "small": b["small"], "ids": [np.asarray(i, "<i8").tobytes() for i in b["id"]],
+                "list": b["list"], "small": b["small"], "share": b["share"], "ids": [np.asarray(i, "<i8").tobytes() for i in b["id"]],
                 "vectors": [b"".join(v) for v in b["v"]], "bounds": [np.asarray(x, float).tobytes() for x in b["bound"]],
             })
 
-    flat = rows.select("list", "small", F.col("rows.id").alias("id"), F.col("rows.v").alias("v"), F.col("rows.bound").alias("bound"))
-    return flat.mapInPandas(run, "list int, small boolean, ids binary, vectors binary, bounds binary")
+    flat = rows.select("list", "small", "share", F.col("rows.id").alias("id"), F.col("rows.v").alias("v"), F.col("rows.bound").alias("bound"))
+    return flat.mapInPandas(run, "list int, small boolean, share long, ids binary, vectors binary, bounds binary")
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
@@ -234,6 +234,7 @@ def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, expected: float
     for r in spread:
         size[r["list"]], along[r["list"]], across[r["list"]], high[r["list"]] = r["n"], r["along"], r["across"], r["high"]
     pages = materialise(_pages(placed.drop("across", "along", "norm2"), page_rows(PAGE, dims)).drop("bounds"), "lists")
+    each_page = pages.select("list", "small", "share")  # a row a page of some thousand vectors
 
     def turned(m: np.ndarray, of_list: int | None) -> np.ndarray:
         m = m / scale
@@ -277,8 +278,11 @@ def _search(own: DataFrame, asked: DataFrame, dims: int, k: int, expected: float
 
     def scanned(asked: DataFrame, home: bool) -> DataFrame:
         visits = asked.mapInPandas(visit(home), PLACED)
-        batch = _pages(visits, BATCH).toDF("list", "q_small", "q_ids", "q_vectors", "bounds")
-        return pages.join(batch, "list").mapInPandas(_scan(k, turned), FOUND)
+        batch = _pages(visits, BATCH).toDF("list", "q_small", "q_share", "q_ids", "q_vectors", "bounds").drop("q_share")
+        # A query's vector is in as many batches as it has visits, of which files of visits, where it is written once, tell nothing: batches are never broadcast.
+        # They are dealt to the pages of their list, so a list of many pages is many tasks.
+        dealt = batch.join(F.broadcast(each_page), "list").hint("merge")
+        return dealt.join(pages, ["list", "small", "share"]).mapInPandas(_scan(k, turned), FOUND)
 
     home = materialise(_best_of(scanned(asked.withColumn("bound", F.lit(float("-inf"))), True), k), "home")
     kth = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("score"))
