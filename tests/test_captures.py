@@ -119,3 +119,35 @@ def test_spans_that_do_not_meet_fail(spark, tmp_path):
     assert read(0).count() == 3
     with pytest.raises(Exception, match="don't meet"):
         read(30_000).count()
+
+
+def test_many_small_captures_are_decoded_at_once(spark, monkeypatch):
+    """Captures of both formats, some broken off, some without packets, one larger than a chunk: as file by file, but not a file at a time."""
+    from tidewire.sources import columnar
+
+    monkeypatch.setattr(pcap, "CHUNK", 20_000)
+    files = []
+    for n in range(300):
+        raw = (C.classic if n % 2 else C.blocks)(traffic(n, n % 4))
+        files.append((f"f-{n}", raw[: len(raw) - 5] if n % 7 == 3 else raw))
+    files.insert(50, ("large", C.classic(traffic(9, 400), ">", True)))
+    want = [(name, *row) for name, raw in files for row in plain(raw, True)]
+    calls = []
+    monkeypatch.setattr(columnar, "packet_batch", lambda *a, make=columnar.packet_batch: (calls.append(1), make(*a))[1])
+    small = [f for f in files if len(f[1]) <= pcap.CHUNK]
+    got = [r for b in pcap.small_batches(iter(small), True) for r in b.to_pylist()]
+    tell = lambda r: (r["capture"], *(flat(r[k]) for k in NAMES if k not in ("seq", "capture")))
+    of = lambda rows: sorted(repr((x[0], *x[2:])) for x in rows)
+    assert len(small) == 300 and of([(r["capture"], *tell(r)) for r in got]) == of([w for w in want if w[0] != "large"])
+    assert len(calls) <= 2 + sum(len(raw) for _, raw in small) // (pcap.CHUNK // 2)
+    monkeypatch.undo()
+    monkeypatch.setattr(pcap, "CHUNK", 20_000)
+    out = pcap.decode_captures(spark.createDataFrame(files, "path string, content binary").repartition(2), True).collect()
+    assert of([(r["capture"], *tell(r.asDict(True))) for r in out]) == of(want)
+
+
+def test_captures_of_a_file_of_events_are_many_tasks(spark):
+    from tidewire.sources import tables
+
+    for made in (tables.capture_files, tables.login_files):
+        assert "Exchange hashpartitioning(event_id" in made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -34,6 +34,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -516,15 +517,49 @@ def read_captures_anywhere(spark: SparkSession, path: str, mask_opaque: bool = F
     return decode_captures(spark.read.format("binaryFile").load(path).select("path", "content"), mask_opaque)
 
 
+def small_batches(files: Iterator[tuple[str, bytes]], mask_opaque: bool = False) -> Iterator[pa.RecordBatch]:
+    """The packets of captures of at most a chunk each; of as many files as fill a chunk they are decoded at once."""
+    from tidewire.sources.columnar import packet_batch
+
+    def done() -> pa.RecordBatch:
+        head, at, size, us, link = (np.concatenate(x) if len(x) > 1 else x[0] for x in columns)
+        names = pa.array(paths, pa.string()).take(pa.array(np.repeat(np.arange(len(paths)), counts)))
+        return packet_batch(names, b"".join(held), head, at, size, us, link, mask_opaque)
+
+    held, paths, counts, columns, base = [], [], [], ([], [], [], [], []), 0
+    for path, content in files:
+        if base + len(content) > CHUNK and paths:
+            yield done()
+            held, paths, counts, columns, base = [], [], [], ([], [], [], [], []), 0
+        fmt, first = opened(io.BytesIO(content))
+        found, _, _ = (_blocks if fmt.blocks else _classic)(content, first, len(content), fmt)
+        n = len(found.head)
+        if n:
+            head, at, size, us = (np.asarray(x, np.int64) for x in (found.head, found.at, found.size, found.us))
+            link = np.asarray(found.link, np.int64) if len(found.link) else np.full(n, fmt.link, np.int64)
+            for own, x in zip(columns, (head, at + base, size, us, link)):
+                own.append(x)
+            held.append(content)
+            paths.append(path)
+            counts.append(n)
+            base += len(content)
+    if paths:
+        yield done()
+
+
 def decode_captures(files: DataFrame, mask_opaque: bool = False) -> DataFrame:
-    """Packets of captures given as (path, content)."""
+    """Packets of captures given as (path, content); small files are decoded many at a time, larger ones chunk by chunk."""
 
     def run(parts):
         for b in parts:
-            for k in range(b.num_rows):  # a file at a time
-                f = io.BytesIO(b["content"][k].as_py())
-                fmt, first = opened(f)
-                yield from batches(f, b["path"][k].as_py(), fmt, first, None, mask_opaque)
+            size = pc.binary_length(b["content"]).to_numpy(zero_copy_only=False)
+            small = (k for k in range(b.num_rows) if size[k] <= CHUNK)
+            yield from small_batches(((b["path"][k].as_py(), b["content"][k].as_py()) for k in small), mask_opaque)
+            for k in range(b.num_rows):
+                if size[k] > CHUNK:
+                    f = io.BytesIO(b["content"][k].as_py())
+                    fmt, first = opened(f)
+                    yield from batches(f, b["path"][k].as_py(), fmt, first, None, mask_opaque)
 
     return files.select("path", "content").mapInArrow(run, PACKETS)
 

@@ -91,7 +91,7 @@ def _ip(protocol: int, source: Column, target: Column, body: Column) -> Column:
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a capture of one packet an event: TCP segments, DNS queries and ARP replies in turn."""
     h = F.lit
-    e = events(spark, sf_dir).withColumn("kind", F.col("event_id") % 3)
+    e = events(spark, sf_dir).repartition("event_id").withColumn("kind", F.col("event_id") % 3)  # a file of events may be one task
     k, user, seq = F.col("k"), F.col("user_id"), F.col("event_id")
     mac = F.concat(h("0000000000"), _be(user % 4, 1))
     source, target = F.concat(h("0A00"), _be(F.floor(user / 256) % 256, 1), _be(user % 256, 1)), F.concat(h("0A0100"), _be(k % 8, 1))
@@ -114,7 +114,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def login_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a capture of one login an event, in turn in the block format and in the classic one with nanoseconds, largest byte first."""
     h = F.lit
-    e = events(spark, sf_dir).withColumn("payload", login_payload())
+    e = events(spark, sf_dir).repartition("event_id").withColumn("payload", login_payload())  # a file of events may be one task
     user, seq, us = F.col("user_id"), F.col("event_id"), F.col("us")
     source, target = F.concat(h("0A00"), _be(F.floor(user / 256) % 256, 1), _be(user % 256, 1)), F.concat(h("0A0100"), _be(user % 8, 1))
     port = F.when(F.col("event_type").isin("click", "view"), 80).otherwise(21)
