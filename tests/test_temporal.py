@@ -191,3 +191,39 @@ def test_places_without_a_single_task(spark):
     assert [r.v for r in sorted(tied, key=lambda r: r.idx)] == sorted(values, key=lambda v: (v is not None, v or 0)) and {r.idx for r in tied} == {r.idx for r in rows}
     assert own.numbered(df.where("false"), "v").count() == 0
     own.close()
+
+
+def test_no_sweeps_where_nothing_outlasts_the_ttl(spark, monkeypatch):
+    from tidewire.plans import queries
+    from tidewire.sources import tables
+
+    p = tables.login_packets(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(T, "sweeps", lambda *a: pytest.fail("sweeps were computed"))
+    assert queries.swept(p, queries.settings()) is None
+    monkeypatch.undo()
+    cfg = queries.settings(state_ttl_seconds=3 * queries.DAY)
+    sweeps = queries.swept(p, cfg)
+    assert sweeps.count() > 0
+    many = {"state_ttl_seconds": 10_000 * queries.DAY}
+    told = [sorted(map(tuple, D.credentials(p, queries.settings(**many), s).collect())) for s in (None, sweeps)]
+    assert told[0] == told[1] and len(told[0]) > 100
+
+
+def test_a_fold_passes_runs_of_keys_as_lists(spark):
+    """Keys may be null, cross batches, and be as many as rows."""
+    rows = [(None if n % 5 == 0 else f"k{n % 40}", n // 40, n, n * 7) for n in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b long, seq long, us long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        want, last = [], {}
+        got = T.throttle(df, ["a"], 700).collect()
+        for a, b, seq, us in rows:
+            if a not in last or us - last[a] > 700:
+                last[a] = us
+                want.append(seq)
+        assert sorted(r.seq for r in got) == want
+        assert T.throttle(df, ["a", "b"], 10**9).count() == len({r[:2] for r in rows})
+        out = T._folded(df, ["a", "b"], ["us"], lambda state, times: (None, ["x"] * len(times)), "kind")
+        assert out.count() == 2000 and out.where("kind = 'x'").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -120,8 +120,11 @@ def port_scan(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us
     return alerts(done, "port_scan", "SCAN", 0, F.when(n >= SCAN_HIGH, 3).otherwise(2), F.col("src_ip"), F.when(hosts == 1, F.col("targets")[0]), F.col("first"), F.col("us"), score, summary, proof)
 
 
-def credentials(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
-    """HTTP Basic and FTP logins with their user: a password's user is that of the latest USER before it on the same connection."""
+def credentials(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame | None) -> DataFrame:
+    """HTTP Basic and FTP logins with their user: a password's user is that of the latest USER before it on the same connection.
+
+    ``swept`` as in ``with_epochs``.
+    """
     ttl = micros(cfg["state_ttl_seconds"])
     own = packets.where("src_ip <> ''").select("capture", "seq", "us", "src_ip", N.or_default(F.col("dst_ip"), "unknown").alias("dst_ip"), "dst_port", "app.http_auth", "app.ftp_cmd")
     http = own.where("http_auth is not null").select("capture", "seq", "us", "src_ip", "dst_ip", "dst_port", F.lit("HTTP").alias("protocol"), F.coalesce("http_auth.username", F.lit("unknown")).alias("username"))
@@ -130,14 +133,17 @@ def credentials(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> Da
     last = F.last(F.when(F.col("ftp_cmd.cmd") == "USER", F.struct("us", F.coalesce("ftp_cmd.arg", F.lit("")).alias("arg"))), ignorenulls=True).over(by)
     logins = ftp.withColumn("session", last).where("ftp_cmd.cmd = 'PASS'")
     # The session is gone if it is older than the ttl at the last sweep; only logins that late need the sweep.
-    swept_at = last_sweeps(logins.where(F.col("us") - F.col("session.us") > ttl), swept).select(F.col("capture").alias("_c"), F.col("us").alias("_t"), F.col("sweep").alias("_sweep"))
-    logins = logins.join(swept_at, (F.col("capture") == F.col("_c")) & (F.col("us") == F.col("_t")), "left")
+    if swept is None:
+        logins = logins.withColumn("_sweep", F.lit(None).cast("long"))
+    else:
+        swept_at = last_sweeps(logins.where(F.col("us") - F.col("session.us") > ttl), swept).select(F.col("capture").alias("_c"), F.col("us").alias("_t"), F.col("sweep").alias("_sweep"))
+        logins = logins.join(swept_at, (F.col("capture") == F.col("_c")) & (F.col("us") == F.col("_t")), "left")
     alive = F.coalesce(F.col("session.us") >= F.col("_sweep") - ttl, F.col("session").isNotNull())
     ftp = logins.select("capture", "seq", "us", "src_ip", "dst_ip", "dst_port", F.lit("FTP").alias("protocol"), F.when(alive, F.col("session.arg")).otherwise("unknown").alias("username"))
     return http.unionByName(ftp)
 
 
-def cleartext_creds(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us: int = micros(CREDS_MUTE)) -> DataFrame:
+def cleartext_creds(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame | None, mute_us: int = micros(CREDS_MUTE)) -> DataFrame:
     """Logins in clear text, one alert a user and connection in a mute time; passwords never leave the decoder."""
     seen = credentials(packets, cfg, swept)
     if not cfg["cleartext_creds"].get("enabled", True):
@@ -163,13 +169,10 @@ def arp_claims(packets: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     return own.where(~F.lower("mac").isin(allowed)) if allowed else own
 
 
-def arp_lives(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame) -> DataFrame:
-    """Claims with ``epoch``, which tells the lives of an address apart, ``was``, the MAC of the claim before, and ``first``, whether the MAC is new to the life."""
+def arp_lives(claims: DataFrame, cfg: dict[str, Any], swept: DataFrame | None) -> DataFrame:
+    """Claims with ``epoch``, which tells the lives of an address apart, and ``was``, the MAC of the claim before."""
     own = with_epochs(claims, ["capture", "ip"], swept, micros(cfg["state_ttl_seconds"]))
-    key = ["capture", "ip", "epoch"]
-    was = F.lag("mac").over(Window.partitionBy(*key).orderBy("us", "seq"))
-    first = F.row_number().over(Window.partitionBy(*key, "mac").orderBy("us", "seq")) == 1
-    return own.withColumn("was", was).withColumn("first", first)
+    return own.withColumn("was", F.lag("mac").over(Window.partitionBy("capture", "ip", "epoch").orderBy("us", "seq")))
 
 
 def arp_changes(lives: DataFrame) -> DataFrame:
@@ -183,13 +186,13 @@ def with_known_macs(rows: DataFrame, lives: DataFrame) -> DataFrame:
     A claim meets the MACs that it tells and those that come later in the life.
     """
     key = ["capture", "ip", "epoch"]
-    firsts = lives.where("first").select(*key, F.col("mac").alias("other"), F.struct("us", "seq").alias("_first"))
+    firsts = lives.groupBy(*key, F.col("mac").alias("other")).agg(F.min(F.struct("us", "seq")).alias("_first"))  # summed up before they are dealt
     seen = rows.select(*key, "us", "seq").join(firsts, key).where(F.col("_first") <= F.struct("us", "seq"))
     known = seen.groupBy(*key, "us", "seq").agg(F.sort_array(F.collect_list("other")).alias("known"))
     return rows.join(known, [*key, "us", "seq"])
 
 
-def arp_spoof(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame, mute_us: int = micros(ARP_MUTE)) -> DataFrame:
+def arp_spoof(packets: DataFrame, cfg: dict[str, Any], swept: DataFrame | None, mute_us: int = micros(ARP_MUTE)) -> DataFrame:
     """Addresses that another MAC claims than before."""
     lives = arp_lives(arp_claims(packets, cfg), cfg, swept)
     out = with_known_macs(throttle(arp_changes(lives), ["capture", "ip", "mac"], mute_us), lives)

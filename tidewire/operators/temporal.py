@@ -142,34 +142,41 @@ def joined_evidence(emitted: DataFrame, rows: DataFrame, keys: list[str], width_
     return met.groupBy(*mark).agg(F.min("first").alias("first"), *(F.max(t).alias(t) for t in tops), *lists, *counts, *added).withColumnsRenamed({"e_us": "us", "e_seq": "seq"})
 
 
-def _folded(df: DataFrame, keys: list[str], fold, extra: str = "") -> DataFrame:
+def _folded(df: DataFrame, keys: list[str], columns: list[str], fold, extra: str = "") -> DataFrame:
     """Rows of ``df`` that an ordered fold lets pass.
 
     Rows are dealt by key, sorted, and read as a stream: whatever the size of a key, a
-    task holds one batch and one state.  ``fold(state, rows)`` gets the columns of a run
-    of rows of one key and returns the new state and, for each row, a value, None if the
-    row does not pass; ``extra`` names a column for those values.
+    task holds one batch and one state.  ``fold(state, *columns)`` gets lists of the values
+    of ``columns`` in a run of rows of one key, and returns the new state and, for each row,
+    a value, None if the row does not pass; ``extra`` names a column for those values.  Keys
+    may be as many as rows, so a run costs no more than its slices.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            own = list(zip(*(b[k].where(b[k].notna(), None) for k in keys)))
-            cut = [0, *(n for n in range(1, len(own)) if own[n] != own[n - 1]), len(own)]
-            values = []
+            new = np.zeros(b.num_rows - 1, bool)
+            for k in keys:
+                codes = pc.dictionary_encode(b.column(k), null_encoding="encode").indices.to_numpy()
+                new |= codes[1:] != codes[:-1]
+            cut = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            lists, values = [b.column(c).to_pylist() for c in columns], []
+            ends = [tuple(b.column(k)[at].as_py() for k in keys) for at in (0, b.num_rows - 1)]
             for s, e in zip(cut, cut[1:]):
-                if own[s] != last:
-                    last, state = own[s], None
-                state, got = fold(state, b.iloc[s:e])
+                if s or ends[0] != last:
+                    state = None
+                state, got = fold(state, *(x[s:e] for x in lists))
                 values += got
-            passed = [v is not None for v in values]
-            out = b[passed]
-            yield out.assign(**{extra.split()[0]: [v for v in values if v is not None]}) if extra else out
+            last = ends[1]
+            out = b.filter(pa.array([v is not None for v in values]))
+            if extra:
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.array([v for v in values if v is not None], pa.string())], [*out.schema.names, extra])
+            yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(*keys).sortWithinPartitions(*keys, "us", "seq").mapInPandas(run, f"{fields}, {extra}" if extra else fields)
+    return df.repartition(*keys).sortWithinPartitions(*keys, "us", "seq").mapInArrow(run, f"{fields}, {extra} string" if extra else fields)
 
 
 def throttle(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
@@ -178,15 +185,15 @@ def throttle(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     The mute time runs from the last row that passed, not from the last row.
     """
 
-    def fold(last, rows):
+    def fold(last, times):
         out = []
-        for us in rows["us"].tolist():
+        for us in times:
             passes = last is None or us - last > gap_us
             out.append(True if passes else None)
             last = us if passes else last
         return last, out
 
-    return _folded(df, keys, fold)
+    return _folded(df, keys, ["us"], fold)
 
 
 def growth_throttle(df: DataFrame, keys: list[str], gap_us: int, growth: float = 1.5) -> DataFrame:
@@ -197,9 +204,9 @@ def growth_throttle(df: DataFrame, keys: list[str], gap_us: int, growth: float =
     set the same state (time and count of the last that passed).  Adds ``kind``.
     """
 
-    def fold(state, rows):
+    def fold(state, *columns):
         out = []
-        for us, *counts in zip(rows["us"].tolist(), rows["fast_n"].tolist(), rows["slow_n"].tolist()):
+        for us, *counts in zip(*columns):
             kind = None
             for name, n in zip(("fast", "slow"), counts):
                 if n > 0 and (state is None or us - state[0] >= gap_us or n >= growth * state[1]):
@@ -208,7 +215,7 @@ def growth_throttle(df: DataFrame, keys: list[str], gap_us: int, growth: float =
             out.append(kind)
         return state, out
 
-    return _folded(df, keys, fold, "kind string")
+    return _folded(df, keys, ["us", "fast_n", "slow_n"], fold, "kind")
 
 
 def islands(df: DataFrame, keys: list[str], gap_us: int, order: list[str]) -> DataFrame:
@@ -319,6 +326,12 @@ def sweeps(events: DataFrame, interval_us: int) -> DataFrame:
     return times.join(entries, by).repartition(*by).sortWithinPartitions(*by, "us").mapInArrow(tick, "capture string, sweep_us long")
 
 
+def outlasts(events: DataFrame, ttl_us: int) -> bool:
+    """Whether a capture's times span more than ``ttl_us``; where none does, no idle state can be evicted."""
+    span = events.groupBy("capture").agg((F.max("us") - F.min("us")).alias("span")).agg(F.max("span")).first()[0]
+    return span is not None and span > ttl_us
+
+
 def last_sweeps(times: DataFrame, swept: DataFrame) -> DataFrame:
     """(capture, us, sweep): the last sweep up to each of the distinct ``times`` (capture, us), null if there was none.
 
@@ -337,13 +350,16 @@ def last_sweeps(times: DataFrame, swept: DataFrame) -> DataFrame:
     return found.join(ends, ["capture", "slice"]).select("capture", "us", F.coalesce("own", "carried").alias("sweep"))
 
 
-def with_epochs(df: DataFrame, keys: list[str], swept: DataFrame, ttl_us: int) -> DataFrame:
+def with_epochs(df: DataFrame, keys: list[str], swept: DataFrame | None, ttl_us: int) -> DataFrame:
     """Adds ``epoch``, which rises when a key's state was evicted between two of its rows.
 
     A key last touched at t1 is gone at t2 if t1 is more than the ttl before the last
     sweep up to t2.  Only rows that come more than the ttl after the one before can be
-    such, so the sweeps are attached to those alone.
+    such, so the sweeps are attached to those alone.  ``swept`` is None where no capture
+    lasts longer than the ttl (``outlasts``): nothing is evicted then.
     """
+    if swept is None:
+        return df.withColumn("epoch", F.lit(0).cast("long"))
     by = Window.partitionBy(*keys).orderBy("us", "seq")
     gaps = df.withColumn("_prev", F.lag("us").over(by))
     last = last_sweeps(gaps.where(F.col("us") - F.col("_prev") > ttl_us), swept).select(F.col("capture").alias("_c"), F.col("us").alias("_t"), F.col("sweep").alias("_sweep"))
