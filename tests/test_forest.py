@@ -88,3 +88,14 @@ def test_training_again_gives_the_same(windows, model):
     key = ["tree", "node"]
     assert again.offset == pytest.approx(model.offset, abs=1e-12)
     assert again.nodes.sort_values(key).reset_index(drop=True).equals(model.nodes.sort_values(key).reset_index(drop=True))
+
+
+def test_windows_are_made_once_for_training_and_scoring(spark, monkeypatch):
+    from tidewire.operators import anomaly
+    from tidewire.plans import queries
+
+    plans = []
+    for of, name in ((forest, "fit"), (anomaly, "ml_anomaly")):
+        monkeypatch.setattr(of, name, lambda windows, *a, own=getattr(of, name): (plans.append(windows._jdf.queryExecution().optimizedPlan().toString()), own(windows, *a))[1])
+    assert queries.anomaly_alerts(spark, "/root/testdata/sf0.001").count() == 10
+    assert len(plans) == 2 and not any("Aggregate" in p or "get_json_object" in p for p in plans)

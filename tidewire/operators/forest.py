@@ -115,8 +115,9 @@ def fit(windows: DataFrame, window_seconds: float, contamination: float = 0.05,
     # Every tree has its own hash order; rows are thinned by it first, so few reach the exact choice.
     rate = min(1.0, 4.0 * size / n + 20.0 / n)
     place = lambda t: F.xxhash64(F.lit(seed), t, "capture", "src_ip", "window_start")
-    few = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t).cast("double") < (2 * rate - 1) * float(1 << 63))
-    keyed = windows.withColumn("tree", F.explode(few)).withColumn("h", place(F.col("tree")))
+    # Told row by row as compiled code, which a lambda over an array would not be.
+    each = windows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", place(F.col("tree")))
+    keyed = each.where(F.col("h").cast("double") < (2 * rate - 1) * float(1 << 63))
 
     def tree(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         own = x.sort_values("h").head(size)[list(FEATURES)].to_numpy(float)
